@@ -43,7 +43,7 @@ def pipeline_metrics(runs: DataFrame) -> DataFrame:
 
 def classify_timeouts(runs: DataFrame, as_of, limit_seconds: int = RUN_TIMEOUT_SECONDS) -> DataFrame:
     """A running run older than the limit at ``as_of`` is a timeout."""
-    age = F.timestampdiff("SECOND", F.col("started_at"), F.lit(as_of).cast("timestamp"))
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("started_at"))
     return runs.withColumn("status", F.when((F.col("status") == "running") &
                                             (age > limit_seconds), "timeout")
                            .otherwise(F.col("status")))

@@ -78,14 +78,13 @@ def q_completeness_by_column(spark, d):
 
 @register("completeness_overall", f"""
 SELECT 'c_all' AS rule_id,
-       CASE WHEN count(*) = 0 THEN 'error' WHEN nn::DOUBLE / (count(*) * 6) >= 0.95 THEN 'passed'
+       CASE WHEN n = 0 THEN 'error' WHEN nn::DOUBLE / (n * 6) >= 0.95 THEN 'passed'
             ELSE 'failed' END AS status,
-       CASE WHEN count(*) > 0 THEN nn::DOUBLE / (count(*) * 6) ELSE 0.0 END AS pass_rate,
-       (count(*) * 6 - nn)::BIGINT AS failed_records, count(*)::BIGINT AS total_records,
+       CASE WHEN n > 0 THEN nn::DOUBLE / (n * 6) ELSE 0.0 END AS pass_rate,
+       (n * 6 - nn)::BIGINT AS failed_records, n::BIGINT AS total_records,
        0.95::DOUBLE AS threshold
-FROM (SELECT *, count(event_id) OVER () + count(ts) OVER () + count(user_id) OVER ()
-             + count(event_type) OVER () + count(value) OVER () + count(props) OVER () AS nn
-      FROM {EV_NULLS}) GROUP BY nn""")
+FROM (SELECT count(*) AS n, count(event_id) + count(ts) + count(user_id) + count(event_type)
+             + count(value) + count(props) AS nn FROM {EV_NULLS})""")
 def q_completeness_overall(spark, d):
     """A2: whole-table completeness (no column given)."""
     return results(run_rules(_events_nulls(spark, d), [Rule("c_all", "completeness", None)]))
@@ -496,3 +495,772 @@ def q_incidents(spark, d):
         "action", "rule_id", F.concat(F.lit("Quality Rule Failure: "), "rule_type")
         .alias("incident_type"), "severity", F.col("failed_records").alias("affected_records"))
     return inc.unionByName(al)
+
+
+# =========================================================== pipeline & transforms
+
+ORDER_CHAIN = [
+    {"type": "filter", "condition": "o_totalprice > 0"},
+    {"type": "add_column", "name": "order_year", "expression": "year(o_orderdate)"},
+    {"type": "aggregate", "group_by": ["o_custkey"],
+     "aggregations": {"total_spent": "round(sum(o_totalprice), 2)", "n_orders": "count(*)",
+                      "last_year": "max(order_year)"}},
+]
+CHAIN_SQL = ("(SELECT o_custkey, round(sum(o_totalprice), 2) AS total_spent, count(*) AS n_orders, "
+             "max(year(o_orderdate)) AS last_year FROM orders WHERE o_totalprice > 0 "
+             "GROUP BY o_custkey)")
+FLAGSHIP_RULES = [Rule("fq_spent", "completeness", "total_spent"),
+                  Rule("fq_unique", "uniqueness", "o_custkey"),
+                  Rule("fq_orders", "range_check", "n_orders", {"min_value": 1, "max_value": 15})]
+
+
+@register("pipeline_quality", " UNION ALL ".join([
+    rule_sql("fq_spent", "count(total_spent)", "count(*)", 0.95, CHAIN_SQL),
+    rule_sql("fq_unique", "count(DISTINCT o_custkey)", "count(*)", 1.0, CHAIN_SQL, 1.0),
+    rule_sql("fq_orders", "count_if(n_orders IS NULL OR (n_orders >= 1 AND n_orders <= 15))",
+             "count(*)", 0.95, CHAIN_SQL),
+]))
+def q_pipeline_quality(spark, d):
+    """Flagship (7.2 step 1): parquet scan -> transform chain (filter,
+    computed column, aggregate) -> fused completeness/uniqueness/range."""
+    from quarry.plans.pipeline import PipelineSpec, quality_of
+
+    spec = PipelineSpec(source={"format": "parquet", "path": os.path.join(d, "orders.parquet")},
+                        transforms=ORDER_CHAIN, rules=FLAGSHIP_RULES)
+    return results(quality_of(spark, spec))
+
+
+@register("pipeline_chain", f"SELECT * FROM {CHAIN_SQL}")
+def q_pipeline_chain(spark, d):
+    """P1-P7 chain output (the transformed frame itself)."""
+    return transforms.apply_transforms(T(spark, d, "orders"), ORDER_CHAIN)
+
+
+@register("transform_select_rename", """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice * 1.1 AS gross
+FROM orders WHERE o_orderstatus = 'F'""")
+def q_select_rename(spark, d):
+    """P1 filter, P4 computed column, P2 select, P3 rename as a chain."""
+    return transforms.apply_transforms(T(spark, d, "orders"), [
+        {"type": "filter", "condition": "o_orderstatus = 'F'"},
+        {"type": "add_column", "name": "gross", "expression": "o_totalprice * 1.1"},
+        {"type": "select", "columns": ["o_orderkey", "o_custkey", "gross"]},
+        {"type": "rename", "mapping": {"o_orderkey": "order_id", "o_custkey": "customer_id"}}])
+
+
+@register("custom_sql_transform", """
+SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price
+FROM orders GROUP BY o_orderstatus""")
+def q_custom_sql_transform(spark, d):
+    """Free SQL over the incoming frame (bound as a DataFrame argument)."""
+    return transforms.custom_sql(
+        T(spark, d, "orders"),
+        "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price "
+        "FROM source GROUP BY o_orderstatus")
+
+
+@register("param_sql", """
+SELECT o_orderpriority, count(*) AS n FROM orders
+WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01'
+GROUP BY o_orderpriority""")
+def q_param_sql(spark, d):
+    """P9: '${x}' placeholders bound as typed named parameters."""
+    import datetime as dt
+
+    return transforms.parameterized_sql(
+        spark, "SELECT o_orderpriority, count(*) AS n FROM {orders} "
+               "WHERE o_orderdate >= '${start_date}' AND o_orderdate < '${end_date}' "
+               "GROUP BY o_orderpriority",
+        {"start_date": dt.date(1997, 1, 1), "end_date": dt.date(1998, 1, 1)},
+        orders=T(spark, d, "orders"))
+
+
+@register("incremental_load", """
+SELECT 'orders' AS source, 'o_orderdate' AS "column", max(o_orderdate)::VARCHAR AS last_value,
+       count(*) AS n_new
+FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-30 00:00:00'""")
+def q_incremental(spark, d):
+    """P11 strict incremental filter + P12 new high-water mark, one pass."""
+    import datetime as dt
+
+    new = transforms.incremental_filter(T(spark, d, "orders"), "o_orderdate",
+                                        dt.datetime(1999, 6, 30))
+    return new.agg(F.max("o_orderdate").cast("string").alias("last_value"),
+                   F.count(F.lit(1)).alias("n_new")).select(
+        F.lit("orders").alias("source"), F.lit("o_orderdate").alias("column"),
+        "last_value", "n_new")
+
+
+@register("merge_upsert", """
+WITH tgt AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+             WHERE o_orderdate < TIMESTAMP '1999-01-01 00:00:00'),
+src AS (SELECT o_orderkey, 'F' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders
+        WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00')
+SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)
+UNION ALL SELECT * FROM src""")
+def q_merge(spark, d):
+    """K7: upsert of a changed slice into the older slice (anti join +
+    union; last source row per key wins)."""
+    o = T(spark, d, "orders")
+    tgt = o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice")
+    src = o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(
+        "o_orderkey", F.lit("F").alias("o_orderstatus"),
+        (F.col("o_totalprice") + 1).alias("o_totalprice"), "o_orderdate")
+    merged = merge_frames(tgt, src, ["o_orderkey"], order=[F.col("o_orderdate")])
+    return merged.select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@register("duplicate_rows", """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_duplicates(spark, d):
+    """Q26: keys occurring more than once (partial aggregate, no window)."""
+    return (T(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")
+            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+
+
+# =========================================================== usage & quotas
+
+USAGE_SQL = ("(SELECT 'org_' || (user_id % 3)::VARCHAR AS organization_id, event_type AS resource_type, "
+             "value AS amount, ts, props, event_id FROM events)")
+QUOTAS = [(f"org_{o}", r, float(lim), 0.8, per)
+          for o in range(3)
+          for r, lim, per in (("click", 150, "hourly"), ("view", 1000, "daily"),
+                              ("purchase", 7000, "weekly"), ("signup", 30000, "monthly"),
+                              ("error", 0, "monthly"))]
+QUOTAS_SQL = ("(SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{b}', {c}::DOUBLE, {e}::DOUBLE, '{p}')" for a, b, c, e, p in QUOTAS) +
+    ") q(organization_id, resource_type, quota_limit, warning_threshold, reset_period))")
+
+
+def _quotas(spark):
+    return spark.createDataFrame(QUOTAS, "organization_id string, resource_type string, "
+                                         "quota_limit double, warning_threshold double, "
+                                         "reset_period string")
+
+
+@register("usage_rollup", f"""
+SELECT organization_id, resource_type, round(sum(amount), 4) AS total_amount,
+       count(*) AS record_count,
+       arg_max(json_extract_string(props, '$.k'), {{'t': ts, 'i': event_id}}) AS meta_k
+FROM {USAGE_SQL} GROUP BY ALL""")
+def q_usage_rollup(spark, d):
+    """Batch roll-up with last-wins metadata merge."""
+    u = usage.usage_from_events(T(spark, d, "events")).withColumn(
+        "meta", F.from_json("props", "map<string,string>"))
+    out = usage.rollup_batch(u, "meta")
+    return out.select("organization_id", "resource_type",
+                      F.round("total_amount", 4).alias("total_amount"), "record_count",
+                      F.col("metadata")["k"].alias("meta_k"))
+
+
+@register("usage_per_period", f"""
+SELECT organization_id, resource_type, date_trunc('day', ts) AS period_start,
+       date_trunc('day', ts) + INTERVAL 1 DAY AS period_end, round(sum(amount), 4) AS usage,
+       count(*) AS records
+FROM {USAGE_SQL} GROUP BY ALL""")
+def q_usage_per_period(spark, d):
+    """Usage accumulated per daily period [start, end)."""
+    out = usage.usage_per_period(usage.usage_from_events(T(spark, d, "events")), "daily")
+    return out.withColumn("usage", F.round("usage", 4))
+
+
+@register("period_bounds", f"""
+SELECT 'weekly' AS period, date_trunc('week', ts) AS period_start,
+       date_trunc('week', ts) + INTERVAL 7 DAY AS period_end, count(*) AS n FROM events GROUP BY 2, 3
+UNION ALL
+SELECT 'monthly', date_trunc('month', ts), date_trunc('month', ts) + INTERVAL 1 MONTH, count(*)
+FROM events GROUP BY 2, 3
+UNION ALL
+SELECT 'hourly', date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 1 HOUR, count(*)
+FROM events GROUP BY 2, 3""")
+def q_period_bounds(spark, d):
+    """hourly / weekly (Monday) / monthly period bounds of every event."""
+    from quarry.functions.periods import period_end, period_start
+
+    ev = T(spark, d, "events")
+    outs = []
+    for p in ("weekly", "monthly", "hourly"):
+        s = period_start(F.col("ts"), p)
+        outs.append(ev.groupBy(s.alias("period_start"))
+                    .agg(F.count(F.lit(1)).alias("n"))
+                    .select(F.lit(p).alias("period"), "period_start",
+                            period_end(F.col("period_start"), p).alias("period_end"), "n"))
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+QSTATUS_SQL = f"""
+WITH q AS {QUOTAS_SQL},
+u AS (
+  SELECT u.organization_id, u.resource_type,
+         CASE q.reset_period WHEN 'hourly' THEN date_trunc('hour', u.ts)
+              WHEN 'daily' THEN date_trunc('day', u.ts) WHEN 'weekly' THEN date_trunc('week', u.ts)
+              ELSE date_trunc('month', u.ts) END AS period_start,
+         sum(u.amount) AS current_usage
+  FROM {USAGE_SQL} u JOIN q USING (organization_id, resource_type) GROUP BY ALL),
+s AS (
+  SELECT u.*, q.quota_limit, q.warning_threshold, q.reset_period,
+         CASE WHEN q.quota_limit > 0 THEN u.current_usage / q.quota_limit ELSE 0.0 END AS pct
+  FROM u JOIN q USING (organization_id, resource_type))
+SELECT organization_id, resource_type, period_start, round(current_usage, 4) AS current_usage,
+       round(pct, 6) AS usage_percentage,
+       CASE WHEN pct >= 1.0 THEN 'exceeded' WHEN pct >= warning_threshold THEN 'warning'
+            ELSE 'active' END AS status,
+       CASE reset_period WHEN 'hourly' THEN period_start + INTERVAL 1 HOUR
+            WHEN 'daily' THEN period_start + INTERVAL 1 DAY
+            WHEN 'weekly' THEN period_start + INTERVAL 7 DAY
+            ELSE period_start + INTERVAL 1 MONTH END AS next_reset
+FROM s"""
+
+
+@register("quota_status", QSTATUS_SQL)
+def q_quota_status(spark, d):
+    """Usage bucketed by each quota's own reset period vs its limit."""
+    st = usage.quota_status(_quotas(spark), usage.usage_from_events(T(spark, d, "events")))
+    return st.select("organization_id", "resource_type", "period_start",
+                     F.round("current_usage", 4).alias("current_usage"),
+                     F.round("usage_percentage", 6).alias("usage_percentage"), "status",
+                     "next_reset")
+
+
+@register("quota_violations", f"""
+SELECT organization_id, resource_type, status AS violation_type, period_start,
+       CASE WHEN status = 'exceeded' THEN 'alert_only' ELSE 'warning_sent' END AS action_taken
+FROM ({QSTATUS_SQL}) WHERE status IN ('exceeded', 'warning')""")
+def q_quota_violations(spark, d):
+    """Violations and the enforcement action."""
+    st = usage.quota_status(_quotas(spark), usage.usage_from_events(T(spark, d, "events")))
+    return usage.violations(st).select("organization_id", "resource_type", "violation_type",
+                                       "period_start", "action_taken")
+
+
+@register("quota_current", f"""
+WITH q AS {QUOTAS_SQL},
+b AS (SELECT q.*, CASE reset_period WHEN 'hourly' THEN date_trunc('hour', TIMESTAMP '2024-01-30 12:30:00')
+        WHEN 'daily' THEN date_trunc('day', TIMESTAMP '2024-01-30 12:30:00')
+        WHEN 'weekly' THEN date_trunc('week', TIMESTAMP '2024-01-30 12:30:00')
+        ELSE date_trunc('month', TIMESTAMP '2024-01-30 12:30:00') END AS period_start FROM q),
+u AS (SELECT b.organization_id, b.resource_type, sum(e.amount) AS cu FROM b JOIN {USAGE_SQL} e
+      ON e.organization_id = b.organization_id AND e.resource_type = b.resource_type
+      AND CASE b.reset_period WHEN 'hourly' THEN date_trunc('hour', e.ts)
+        WHEN 'daily' THEN date_trunc('day', e.ts) WHEN 'weekly' THEN date_trunc('week', e.ts)
+        ELSE date_trunc('month', e.ts) END = b.period_start GROUP BY ALL)
+SELECT b.organization_id, b.resource_type, round(coalesce(u.cu, 0.0), 4) AS current_usage,
+       CASE WHEN coalesce(CASE WHEN quota_limit > 0 THEN coalesce(u.cu, 0.0) / quota_limit END, 0.0) >= 1.0
+            THEN 'exceeded'
+            WHEN coalesce(CASE WHEN quota_limit > 0 THEN coalesce(u.cu, 0.0) / quota_limit END, 0.0)
+                 >= warning_threshold THEN 'warning' ELSE 'active' END AS status
+FROM b LEFT JOIN u USING (organization_id, resource_type)""")
+def q_quota_current(spark, d):
+    """G1 at a fixed clock: the period containing ``as_of`` per quota, 0
+    usage when none (left join + coalesce)."""
+    st = usage.quota_status(_quotas(spark), usage.usage_from_events(T(spark, d, "events")),
+                            as_of="2024-01-30 12:30:00")
+    return st.select("organization_id", "resource_type",
+                     F.round("current_usage", 4).alias("current_usage"), "status")
+
+
+VIOL_SQL = ("(SELECT event_id AS id, 'org_' || (user_id % 3)::VARCHAR AS organization_id, "
+            "event_type AS resource_type, CASE WHEN value >= 80 THEN 'exceeded' ELSE 'warning' END "
+            "AS violation_type, ts FROM events WHERE value >= 60)")
+
+
+def _violation_candidates(spark, d):
+    return (T(spark, d, "events").where(F.col("value") >= 60)
+            .select(F.col("event_id").alias("id"),
+                    F.concat(F.lit("org_"), (F.col("user_id") % 3).cast("string"))
+                    .alias("organization_id"),
+                    F.col("event_type").alias("resource_type"),
+                    F.when(F.col("value") >= 80, "exceeded").otherwise("warning")
+                    .alias("violation_type"), "ts"))
+
+
+@register("violations_suppressed", f"""
+WITH RECURSIVE v AS {VIOL_SQL},
+nx AS (SELECT a.id, (SELECT b.id FROM v b WHERE b.organization_id = a.organization_id
+          AND b.resource_type = a.resource_type AND b.violation_type = a.violation_type
+          AND b.ts > a.ts + INTERVAL 1 HOUR ORDER BY b.ts, b.id LIMIT 1) AS nid FROM v a),
+roots AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY organization_id,
+          resource_type, violation_type ORDER BY ts, id) AS rn FROM v) WHERE rn = 1),
+chain(id) AS (SELECT id FROM roots UNION ALL
+              SELECT nx.nid FROM chain JOIN nx ON nx.id = chain.id WHERE nx.nid IS NOT NULL)
+SELECT v.id, v.organization_id, v.resource_type, v.violation_type, v.ts
+FROM v JOIN chain USING (id)""")
+def q_violations_suppressed(spark, d):
+    """Repeat suppression - a violation is recorded only when no
+    recorded one of the same (org, resource, type) is within the last hour;
+    suppressed ones do not extend the hour. Skew-safe chain marking."""
+    v = _violation_candidates(spark, d)
+    out = sequence.suppress_repeats(v, ["organization_id", "resource_type", "violation_type"],
+                                    "ts", "id", 3600)
+    return out.where("emitted").select("id", "organization_id", "resource_type",
+                                       "violation_type", "ts")
+
+
+@register("hourly_window", """
+SELECT event_type, date_trunc('hour', ts) AS window_start,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, round(sum(value), 4) AS sum,
+       round(avg(value), 6) AS average, max(value) AS maximum, count(*) AS points,
+       arg_max(value, ts) AS latest
+FROM events GROUP BY ALL""")
+def q_hourly_window(spark, d):
+    """1-hour tumbling-window Sum/Average/Maximum + latest point."""
+    out = usage.downsample(T(spark, d, "events"), "ts", "value", ["event_type"], "1 hour")
+    return (out.withColumn("sum", F.round("sum", 4)).withColumn("average", F.round("average", 6))
+            .withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+            .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")))
+
+
+@register("session_counter", f"""
+WITH u AS (SELECT organization_id, resource_type, amount, ts,
+             CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new
+           FROM {USAGE_SQL} WINDOW w AS (PARTITION BY organization_id, resource_type ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY organization_id, resource_type ORDER BY ts
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM u)
+SELECT organization_id, resource_type, min(ts) AS session_start,
+       max(ts) + INTERVAL 1 HOUR AS session_end, round(sum(amount), 4) AS total,
+       count(*) AS increments
+FROM s GROUP BY organization_id, resource_type, sid""")
+def q_session_counter(spark, d):
+    """Live counter with 1 h idle expiry = session window per key."""
+    out = usage.session_totals(usage.usage_from_events(T(spark, d, "events")), "1 hour")
+    return (out.withColumn("total", F.round("total", 4))
+            .withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+            .withColumn("session_end", F.col("session_end").cast("timestamp_ntz")))
+
+
+@register("tenant_scope", f"""
+SELECT resource_type, round(sum(amount), 4) AS total, count(*) AS n
+FROM {USAGE_SQL} WHERE organization_id = 'org_1' GROUP BY resource_type""")
+def q_tenant_scope(spark, d):
+    """Reads through a tenant scope see only that tenant's rows."""
+    from quarry.tenant import TenantScope
+
+    u = TenantScope("org_1").read(usage.usage_from_events(T(spark, d, "events")))
+    return u.groupBy("resource_type").agg(F.round(F.sum("amount"), 4).alias("total"),
+                                          F.count(F.lit(1)).alias("n"))
+
+
+@register("monthly_cost", f"""
+SELECT organization_id, date_trunc('month', ts) AS month, round(sum(amount), 4) AS cost,
+       count(*) AS items FROM {USAGE_SQL} GROUP BY ALL""")
+def q_monthly_cost(spark, d):
+    """Month-to-date cost per organization tag (chargeback)."""
+    u = usage.usage_from_events(T(spark, d, "events"))
+    out = usage.monthly_cost(u, "organization_id", "ts", "amount")
+    return out.withColumn("cost", F.round("cost", 4))
+
+
+@register("usage_snapshot", f"""
+SELECT organization_id,
+       round(sum(CASE WHEN resource_type = 'click' AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR
+                 THEN amount ELSE 0.0 END), 4) AS dbu_usage,
+       round(sum(CASE WHEN resource_type = 'view' THEN amount ELSE 0.0 END), 4) AS storage_gb,
+       count(DISTINCT resource_type) AS compute_nodes,
+       round(sum(CASE WHEN ts >= TIMESTAMP '2024-01-01 00:00:00' THEN amount ELSE 0.0 END), 4)
+         AS cost_this_month
+FROM {USAGE_SQL} WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id""")
+def q_usage_snapshot(spark, d):
+    """Per-organization snapshot (last-hour DBU, storage, nodes, MTD cost)."""
+    u = usage.usage_from_events(T(spark, d, "events"))
+    out = usage.usage_snapshot(u, "2024-01-30 12:00:00", "click", "view")
+    return out.select("organization_id", *[F.round(c, 4).alias(c) for c in
+                                           ("dbu_usage", "storage_gb")],
+                      "compute_nodes", F.round("cost_this_month", 4).alias("cost_this_month"))
+
+
+# =========================================================== runs
+
+RUNS_SQL = ("(SELECT o_orderkey AS run_id, o_custkey AS pipeline_id, o_orderdate AS started_at, "
+            "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' WHEN 'P' THEN 'failed' "
+            "END AS status, o_totalprice AS records_processed FROM orders)")
+
+
+@register("latest_run_per_key", f"""
+SELECT pipeline_id, run_id, started_at, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY started_at DESC, run_id DESC) AS rn
+  FROM {RUNS_SQL}) WHERE rn = 1""")
+def q_latest_run(spark, d):
+    """Latest run per pipeline (partial max_by, no window sort)."""
+    r = runs.latest_run(runs.runs_from_orders(T(spark, d, "orders")))
+    return r.select("pipeline_id", "run_id", F.col("started_at").cast("timestamp_ntz")
+                    .alias("started_at"), "status")
+
+
+@register("run_metrics", f"""
+SELECT pipeline_id, count(*) AS total_runs, count_if(status = 'success') AS successful_runs,
+       count_if(status = 'failed') AS failed_runs, round(avg(records_processed), 6) AS avg_records
+FROM {RUNS_SQL} GROUP BY pipeline_id""")
+def q_run_metrics(spark, d):
+    """Per-pipeline run counts and averages."""
+    m = runs.pipeline_metrics(runs.runs_from_orders(T(spark, d, "orders")))
+    return m.withColumn("avg_records", F.round("avg_records", 6))
+
+
+@register("run_timeouts", f"""
+SELECT CASE WHEN status = 'running' AND
+         date_diff('second', started_at, TIMESTAMP '2001-08-01 00:30:00') > 3600 THEN 'timeout'
+         ELSE status END AS status, count(*) AS n
+FROM {RUNS_SQL} GROUP BY 1""")
+def q_run_timeouts(spark, d):
+    """Running runs older than 3600 s at the clock become timeouts."""
+    r = runs.classify_timeouts(runs.runs_from_orders(T(spark, d, "orders")),
+                               "2001-08-01 00:30:00")
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("runs_page", f"""
+SELECT run_id, pipeline_id, started_at, status FROM {RUNS_SQL}
+ORDER BY started_at DESC, run_id DESC LIMIT 50 OFFSET 20""")
+def q_runs_page(spark, d):
+    """Newest-first page with id tiebreak (offset 20, limit 50)."""
+    r = runs.runs_from_orders(T(spark, d, "orders"))
+    return runs.page(r, "started_at", True, "run_id", 20, 50).select(
+        "run_id", "pipeline_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"),
+        "status")
+
+
+@register("pipeline_list", f"""
+WITH p AS (SELECT c_custkey AS pipeline_id, c_name AS name, c_mktsegment AS status FROM customer
+           WHERE c_mktsegment = 'MACHINERY' AND (c_name ILIKE '%00001%' OR c_mktsegment ILIKE '%00001%')),
+l AS (SELECT pipeline_id, run_id, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY started_at DESC, run_id DESC) AS rn
+  FROM {RUNS_SQL}) WHERE rn = 1)
+SELECT p.pipeline_id, p.name, l.run_id AS last_run_id, l.status AS last_run_status
+FROM p LEFT JOIN l USING (pipeline_id)""")
+def q_pipeline_list(spark, d):
+    """Filtered pipeline list with the last run attached."""
+    from quarry.functions.text import ilike_any
+
+    p = T(spark, d, "customer").select(F.col("c_custkey").alias("pipeline_id"),
+                                       F.col("c_name").alias("name"),
+                                       F.col("c_mktsegment").alias("status"))
+    out = runs.pipeline_list(p, runs.runs_from_orders(T(spark, d, "orders")),
+                             status="MACHINERY", search=ilike_any(["name", "status"], "00001"))
+    return out.select("pipeline_id", "name", "last_run_id", "last_run_status")
+
+
+# =========================================================== monitoring
+
+SERVICES = [(f"svc_{i}", i % 2 == 0) for i in range(6)]   # svc_6 is unlisted -> critical
+HEALTH_SQL = """(SELECT date_trunc('day', ts) AS day, 'svc_' || (user_id % 7)::VARCHAR AS service_name,
+  CASE WHEN value > 300 THEN 'unhealthy' WHEN value > 150 THEN 'degraded'
+       WHEN value < 1 THEN 'unknown' ELSE 'healthy' END AS status FROM events)"""
+
+
+@register("health_rollup", f"""
+WITH s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {str(c).lower()})" for n, c in SERVICES)})
+           t(service_name, critical)),
+r AS (SELECT h.day, h.status, coalesce(s.critical, true) AS critical FROM {HEALTH_SQL} h
+      LEFT JOIN s USING (service_name))
+SELECT day, count(*) AS services,
+       coalesce(CASE max(CASE WHEN critical THEN CASE status WHEN 'healthy' THEN 0
+                  WHEN 'degraded' THEN 1 WHEN 'unhealthy' THEN 2 END END)
+                WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' WHEN 2 THEN 'unhealthy' END,
+                'healthy') AS overall_status
+FROM r GROUP BY day""")
+def q_health_rollup(spark, d):
+    """Worst critical status per day (unknown ignored, unlisted = critical)."""
+    ev = T(spark, d, "events")
+    h = ev.select(F.date_trunc("DAY", "ts").alias("day"),
+                  F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string"))
+                  .alias("service_name"),
+                  F.when(F.col("value") > 300, "unhealthy").when(F.col("value") > 150, "degraded")
+                  .when(F.col("value") < 1, "unknown").otherwise("healthy").alias("status"))
+    svc = spark.createDataFrame(SERVICES, "service_name string, critical boolean")
+    out = monitoring.health_rollup(h, svc, ["day"])
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@register("alert_upsert", """
+SELECT 'error_rate' AS name, 'svc_' || (user_id % 7)::VARCHAR AS service,
+       'org_' || (user_id % 3)::VARCHAR AS organization_id,
+       arg_min(event_id, {'t': ts, 'i': event_id}) AS alert_id,
+       arg_max(printf('value %.2f', value), {'t': ts, 'i': event_id}) AS message,
+       arg_max(props, {'t': ts, 'i': event_id}) AS details, max(ts) AS created_at,
+       count(*) AS occurrences
+FROM events WHERE event_type = 'error' GROUP BY ALL""")
+def q_alert_upsert(spark, d):
+    """Active-alert upsert per (name, service, organization)."""
+    a = (T(spark, d, "events").where(F.col("event_type") == "error")
+         .select(F.lit("error_rate").alias("name"),
+                 F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string")).alias("service"),
+                 F.concat(F.lit("org_"), (F.col("user_id") % 3).cast("string"))
+                 .alias("organization_id"),
+                 F.col("event_id").alias("alert_id"),
+                 F.format_string("value %.2f", "value").alias("message"),
+                 F.col("props").alias("details"), F.col("ts").alias("created_at")))
+    return monitoring.upsert_alerts(a)
+
+
+DAILY_SCORE_SQL = ("(SELECT event_type, date_trunc('day', ts) AS day, "
+                   "count_if(value <= 100)::DOUBLE / count(*) AS score FROM events GROUP BY ALL)")
+
+
+def _daily_scores(spark, d):
+    return (T(spark, d, "events").groupBy("event_type", F.date_trunc("DAY", "ts").alias("day"))
+            .agg((F.count_if(F.col("value") <= 100) / F.count(F.lit(1))).alias("score"))
+            .withColumn("day", F.col("day").cast("timestamp_ntz")))
+
+
+@register("score_trend", f"""
+SELECT event_type, day, round(score, 6) AS score, round(lag(score) OVER w, 6) AS previous,
+       round(score - lag(score) OVER w, 6) AS change,
+       round(avg(score) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6)
+         AS moving_avg
+FROM {DAILY_SCORE_SQL} WINDOW w AS (PARTITION BY event_type ORDER BY day)""")
+def q_score_trend(spark, d):
+    """Daily score, previous, change, 7-day moving average."""
+    t = monitoring.score_trend(_daily_scores(spark, d), "event_type", "day", "score")
+    return t.select("event_type", "day", *[F.round(c, 6).alias(c) for c in
+                                            ("score", "previous", "change", "moving_avg")])
+
+
+@register("score_anomalies", f"""
+SELECT event_type, day,
+  coalesce(abs(score - avg(score) OVER w) > 3 * stddev_samp(score) OVER w, false) AS is_anomaly
+FROM {DAILY_SCORE_SQL}
+WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+def q_anomalies(spark, d):
+    """Q24: trailing z-score anomaly flag on the daily score."""
+    a = monitoring.anomalies(_daily_scores(spark, d), "event_type", "day", "score")
+    return a.select("event_type", "day", "is_anomaly")
+
+
+# =========================================================== lineage, access, catalog
+
+EDGES_SQL = """(
+  SELECT 'region:' || r_name AS source, 'nation:' || n_name AS target
+    FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'nation:' || n_name, 'customer:' || c_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'customer:' || c_name, 'order:' || o_orderkey::VARCHAR
+    FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@register("lineage_closure", f"""
+WITH RECURSIVE e AS {EDGES_SQL},
+walk(root, node, depth, path) AS (
+  SELECT r, r, 0, [r] FROM (SELECT DISTINCT 'region:' || r_name AS r FROM region)
+  UNION ALL
+  SELECT w.root, e.target, w.depth + 1, list_append(w.path, e.target)
+  FROM walk w JOIN e ON e.source = w.node
+  WHERE w.depth < 5 AND NOT list_contains(w.path, e.target))
+SELECT root, depth, count(*) AS n_nodes FROM walk WHERE depth > 0 GROUP BY root, depth""")
+def q_lineage(spark, d):
+    """Downstream closure from every region (recursive CTE, depth cap,
+    cycle stop), counted per root and depth."""
+    edges = lineage.reference_edges(T(spark, d, "region"), T(spark, d, "nation"),
+                                    T(spark, d, "customer"), T(spark, d, "orders"))
+    roots = T(spark, d, "region").select(F.concat(F.lit("region:"), "r_name").alias("root"))
+    walk = lineage.closure(spark, edges, "downstream", 5, roots.distinct())
+    return walk.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@register("lineage_upstream", f"""
+WITH RECURSIVE e AS {EDGES_SQL},
+walk(root, node, depth, path) AS (
+  SELECT r, r, 0, [r] FROM (SELECT DISTINCT target AS r FROM e WHERE target LIKE 'customer:%')
+  UNION ALL
+  SELECT w.root, e.source, w.depth + 1, list_append(w.path, e.source)
+  FROM walk w JOIN e ON e.target = w.node
+  WHERE w.depth < 5 AND NOT list_contains(w.path, e.source))
+SELECT node, count(*) AS n_customers FROM walk WHERE depth > 0 GROUP BY node""")
+def q_lineage_upstream(spark, d):
+    """J10 upstream: for every customer its nation and region, counted per
+    ancestor."""
+    edges = lineage.reference_edges(T(spark, d, "region"), T(spark, d, "nation"),
+                                    T(spark, d, "customer"), T(spark, d, "orders"))
+    roots = edges.where(F.col("target").startswith("customer:")).select(
+        F.col("target").alias("root")).distinct()
+    walk = lineage.closure(spark, edges, "upstream", 5, roots)
+    return walk.groupBy("node").agg(F.count(F.lit(1)).alias("n_customers"))
+
+
+ROLES = [("admin", ["*:*"]), ("analyst", ["events:read", "reports:*"]),
+         ("engineer", ["events:*", "pipelines:write"]), ("viewer", ["*:read"])]
+ROLES_SQL = ("(SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', [{', '.join(repr(p) for p in ps)}])" for r, ps in ROLES) + ") t(role, permissions))")
+UR_SQL = ("(SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'analyst' "
+          "WHEN 2 THEN 'engineer' ELSE 'viewer' END AS role, user_id % 10 <> 9 AS is_active FROM events)")
+REQ_SQL = ("(SELECT event_id AS request_id, user_id, CASE event_type WHEN 'purchase' THEN 'pipelines' "
+           "WHEN 'signup' THEN 'reports' ELSE 'events' END AS resource, CASE WHEN event_type IN "
+           "('view', 'click') THEN 'read' ELSE 'write' END AS action FROM events)")
+
+
+def _access_inputs(spark, d):
+    ev = T(spark, d, "events")
+    roles = spark.createDataFrame(ROLES, "role string, permissions array<string>")
+    ur = ev.select("user_id").distinct().select(
+        "user_id", F.element_at(F.array(*[F.lit(r) for r, _ in ROLES]),
+                                (F.col("user_id") % 4 + 1).cast("int")).alias("role"),
+        (F.col("user_id") % 10 != 9).alias("is_active"))
+    req = ev.select(F.col("event_id").alias("request_id"), "user_id",
+                    F.when(F.col("event_type") == "purchase", "pipelines")
+                    .when(F.col("event_type") == "signup", "reports").otherwise("events")
+                    .alias("resource"),
+                    F.when(F.col("event_type").isin("view", "click"), "read").otherwise("write")
+                    .alias("action"))
+    return roles, ur, req
+
+
+@register("access_review", f"""
+WITH p AS (SELECT role, split_part(perm, ':', 1) AS g_res, split_part(perm, ':', 2) AS g_act
+           FROM (SELECT role, unnest(permissions) AS perm FROM {ROLES_SQL})),
+up AS (SELECT DISTINCT ur.user_id, p.g_res, p.g_act FROM {UR_SQL} ur JOIN p USING (role)
+       WHERE ur.is_active),
+r AS (SELECT q.*, EXISTS (SELECT 1 FROM up WHERE up.user_id = q.user_id
+        AND up.g_res IN ('*', q.resource) AND up.g_act IN ('*', q.action)) AS allowed
+      FROM {REQ_SQL} q)
+SELECT resource, action, count(*) AS requests, count_if(allowed) AS allowed FROM r GROUP BY ALL""")
+def q_access_review(spark, d):
+    """Wildcard grant resolution as an equi-join over expanded forms."""
+    roles, ur, req = _access_inputs(spark, d)
+    chk = access.check_requests(req, ur, roles)
+    return chk.groupBy("resource", "action").agg(F.count(F.lit(1)).alias("requests"),
+                                                 F.count_if("allowed").alias("allowed"))
+
+
+@register("user_permissions", f"""
+WITH p AS (SELECT role, split_part(perm, ':', 1) AS resource, split_part(perm, ':', 2) AS action
+           FROM (SELECT role, unnest(permissions) AS perm FROM {ROLES_SQL}))
+SELECT user_id, count(*) AS n_permissions FROM (
+  SELECT DISTINCT ur.user_id, p.resource, p.action FROM {UR_SQL} ur JOIN p USING (role)
+  WHERE ur.is_active) GROUP BY user_id""")
+def q_user_permissions(spark, d):
+    """Set union of permissions over a user's active roles."""
+    roles, ur, _ = _access_inputs(spark, d)
+    ur = ur.withColumn("expires_at", F.lit(None).cast("timestamp"))
+    up = access.user_permissions(ur, roles, as_of=AS_OF)
+    return up.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_permissions"))
+
+
+@register("catalog_search", """
+SELECT p_partkey, p_name, least(1.0::DOUBLE, CASE WHEN lower(p_name) = 'bolt' THEN 1.0::DOUBLE
+         WHEN contains(lower(p_name), 'bolt') THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END
+       + CASE WHEN contains(lower(p_type), 'bolt') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
+       + CASE WHEN starts_with(lower(p_name), 'bolt') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM part WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 25""")
+def q_catalog_search(spark, d):
+    """Relevance search, sorted globally, top 25."""
+    return catalog.search(T(spark, d, "part"), "bolt", "p_name", "p_type", 25,
+                          "p_partkey").select("p_partkey", "p_name", "score")
+
+
+# =========================================================== profiling & discovery
+
+@register("profile_numeric", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS null_count, "
+    f"count(DISTINCT {c})::BIGINT AS unique_count, round(avg({c}), 9) AS mean, "
+    f"round(quantile_cont({c}, 0.5), 6) AS median, round(stddev_samp({c}), 6) AS std, "
+    f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(quantile_cont({c}, 0.25), 6) AS q25, "
+    f"round(quantile_cont({c}, 0.75), 6) AS q75 FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")))
+def q_profile_numeric(spark, d):
+    """One pass over all numeric columns (exact quantiles)."""
+    p = profile.profile_columns(T(spark, d, "lineitem"),
+                                ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                                 "l_linenumber"])
+    return p.select("column_name", "null_count", "unique_count", F.round("mean", 9).alias("mean"),
+                    *[F.round(c, 6).alias(c) for c in ("median", "std")], "min", "max",
+                    *[F.round(c, 6).alias(c) for c in ("q25", "q75")])
+
+
+@register("profile_string", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS null_count, "
+    f"count(DISTINCT {c})::BIGINT AS unique_count, round(count(DISTINCT {c}) * 100.0 / count(*), 6) "
+    f"AS unique_percentage, min(length({c}))::BIGINT AS min_length, max(length({c}))::BIGINT "
+    f"AS max_length, round(avg(length({c})), 6) AS avg_length FROM customer"
+    for c in ("c_name", "c_mktsegment")))
+def q_profile_string(spark, d):
+    """String columns - lengths, distinct share."""
+    p = profile.profile_columns(T(spark, d, "customer"), ["c_name", "c_mktsegment"])
+    return p.select("column_name", "null_count", "unique_count",
+                    F.round("unique_percentage", 6).alias("unique_percentage"),
+                    "min_length", "max_length", F.round("avg_length", 6).alias("avg_length"))
+
+
+@register("profile_date", """
+SELECT 'ts' AS column_name, min(ts) AS min_date, max(ts) AS max_date,
+       floor(date_diff('microsecond', min(ts), max(ts)) / 86400000000)::BIGINT AS date_range_days,
+       round((count(*) - count(ts)) * 100.0 / count(*), 6) AS null_percentage FROM events""")
+def q_profile_date(spark, d):
+    """Date column range in whole days."""
+    p = profile.profile_columns(T(spark, d, "events"), ["ts"])
+    return p.select("column_name", F.col("min_date").cast("timestamp_ntz").alias("min_date"),
+                    F.col("max_date").cast("timestamp_ntz").alias("max_date"), "date_range_days",
+                    F.round("null_percentage", 6).alias("null_percentage"))
+
+
+@register("top5_values", """
+SELECT p_name AS value, count(*) AS count FROM part WHERE p_name IS NOT NULL
+GROUP BY p_name ORDER BY count DESC, value LIMIT 5""")
+def q_top5(spark, d):
+    """Five most common values, deterministic tiebreak."""
+    return profile.top_values(T(spark, d, "part"), "p_name", 5)
+
+
+@register("doc_schema_inference", """
+SELECT field, string_agg(DISTINCT t, ',' ORDER BY t) AS types, count(*) AS n_docs FROM (
+  SELECT k AS field,
+         CASE json_type(props, '$."' || k || '"') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer'
+              WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+              WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' END AS t
+  FROM (SELECT props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)))
+GROUP BY field""")
+def q_doc_schema(spark, d):
+    """Per field the set of observed JSON types (whole table)."""
+    return infer_document_schema(T(spark, d, "events"), "props")
+
+
+PII_SQL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"\+?[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}",
+    "card": r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+
+
+@register("pii_detect", " UNION ALL ".join(
+    f"SELECT '{k}' AS pii_class, count_if(len(regexp_extract_all(text, '{p}')) > 0) AS docs, "
+    f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS matches FROM documents"
+    for k, p in PII_SQL.items()))
+def q_pii_detect(spark, d):
+    """PII matches per class over whole documents."""
+    from quarry.functions.privacy import pii_counts
+
+    cnt = pii_counts(F.col("text"))
+    doc = T(spark, d, "documents").select(*[v.alias(k) for k, v in cnt.items()])
+    aggs = []
+    for k in cnt:
+        aggs += [F.count_if(F.col(k) > 0).alias(f"{k}_docs"), F.sum(k).alias(f"{k}_matches")]
+    row = doc.agg(*aggs)
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("pii_class"), F.col(f"{k}_docs").alias("docs"),
+                 F.col(f"{k}_matches").cast("bigint").alias("matches")) for k in cnt]))
+        .alias("r")).select("r.*")
+
+
+@register("pii_mask", "SELECT doc_id, " + "".join("regexp_replace(" for _ in PII_SQL) + "text" +
+          "".join(f", '{p}', '[{k.upper()}]', 'g')" for k, p in PII_SQL.items()) +
+          " AS masked FROM documents")
+def q_pii_mask(spark, d):
+    """every PII match replaced by its class tag, whole texts."""
+    from quarry.functions.privacy import mask_pii
+
+    return T(spark, d, "documents").select("doc_id", mask_pii(F.col("text")).alias("masked"))
+
+
+@register("lockout_detection")
+def q_lockouts(spark, d):
+    """Failed-login lockouts (5 consecutive failures -> 30 min lock)
+    over attempts derived from events; no SQL oracle (sequential state
+    machine) - tested against a brute-force loop."""
+    att = T(spark, d, "events").select(
+        "event_id", (F.col("user_id") % 10).alias("uid"), "ts",
+        (~F.col("event_type").isin("error", "view")).alias("success"))
+    out = sequence.lockouts(att, "uid", "ts", "event_id", "success")
+    return out.groupBy("uid").agg(F.count_if("processed").alias("processed"),
+                                  F.count_if("locks").alias("locks"),
+                                  F.count(F.lit(1)).alias("attempts"))

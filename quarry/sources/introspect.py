@@ -87,7 +87,8 @@ def infer_document_schema(df: DataFrame, json_col: str, sample_fraction: float |
     src = df.sample(fraction=sample_fraction, seed=seed) if sample_fraction else df
     kv = (src.select(F.try_parse_json(F.col(json_col)).alias("v"))
           .where(F.col("v").isNotNull())
-          .select(F.variant_explode_outer("v")))
+          .select(F.explode(F.try_variant_get("v", "$", "map<string,variant>"))
+                  .alias("key", "value")))
     return (kv.where(F.col("key").isNotNull())
             .select(F.col("key").alias("field"), json_type_name(F.col("value")).alias("t"))
             .groupBy("field")
