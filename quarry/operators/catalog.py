@@ -79,10 +79,13 @@ def snapshots(spark: SparkSession, base: str) -> DataFrame:
     """Run-id directories written by per-run sinks, with size and time."""
     from quarry.sources.files import list_objects
 
+    import os
+    import re
+
+    anchor = re.escape(os.path.basename(base.rstrip("/")))
     return (list_objects(spark, base)
-            .withColumn("rel", F.expr(f"substr(key, length('{base.rstrip('/')}') + 2)"))
-            .withColumn("snapshot_id", F.split_part("rel", F.lit("/"), F.lit(1)))
-            .where(~F.col("snapshot_id").startswith("_"))
+            .withColumn("snapshot_id", F.regexp_extract("key", anchor + r"/([^/]+)/", 1))
+            .where((F.col("snapshot_id") != "") & ~F.col("snapshot_id").startswith("_"))
             .groupBy("snapshot_id")
             .agg(F.sum("size").alias("size_bytes"), F.count(F.lit(1)).alias("files"),
                  F.max("last_modified").alias("committed_at")))

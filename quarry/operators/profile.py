@@ -38,12 +38,18 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     count to HyperLogLog.
     """
     cols = columns or df.columns
+    # Exact distinct counts expand the input once per column (Expand); any
+    # other aggregate sharing that pass is evaluated on the expanded rows.
+    # So distinct counts get their own pass and are joined back per column
+    # (an equi-join of two tiny per-column frames).
     aggs: list[Column] = [F.count(F.lit(1)).alias("__n")]
+    uniq: list[Column] = []
     for i, c in enumerate(cols):
         col, dt = F.col(f"`{c}`"), df.schema[c].dataType
         aggs.append(F.count(col).alias(f"nn{i}"))
-        aggs.append((F.approx_count_distinct(col) if approx_distinct
-                     else F.count_distinct(col)).alias(f"u{i}"))
+        uniq.append(F.struct(F.lit(c).alias("column_name"),
+                             (F.approx_count_distinct(col) if approx_distinct
+                              else F.count_distinct(col)).alias("unique_count")))
         if is_numeric(dt):
             x = col.cast("double")
             if quantiles == "exact":
@@ -60,16 +66,16 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
             ts = col.cast("timestamp")
             aggs += [F.min(ts).alias(f"mind{i}"), F.max(ts).alias(f"maxd{i}")]
     row = df.agg(*aggs)
+    uniques = df.agg(F.array(*uniq).alias("u")).select(F.explode("u").alias("u")).select("u.*")
     n = F.col("__n")
     structs = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        nn, u = F.col(f"nn{i}"), F.col(f"u{i}")
+        nn = F.col(f"nn{i}")
         f = {"column_name": F.lit(c), "data_type": F.lit(dt.simpleString()),
              "null_count": n - nn,
              "null_percentage": F.when(n > 0, (n - nn) * 100.0 / n),
-             "unique_count": u,
-             "unique_percentage": F.when(n > 0, u * 100.0 / n).otherwise(F.lit(0.0))}
+             "__n": n}
         if is_numeric(dt):
             f.update({"mean": F.col(f"mean{i}"), "median": F.col(f"q{i}")[1],
                       "std": F.col(f"std{i}"), "min": F.col(f"min{i}"),
@@ -83,9 +89,15 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
             f.update({"min_date": lo, "max_date": hi,
                       "date_range_days": F.floor((F.unix_micros(hi) - F.unix_micros(lo))
                                                  / F.lit(86_400_000_000)).cast("bigint")})
-        structs.append(F.struct(*[(f[k] if k in f else _null(t)).cast(t).alias(k)
-                                  for k, t in PROFILE_SCHEMA]))
-    return row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+        fields = [(f[k] if k in f else _null(t)).cast(t).alias(k) for k, t in PROFILE_SCHEMA
+                  if k not in ("unique_count", "unique_percentage")]
+        structs.append(F.struct(*fields, n.alias("__n")))
+    stats = row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+    out = stats.join(uniques, "column_name")
+    out = out.withColumn("unique_percentage",
+                         F.when(F.col("__n") > 0, F.col("unique_count") * 100.0 / F.col("__n"))
+                         .otherwise(F.lit(0.0)))
+    return out.select(*[F.col(k).cast(t).alias(k) for k, t in PROFILE_SCHEMA])
 
 
 def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:

@@ -1264,3 +1264,15 @@ def q_lockouts(spark, d):
     return out.groupBy("uid").agg(F.count_if("processed").alias("processed"),
                                   F.count_if("locks").alias("locks"),
                                   F.count(F.lit(1)).alias("attempts"))
+
+
+LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+           "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@register("completeness_10_rules", " UNION ALL ".join(
+    rule_sql(f"c10_{c}", f"count({c})", "count(*)", 0.95, "lineitem") for c in LI_COLS))
+def q_completeness_10(spark, d):
+    """Baseline scenario: 10 completeness rules over one table, one pass."""
+    return results(run_rules(T(spark, d, "lineitem"),
+                             [Rule(f"c10_{c}", "completeness", c) for c in LI_COLS]))
