@@ -139,3 +139,16 @@ def retention_purge(df: DataFrame, as_of, column: str = "retention_until") -> Da
 def not_expired(df: DataFrame, as_of, column: str = "expires_at") -> Column:
     """P19."""
     return F.col(column).isNull() | (F.col(column) > F.lit(as_of).cast("timestamp"))
+
+
+def search_reports(reports: DataFrame, dataset: str | None = None, start=None, end=None,
+                   limit: int = 100) -> DataFrame:
+    """Quality reports filtered by dataset and dates, newest first."""
+    r = reports
+    if dataset is not None:
+        r = r.where(F.col("dataset_name") == dataset)
+    if start is not None:
+        r = r.where(F.col("executed_at") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        r = r.where(F.col("executed_at") <= F.lit(end).cast("timestamp"))
+    return r.orderBy(F.col("executed_at").desc(), F.col("rule_id")).limit(limit)

@@ -426,7 +426,26 @@ def custom_sql(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
     return Check(rule, sql_plan=plan)
 
 
+# Named, pre-registered row checks (pandas UDFs returning a boolean per
+# row). Rules refer to them by name - no code is taken from rule data.
+ROW_CHECKS: dict = {}
+
+
+def register_row_check(name: str, udf) -> None:
+    ROW_CHECKS[name] = udf
+
+
+def python_check(df: DataFrame, rule: Rule, key: str) -> Check:
+    c = _require_column(df, rule)
+    name = rule.definition.get("check")
+    if name not in ROW_CHECKS:
+        raise RuleError(f"unknown registered check: {name}")
+    valid = F.coalesce(ROW_CHECKS[name](_col(df, c)), F.lit(False))
+    return _row_rule(rule, key, valid, {"check": name})
+
+
 COMPILERS = {
+    "python": lambda df, r, k, fr, a: python_check(df, r, k),
     "completeness": lambda df, r, k, fr, a: completeness(df, r, k),
     "uniqueness": lambda df, r, k, fr, a: uniqueness(df, r, k),
     "validity": lambda df, r, k, fr, a: validity(df, r, k),

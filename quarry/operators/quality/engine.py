@@ -219,3 +219,50 @@ def row_flags(df: DataFrame, rules: list[Rule], frames: dict | None = None, as_o
     arr = lambda xs: (F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs
                       else F.array().cast("array<string>"))
     return base.select(*keep, arr(failed).alias("_failed_rules"), arr(reasons).alias("_reasons"))
+
+
+# ---------------------------------------------------------------- T3
+
+def failure_samples(df: DataFrame, rules: list[Rule], key_columns: list[str],
+                    k: int = 10, payload: list[str] | None = None, frames: dict | None = None,
+                    as_of=None) -> DataFrame:
+    """The first ``k`` failing rows per rule by key (deterministic).
+
+    Two-stage top-k: each input partition keeps its own first ``k`` failures
+    per rule, then the pre-limited candidates (at most ``k`` x partitions per
+    rule) are ranked once. No rule's failures are gathered whole."""
+    from pyspark.sql import Window
+
+    payload = payload or [c for c in df.columns if c not in key_columns]
+    flagged = row_flags(df, rules, frames, as_of)
+    ex = (flagged.select(*key_columns, *payload, F.explode("_failed_rules").alias("rule_id"))
+          .withColumn("__pid", F.spark_partition_id()))
+    order = [F.col(c).asc_nulls_first() for c in key_columns]
+    local = (ex.withColumn("__r", F.row_number().over(
+        Window.partitionBy("rule_id", "__pid").orderBy(*order)))
+        .where(F.col("__r") <= k))
+    return (local.withColumn("sample_rank", F.row_number().over(
+        Window.partitionBy("rule_id").orderBy(*order)))
+        .where(F.col("sample_rank") <= k)
+        .select("rule_id", "sample_rank", *key_columns, *payload))
+
+
+# ---------------------------------------------------------------- Q25
+
+def schema_diff(expected, df: DataFrame) -> DataFrame:
+    """Q25: expected ``StructType`` vs the frame's schema: ``missing``,
+    ``extra`` and ``type_changed`` columns (one row per finding)."""
+    exp = {f.name: f.dataType.simpleString() for f in expected.fields}
+    act = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(c, "missing", t, None) for c, t in exp.items() if c not in act]
+    rows += [(c, "extra", None, t) for c, t in act.items() if c not in exp]
+    rows += [(c, "type_changed", exp[c], act[c]) for c in exp if c in act and exp[c] != act[c]]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, issue string, expected_type string, actual_type string")
+
+
+def check_record(spark, record: dict, rules: list[Rule], schema=None, as_of=None) -> DataFrame:
+    """Q23: real-time rule run on one record (S13 one-row frame)."""
+    from quarry.sources.files import single_record
+
+    return run_rules(single_record(spark, record, schema), rules, as_of=as_of)

@@ -15,7 +15,7 @@ SERVICE_THRESHOLDS = {
     "completeness": 0.95, "uniqueness": 1.0, "validity": 1.0, "consistency": 1.0,
     "accuracy": 0.9, "timeliness": 0.9, "conformity": 1.0, "integrity": 1.0,
     "reference_integrity": 0.95, "range_check": 0.95, "regex_pattern": 0.95,
-    "custom_sql": 1.0,
+    "custom_sql": 1.0, "python": 1.0,
 }
 ENGINE_THRESHOLDS = dict(SERVICE_THRESHOLDS, validity=0.95, consistency=0.95)
 
@@ -99,3 +99,22 @@ def auto_rules(columns: list[str], completeness_threshold: float = 0.95) -> list
                   {"threshold": completeness_threshold}) for c in columns]
     rules += [Rule(f"uniqueness_{c}", "uniqueness", c) for c in columns if "id" in c.lower()]
     return rules
+
+
+def match_rules(rules: DataFrame, datasets: DataFrame, max_rules: int = 100_000) -> DataFrame:
+    """Which pattern rules apply to which dataset columns.
+
+    ``rules(rule_id, table_pattern, column_pattern, data_source_types)``
+    (patterns are regular expressions, NULL = any) against
+    ``datasets(table_name, column_name, source_type)``. The rules side is a
+    configuration table: it is broadcast only after a bounded size probe, and
+    only matching pairs are emitted."""
+    from quarry.operators.joins import sized_broadcast
+
+    r = sized_broadcast(rules, max_rules)
+    cond = (F.expr("table_pattern IS NULL OR table_name RLIKE table_pattern")
+            & F.expr("column_pattern IS NULL OR column_name RLIKE column_pattern"))
+    if "data_source_types" in rules.columns and "source_type" in datasets.columns:
+        cond = cond & F.expr("data_source_types IS NULL OR "
+                             "array_contains(data_source_types, source_type)")
+    return datasets.join(r, cond, "inner")

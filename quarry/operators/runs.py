@@ -99,3 +99,21 @@ def with_connections(pipelines: DataFrame, connections: DataFrame, tenant: str)
     p = pipelines.where(F.col("organization_id") == tenant)
     return (p.join(src, "source_connection_id", "left")
             .join(tgt, "target_connection_id", "left"))
+
+
+def soft_delete(pipelines: DataFrame, runs: DataFrame, ids: DataFrame) -> DataFrame:
+    """P20: archive the pipelines listed in ``ids(pipeline_id)``: set
+    ``is_active = false`` and ``status = 'archived'`` unless the pipeline has
+    a pending or running run (then it is left unchanged and ``refused``).
+    Returns the rewritten pipelines table (to be written as a new version)."""
+    busy = (runs.where(F.col("status").isin("pending", "running"))
+            .select("pipeline_id").distinct().withColumn("__busy", F.lit(True)))
+    asked = ids.select("pipeline_id").distinct().withColumn("__asked", F.lit(True))
+    p = pipelines.join(asked, "pipeline_id", "left").join(busy, "pipeline_id", "left")
+    asked_c = F.coalesce(F.col("__asked"), F.lit(False))
+    busy_c = F.coalesce(F.col("__busy"), F.lit(False))
+    archive = asked_c & ~busy_c
+    return (p.withColumn("is_active", F.when(archive, F.lit(False)).otherwise(F.col("is_active")))
+            .withColumn("status", F.when(archive, F.lit("archived")).otherwise(F.col("status")))
+            .withColumn("refused", asked_c & busy_c)
+            .drop("__asked", "__busy"))

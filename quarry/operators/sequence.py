@@ -27,26 +27,37 @@ from quarry.session import cut_lineage
 DAY_US = 86_400_000_000
 
 
+LONG_MIN = -(2 ** 63)
+LONG_MAX = 2 ** 63 - 1
+
+
 def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: bool,
-                     slab_us: int = DAY_US) -> DataFrame:
+                     slab_us: int = DAY_US, successor: bool = False) -> DataFrame:
     """For every event ``(keys, id, t)`` (``t`` in epoch microseconds) the id
-    of the first event of the same key with ``t' >= t + gap`` (``inclusive``)
-    or ``t' > t + gap``; ties broken by id. Returns ``(id, nxt)``."""
+    of the first event of the same key (in ``(t, id)`` order) with
+    ``t' >= t + gap`` (``inclusive``), ``t' > t + gap``, or - with
+    ``successor`` - the next event after ``(t, id)`` itself. Returns
+    ``(id, nxt)``; ``nxt`` is NULL when there is none."""
     ev = ev.select(*keys, "id", "t")
-    # tag orders rows at equal time: for '>=' a probe precedes events at the
-    # same instant (they qualify); for '>' it follows them (they do not).
-    ev_tag, pr_tag = (1, 0) if inclusive else (0, 1)
-    rows = (ev.select(*keys, F.col("t"), F.lit(ev_tag).alias("tag"), F.col("id").alias("eid"),
-                      F.lit(None).cast("bigint").alias("src"))
+    # Probe rows sit between events: ``k2`` places them before (inclusive),
+    # after (strict) or exactly at (successor) the events of their instant.
+    if successor:
+        k2 = F.col("id")
+    else:
+        k2 = F.lit(LONG_MIN if inclusive else LONG_MAX).cast("bigint")
+    rows = (ev.select(*keys, F.col("t"), F.col("id").alias("k2"), F.lit(0).alias("tag"),
+                      F.col("id").alias("eid"), F.lit(None).cast("bigint").alias("src"))
             .unionByName(ev.select(*keys, (F.col("t") + F.lit(gap_us)).alias("t"),
-                                   F.lit(pr_tag).alias("tag"),
+                                   k2.alias("k2"), F.lit(1).alias("tag"),
                                    F.lit(None).cast("bigint").alias("eid"),
                                    F.col("id").alias("src")))
             .withColumn("slab", F.floor(F.col("t") / F.lit(slab_us))))
     # descending order + frame "everything before me" = everything after me
-    # in time: an incrementally maintained frame (linear), not a re-scan.
+    # in (t, id) order: an incrementally maintained frame (linear), not a
+    # re-scan. At equal (t, k2) the probe sorts first, so an event never
+    # answers its own probe.
     w = (Window.partitionBy(*keys, "slab")
-         .orderBy(F.col("t").desc(), F.col("tag").desc(), F.col("eid").desc_nulls_first())
+         .orderBy(F.col("t").desc(), F.col("k2").desc(), F.col("tag").desc())
          .rowsBetween(Window.unboundedPreceding, -1))
     nearest = F.last(F.when(F.col("eid").isNotNull(), F.struct("t", "eid")), ignorenulls=True)
     probes = (rows.withColumn("hit", nearest.over(w))
@@ -118,44 +129,53 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
     the counter. As a functional graph over two states per attempt:
 
     * ``N`` (processed in order, counter = failures since the last success):
-      a failure with counter >= max locks, otherwise the next attempt follows;
+      a failure ending a run of ``max_failures`` consecutive failures locks,
+      otherwise the next attempt follows;
     * ``L`` (a failure processed while the counter is already >= max): locks.
 
     After a lock at ``t`` the next processed attempt is the first at or after
     ``t + lock``: a failure there is an ``L`` node, a success an ``N`` node.
+    No step groups a user's attempts into one task: the successor is an
+    as-of lookup split by (user, day), the "last ``max_failures`` attempts
+    all failed" test follows predecessor links with joins on unique ids, and
     ``mark_paths`` walks the chains from each user's first attempt.
     Returns the attempts with ``processed``, ``locks`` and ``locked_until``.
     """
     a = attempts.select(F.col(user).alias("u"), F.col(id_col).alias("id"),
                         F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                         F.col(success).cast("boolean").alias("ok"))
-    w = Window.partitionBy("u").orderBy("t", "id")
-    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a = (a.withColumn("pos", F.row_number().over(w))
-         .withColumn("last_ok", F.max(F.when(F.col("ok"), F.col("pos"))).over(wr))
-         .withColumn("run", F.col("pos") - F.coalesce(F.col("last_ok"), F.lit(0)))
-         .withColumn("succ", F.lead("id").over(w)))
-    a = cut_lineage(a)
-    gap = next_at_or_after(a.select("u", "id", "t"), ["u"], lock_minutes * 60_000_000,
-                           inclusive=True).withColumnRenamed("nxt", "g")
+    ev = a.select("u", "id", "t")
+    succ = next_at_or_after(ev, ["u"], 0, True, successor=True).withColumnRenamed("nxt", "succ")
+    gap = next_at_or_after(ev, ["u"], lock_minutes * 60_000_000, True).withColumnRenamed("nxt", "g")
+    a = cut_lineage(a.join(succ, "id").join(gap, "id"))
+    pred = a.where(F.col("succ").isNotNull()).select(F.col("succ").alias("id"),
+                                                     F.col("id").alias("pred"))
+    a = a.join(pred, "id", "left")
+    # run >= max  <=>  this attempt and its (max - 1) predecessors all failed
+    run = a.select("id", (~F.col("ok")).alias("all_f"), F.col("pred").alias("p"))
+    step = a.select(F.col("id").alias("p"), F.col("ok").alias("p_ok"), F.col("pred").alias("pp"))
+    for _ in range(max_failures - 1):
+        run = (run.join(step, "p", "left")
+               .select("id", (F.col("all_f") & F.coalesce(~F.col("p_ok"), F.lit(False)))
+                       .alias("all_f"), F.col("pp").alias("p")))
+    a = cut_lineage(a.join(run.select("id", F.col("all_f").alias("run_full")), "id"))
     tgt = a.select(F.col("id").alias("g"), F.col("ok").alias("g_ok"))
-    b = a.join(gap, "id").join(tgt, "g", "left")
+    b = a.join(tgt, "g", "left")
     after_lock = (F.when(F.col("g").isNull(), F.lit(None).cast("bigint"))
                   .when(F.col("g_ok"), F.col("g") * 2)
                   .otherwise(F.col("g") * 2 + 1))
-    locks_in_n = (~F.col("ok")) & (F.col("run") >= max_failures)
     # node 2*id = N state of attempt id, 2*id+1 = L state
     edges = (b.select((F.col("id") * 2).alias("id"),
-                      F.when(locks_in_n, after_lock).otherwise(F.col("succ") * 2).alias("nxt"))
+                      F.when(F.col("run_full"), after_lock).otherwise(F.col("succ") * 2)
+                      .alias("nxt"))
              .unionByName(b.select((F.col("id") * 2 + 1).alias("id"), after_lock.alias("nxt"))))
-    roots = a.where(F.col("pos") == 1).select((F.col("id") * 2).alias("id"))
+    roots = a.where(F.col("pred").isNull()).select((F.col("id") * 2).alias("id"))
     reached = mark_paths(edges, roots)
     st = (reached.select(F.floor(F.col("id") / 2).alias("id"),
                          (F.col("id") % 2 == 1).alias("is_l"))
-          .join(a.select("id", "ok", "run"), "id")
+          .join(a.select("id", "run_full"), "id")
           .select("id", F.lit(True).alias("processed"),
-                  (F.col("is_l") | ((~F.col("ok")) & (F.col("run") >= max_failures)))
-                  .alias("locks")))
+                  (F.col("is_l") | F.col("run_full")).alias("locks")))
     out = (attempts.join(st.withColumnRenamed("id", id_col), id_col, "left")
            .withColumn("processed", F.coalesce("processed", F.lit(False)))
            .withColumn("locks", F.coalesce("locks", F.lit(False))))

@@ -1252,11 +1252,26 @@ def q_pii_mask(spark, d):
     return T(spark, d, "documents").select("doc_id", mask_pii(F.col("text")).alias("masked"))
 
 
-@register("lockout_detection")
+@register("lockout_detection", """
+WITH RECURSIVE a AS (
+  SELECT user_id % 10 AS uid, ts, event_type NOT IN ('error', 'view') AS ok,
+         row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS pos FROM events),
+s(uid, pos, fails, until, processed, locks) AS (
+  SELECT uid, pos, CASE WHEN ok THEN 0 ELSE 1 END, NULL::TIMESTAMP, true, false FROM a WHERE pos = 1
+  UNION ALL
+  SELECT a.uid, a.pos,
+    CASE WHEN s.until IS NOT NULL AND a.ts < s.until THEN s.fails WHEN a.ok THEN 0 ELSE s.fails + 1 END,
+    CASE WHEN s.until IS NOT NULL AND a.ts < s.until THEN s.until WHEN a.ok THEN NULL
+         WHEN s.fails + 1 >= 5 THEN a.ts + INTERVAL 30 MINUTE ELSE s.until END,
+    NOT (s.until IS NOT NULL AND a.ts < s.until),
+    NOT (s.until IS NOT NULL AND a.ts < s.until) AND NOT a.ok AND s.fails + 1 >= 5
+  FROM s JOIN a ON a.uid = s.uid AND a.pos = s.pos + 1)
+SELECT uid, count_if(processed) AS processed, count_if(locks) AS locks, count(*) AS attempts
+FROM s GROUP BY uid""")
 def q_lockouts(spark, d):
     """Failed-login lockouts (5 consecutive failures -> 30 min lock)
-    over attempts derived from events; no SQL oracle (sequential state
-    machine) - tested against a brute-force loop."""
+    over attempts derived from events. The oracle steps the state machine
+    attempt by attempt with a recursive CTE; the Spark plan marks chains."""
     att = T(spark, d, "events").select(
         "event_id", (F.col("user_id") % 10).alias("uid"), "ts",
         (~F.col("event_type").isin("error", "view")).alias("success"))
@@ -1276,3 +1291,136 @@ def q_completeness_10(spark, d):
     """Baseline scenario: 10 completeness rules over one table, one pass."""
     return results(run_rules(T(spark, d, "lineitem"),
                              [Rule(f"c10_{c}", "completeness", c) for c in LI_COLS]))
+
+
+# =========================================================== more operators
+
+@register("failure_samples", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{rid}' AS rule_id, row_number() OVER (ORDER BY p_partkey) AS sample_rank,
+  p_partkey, p_name, p_size FROM part WHERE {cond} ORDER BY p_partkey LIMIT 10)""" for rid, cond in (
+    ("v_name", "p_name IS NOT NULL AND NOT regexp_matches(p_name, '^(?:(small|large|red|blue))')"),
+    ("v_size", "p_size < 5 OR p_size > 45"))))
+def q_failure_samples(spark, d):
+    """First 10 failing rows per rule by key (two-stage top-k)."""
+    from quarry.operators.quality import failure_samples
+
+    rules = [Rule("v_name", "validity", "p_name", {"pattern": "(small|large|red|blue)"}),
+             Rule("v_size", "validity", "p_size", {"range": {"min": 5, "max": 45}})]
+    return failure_samples(T(spark, d, "part"), rules, ["p_partkey"], 10, ["p_name", "p_size"]) \
+        .withColumn("sample_rank", F.col("sample_rank").cast("bigint"))
+
+
+PATTERN_RULES = [("pr_low", "^src[0-4]$", None), ("pr_teen", "^src1[0-9]$", "^(en|fr)$"),
+                 ("pr_any_de", None, "^de$")]
+
+
+@register("rule_dataset_match", """
+WITH r AS (SELECT * FROM (VALUES ('pr_low', '^src[0-4]$', NULL), ('pr_teen', '^src1[0-9]$', '^(en|fr)$'),
+                                 ('pr_any_de', NULL, '^de$')) t(rule_id, table_pattern, column_pattern)),
+ds AS (SELECT DISTINCT source AS table_name, lang AS column_name FROM documents)
+SELECT r.rule_id, ds.table_name, ds.column_name FROM ds JOIN r
+  ON (r.table_pattern IS NULL OR regexp_matches(ds.table_name, r.table_pattern))
+ AND (r.column_pattern IS NULL OR regexp_matches(ds.column_name, r.column_pattern))""")
+def q_rule_dataset_match(spark, d):
+    """Pattern rules matched to dataset columns (documents' source as
+    the dataset, language as the column)."""
+    from quarry.operators.quality.spec import match_rules
+
+    rules = spark.createDataFrame(PATTERN_RULES,
+                                  "rule_id string, table_pattern string, column_pattern string")
+    ds = T(spark, d, "documents").select(F.col("source").alias("table_name"),
+                                         F.col("lang").alias("column_name")).distinct()
+    return match_rules(rules, ds).select("rule_id", "table_name", "column_name")
+
+
+@register("soft_delete", f"""
+WITH p AS (SELECT c_custkey AS pipeline_id, true AS is_active, 'active' AS status, c_nationkey FROM customer),
+busy AS (SELECT DISTINCT pipeline_id FROM {RUNS_SQL} WHERE status IN ('pending', 'running')),
+asked AS (SELECT c_custkey AS pipeline_id FROM customer WHERE c_nationkey = 7)
+SELECT p.pipeline_id,
+       CASE WHEN a.pipeline_id IS NOT NULL AND b.pipeline_id IS NULL THEN false ELSE p.is_active END AS is_active,
+       CASE WHEN a.pipeline_id IS NOT NULL AND b.pipeline_id IS NULL THEN 'archived' ELSE p.status END AS status,
+       a.pipeline_id IS NOT NULL AND b.pipeline_id IS NOT NULL AS refused
+FROM p LEFT JOIN asked a USING (pipeline_id) LEFT JOIN busy b USING (pipeline_id)""")
+def q_soft_delete(spark, d):
+    """P20: archive the pipelines of one nation unless a run is in flight."""
+    c = T(spark, d, "customer")
+    p = c.select(F.col("c_custkey").alias("pipeline_id"), F.lit(True).alias("is_active"),
+                 F.lit("active").alias("status"))
+    ids = c.where(F.col("c_nationkey") == 7).select(F.col("c_custkey").alias("pipeline_id"))
+    out = runs.soft_delete(p, runs.runs_from_orders(T(spark, d, "orders")), ids)
+    return out.select("pipeline_id", "is_active", "status", "refused")
+
+
+ORG_LEVELS = {"org_0": "low", "org_1": "high", "org_2": "unknown"}
+
+
+@register("default_quotas", """
+WITH t AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{lvl}', '{r}', {float(v)}::DOUBLE)" for lvl, t in usage.QUOTA_TEMPLATES.items()
+    for r, v in t.items()) + """) x(level, resource_type, quota_limit)),
+o AS (SELECT DISTINCT 'org_' || (user_id % 3)::VARCHAR AS organization_id FROM events),
+ol AS (SELECT organization_id, CASE organization_id WHEN 'org_0' THEN 'low' WHEN 'org_1' THEN 'high'
+       ELSE 'medium' END AS level FROM o)
+SELECT organization_id, resource_type, quota_limit, 0.8::DOUBLE AS warning_threshold,
+       'monthly' AS reset_period FROM ol JOIN t USING (level)""")
+def q_default_quotas(spark, d):
+    """Default quota rows per organization from its compliance level
+    (unknown levels fall back to medium)."""
+    lv = F.create_map(*[F.lit(x) for kv in ORG_LEVELS.items() for x in kv])
+    orgs = (usage.usage_from_events(T(spark, d, "events")).select("organization_id").distinct()
+            .withColumn("compliance_level", lv[F.col("organization_id")]))
+    return usage.default_quotas(spark, orgs)
+
+
+@register("quota_compliance", f"""
+WITH s AS (
+  SELECT organization_id,
+         sum(CASE WHEN resource_type = 'click' AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR
+             THEN amount ELSE 0.0 END) AS dbu_usage,
+         sum(CASE WHEN resource_type = 'view' THEN amount ELSE 0.0 END) AS storage_gb,
+         count(DISTINCT resource_type) AS compute_nodes,
+         sum(CASE WHEN ts >= TIMESTAMP '2024-01-01 00:00:00' THEN amount ELSE 0.0 END) AS cost_this_month
+  FROM {USAGE_SQL} WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id),
+l AS (SELECT * FROM (VALUES ('org_0', 100.0, 1000000.0, 10, 1000000000.0),
+                            ('org_1', 1000000.0, 50000.0, 10, 1000000000.0),
+                            ('org_2', 1000000.0, 1000000.0, 5, 1000000000.0))
+      t(organization_id, max_dbu_per_hour, max_storage_gb, max_compute_nodes, monthly_budget_usd))
+SELECT organization_id,
+       CASE WHEN dbu_usage >= max_dbu_per_hour THEN 'DBU' WHEN storage_gb >= max_storage_gb THEN 'Storage'
+            WHEN compute_nodes >= max_compute_nodes THEN 'Compute Nodes'
+            WHEN cost_this_month >= monthly_budget_usd THEN 'Monthly Budget' END AS violated,
+       NOT (dbu_usage >= max_dbu_per_hour OR storage_gb >= max_storage_gb
+            OR compute_nodes >= max_compute_nodes OR cost_this_month >= monthly_budget_usd) AS compliant
+FROM s JOIN l USING (organization_id)""")
+def q_quota_compliance(spark, d):
+    """First violated limit (DBU, storage, nodes, budget) per organization."""
+    snap = usage.usage_snapshot(usage.usage_from_events(T(spark, d, "events")),
+                                "2024-01-30 12:00:00", "click", "view")
+    limits = spark.createDataFrame(
+        [("org_0", 100.0, 1e6, 10, 1e9), ("org_1", 1e6, 5e4, 10, 1e9), ("org_2", 1e6, 1e6, 5, 1e9)],
+        "organization_id string, max_dbu_per_hour double, max_storage_gb double, "
+        "max_compute_nodes bigint, monthly_budget_usd double")
+    return usage.compliance(snap.join(limits, "organization_id")).select(
+        "organization_id", "violated", "compliant")
+
+
+@register("current_version", """
+SELECT pipeline_id, version, created_at FROM (
+  SELECT o_custkey AS pipeline_id, o_orderkey AS version, o_orderdate AS created_at,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders WHERE o_orderstatus = 'F') WHERE rn = 1""")
+def q_current_version(spark, d):
+    """Current version per pipeline (flagged rows, newest if several)."""
+    v = T(spark, d, "orders").select(F.col("o_custkey").alias("pipeline_id"),
+                                     F.col("o_orderkey").alias("version"),
+                                     F.col("o_orderdate").alias("created_at"),
+                                     (F.col("o_orderstatus") == "F").alias("is_current"))
+    return runs.current_version(v).select("pipeline_id", "version", "created_at")
+
+
+@register("table_statistics")
+def q_table_statistics(spark, d):
+    """Row count, bytes, files and last update of a table from the
+    scan's file metadata (no SQL oracle: file sizes are not in SQL)."""
+    return profile.table_statistics(T(spark, d, "lineitem"))

@@ -135,9 +135,10 @@ def parse_json_value(df: DataFrame, schema: StructType | str, value_col: str = "
     value does not parse keep a ``_corrupt`` copy of the raw text (K14)."""
     parsed = F.from_json(F.col(value_col).cast("string"), schema)
     kept = [c for c in keep if c in df.columns]
+    raw = F.col("_raw")
+    bad = raw.isNotNull() & F.try_parse_json(raw).isNull()
     return (df.select(*kept, parsed.alias("data"), F.col(value_col).cast("string").alias("_raw"))
-            .select(*kept, "data.*",
-                    F.when(F.col("data").isNull(), F.col("_raw")).alias("_corrupt")))
+            .select(*kept, "data.*", F.when(bad, raw).alias("_corrupt")))
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: StructType | str,

@@ -17,6 +17,7 @@ def spark():
     s = get_session("local[4]", "quarry-tests", shuffle_partitions=8,
                     extra_conf={"spark.ui.enabled": "false",
                                 "spark.ui.showConsoleProgress": "false",
-                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="quarry-ck-")})
+                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="quarry-ck-"),
+                                "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="quarry-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
