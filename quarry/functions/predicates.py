@@ -1,6 +1,7 @@
 """Row predicates used by quality rules.
 
-All are built-in Column expressions (codegen'd, no Python per row).
+All are built-in Column expressions (codegen'd, no Python per row; E4 -
+the per-value Python lambdas of a pandas implementation become these).
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def role_permissions(roles: DataFrame) -> DataFrame:
-    """Explode ``roles(role, permissions array<string>)`` with entries
+    """explode ``roles(role, permissions array<string>)`` with entries
     ``resource:action`` (``*`` wildcards) into rows."""
     return (roles.select("role", F.explode("permissions").alias("p"))
             .select("role", F.split_part("p", F.lit(":"), F.lit(1)).alias("resource"),

@@ -152,3 +152,12 @@ def search_reports(reports: DataFrame, dataset: str | None = None, start=None, e
     if end is not None:
         r = r.where(F.col("executed_at") <= F.lit(end).cast("timestamp"))
     return r.orderBy(F.col("executed_at").desc(), F.col("rule_id")).limit(limit)
+
+
+def metric_series(metrics: DataFrame, ts: str, start=None, end=None,
+                  name: str | None = None, name_col: str = "metric_name") -> DataFrame:
+    """One metric's points in an inclusive time range, time-ordered."""
+    m = metrics if name is None else metrics.where(F.col(name_col) == name)
+    if start is not None and end is not None:
+        m = time_range(m, ts, start, end)
+    return m.orderBy(F.col(ts).asc())

@@ -216,7 +216,7 @@ def _checked_expr(df: DataFrame, sql: str) -> Column:
     try:
         df.select(e.alias("__probe")).schema  # analysis only; nothing runs
     except AnalysisException as exc:
-        raise RuleError(f"invalid condition: {sql}: {exc.getErrorClass()}") from None
+        raise RuleError(f"invalid condition: {sql}: {exc.getCondition()}") from None
     return e
 
 
@@ -229,8 +229,10 @@ def consistency(df: DataFrame, rule: Rule, key: str) -> Check:
         return reference_integrity(df, rule, key)
     if ctype != "cross_column":
         raise RuleError(f"Unknown consistency type: {ctype}")
-    if d.get("condition"):
-        cond = d["condition"]
+    # Conditions are SQL expressions (``F.expr``), never Python
+    # ``eval``; ``column1``/``column2`` placeholders become quoted names.
+    if d.get("condition") or d.get("sql_expression"):
+        cond = d.get("condition") or d["sql_expression"]
     elif d.get("column1") and d.get("column2") and d.get("rule"):
         cond = (d["rule"].replace("column1", f"`{d['column1']}`")
                 .replace("column2", f"`{d['column2']}`"))
@@ -357,6 +359,10 @@ def conformity(df: DataFrame, rule: Rule, key: str) -> Check:
 # ------------------------------------------------------------------ Q14 / Q15 / J2
 
 def reference_integrity(df: DataFrame, rule: Rule, key: str, frames: dict | None = None) -> Check:
+    """J2/Q15 (engine), J2b/Q14 ``integrity`` (service: reference column
+    defaults to ``id``, threshold 1.0) and Q8 referential consistency: one
+    left join to the deduplicated (A23 DISTINCT) non-null reference keys;
+    a NULL foreign key is valid."""
     d = rule.definition
     frames = frames or {}
     c = rule.column
@@ -422,7 +428,7 @@ def custom_sql(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
         plan = res.agg(F.count(F.lit(1)).alias("n_rows"))
         plan.schema
     except AnalysisException as exc:
-        raise RuleError(f"SQL execution failed: {exc.getErrorClass()}") from None
+        raise RuleError(f"SQL execution failed: {exc.getCondition()}") from None
     return Check(rule, sql_plan=plan)
 
 

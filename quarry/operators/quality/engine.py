@@ -125,6 +125,7 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
         outs.append(_custom_sql_result(c, ctx))
     if not outs:
         return spark.createDataFrame([], RESULT_SCHEMA)
+    # Results of several passes / SQL rules appended by name
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

@@ -42,7 +42,8 @@ def add_column(df: DataFrame, name: str, expression: str | Column) -> DataFrame:
 
 
 def aggregate(df: DataFrame, group_by: list[str], aggregations: Mapping[str, str]) -> DataFrame:
-    """``{"alias": "sum(amount)"}`` per group (partial aggregation map-side)."""
+    """``{"alias": "sum(amount)"}`` per group (partial aggregation map-side).
+    Saved with a table sink (K6) this is the pre-aggregated KPI table (A24)."""
     aggs = [F.expr(e).alias(a) for a, e in aggregations.items()]
     if not aggs:
         raise TransformError("aggregate needs at least one aggregation")

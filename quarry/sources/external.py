@@ -131,7 +131,7 @@ def kafka_batch_read(spark: SparkSession, servers: str, topic: str,
 
 def parse_json_value(df: DataFrame, schema: StructType | str, value_col: str = "value",
                      keep=("key", "timestamp")) -> DataFrame:
-    """S16 parse step: ``from_json(value)`` expanded to columns; rows whose
+    """S16 parse step (F14): ``from_json(value)`` expanded to columns; rows whose
     value does not parse keep a ``_corrupt`` copy of the raw text (K14)."""
     parsed = F.from_json(F.col(value_col).cast("string"), schema)
     kept = [c for c in keep if c in df.columns]

@@ -205,3 +205,69 @@ def test_live_counters_stream(spark):
     j = got.join(batch.withColumnRenamed("total", "bt"),
                  ["organization_id", "resource_type", "session_start"])
     assert j.where(F.abs(F.col("total") - F.col("bt")) > 1e-6).count() == 0
+
+
+def test_lakehouse_prefix_join_business_rule(spark):
+    from quarry.operators.transforms import apply_transforms
+
+    spark.read.parquet(f"{SF001}/region.parquet").createOrReplaceTempView("region_v")
+    assert external.lakehouse_table(spark, "region_v").count() == 5
+    assert external.lakehouse_table(spark, "region_v", limit=2).count() == 2
+    assert files.scan_prefix(spark, SF001 + "/nation.parquet").count() == 25
+    n = spark.read.parquet(f"{SF001}/nation.parquet")
+    r = spark.read.parquet(f"{SF001}/region.parquet").withColumnRenamed("r_regionkey",
+                                                                        "n_regionkey")
+    j = apply_transforms(n, [{"type": "join", "with": "region", "on": "n_regionkey",
+                              "how": "left", "broadcast_max_rows": 100}], {"region": r})
+    assert j.where("r_name IS NULL").count() == 0 and j.count() == 25
+    res = run_rules(n, [Rule("b", "accuracy", None, {"method": "business_rule",
+                                                      "conditions": ["n_nationkey >= 0",
+                                                                     "n_regionkey < 3"]})]).first()
+    assert res.failed_records == n.where("n_regionkey >= 3").count()
+
+
+def test_python_datasource_registration(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    class Numbers(DataSource):
+        @classmethod
+        def name(cls):
+            return "quarry_numbers"
+
+        def schema(self):
+            return "n int"
+
+        def reader(self, schema):
+            return NumbersReader()
+
+    class NumbersReader(DataSourceReader):
+        def read(self, partition):
+            for i in range(3):
+                yield (i,)
+
+    from quarry import sources
+
+    sources.register_datasource(spark, Numbers)
+    assert sources.create(spark, "quarry_numbers").count() == 3
+    assert "quarry_numbers" in sources.list_connectors()
+
+
+def test_metric_series_and_sliding_window(spark):
+    from quarry import streaming
+    from quarry.functions.periods import bytes_to_gb
+
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    s = monitoring.metric_series(ev, "ts", "2024-01-02", "2024-01-03", "click", "event_type")
+    ts = [r.ts for r in s.collect()]
+    assert ts == sorted(ts) and len(ts) > 0
+    assert ev.select(bytes_to_gb(F.lit(1024 ** 3)).alias("g")).first().g == 1.0
+    d = tmp()
+    u = usage.usage_from_events(ev).drop("props")
+    u.write.parquet(os.path.join(d, "in"))
+    st = streaming.file_stream(spark, os.path.join(d, "in"), u.schema)
+    q = streaming.start(streaming.windowed_usage(st, "2 hours", None, "1 hour"),
+                        os.path.join(d, "ck"), "batch", "memory", "slide_out",
+                        output_mode="complete")
+    q.awaitTermination()
+    # every event lands in two overlapping 2-hour windows
+    assert spark.table("slide_out").agg(F.sum("records")).first()[0] == 2 * u.count()
