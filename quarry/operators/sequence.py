@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, cut_lineage_counting
 
 DAY_US = 86_400_000_000
 
@@ -80,23 +80,28 @@ def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: boo
 
 def mark_paths(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Nodes reachable from ``roots`` (``id``) following ``edges`` (``id``,
-    ``nxt``) - each node has at most one successor. Returns ``id``."""
-    spark = edges.sparkSession
-    level = cut_lineage(edges.select("id", F.col("nxt").alias("j")))
+    ``nxt``) - each node has at most one successor. Returns ``id``.
+
+    Level ``k`` maps every node to its ``2^k``-th successor; the reached set
+    after step ``k`` holds every node at distance ``< 2^(k+1)`` from a root.
+    Each level is written once to the shared checkpoint folder; whether
+    another level is needed is counted while it is written."""
+    level, live = cut_lineage_counting(edges.select("id", F.col("nxt").alias("j")),
+                                       F.col("j").isNotNull())
     levels = [level]
     for _ in range(max_rounds):
-        if level.where(F.col("j").isNotNull()).limit(1).count() == 0:
+        if live == 0:
             break
         a, b = level.alias("a"), level.alias("b")
-        level = cut_lineage(a.join(b, F.col("a.j") == F.col("b.id"), "left")
-                            .select(F.col("a.id"), F.col("b.j")))
+        level, live = cut_lineage_counting(
+            a.join(b, F.col("a.j") == F.col("b.id"), "left").select(F.col("a.id"), F.col("b.j")),
+            F.col("j").isNotNull())
         levels.append(level)
     reached = roots.select("id")
-    for lv in levels:
+    for lv in levels[:-1]:
         step = (reached.join(lv, "id").where(F.col("j").isNotNull())
                 .select(F.col("j").alias("id")))
         reached = cut_lineage(reached.unionByName(step))
-    del spark
     return reached
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,28 +43,47 @@ def get_session(master: str | None = None, app_name: str = "quarry",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) a private folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session (it is a core setting:
+    cluster defaults or ``--conf``). Only when nothing is configured (a bare
+    local test session) a private folder is registered with the context.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    jdir = sc._jsc.sc().getCheckpointDir()
+    if jdir.isDefined():
+        return jdir.get()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Cut the lineage of an intermediate result of an iterative operator.
 
-    Used by iterative operators so a lost executor recomputes from the
-    checkpoint rather than from the start of the loop.
+    The frame is written once as parquet into a fresh folder under the
+    shared ``spark.checkpoint.dir`` and read back, so a lost executor
+    recomputes from that table rather than from the start of the loop.
+    (An RDD ``checkpoint()`` of an unpersisted frame would compute it twice:
+    once for the action and once more to write the checkpoint files.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def cut_lineage_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
+    """``cut_lineage`` that also counts the rows matching ``condition`` while
+    the table is written (an observed metric: no second job)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    obs = Observation(f"cut_{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
+    df.observe(obs, F.count_if(condition).alias("n")).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path), int(obs.get["n"] or 0)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
