@@ -112,16 +112,24 @@ def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 
 def top_values_all(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """A11 for several string columns in one pass: the columns are unpivoted
-    to (column, value), counted per pair, and ranked per column."""
+    """A11 for several columns in one pass: the columns are unpivoted to
+    (column, value) and counted per pair (partial aggregation); the top-k per
+    column is two-stage - each task keeps its own k best, then at most
+    k x tasks candidates per column are ranked - so a high-cardinality column
+    is never ranked whole in one task."""
     from pyspark.sql import Window
 
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
         for c in columns])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value"))
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    counts = (long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+              .withColumn("__pid", F.spark_partition_id()))
+    order = [F.col("count").desc(), F.col("value")]
+    local = (counts.withColumn("__r", F.row_number().over(
+        Window.partitionBy("column_name", "__pid").orderBy(*order))).where(F.col("__r") <= k))
+    w = Window.partitionBy("column_name").orderBy(*order)
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("column_name", "value", "count", "rank"))
 
 
 def table_statistics(df: DataFrame) -> DataFrame:

@@ -186,3 +186,38 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
            .withColumn("locks", F.coalesce("locks", F.lit(False))))
     return out.withColumn("locked_until", F.when(
         F.col("locks"), F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {lock_minutes} MINUTES")))
+
+
+def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int,
+               slab_us: int = DAY_US) -> DataFrame:
+    """Session start of every row: a row opens a new session when the
+    previous row of its key is ``gap_seconds`` or more earlier (or absent);
+    every row belongs to the latest session start at or before it.
+
+    Both steps are prefix computations done in two levels so no key is
+    sorted whole in one task: windows run per ``(key, slab)`` and a small
+    per-key window over one summary row per slab carries the previous slab's
+    last event / last session start across slab borders. Adds
+    ``session_start`` (timestamp)."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    x = df.withColumn("__t", t).withColumn("__slab", F.floor(F.col("__t") / F.lit(slab_us)))
+    w = Window.partitionBy(*keys, "__slab").orderBy("__t")
+    x = x.withColumn("__prev", F.lag("__t").over(w))
+    # carry: last event time of the closest earlier non-empty slab
+    last_in_slab = x.groupBy(*keys, "__slab").agg(F.max("__t").alias("__last"))
+    ws = Window.partitionBy(*keys).orderBy("__slab")
+    carry = last_in_slab.select(*keys, "__slab", F.lag("__last").over(ws).alias("__carry"))
+    x = x.join(carry, [*keys, "__slab"], "left")
+    prev = F.coalesce(F.col("__prev"), F.col("__carry"))
+    x = x.withColumn("__start", F.when(prev.isNull() | (F.col("__t") - prev >= F.lit(
+        gap_seconds * 1_000_000)), F.col("__t")))
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("__open", F.max("__start").over(wr))
+    # carry: latest session start of all earlier slabs
+    starts = x.groupBy(*keys, "__slab").agg(F.max("__start").alias("__s"))
+    wsr = ws.rowsBetween(Window.unboundedPreceding, -1)
+    carry2 = starts.select(*keys, "__slab", F.max("__s").over(wsr).alias("__carry2"))
+    x = x.join(carry2, [*keys, "__slab"], "left")
+    start = F.coalesce(F.col("__open"), F.col("__carry2"))
+    return (x.withColumn("session_start", F.timestamp_micros(start))
+            .drop("__t", "__slab", "__prev", "__carry", "__start", "__open", "__carry2"))

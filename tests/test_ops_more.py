@@ -271,3 +271,15 @@ def test_metric_series_and_sliding_window(spark):
     q.awaitTermination()
     # every event lands in two overlapping 2-hour windows
     assert spark.table("slide_out").agg(F.sum("records")).first()[0] == 2 * u.count()
+
+
+def test_top_values_all_matches_single(spark):
+    from quarry.operators import profile
+
+    c = spark.read.parquet(f"{SF001}/part.parquet")
+    got = profile.top_values_all(c, ["p_name", "p_brand"], 5).collect()
+    for col in ("p_name", "p_brand"):
+        want = [(r.value, r["count"]) for r in profile.top_values(c, col, 5).collect()]
+        have = [(r.value, r["count"]) for r in sorted(
+            (r for r in got if r.column_name == col), key=lambda r: r.rank)]
+        assert have == want
