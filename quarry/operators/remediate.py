@@ -26,6 +26,16 @@ def quarantine_split(df: DataFrame, rules: list[Rule], frames: dict | None = Non
     return good, bad
 
 
+def split_write(df: DataFrame, rules: list[Rule], path: str, frames: dict | None = None,
+                as_of=None, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """R2 in one job: rows are flagged once and written partitioned by
+    ``_part`` (``good`` rows, ``bad`` rows with the failed rule ids and
+    reasons), so the input is scanned and checked a single time."""
+    flagged = row_flags(df, rules, frames, as_of)
+    (flagged.withColumn("_part", F.when(F.size("_failed_rules") > 0, "bad").otherwise("good"))
+     .write.mode(mode).format(fmt).partitionBy("_part").save(path))
+
+
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """W3/R3 for uniqueness: one row per key, the first under ``order``.
 

@@ -429,13 +429,13 @@ g AS (
 SELECT CASE WHEN failed_rules = '' THEN 'good' ELSE 'bad' END AS part, failed_rules,
        count(*) AS n FROM g GROUP BY ALL""")
 def q_quarantine(spark, d):
-    """R2: good/bad split with failed rule ids (good ∪ bad = input)."""
-    good, bad = remediate.quarantine_split(T(spark, d, "lineitem"), LI_RULES)
-    g = good.groupBy().agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("good").alias("part"), F.lit("").alias("failed_rules"), "n")
-    b = (bad.groupBy(F.array_join("_failed_rules", ",").alias("failed_rules"))
-         .agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad").alias("part"), "failed_rules", "n"))
-    return g.where(F.col("n") > 0).unionByName(b)
+    """R2: good/bad split with failed rule ids (good ∪ bad = input), counted
+    from one flagged pass (the split itself is ``remediate.split_write``)."""
+    flagged = row_flags(T(spark, d, "lineitem"), LI_RULES)
+    fr = F.array_join("_failed_rules", ",")
+    return (flagged.groupBy(fr.alias("failed_rules")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.when(F.col("failed_rules") == "", "good").otherwise("bad").alias("part"),
+                    "failed_rules", "n"))
 
 
 @register("autofix_clamp", """

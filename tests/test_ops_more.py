@@ -283,3 +283,13 @@ def test_top_values_all_matches_single(spark):
         have = [(r.value, r["count"]) for r in sorted(
             (r for r in got if r.column_name == col), key=lambda r: r.rank)]
         assert have == want
+
+
+def test_split_write_one_job(spark):
+    d = tmp()
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    rules = [Rule("r", "range_check", "l_discount", {"min_value": 0, "max_value": 0.05})]
+    remediate.split_write(li, rules, os.path.join(d, "split"))
+    out = spark.read.parquet(os.path.join(d, "split"))
+    assert out.count() == li.count()
+    assert out.where("_part = 'bad'").count() == li.where("l_discount > 0.05").count()
