@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import sinks
-from quarry.operators.quality import Rule, run_rules
-from quarry.operators.remediate import quarantine_split
+from quarry.operators.quality import Rule, row_flags, run_rules
+from quarry.session import cut_lineage
 from quarry.operators.transforms import apply_transforms, incremental_filter, ingest_metadata
 
 
@@ -64,7 +64,11 @@ def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | Non
         df = ingest_metadata(df, spec.organization, spec.environment)
     bad = None
     if spec.quarantine and spec.rules:
-        df, bad = quarantine_split(df, spec.rules, frames, as_of)
+        # flag once, stage in the shared checkpoint folder, then write both
+        # outputs from the staged table (no second scan / rule evaluation)
+        flagged = cut_lineage(row_flags(df, spec.rules, frames, as_of))
+        bad = flagged.where(F.size("_failed_rules") > 0)
+        df = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
     obs = Observation(f"run_{run_id}")
     df = df.observe(obs, F.count(F.lit(1)).alias("records_processed"))
     out = None
