@@ -299,19 +299,19 @@ def accuracy(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
 
 
 def statistical_accuracy(df: DataFrame, rule: Rule, key: str) -> Check:
-    """Q11 (intent chosen): share of non-null values with |z| <= z_max, the
-    mean and sample std being aggregates of the same fused pass. NULL passes."""
+    """Q11 (intent chosen): share of values with |z| <= ``z`` (default 3)
+    against the column's mean and sample standard deviation; NULL passes."""
     c = _require_column(df, rule)
     z = float(rule.definition.get("z", 3.0))
     col = _col(df, c).cast("double")
     n_mean, n_std, n_ok = f"{key}_mean", f"{key}_std", f"{key}_zok"
-    # The z test needs the global mean/std first. They are uncorrelated
-    # scalar subqueries (one partial+final agg each, evaluated once and
-    # inlined as constants) - no window over the whole frame, no join.
+    # The z test needs the global mean/std first: one uncorrelated scalar
+    # subquery (a partial+final aggregate evaluated once and inlined as a
+    # constant) - no window over the whole frame, no join.
 
     def prep(x: DataFrame) -> DataFrame:
-        return x.withColumns({n_mean: df.select(F.avg(col)).scalar(),
-                              n_std: df.select(F.stddev_samp(col)).scalar()})
+        stats = df.select(F.struct(F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))).scalar()
+        return x.withColumns({n_mean: stats["m"], n_std: stats["s"]})
 
     dev = F.abs(col - F.col(n_mean))
     valid = col.isNull() | F.coalesce(dev <= F.lit(z) * F.col(n_std), dev == 0)
@@ -321,8 +321,8 @@ def statistical_accuracy(df: DataFrame, rule: Rule, key: str) -> Check:
         return {"passed_count": ok, "failed_records": total - ok,
                 "details": _details(z=z, mean=get(f"{key}_m"), std=get(f"{key}_s"))}
 
-    return Check(rule, aggs={n_ok: F.count_if(valid), f"{key}_m": F.first(n_mean),
-                             f"{key}_s": F.first(n_std)},
+    return Check(rule, aggs={n_ok: F.count_if(valid), f"{key}_m": F.max(n_mean),
+                             f"{key}_s": F.max(n_std)},
                  build=build, prep=prep, row_valid=valid, empty_rate=1.0)
 
 
