@@ -38,6 +38,12 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(d, f"{name}.parquet"))
 
 
+def _ntz(*cols: str):
+    """Report session-time timestamps as TIMESTAMP_NTZ, the type of the
+    source columns (and of the SQL oracle's results)."""
+    return lambda df: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
 def results(df: DataFrame) -> DataFrame:
     return df.select(*RESULT_COLS)
 
@@ -299,12 +305,12 @@ def q_statistical(spark, d):
 
 @register("custom_sql_rules", """
 SELECT 'sql_neg' AS rule_id, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status,
-       CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END AS pass_rate, n AS failed_records, n AS total_records,
+       CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS pass_rate, n AS failed_records, n AS total_records,
        1.0::DOUBLE AS threshold
 FROM (SELECT count(*) AS n FROM lineitem WHERE l_quantity <= 0)
 UNION ALL
 SELECT 'sql_late', CASE WHEN n > 0 THEN 'passed' ELSE 'failed' END,
-       CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, n, n, 1.0::DOUBLE
+       (CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, n, n, 1.0::DOUBLE
 FROM (SELECT count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
       WHERE l.l_shipdate < o.o_orderdate)""")
 def q_custom_sql(spark, d):
@@ -383,7 +389,8 @@ def q_grouped_daily(spark, d):
     res = run_rules(ev, [Rule("g_type", "completeness", "event_type"),
                          Rule("g_value", "range_check", "value",
                               {"min_value": 0, "max_value": 150})], group_by=["day"])
-    return res.select("day", "rule_id", "pass_rate", "failed_records", "total_records")
+    return res.select(F.col("day").cast("timestamp_ntz").alias("day"), "rule_id", "pass_rate",
+                      "failed_records", "total_records")
 
 
 @register("quality_report", """
@@ -407,7 +414,8 @@ def q_quality_report(spark, d):
                               {"min_value": 0, "max_value": 150})], group_by=["day"])
     rep = monitoring.quality_report(res.withColumn("executed_at", F.col("day"))
                                     .withColumn("dataset_name", F.lit("events")), "weekly")
-    return rep.select("period_start", "total_rules", "passed", "failed", "score")
+    return rep.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"),
+                      "total_rules", "passed", "failed", "score")
 
 
 # =========================================================== remediation
@@ -476,7 +484,7 @@ WITH r AS (
          count_if(coalesce(regexp_matches(l_returnflag, '^(?:[AR])'), false))::DOUBLE / count(*),
          0.95, 'alert_only' FROM lineitem)
 SELECT action, rule_id, 'Quality Rule Failure: ' || rule_type AS incident_type, severity,
-       failed AS affected_records
+       failed::BIGINT AS affected_records
 FROM r WHERE rate < thr""")
 def q_incidents(spark, d):
     """Failed results routed by the rule's remediation action."""
@@ -507,7 +515,7 @@ ORDER_CHAIN = [
                       "last_year": "max(order_year)"}},
 ]
 CHAIN_SQL = ("(SELECT o_custkey, round(sum(o_totalprice), 2) AS total_spent, count(*) AS n_orders, "
-             "max(year(o_orderdate)) AS last_year FROM orders WHERE o_totalprice > 0 "
+             "max(year(o_orderdate))::INTEGER AS last_year FROM orders WHERE o_totalprice > 0 "
              "GROUP BY o_custkey)")
 FLAGSHIP_RULES = [Rule("fq_spent", "completeness", "total_spent"),
                   Rule("fq_unique", "uniqueness", "o_custkey"),
@@ -663,7 +671,7 @@ FROM {USAGE_SQL} GROUP BY ALL""")
 def q_usage_per_period(spark, d):
     """Usage accumulated per daily period [start, end)."""
     out = usage.usage_per_period(usage.usage_from_events(T(spark, d, "events")), "daily")
-    return out.withColumn("usage", F.round("usage", 4))
+    return out.withColumn("usage", F.round("usage", 4)).transform(_ntz("period_start", "period_end"))
 
 
 @register("period_bounds", f"""
@@ -687,7 +695,8 @@ def q_period_bounds(spark, d):
                     .agg(F.count(F.lit(1)).alias("n"))
                     .select(F.lit(p).alias("period"), "period_start",
                             period_end(F.col("period_start"), p).alias("period_end"), "n"))
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+    return outs[0].unionByName(outs[1]).unionByName(outs[2]).transform(
+        _ntz("period_start", "period_end"))
 
 
 QSTATUS_SQL = f"""
@@ -721,7 +730,7 @@ def q_quota_status(spark, d):
     return st.select("organization_id", "resource_type", "period_start",
                      F.round("current_usage", 4).alias("current_usage"),
                      F.round("usage_percentage", 6).alias("usage_percentage"), "status",
-                     "next_reset")
+                     "next_reset").transform(_ntz("period_start", "next_reset"))
 
 
 @register("quota_violations", f"""
@@ -732,7 +741,7 @@ def q_quota_violations(spark, d):
     """Violations and the enforcement action."""
     st = usage.quota_status(_quotas(spark), usage.usage_from_events(T(spark, d, "events")))
     return usage.violations(st).select("organization_id", "resource_type", "violation_type",
-                                       "period_start", "action_taken")
+                                       "period_start", "action_taken").transform(_ntz("period_start"))
 
 
 @register("quota_current", f"""
@@ -849,7 +858,7 @@ def q_monthly_cost(spark, d):
     """Month-to-date cost per organization tag (chargeback)."""
     u = usage.usage_from_events(T(spark, d, "events"))
     out = usage.monthly_cost(u, "organization_id", "ts", "amount")
-    return out.withColumn("cost", F.round("cost", 4))
+    return out.withColumn("cost", F.round("cost", 4)).transform(_ntz("month"))
 
 
 @register("usage_snapshot", f"""
@@ -889,8 +898,8 @@ def q_latest_run(spark, d):
 
 
 @register("run_metrics", f"""
-SELECT pipeline_id, count(*) AS total_runs, count_if(status = 'success') AS successful_runs,
-       count_if(status = 'failed') AS failed_runs, round(avg(records_processed), 6) AS avg_records
+SELECT pipeline_id, count(*) AS total_runs, count_if(status = 'success')::BIGINT AS successful_runs,
+       count_if(status = 'failed')::BIGINT AS failed_runs, round(avg(records_processed), 6) AS avg_records
 FROM {RUNS_SQL} GROUP BY pipeline_id""")
 def q_run_metrics(spark, d):
     """Per-pipeline run counts and averages."""
@@ -1113,7 +1122,7 @@ up AS (SELECT DISTINCT ur.user_id, p.g_res, p.g_act FROM {UR_SQL} ur JOIN p USIN
 r AS (SELECT q.*, EXISTS (SELECT 1 FROM up WHERE up.user_id = q.user_id
         AND up.g_res IN ('*', q.resource) AND up.g_act IN ('*', q.action)) AS allowed
       FROM {REQ_SQL} q)
-SELECT resource, action, count(*) AS requests, count_if(allowed) AS allowed FROM r GROUP BY ALL""")
+SELECT resource, action, count(*) AS requests, count_if(allowed)::BIGINT AS allowed FROM r GROUP BY ALL""")
 def q_access_review(spark, d):
     """Wildcard grant resolution as an equi-join over expanded forms."""
     roles, ur, req = _access_inputs(spark, d)
@@ -1223,7 +1232,7 @@ PII_SQL = {
 
 
 @register("pii_detect", " UNION ALL ".join(
-    f"SELECT '{k}' AS pii_class, count_if(len(regexp_extract_all(text, '{p}')) > 0) AS docs, "
+    f"SELECT '{k}' AS pii_class, count_if(len(regexp_extract_all(text, '{p}')) > 0)::BIGINT AS docs, "
     f"sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS matches FROM documents"
     for k, p in PII_SQL.items()))
 def q_pii_detect(spark, d):
@@ -1266,7 +1275,7 @@ s(uid, pos, fails, until, processed, locks) AS (
     NOT (s.until IS NOT NULL AND a.ts < s.until),
     NOT (s.until IS NOT NULL AND a.ts < s.until) AND NOT a.ok AND s.fails + 1 >= 5
   FROM s JOIN a ON a.uid = s.uid AND a.pos = s.pos + 1)
-SELECT uid, count_if(processed) AS processed, count_if(locks) AS locks, count(*) AS attempts
+SELECT uid, count_if(processed)::BIGINT AS processed, count_if(locks)::BIGINT AS locks, count(*) AS attempts
 FROM s GROUP BY uid""")
 def q_lockouts(spark, d):
     """Failed-login lockouts (5 consecutive failures -> 30 min lock)
