@@ -73,3 +73,56 @@ def test_flag_stream_row_rules(spark):
     q.awaitTermination()
     bad = spark.table("flag_out").where(F.size("_failed_rules") > 0).count()
     assert bad == src.where(F.col("amount") > 100).count()
+
+
+def test_foreach_batch_usage_and_rules_in_stream(spark):
+    """X3 + X7 inside a running stream: two micro-batches (one file each)
+    roll usage up and write per-batch rule results, idempotent per batch."""
+    from quarry.operators.quality import Rule
+
+    d, src = _stream_copy(spark, 2)
+    quotas = spark.createDataFrame([("org_0", "click", 100.0, 0.8, "daily")],
+                                   "organization_id string, resource_type string, "
+                                   "quota_limit double, warning_threshold double, "
+                                   "reset_period string")
+    stream = streaming.file_stream(spark, os.path.join(d, "in"), src.schema,
+                                   max_files_per_trigger=1)
+    usage_w = streaming.usage_batch_writer(os.path.join(d, "out"), quotas)
+    rules_w = streaming.rules_batch_writer([Rule("c", "completeness", "amount")],
+                                           os.path.join(d, "rules"))
+
+    def both(batch, batch_id):
+        usage_w(batch, batch_id)
+        rules_w(batch, batch_id)
+
+    q = streaming.start(stream, os.path.join(d, "ck"), "batch", foreach_batch=both)
+    q.awaitTermination()
+    rolled = spark.read.parquet(os.path.join(d, "out", "usage"))
+    assert rolled.agg(F.sum("record_count")).first()[0] == src.count()
+    assert rolled.select("batch_id").distinct().count() == 2
+    res = spark.read.parquet(os.path.join(d, "rules"))
+    assert res.agg(F.sum("total_records")).first()[0] == src.count()
+    v = spark.read.parquet(os.path.join(d, "out", "violations"))
+    assert set(v.columns) >= {"violation_type", "action_taken", "batch_id"}
+
+
+def test_cdc_stream(spark):
+    """A change feed applied per micro-batch, latest change per key wins."""
+    d = tempfile.mkdtemp(prefix="quarry-cdc-")
+    o = spark.read.parquet(f"{SF001}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    first = o.select("o_orderkey", "o_orderstatus", F.lit(1).alias("ver"), F.lit("u").alias("op"))
+    second = o.where(F.col("o_orderkey") % 10 == 0).select(
+        "o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(2).alias("ver"),
+        F.when(F.col("o_orderkey") % 20 == 0, "d").otherwise("u").alias("op"))
+    first.write.parquet(os.path.join(d, "in", "b1"))
+    second.write.parquet(os.path.join(d, "in", "b2"))
+    stream = (spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(d, "in")))
+    q = streaming.start(stream, os.path.join(d, "ck"), "batch",
+                        foreach_batch=streaming.cdc_batch_writer(os.path.join(d, "t"),
+                                                                 ["o_orderkey"], "ver"))
+    q.awaitTermination()
+    t = streaming.latest_version(spark, os.path.join(d, "t"))
+    assert t.count() == o.where(F.col("o_orderkey") % 20 != 0).count()
+    assert t.where("o_orderstatus = 'X'").count() == o.where(
+        (F.col("o_orderkey") % 10 == 0) & (F.col("o_orderkey") % 20 != 0)).count()
