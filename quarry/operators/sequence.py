@@ -31,27 +31,30 @@ LONG_MIN = -(2 ** 63)
 LONG_MAX = 2 ** 63 - 1
 
 
-def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: bool,
-                     slab_us: int = DAY_US, successor: bool = False) -> DataFrame:
-    """For every event ``(keys, id, t)`` (``t`` in epoch microseconds) the id
-    of the first event of the same key (in ``(t, id)`` order) with
-    ``t' >= t + gap`` (``inclusive``), ``t' > t + gap``, or - with
-    ``successor`` - the next event after ``(t, id)`` itself. Returns
-    ``(id, nxt)``; ``nxt`` is NULL when there is none."""
+def next_events(ev: DataFrame, keys: list[str], specs: dict[str, tuple[int, str]],
+                slab_us: int = DAY_US) -> DataFrame:
+    """As-of lookups for every event ``(keys, id, t)`` (``t`` in epoch
+    microseconds), several kinds answered by ONE sort of the data.
+
+    ``specs`` maps a name to ``(gap_us, mode)``; for each event and spec the
+    answer is the first event of the same key, in ``(t, id)`` order, with
+    ``t' >= t + gap`` (mode ``"ge"``), ``t' > t + gap`` (``"gt"``) or
+    ``(t', id') > (t + gap, id)`` (``"succ"``, the successor when gap is 0).
+    Returns ``(id, name, nxt)``; ``nxt`` is NULL when there is none."""
     ev = ev.select(*keys, "id", "t")
-    # Probe rows sit between events: ``k2`` places them before (inclusive),
-    # after (strict) or exactly at (successor) the events of their instant.
-    if successor:
-        k2 = F.col("id")
-    else:
-        k2 = F.lit(LONG_MIN if inclusive else LONG_MAX).cast("bigint")
-    rows = (ev.select(*keys, F.col("t"), F.col("id").alias("k2"), F.lit(0).alias("tag"),
-                      F.col("id").alias("eid"), F.lit(None).cast("bigint").alias("src"))
-            .unionByName(ev.select(*keys, (F.col("t") + F.lit(gap_us)).alias("t"),
-                                   k2.alias("k2"), F.lit(1).alias("tag"),
-                                   F.lit(None).cast("bigint").alias("eid"),
-                                   F.col("id").alias("src")))
-            .withColumn("slab", F.floor(F.col("t") / F.lit(slab_us))))
+    rows = ev.select(*keys, F.col("t"), F.col("id").alias("k2"), F.lit(0).alias("tag"),
+                     F.col("id").alias("eid"), F.lit(None).cast("bigint").alias("src"),
+                     F.lit(None).cast("string").alias("name"))
+    for name, (gap_us, mode) in specs.items():
+        # Probe rows sit between events: ``k2`` places them before (ge),
+        # after (gt) or exactly at (succ) the events of their instant.
+        k2 = {"succ": F.col("id"), "ge": F.lit(LONG_MIN).cast("bigint"),
+              "gt": F.lit(LONG_MAX).cast("bigint")}[mode]
+        rows = rows.unionByName(ev.select(*keys, (F.col("t") + F.lit(gap_us)).alias("t"),
+                                          k2.alias("k2"), F.lit(1).alias("tag"),
+                                          F.lit(None).cast("bigint").alias("eid"),
+                                          F.col("id").alias("src"), F.lit(name).alias("name")))
+    rows = rows.withColumn("slab", F.floor(F.col("t") / F.lit(slab_us)))
     # descending order + frame "everything before me" = everything after me
     # in (t, id) order: an incrementally maintained frame (linear), not a
     # re-scan. At equal (t, k2) the probe sorts first, so an event never
@@ -62,7 +65,7 @@ def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: boo
     nearest = F.last(F.when(F.col("eid").isNotNull(), F.struct("t", "eid")), ignorenulls=True)
     probes = (rows.withColumn("hit", nearest.over(w))
               .where(F.col("src").isNotNull())
-              .select(*keys, "slab", "src", F.col("hit.eid").alias("nxt")))
+              .select(*keys, "slab", "src", "name", F.col("hit.eid").alias("nxt")))
     # per-slab first event, then "first event in any later slab" per key:
     # one row per (key, slab), so this window is bounded by the time span.
     firsts = (rows.where(F.col("eid").isNotNull())
@@ -75,7 +78,15 @@ def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: boo
     later = slabs.select(*keys, "slab",
                          F.last("first", ignorenulls=True).over(ws)["eid"].alias("later"))
     return (probes.join(later, [*keys, "slab"], "left")
-            .select(F.col("src").alias("id"), F.coalesce("nxt", "later").alias("nxt")))
+            .select(F.col("src").alias("id"), "name", F.coalesce("nxt", "later").alias("nxt")))
+
+
+def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: bool,
+                     slab_us: int = DAY_US, successor: bool = False) -> DataFrame:
+    """One as-of lookup (see ``next_events``): first event at or after
+    (``inclusive``) / after ``t + gap``, or the successor. ``(id, nxt)``."""
+    mode = "succ" if successor else ("ge" if inclusive else "gt")
+    return next_events(ev, keys, {"n": (gap_us, mode)}, slab_us).select("id", "nxt")
 
 
 def mark_paths(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -149,10 +160,11 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
     a = attempts.select(F.col(user).alias("u"), F.col(id_col).alias("id"),
                         F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                         F.col(success).cast("boolean").alias("ok"))
-    ev = a.select("u", "id", "t")
-    succ = next_at_or_after(ev, ["u"], 0, True, successor=True).withColumnRenamed("nxt", "succ")
-    gap = next_at_or_after(ev, ["u"], lock_minutes * 60_000_000, True).withColumnRenamed("nxt", "g")
-    a = cut_lineage(a.join(succ, "id").join(gap, "id"))
+    nx = next_events(a.select("u", "id", "t"), ["u"],
+                     {"succ": (0, "succ"), "g": (lock_minutes * 60_000_000, "ge")})
+    nx = nx.groupBy("id").agg(F.max(F.when(F.col("name") == "succ", F.col("nxt"))).alias("succ"),
+                              F.max(F.when(F.col("name") == "g", F.col("nxt"))).alias("g"))
+    a = cut_lineage(a.join(nx, "id"))
     pred = a.where(F.col("succ").isNotNull()).select(F.col("succ").alias("id"),
                                                      F.col("id").alias("pred"))
     a = a.join(pred, "id", "left")
