@@ -1433,3 +1433,54 @@ def q_table_statistics(spark, d):
     """Row count, bytes, files and last update of a table from the
     scan's file metadata (no SQL oracle: file sizes are not in SQL)."""
     return profile.table_statistics(T(spark, d, "lineitem"))
+
+
+CHECK_RULES = [
+    ("qc1", "org_1", "completeness", "orders", "pr", '{"threshold": 0.9}', "alert_only"),
+    ("qc2", "org_1", "uniqueness", "orders", "o_orderkey", "{}", "reject"),
+    ("qc3", "org_1", "range_check", "orders", "o_totalprice",
+     '{"min_value": 1000, "max_value": 400000}', "manual_review"),
+    ("qc4", "org_1", "validity", None, "o_orderstatus", '{"allowed_values": ["F", "O"]}',
+     "quarantine"),
+    ("qc5", "org_2", "completeness", "orders", "pr", "{}", "alert_only"),
+    ("qc6", "org_1", "completeness", "customer", "c_name", "{}", "alert_only"),
+]
+QC_SRC = ("(SELECT o_orderkey, o_totalprice, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS pr "
+          "FROM orders)")
+
+
+@register("quality_check_run", f"""
+WITH r AS (
+  {rule_sql("qc1", "count(pr)", "count(*)", 0.9, QC_SRC)}
+  UNION ALL {rule_sql("qc2", "count(DISTINCT o_orderkey)", "count(*)", 1.0, QC_SRC, 1.0)}
+  UNION ALL {rule_sql("qc3", "count_if(o_totalprice IS NULL OR (o_totalprice >= 1000 AND "
+                      "o_totalprice <= 400000))", "count(*)", 0.95, QC_SRC)}
+  UNION ALL {rule_sql("qc4", "count_if(o_orderstatus IS NULL OR o_orderstatus IN ('F', 'O'))",
+                      "count(*)", 1.0, QC_SRC, 1.0)})
+SELECT 'org_1' AS organization_id, 'orders' AS dataset_name, count(*) AS total_rules,
+       count_if(status = 'passed')::BIGINT AS passed_rules,
+       coalesce(count_if(status = 'passed')::DOUBLE / nullif(count(*), 0), 1.0) AS overall_score,
+       CASE WHEN count_if(status = 'failed' AND rule_id = 'qc2') > 0 THEN 'failed' ELSE 'success' END
+         AS run_status,
+       count_if(status = 'failed' AND rule_id = 'qc3')::BIGINT AS incidents,
+       count_if(status = 'failed' AND rule_id = 'qc1')::BIGINT AS alerts
+FROM r""")
+def q_quality_check_run(spark, d):
+    """3.2 end to end: tenant/dataset rule selection (Q20) from a rules
+    table, one fused pass, remediation routing (R1, R4-R6), score (A7)."""
+    from quarry.plans.quality_check import run_quality_check
+
+    rules = spark.createDataFrame(
+        [(a, b, c, e, f, g, h, True) for a, b, c, e, f, g, h in CHECK_RULES],
+        "id string, organization_id string, rule_type string, table_name string, "
+        "column_name string, rule_definition string, remediation_action string, "
+        "is_active boolean")
+    orders = T(spark, d, "orders").withColumn("pr", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    out = run_quality_check(spark, rules, orders, "org_1", "orders", "b1",
+                            executed_at="2024-01-31 00:00:00")
+    # the batch decision and the counts are one-row results: scalar subqueries
+    return out["score"].select(
+        "organization_id", "dataset_name", "total_rules", "passed_rules", "overall_score",
+        out["batch"].select("run_status").scalar().alias("run_status"),
+        out["incidents"].select(F.count(F.lit(1))).scalar().alias("incidents"),
+        out["alerts"].select(F.count(F.lit(1))).scalar().alias("alerts"))

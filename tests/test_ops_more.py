@@ -293,3 +293,20 @@ def test_split_write_one_job(spark):
     out = spark.read.parquet(os.path.join(d, "split"))
     assert out.count() == li.count()
     assert out.where("_part = 'bad'").count() == li.where("l_discount > 0.05").count()
+
+
+def test_quality_check_appends_results(spark):
+    from quarry.plans.quality_check import run_quality_check
+
+    d = tmp()
+    rules = spark.createDataFrame([("r1", "t", "completeness", "ds", "v", "{}", "alert_only", True)],
+                                  "id string, organization_id string, rule_type string, "
+                                  "table_name string, column_name string, rule_definition string, "
+                                  "remediation_action string, is_active boolean")
+    df = spark.createDataFrame([(1, None), (2, "x")], "id int, v string")
+    for b in ("b1", "b2"):
+        run_quality_check(spark, rules, df, "t", "ds", b, results_path=os.path.join(d, "res"),
+                          executed_at="2024-01-31 00:00:00")
+    res = spark.read.parquet(os.path.join(d, "res"))
+    assert res.count() == 2 and {r.batch_id for r in res.collect()} == {"b1", "b2"}
+    assert res.first().organization_id == "t"
