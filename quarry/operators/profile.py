@@ -32,10 +32,12 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
                     approx_distinct: bool = False) -> DataFrame:
     """Base, numeric, string and date statistics per column.
 
-    ``quantiles="exact"`` matches pandas' linear interpolation
-    (``percentile``); at scale use ``"approx"`` (``percentile_approx``,
-    bounded memory per column). ``approx_distinct`` switches the unique
-    count to HyperLogLog.
+    Quantiles follow pandas' linear interpolation. ``quantiles="exact"``
+    selects them with ``exact_quantiles`` (a few bounded passes, no column
+    held in one task); ``"percentile"`` uses Spark's in-memory exact
+    ``percentile`` (one pass, but a value->count map per column in one
+    task); ``"approx"`` uses ``percentile_approx``. ``approx_distinct``
+    switches the unique count to HyperLogLog.
     """
     cols = columns or df.columns
     # Exact distinct counts expand the input once per column (Expand); any
@@ -52,12 +54,13 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
                               else F.count_distinct(col)).alias("unique_count")))
         if is_numeric(dt):
             x = col.cast("double")
-            if quantiles == "exact":
-                q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            else:
-                q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), q.alias(f"q{i}")]
+                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+            if quantiles == "percentile":
+                aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+                            .alias(f"q{i}"))
+            elif quantiles == "approx":
+                aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"))
         elif isinstance(dt, StringType):
             ln = F.length(col)
             aggs += [F.min(ln).alias(f"minl{i}"), F.max(ln).alias(f"maxl{i}"),
@@ -77,10 +80,11 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
              "null_percentage": F.when(n > 0, (n - nn) * 100.0 / n),
              "__n": n}
         if is_numeric(dt):
-            f.update({"mean": F.col(f"mean{i}"), "median": F.col(f"q{i}")[1],
-                      "std": F.col(f"std{i}"), "min": F.col(f"min{i}"),
-                      "max": F.col(f"max{i}"), "q25": F.col(f"q{i}")[0],
-                      "q75": F.col(f"q{i}")[2]})
+            f.update({"mean": F.col(f"mean{i}"), "std": F.col(f"std{i}"),
+                      "min": F.col(f"min{i}"), "max": F.col(f"max{i}")})
+            if quantiles != "exact":
+                f.update({"median": F.col(f"q{i}")[1], "q25": F.col(f"q{i}")[0],
+                          "q75": F.col(f"q{i}")[2]})
         elif isinstance(dt, StringType):
             f.update({"min_length": F.col(f"minl{i}"), "max_length": F.col(f"maxl{i}"),
                       "avg_length": F.col(f"avgl{i}")})
@@ -93,6 +97,15 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
                   if k not in ("unique_count", "unique_percentage")]
         structs.append(F.struct(*fields, n.alias("__n")))
     stats = row.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
+    numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
+    if quantiles == "exact" and numeric:
+        qv = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+        wide = qv.groupBy("column_name").agg(
+            *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n)
+              for q, n in ((0.25, "__q25"), (0.5, "__median"), (0.75, "__q75"))])
+        stats = (stats.join(wide, "column_name", "left")
+                 .withColumn("q25", F.col("__q25")).withColumn("median", F.col("__median"))
+                 .withColumn("q75", F.col("__q75")).drop("__q25", "__median", "__q75"))
     out = stats.join(uniques, "column_name")
     out = out.withColumn("unique_percentage",
                          F.when(F.col("__n") > 0, F.col("unique_count") * 100.0 / F.col("__n"))
@@ -143,3 +156,122 @@ def table_statistics(df: DataFrame) -> DataFrame:
                                F.max("m").alias("m")))
     return files.agg(F.sum("rows").alias("row_count"), F.sum("s").alias("size_bytes"),
                      F.count(F.lit(1)).alias("file_count"), F.max("m").alias("last_updated"))
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
+                    accuracy: int = 10000, grid: int = 100, max_candidates: int = 100_000,
+                    max_rounds: int = 8) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / SQL ``quantile_cont``)
+    of numeric columns without holding a column in one task.
+
+    The order statistics ``x(r0)``, ``x(r1)`` (``r0 = floor(q (n-1))``,
+    ``r1 = ceil(q (n-1))``) are narrowed down in rounds. One global
+    aggregate pass per round gives, per column and quantile, the exact number
+    of values below and inside the current value range plus an approximate
+    quantile grid (``percentile_approx``, ``grid + 1`` points) of the values
+    inside; the next range is the pair of grid points bracketing the target
+    ranks (rank error 1/accuracy < 1/grid, so the bracket is safe, and the
+    next round's exact counts confirm it). Each round shrinks the range by
+    about ``grid / 3``; once at most ``max_candidates`` values remain they
+    are ranked in one small window per column and quantile. Ranges are
+    literal predicates, so rows outside every range are dropped by the
+    codegen'd filter; between rounds a few numbers per (column, quantile)
+    reach the driver. Returns ``(column_name, q, value)``."""
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    fractions = F.lit([i / grid for i in range(grid + 1)])   # one array literal
+    keys = [(c, q) for c in columns for q in qs]
+    state = {k: {"lo": None, "hi": None, "below": 0} for k in keys}
+
+    def xcol(c: str) -> Column:
+        return F.col(f"`{c}`").cast("double")
+
+    def in_range(c: str, lo, hi) -> Column:
+        cond = xcol(c).isNotNull()
+        if lo is not None:
+            cond = cond & (xcol(c) >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (xcol(c) <= F.lit(hi))
+        return cond
+
+    prev = {k: (None, None) for k in keys}     # range the rows of this round come from
+    for rnd in range(max_rounds):
+        # rows outside every previous range cannot matter any more: below-counts
+        # only grow by values inside the previous range
+        src = df
+        if rnd > 0:
+            keep = F.lit(False)
+            for c, lo, hi in {(c,) + prev[(c, q)] for c, q in keys}:
+                keep = keep | in_range(c, lo, hi)
+            src = df.where(keep)
+        # one set of aggregates per distinct (column, previous range, range):
+        # in the first round all quantiles of a column share it
+        combos = sorted({(c,) + prev[(c, q)] + (state[(c, q)]["lo"], state[(c, q)]["hi"])
+                         for c, q in keys}, key=repr)
+        aggs = []
+        for i, (c, plo, phi, lo, hi) in enumerate(combos):
+            x = xcol(c)
+            newly_below = in_range(c, plo, phi) & (x < F.lit(lo)) if lo is not None \
+                else F.lit(False)
+            aggs += [F.count_if(newly_below).alias(f"b{i}"),
+                     F.count_if(in_range(c, lo, hi)).alias(f"m{i}"),
+                     F.percentile_approx(F.when(in_range(c, lo, hi), x), fractions, accuracy)
+                     .alias(f"g{i}")]
+        row = src.agg(*aggs).first()
+        wide = False
+        for key in keys:
+            v = state[key]
+            i = combos.index((key[0],) + prev[key] + (v["lo"], v["hi"]))
+            b, m, g = row[f"b{i}"], row[f"m{i}"], row[f"g{i}"]
+            if rnd == 0:
+                pos = key[1] * (m - 1)
+                v.update(pos=pos, r0=int(pos // 1), r1=int(-(-pos // 1)))
+            v["below"] += b
+            v["m"] = m
+            if m and not (v["below"] <= v["r0"] and v["r1"] < v["below"] + m):
+                raise RuntimeError("quantile bracket lost; increase accuracy")
+            prev[key] = (v["lo"], v["hi"])
+            done = v.get("done") or m <= max_candidates or (
+                v["lo"] is not None and v["lo"] == v["hi"])
+            if not done:
+                f0 = (v["r0"] - v["below"]) / (m - 1)
+                f1 = (v["r1"] - v["below"]) / (m - 1)
+                i0, i1 = max(0, int(f0 * grid) - 1), min(grid, int(-(-f1 * grid // 1)) + 1)
+                new = (g[i0] if i0 > 0 else v["lo"], g[i1] if i1 < grid else v["hi"])
+                if new == (v["lo"], v["hi"]):
+                    done = True       # heavy ties: few distinct values remain
+                else:
+                    v["lo"], v["hi"] = new
+                    wide = True
+            v["done"] = done
+        if not wide:
+            break
+    live = [k for k in keys if state[k]["m"]]
+    # final: the remaining candidates of each (column, quantile), counted per
+    # distinct value; the running count over distinct values locates the two
+    # order statistics (ties cost one row each)
+    keep = F.lit(False)
+    for c, q in live:
+        keep = keep | in_range(c, state[(c, q)]["lo"], state[(c, q)]["hi"])
+    cand = df.where(keep).select(F.explode(F.array(*[
+        F.when(in_range(c, state[(c, q)]["lo"], state[(c, q)]["hi"]),
+               F.struct(F.lit(c).alias("column_name"), F.lit(q).alias("q"),
+                        xcol(c).alias("x")))
+        for c, q in live])).alias("v")).where(F.col("v").isNotNull()).select("v.*")
+    ranks = spark.createDataFrame(
+        [(c, q, state[(c, q)]["r0"] - state[(c, q)]["below"],
+          state[(c, q)]["r1"] - state[(c, q)]["below"],
+          state[(c, q)]["pos"] - state[(c, q)]["r0"]) for c, q in live],
+        "column_name string, q double, k0 long, k1 long, frac double")
+    w = (Window.partitionBy("column_name", "q").orderBy("x")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dist = (cand.groupBy("column_name", "q", "x").agg(F.count(F.lit(1)).alias("cnt"))
+            .withColumn("cum", F.sum("cnt").over(w))
+            .join(F.broadcast(ranks), ["column_name", "q"]))
+    return (dist.groupBy("column_name", "q")
+            .agg(F.min(F.when(F.col("cum") > F.col("k0"), F.col("x"))).alias("x0"),
+                 F.min(F.when(F.col("cum") > F.col("k1"), F.col("x"))).alias("x1"),
+                 F.max("frac").alias("frac"))
+            .select("column_name", "q",
+                    (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("frac")).alias("value")))
