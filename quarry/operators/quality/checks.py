@@ -9,13 +9,12 @@ a ``build`` function that turns the aggregated columns into result fields.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegralType, StringType
 from pyspark.errors import AnalysisException
 
 from quarry.functions import predicates as P
@@ -192,8 +191,7 @@ def _engine_validity(df: DataFrame, rule: Rule, key: str, c: str) -> Check:
     allow_null = F.lit(bool(d.get("allow_null", False)))
     if et == "integer":
         v = P.castable(col, dt, "int") if isinstance(dt, StringType) else \
-            F.lit(P.is_numeric(dt) and "Integer" in type(dt).__name__ or
-                  type(dt).__name__ in ("LongType", "ShortType", "ByteType"))
+            F.lit(isinstance(dt, IntegralType))
         valid = F.when(col.isNull(), allow_null).otherwise(v)
     elif et == "float":
         v = P.castable(col, dt, "float")
@@ -481,7 +479,3 @@ def compile_rule(df: DataFrame, rule: Rule, key: str, frames: dict | None = None
     except RuleError as exc:
         return Check(rule, error=str(exc))
 
-
-def describe(rule: Rule) -> str:
-    return json.dumps({"id": rule.rule_id, "type": rule.rule_type, "column": rule.column},
-                      sort_keys=True)

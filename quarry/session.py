@@ -84,9 +84,3 @@ def cut_lineage_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
     path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
     df.observe(obs, F.count_if(condition).alias("n")).write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path), int(obs.get["n"] or 0)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table inside the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)
