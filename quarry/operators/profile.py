@@ -159,7 +159,7 @@ def table_statistics(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
-                    accuracy: int = 10000, grid: int = 100, max_candidates: int = 100_000,
+                    accuracy: int = 1000, grid: int = 100, max_candidates: int = 100_000,
                     max_rounds: int = 8) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / SQL ``quantile_cont``)
     of numeric columns without holding a column in one task.
