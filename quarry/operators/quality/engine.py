@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.predicates import ratio
 from quarry.operators.quality.checks import Check, compile_rule
 from quarry.operators.quality.spec import Rule
+from quarry.session import cut_lineage
 
 RESULT_SCHEMA = (
     "rule_id string, rule_name string, rule_type string, severity string, status string, "
@@ -90,12 +91,19 @@ def _passes(checks: list[Check]) -> list[list[Check]]:
 
 
 def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
-               group_by: list[str] | None = None) -> DataFrame:
+               group_by: list[str] | None = None,
+               isolate_runtime_errors: bool = False) -> DataFrame:
     """Execute compiled checks as fused passes; returns the result rows.
 
     With ``group_by`` (e.g. tenant, partition date) every rule is evaluated
     per group in the same single aggregation and the group columns lead the
     result rows; custom SQL rules are whole-dataset only.
+
+    Planning errors are always isolated per rule. With
+    ``isolate_runtime_errors`` each pass is also executed right away (its
+    aggregate row is staged in the checkpoint folder); if it fails at run
+    time (say an ANSI division by zero in a user condition), the pass is
+    re-run rule by rule and only the failing rules become ``error`` rows.
     """
     ctx = dict(ctx or {})
     group_by = list(group_by or [])
@@ -103,9 +111,9 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
     scan = [c for c in checks if c.sql_plan is None]
     sql = [c for c in checks if c.sql_plan is not None]
     outs: list[DataFrame] = []
-    for group in _passes(scan):
-        if not group:
-            continue
+    pending = [g for g in _passes(scan) if g]
+    while pending:
+        group = pending.pop(0)
         base = df
         for c in group:
             if c.error is None and c.prep is not None:
@@ -115,6 +123,17 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
             if c.error is None:
                 aggs += [e.alias(n) for n, e in c.aggs.items()]
         row = base.groupBy(*group_by).agg(*aggs) if group_by else base.agg(*aggs)
+        if isolate_runtime_errors:
+            try:
+                row = cut_lineage(row)
+            except Exception as exc:  # noqa: BLE001 - any runtime failure of user input
+                live = [c for c in group if c.error is None]
+                if len(live) > 1:
+                    pending = [[c] for c in group] + pending
+                    continue
+                for c in live:
+                    c.error = f"runtime error: {type(exc).__name__}: {str(exc)[:200]}"
+                row = df.groupBy(*group_by).agg(aggs[0]) if group_by else df.agg(aggs[0])
         total = F.col("__total")
         structs = [_result_struct(c, F.col, total, ctx) for c in group]
         outs.append(row.select(*group_by, F.explode(F.array(*structs)).alias("r"))
@@ -165,9 +184,11 @@ def _custom_sql_result(check: Check, ctx: dict) -> DataFrame:
 
 
 def run_rules(df: DataFrame, rules: list[Rule], frames: dict | None = None, as_of=None,
-              ctx: dict | None = None, group_by: list[str] | None = None) -> DataFrame:
+              ctx: dict | None = None, group_by: list[str] | None = None,
+              isolate_runtime_errors: bool = False) -> DataFrame:
     """Compile + run: the quality-check entry point (3.2)."""
-    return run_checks(df, compile_rules(df, rules, frames, as_of), ctx, group_by)
+    return run_checks(df, compile_rules(df, rules, frames, as_of), ctx, group_by,
+                      isolate_runtime_errors)
 
 
 # ---------------------------------------------------------------- row flags (R2)

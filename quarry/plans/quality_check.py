@@ -34,7 +34,7 @@ def run_quality_check(spark: SparkSession, rules_table: DataFrame, dataset: Data
     executed_at = executed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     ctx = {"organization_id": organization_id, "dataset_name": dataset_name,
            "batch_id": batch_id, "executed_at": executed_at}
-    results = run_rules(dataset, rules, frames, as_of, ctx)
+    results = run_rules(dataset, rules, frames, as_of, ctx, isolate_runtime_errors=True)
     routed = remediate.route(results, selected)
     out = {
         "results": results,

@@ -99,3 +99,16 @@ def test_passed_plus_failed_is_total(spark):
     for r in res:
         assert 0 <= r.failed_records <= r.total_records
         assert r.pass_rate == pytest.approx((r.total_records - r.failed_records) / r.total_records)
+
+
+def test_runtime_error_is_isolated(spark):
+    """Q19 at run time: a condition that fails during execution (ANSI divide
+    by zero) becomes one error row; the other rules of the pass still run."""
+    df = spark.createDataFrame([(1, 0), (2, 1)], "a int, b int")
+    res = {r.rule_id: r for r in run_rules(
+        df, [Rule("ok", "completeness", "a"),
+             Rule("boom", "consistency", None, {"condition": "a / b > 0"}),
+             Rule("ok2", "range_check", "a", {"min_value": 0})],
+        isolate_runtime_errors=True).collect()}
+    assert res["boom"].status == "error" and "runtime error" in res["boom"].error
+    assert res["ok"].status == "passed" and res["ok2"].status == "passed"
