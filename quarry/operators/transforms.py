@@ -176,7 +176,7 @@ def apply_transforms(df: DataFrame, transforms: list[dict] | None,
                      frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Apply an ordered chain; an empty chain is the identity.
 
-    Unknown transform types raise (the reference silently skipped them).
+    Unknown transform types raise instead of being skipped silently.
     """
     if not transforms:
         return df

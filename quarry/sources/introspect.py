@@ -78,8 +78,8 @@ def json_type_name(v) -> F.Column:
 def infer_document_schema(df: DataFrame, json_col: str, sample_fraction: float | None = None,
                           seed: int = 7) -> DataFrame:
     """Per top-level field, the *set* of observed JSON types and the
-    number of documents carrying it. Whole table by default; the reference's
-    10-document sample is available as an explicit ``sample_fraction``.
+    number of documents carrying it. Whole table by default; sampling is
+    available only as an explicit ``sample_fraction``.
 
     ``collect_set`` of a type name per field is partially aggregated map-side,
     so even a field present in every document costs one small row per task.

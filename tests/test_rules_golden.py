@@ -1,4 +1,4 @@
-"""Hand-computed rule answers (the reference's unit cases, FIXTURES part A)."""
+"""Hand-computed rule answers (FIXTURES part A golden cases)."""
 
 import datetime as dt
 
