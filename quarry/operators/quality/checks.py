@@ -150,6 +150,16 @@ def uniqueness(df: DataFrame, rule: Rule, key: str) -> Check:
 
 # ------------------------------------------------------------------ Q3 / Q4
 
+# Per-row reason texts of the validity rule.
+REASON_TEXT = {
+    "pattern": "Pattern mismatch: {}",
+    "data_type": "Invalid {}",
+    "min": "Below minimum: {}",
+    "max": "Above maximum: {}",
+    "allowed_values": "Not in allowed values: {}",
+}
+
+
 def validity_reasons(df: DataFrame, c: str, d: dict) -> Column:
     """Q3 reasons array for one column; empty array = valid; NULL value valid."""
     col = _col(df, c)
@@ -157,19 +167,19 @@ def validity_reasons(df: DataFrame, c: str, d: dict) -> Column:
     reasons = []
     if d.get("pattern") and isinstance(dt, StringType):
         reasons.append(F.when(~P.match_start(col, d["pattern"]),
-                              F.lit(f"Pattern mismatch: {d['pattern']}")))
+                              F.lit(REASON_TEXT["pattern"].format(d["pattern"]))))
     if d.get("data_type"):
         reasons.append(F.when(~P.castable(col, dt, d["data_type"]),
-                              F.lit(f"Invalid {d['data_type']}")))
+                              F.lit(REASON_TEXT["data_type"].format(d["data_type"]))))
     rng = d.get("range") or {}
     if rng and P.is_numeric(dt):
         if rng.get("min") is not None:
-            reasons.append(F.when(col < F.lit(rng["min"]), F.lit(f"Below minimum: {rng['min']}")))
+            reasons.append(F.when(col < F.lit(rng["min"]), F.lit(REASON_TEXT["min"].format(rng["min"]))))
         if rng.get("max") is not None:
-            reasons.append(F.when(col > F.lit(rng["max"]), F.lit(f"Above maximum: {rng['max']}")))
+            reasons.append(F.when(col > F.lit(rng["max"]), F.lit(REASON_TEXT["max"].format(rng["max"]))))
     if d.get("allowed_values"):
         reasons.append(F.when(~P.allowed(col, d["allowed_values"]),
-                              F.lit(f"Not in allowed values: {d['allowed_values']}")))
+                              F.lit(REASON_TEXT["allowed_values"].format(d["allowed_values"]))))
     arr = F.filter(F.array(*reasons), lambda x: x.isNotNull()) if reasons else \
         F.array().cast("array<string>")
     return F.when(col.isNull(), F.array().cast("array<string>")).otherwise(arr)
