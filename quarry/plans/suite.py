@@ -1484,3 +1484,49 @@ def q_quality_check_run(spark, d):
         out["batch"].select("run_status").scalar().alias("run_status"),
         out["incidents"].select(F.count(F.lit(1))).scalar().alias("incidents"),
         out["alerts"].select(F.count(F.lit(1))).scalar().alias("alerts"))
+
+
+REQ_LOG_SQL = """(SELECT user_id, 'org_' || (user_id % 3)::VARCHAR AS tenant_id,
+  CASE WHEN value > 100 THEN 'POST' ELSE 'GET' END AS method,
+  CASE WHEN event_type = 'error' THEN '/health' ELSE '/api/' || event_type END AS path,
+  CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS duration_ms,
+  '10.0.' || (user_id % 256)::VARCHAR || '.1, 172.16.0.1' AS forwarded_for, ts FROM events)"""
+
+
+def _request_log(spark, d):
+    ev = T(spark, d, "events")
+    return ev.select(
+        "user_id", F.concat(F.lit("org_"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"),
+        F.when(F.col("value") > 100, "POST").otherwise("GET").alias("method"),
+        F.when(F.col("event_type") == "error", "/health")
+        .otherwise(F.concat(F.lit("/api/"), "event_type")).alias("path"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
+        F.col("value").alias("duration_ms"),
+        F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"),
+                 F.lit(".1, 172.16.0.1")).alias("forwarded_for"), "ts")
+
+
+@register("audit_log_build", f"""
+SELECT tenant_id, method || ' ' || path AS description, trim(split_part(forwarded_for, ',', 1)) AS ip_address,
+       'low' AS severity, count(*) AS n
+FROM {REQ_LOG_SQL} WHERE path NOT IN ('/health', '/metrics', '/docs', '/openapi.json')
+GROUP BY ALL""")
+def q_audit_log_build(spark, d):
+    """Request log -> audit rows (excluded paths dropped, first
+    forwarded address), counted per tenant, description and address."""
+    a = monitoring.audit_rows(_request_log(spark, d))
+    return a.groupBy("tenant_id", "description", "ip_address", "severity").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("retention_purge", f"""
+SELECT tenant_id, count(*) AS kept FROM (
+  SELECT *, ts + (user_id % 30) * INTERVAL 1 DAY AS retention_until FROM {REQ_LOG_SQL})
+WHERE retention_until IS NULL OR retention_until > TIMESTAMP '2024-01-20 00:00:00'
+GROUP BY tenant_id""")
+def q_retention_purge(spark, d):
+    """Audit rows whose retention has not expired at the clock."""
+    r = _request_log(spark, d).withColumn(
+        "retention_until", F.col("ts") + F.make_dt_interval(F.col("user_id") % 30))
+    kept = monitoring.retention_purge(r, "2024-01-20 00:00:00")
+    return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("kept"))
