@@ -40,6 +40,24 @@ def get_session(master: str | None = None, app_name: str = "quarry",
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """Sizing for a large cluster: enough initial shuffle partitions that
+    each holds about ``target_partition_bytes`` of the input (AQE then
+    coalesces small ones and splits skewed ones), never fewer than two
+    waves of tasks; scan splits of 256 MB."""
+    slots = executors * cores_per_executor
+    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 ** 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes":
+            str(4 * target_partition_bytes),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

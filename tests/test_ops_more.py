@@ -334,3 +334,12 @@ def test_exact_quantiles_multi_round(spark):
         vals = np.array([r[j] for r in rows if r[j] is not None])
         for q in qs:
             assert got[(c, q)] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
+
+
+def test_cluster_conf_sizing():
+    from quarry.session import cluster_conf
+
+    c = cluster_conf(100 * 1024 ** 4, 1000, 8)          # 100 TB on 1000 x 8 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    small = cluster_conf(10 * 1024 ** 2, 2, 4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
