@@ -32,33 +32,40 @@ LONG_MAX = 2 ** 63 - 1
 
 
 def next_events(ev: DataFrame, keys: list[str], specs: dict[str, tuple[int, str]],
-                slab_us: int = DAY_US) -> DataFrame:
+                slab_us: int = DAY_US, events_where=None) -> DataFrame:
     """As-of lookups for every event ``(keys, id, t)`` (``t`` in epoch
     microseconds), several kinds answered by ONE sort of the data.
 
     ``specs`` maps a name to ``(gap_us, mode)``; for each event and spec the
     answer is the first event of the same key, in ``(t, id)`` order, with
     ``t' >= t + gap`` (mode ``"ge"``), ``t' > t + gap`` (``"gt"``) or
-    ``(t', id') > (t + gap, id)`` (``"succ"``, the successor when gap is 0).
+    ``(t', id') > (t + gap, id)`` (``"succ"``, the successor when gap is 0)
+    or ``(t', id') >= (t + gap, id)`` (``"self"``: the event itself counts).
+    ``events_where`` (a boolean column of ``ev``) restricts which rows can
+    be answers; every row is still a probe.
     Returns ``(id, name, nxt)``; ``nxt`` is NULL when there is none."""
-    ev = ev.select(*keys, "id", "t")
-    rows = ev.select(*keys, F.col("t"), F.col("id").alias("k2"), F.lit(0).alias("tag"),
-                     F.col("id").alias("eid"), F.lit(None).cast("bigint").alias("src"),
-                     F.lit(None).cast("string").alias("name"))
+    flag = events_where if events_where is not None else F.lit(True)
+    ev = ev.select(*keys, "id", "t", flag.alias("__ev"))
+    rows = ev.where(F.col("__ev")).select(
+        *keys, F.col("t"), F.col("id").alias("k2"), F.lit(0).alias("tag"),
+        F.col("id").alias("eid"), F.lit(None).cast("bigint").alias("src"),
+        F.lit(None).cast("string").alias("name"))
     for name, (gap_us, mode) in specs.items():
         # Probe rows sit between events: ``k2`` places them before (ge),
         # after (gt) or exactly at (succ) the events of their instant.
-        k2 = {"succ": F.col("id"), "ge": F.lit(LONG_MIN).cast("bigint"),
+        k2 = {"succ": F.col("id"), "self": F.col("id"), "ge": F.lit(LONG_MIN).cast("bigint"),
               "gt": F.lit(LONG_MAX).cast("bigint")}[mode]
+        # at equal (t, k2) a probe with tag 1 sorts before the event (strict),
+        # tag -1 after it (the event itself answers)
+        tag = -1 if mode == "self" else 1
         rows = rows.unionByName(ev.select(*keys, (F.col("t") + F.lit(gap_us)).alias("t"),
-                                          k2.alias("k2"), F.lit(1).alias("tag"),
+                                          k2.alias("k2"), F.lit(tag).alias("tag"),
                                           F.lit(None).cast("bigint").alias("eid"),
                                           F.col("id").alias("src"), F.lit(name).alias("name")))
     rows = rows.withColumn("slab", F.floor(F.col("t") / F.lit(slab_us)))
     # descending order + frame "everything before me" = everything after me
     # in (t, id) order: an incrementally maintained frame (linear), not a
-    # re-scan. At equal (t, k2) the probe sorts first, so an event never
-    # answers its own probe.
+    # re-scan.
     w = (Window.partitionBy(*keys, "slab")
          .orderBy(F.col("t").desc(), F.col("k2").desc(), F.col("tag").desc())
          .rowsBetween(Window.unboundedPreceding, -1))
@@ -142,19 +149,20 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
     Per user: an attempt while locked is rejected and changes nothing; a
     processed failure adds one to the counter and, at ``max_failures`` or
     more, locks the account for ``lock_minutes``; a processed success resets
-    the counter. As a functional graph over two states per attempt:
-
-    * ``N`` (processed in order, counter = failures since the last success):
-      a failure ending a run of ``max_failures`` consecutive failures locks,
-      otherwise the next attempt follows;
-    * ``L`` (a failure processed while the counter is already >= max): locks.
-
-    After a lock at ``t`` the next processed attempt is the first at or after
-    ``t + lock``: a failure there is an ``L`` node, a success an ``N`` node.
-    No step groups a user's attempts into one task: the successor is an
-    as-of lookup split by (user, day), the "last ``max_failures`` attempts
-    all failed" test follows predecessor links with joins on unique ids, and
-    ``mark_paths`` walks the chains from each user's first attempt.
+    the counter.
+
+    The account alternates between *segments* and *lock chains*. A segment
+    starts at the first attempt or at a success that ends a lock chain; all
+    its attempts are processed in order up to its lock point - the first
+    attempt whose last ``max_failures`` attempts all failed. After a lock at
+    ``t`` the next processed attempt is the first at or after ``t + lock``:
+    a failure there locks again (the chain goes on), a success starts a new
+    segment. Only segment starts and lock-chain failures are graph nodes, so
+    the chain marked by ``mark_paths`` has about two nodes per lock instead
+    of one per attempt. Every lookup (next attempt, first attempt after the
+    lock, next lock point, latest segment start) is a slab-split as-of
+    lookup and the "last five failed" test follows predecessor links by
+    joins on unique ids: no user's attempts are sorted in one task.
     Returns the attempts with ``processed``, ``locks`` and ``locked_until``.
     """
     a = attempts.select(F.col(user).alias("u"), F.col(id_col).alias("id"),
@@ -175,24 +183,50 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
         run = (run.join(step, "p", "left")
                .select("id", (F.col("all_f") & F.coalesce(~F.col("p_ok"), F.lit(False)))
                        .alias("all_f"), F.col("pp").alias("p")))
-    a = cut_lineage(a.join(run.select("id", F.col("all_f").alias("run_full")), "id"))
-    tgt = a.select(F.col("id").alias("g"), F.col("ok").alias("g_ok"))
-    b = a.join(tgt, "g", "left")
-    after_lock = (F.when(F.col("g").isNull(), F.lit(None).cast("bigint"))
-                  .when(F.col("g_ok"), F.col("g") * 2)
-                  .otherwise(F.col("g") * 2 + 1))
-    # node 2*id = N state of attempt id, 2*id+1 = L state
-    edges = (b.select((F.col("id") * 2).alias("id"),
-                      F.when(F.col("run_full"), after_lock).otherwise(F.col("succ") * 2)
-                      .alias("nxt"))
-             .unionByName(b.select((F.col("id") * 2 + 1).alias("id"), after_lock.alias("nxt"))))
+    a = a.join(run.select("id", F.col("all_f").alias("run_full")), "id")
+    # lock point of a segment starting at i: first attempt >= i with run_full
+    lp = next_events(a.select("u", "id", "t", "run_full"), ["u"], {"lp": (0, "self")},
+                     events_where=F.col("run_full")).select("id", F.col("nxt").alias("lp"))
+    a = cut_lineage(a.join(lp, "id"))
+    info = a.select(F.col("id").alias("x"), F.col("ok").alias("x_ok"))
+    # after a lock at i: the next processed attempt g(i) -> segment or chain
+    def after(col: str):
+        return (F.when(F.col(col).isNull(), F.lit(None).cast("bigint"))
+                .when(F.col(f"{col}_ok"), F.col(col) * 2)
+                .otherwise(F.col(col) * 2 + 1))
+    # node 2*i = segment starting at i, 2*i+1 = lock-chain failure at i
+    g_of = a.select(F.col("id").alias("lp"), F.col("g").alias("lpg"))
+    seg = (a.join(g_of, "lp", "left")
+           .join(info.withColumnRenamed("x", "lpg").withColumnRenamed("x_ok", "lpg_ok"),
+                 "lpg", "left")
+           .select((F.col("id") * 2).alias("id"), after("lpg").alias("nxt")))
+    chain = (a.join(info.withColumnRenamed("x", "g").withColumnRenamed("x_ok", "g_ok"),
+                    "g", "left")
+             .select((F.col("id") * 2 + 1).alias("id"), after("g").alias("nxt")))
     roots = a.where(F.col("pred").isNull()).select((F.col("id") * 2).alias("id"))
-    reached = mark_paths(edges, roots)
-    st = (reached.select(F.floor(F.col("id") / 2).alias("id"),
-                         (F.col("id") % 2 == 1).alias("is_l"))
-          .join(a.select("id", "run_full"), "id")
-          .select("id", F.lit(True).alias("processed"),
-                  (F.col("is_l") | F.col("run_full")).alias("locks")))
+    reached = mark_paths(seg.unionByName(chain), roots)
+    starts = reached.where(F.col("id") % 2 == 0).select(
+        F.floor(F.col("id") / 2).alias("id"), F.lit(True).alias("is_start"))
+    chained = reached.where(F.col("id") % 2 == 1).select(
+        F.floor(F.col("id") / 2).alias("id"), F.lit(True).alias("in_chain"))
+    # latest reached segment start at or before each attempt: a backward
+    # as-of lookup (the same lookup on negated time and ids)
+    b = a.join(starts, "id", "left")
+    back = next_events(
+        b.select("u", (-F.col("id")).alias("id"), (-F.col("t")).alias("t"),
+                 F.coalesce(F.col("is_start"), F.lit(False)).alias("is_start")),
+        ["u"], {"s": (0, "self")}, events_where=F.col("is_start"))
+    back = back.select((-F.col("id")).alias("id"), (-F.col("nxt")).alias("seg"))
+    seg_lp = a.select(F.col("id").alias("seg"), F.col("lp").alias("seg_lp"))
+    lp_pos = a.select(F.col("id").alias("seg_lp"), F.col("t").alias("lp_t"))
+    st = (a.join(back, "id", "left").join(seg_lp, "seg", "left").join(lp_pos, "seg_lp", "left")
+          .join(chained, "id", "left"))
+    in_segment = F.col("seg").isNotNull() & (
+        F.col("seg_lp").isNull() | (F.col("t") < F.col("lp_t")) |
+        ((F.col("t") == F.col("lp_t")) & (F.col("id") <= F.col("seg_lp"))))
+    in_chain = F.coalesce(F.col("in_chain"), F.lit(False))
+    st = st.select("id", (in_segment | in_chain).alias("processed"),
+                   (in_chain | (F.col("seg_lp") == F.col("id"))).alias("locks"))
     out = (attempts.join(st.withColumnRenamed("id", id_col), id_col, "left")
            .withColumn("processed", F.coalesce("processed", F.lit(False)))
            .withColumn("locks", F.coalesce("locks", F.lit(False))))
