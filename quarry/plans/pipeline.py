@@ -81,3 +81,28 @@ def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | Non
     else:
         df.write.format("noop").mode("overwrite").save()
     return {"run_id": run_id, "output": out, **obs.get}
+
+
+def run_streaming(spark: SparkSession, spec: PipelineSpec, checkpoint: str, kind: str = "batch",
+                  schema=None, max_files_per_trigger: int | None = None,
+                  interval: str = "60 seconds"):
+    """The same pipeline spec on a stream. The source folder is read as
+    a file stream (new files become micro-batches), the row-level transform
+    chain is applied unchanged, row-level rules flag rows inline (X7) and the
+    result is appended to the target path; ``kind`` picks the trigger
+    (batch = availableNow, micro_batch = processingTime, streaming = default).
+    Returns the started ``StreamingQuery``."""
+    from quarry import streaming
+
+    src = spec.source
+    stream = streaming.file_stream(spark, src["path"], schema or src.get("schema"),
+                                   src.get("format", "parquet"), max_files_per_trigger)
+    df = apply_transforms(stream, spec.transforms)
+    if spec.organization:
+        df = ingest_metadata(df, spec.organization, spec.environment)
+    if spec.rules:
+        df = streaming.flag_stream(df, spec.rules)
+    target = spec.target or {}
+    trig = {"interval": interval} if kind == "micro_batch" else {}
+    return streaming.start(df, checkpoint, kind, target.get("format", "parquet"),
+                           path=target.get("path"), **trig)

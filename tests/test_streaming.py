@@ -126,3 +126,25 @@ def test_cdc_stream(spark):
     assert t.count() == o.where(F.col("o_orderkey") % 20 != 0).count()
     assert t.where("o_orderstatus = 'X'").count() == o.where(
         (F.col("o_orderkey") % 10 == 0) & (F.col("o_orderkey") % 20 != 0)).count()
+
+
+def test_pipeline_spec_runs_as_stream(spark):
+    """The batch pipeline spec applied to a file stream (availableNow)."""
+    from quarry.operators.quality import Rule
+    from quarry.plans.pipeline import PipelineSpec, build, run_streaming
+
+    d, src = _stream_copy(spark, 3)
+    spec = PipelineSpec(source={"format": "parquet", "path": os.path.join(d, "in")},
+                        transforms=[{"type": "filter", "condition": "amount > 10"},
+                                    {"type": "add_column", "name": "cents",
+                                     "expression": "cast(amount * 100 as bigint)"}],
+                        rules=[Rule("r", "range_check", "amount", {"max_value": 100})],
+                        target={"path": os.path.join(d, "out")}, organization="org_9")
+    q = run_streaming(spark, spec, os.path.join(d, "ck"), "batch", schema=src.schema,
+                      max_files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(os.path.join(d, "out"))
+    batch = build(spark, PipelineSpec(source={"frame": src}, transforms=spec.transforms))
+    assert out.count() == batch.count()
+    assert out.where(F.size("_failed_rules") > 0).count() == batch.where("amount > 100").count()
+    assert out.select("organization").distinct().first()[0] == "org_9"
