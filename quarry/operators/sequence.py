@@ -25,6 +25,17 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage, cut_lineage_counting
 
 DAY_US = 86_400_000_000
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def to_micros(df: DataFrame, ts: str):
+    """Epoch microseconds of a timestamp column without any session-time-zone
+    conversion: wall-clock (NTZ) columns are measured from the NTZ epoch."""
+    from pyspark.sql.types import TimestampNTZType
+
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, `{ts}`)")
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 LONG_MIN = -(2 ** 63)
@@ -134,8 +145,7 @@ def suppress_repeats(events: DataFrame, keys: list[str], ts: str, id_col: str,
     within ``window_seconds`` before it (a gap of exactly the window is still
     suppressed). Suppressed events do not extend the window. Returns the
     input rows with a boolean ``emitted`` column."""
-    ev = events.select(*keys, F.col(id_col).alias("id"),
-                       F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    ev = events.select(*keys, F.col(id_col).alias("id"), to_micros(events, ts).alias("t"))
     edges = next_at_or_after(ev, keys, window_seconds * 1_000_000, inclusive=False)
     kept = mark_paths(edges, first_per_key(ev, keys)).withColumn("emitted", F.lit(True))
     return (events.join(kept.withColumnRenamed("id", id_col), id_col, "left")
@@ -166,7 +176,7 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
     Returns the attempts with ``processed``, ``locks`` and ``locked_until``.
     """
     a = attempts.select(F.col(user).alias("u"), F.col(id_col).alias("id"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+                        to_micros(attempts, ts).alias("t"),
                         F.col(success).cast("boolean").alias("ok"))
     nx = next_events(a.select("u", "id", "t"), ["u"],
                      {"succ": (0, "succ"), "g": (lock_minutes * 60_000_000, "ge")})
@@ -245,8 +255,10 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int,
     per-key window over one summary row per slab carries the previous slab's
     last event / last session start across slab borders. Adds
     ``session_start`` (timestamp)."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    x = df.withColumn("__t", t).withColumn("__slab", F.floor(F.col("__t") / F.lit(slab_us)))
+    from pyspark.sql.types import TimestampNTZType
+
+    ntz = isinstance(df.schema[ts].dataType, TimestampNTZType)
+    x = df.withColumn("__t", to_micros(df, ts)).withColumn("__slab", F.floor(F.col("__t") / F.lit(slab_us)))
     w = Window.partitionBy(*keys, "__slab").orderBy("__t")
     x = x.withColumn("__prev", F.lag("__t").over(w))
     # carry: last event time of the closest earlier non-empty slab
@@ -265,5 +277,7 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int,
     carry2 = starts.select(*keys, "__slab", F.max("__s").over(wsr).alias("__carry2"))
     x = x.join(carry2, [*keys, "__slab"], "left")
     start = F.coalesce(F.col("__open"), F.col("__carry2"))
-    return (x.withColumn("session_start", F.timestamp_micros(start))
-            .drop("__t", "__slab", "__prev", "__carry", "__start", "__open", "__carry2"))
+    x = x.withColumn("__s0", start)
+    return (x.withColumn("session_start", F.expr(f"timestampadd(MICROSECOND, __s0, {EPOCH_NTZ})")
+                         if ntz else F.timestamp_micros(start))
+            .drop("__t", "__slab", "__prev", "__carry", "__start", "__open", "__carry2", "__s0"))

@@ -92,7 +92,14 @@ def incremental_filter(df: DataFrame, column: str, last_value=None) -> DataFrame
     """
     if last_value is None:
         return df
-    return df.filter(F.col(column) > F.lit(last_value))
+    lit = F.lit(last_value)
+    if hasattr(last_value, "isoformat"):
+        # a datetime/date mark becomes a literal of the column's own type via
+        # its text form, so no session-time-zone conversion is involved
+        text = last_value.isoformat(sep=" ") if hasattr(last_value, "hour") \
+            else last_value.isoformat()
+        lit = F.lit(text).cast(df.schema[column].dataType)
+    return df.filter(F.col(column) > lit)
 
 
 def high_water_mark(df: DataFrame, column: str, source: str) -> DataFrame:
