@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage, cut_lineage_counting
 
 DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -43,7 +44,7 @@ LONG_MAX = 2 ** 63 - 1
 
 
 def next_events(ev: DataFrame, keys: list[str], specs: dict[str, tuple[int, str]],
-                slab_us: int = DAY_US, events_where=None) -> DataFrame:
+                slab_us: int = HOUR_US, events_where=None) -> DataFrame:
     """As-of lookups for every event ``(keys, id, t)`` (``t`` in epoch
     microseconds), several kinds answered by ONE sort of the data.
 
@@ -100,7 +101,7 @@ def next_events(ev: DataFrame, keys: list[str], specs: dict[str, tuple[int, str]
 
 
 def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: bool,
-                     slab_us: int = DAY_US, successor: bool = False) -> DataFrame:
+                     slab_us: int = HOUR_US, successor: bool = False) -> DataFrame:
     """One as-of lookup (see ``next_events``): first event at or after
     (``inclusive``) / after ``t + gap``, or the successor. ``(id, nxt)``."""
     mode = "succ" if successor else ("ge" if inclusive else "gt")
@@ -245,7 +246,7 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
 
 
 def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int,
-               slab_us: int = DAY_US) -> DataFrame:
+               slab_us: int = HOUR_US) -> DataFrame:
     """Session start of every row: a row opens a new session when the
     previous row of its key is ``gap_seconds`` or more earlier (or absent);
     every row belongs to the latest session start at or before it.
