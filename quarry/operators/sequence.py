@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage, cut_lineage_counting
+from quarry.session import cut_lineage, cut_lineage_counting, drop_written
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -128,10 +128,17 @@ def mark_paths(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> Data
             F.col("j").isNotNull())
         levels.append(level)
     reached = roots.select("id")
+    written = []
     for lv in levels[:-1]:
         step = (reached.join(lv, "id").where(F.col("j").isNotNull())
                 .select(F.col("j").alias("id")))
         reached = cut_lineage(reached.unionByName(step))
+        written.append(reached)
+    # the finished levels and the intermediate reached sets are read by no
+    # later plan: free their storage in the checkpoint folder
+    spark = edges.sparkSession
+    for t in levels + written[:-1]:
+        drop_written(spark, t)
     return reached
 
 

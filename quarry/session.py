@@ -91,6 +91,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_written(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the folder behind a frame returned by ``cut_lineage`` once no
+    later plan reads it (iterative operators free their finished levels)."""
+    for f in df.inputFiles()[:1]:
+        folder = f.rsplit("/", 1)[0]
+        if "/quarry-" not in folder:
+            return
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def cut_lineage_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
     """``cut_lineage`` that also counts the rows matching ``condition`` while
     the table is written (an observed metric: no second job)."""
