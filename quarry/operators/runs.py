@@ -63,8 +63,9 @@ def page(df: DataFrame, sort_by: str = "started_at", descending: bool = True,
 
 
 def pipeline_list(pipelines: DataFrame, runs: DataFrame, status: str | None = None,
-                  search: Column | None = None) -> DataFrame:
-    """Pipelines (optionally filtered) with their last run attached."""
+                  search: Column | None = None, versions: DataFrame | None = None) -> DataFrame:
+    """Pipelines (optionally filtered) with their last run and, when a
+    versions table is given, their current version attached."""
     p = pipelines
     if status is not None:
         p = p.where(F.col("status") == status)
@@ -73,7 +74,12 @@ def pipeline_list(pipelines: DataFrame, runs: DataFrame, status: str | None = No
     last = latest_run(runs).select("pipeline_id", F.col("run_id").alias("last_run_id"),
                                    F.col("started_at").alias("last_run_at"),
                                    F.col("status").alias("last_run_status"))
-    return p.join(last, "pipeline_id", "left")
+    out = p.join(last, "pipeline_id", "left")
+    if versions is not None:
+        cur = current_version(versions).select(
+            "pipeline_id", F.col("version").alias("current_version"))
+        out = out.join(cur, "pipeline_id", "left")
+    return out
 
 
 def current_version(versions: DataFrame) -> DataFrame:

@@ -343,3 +343,20 @@ def test_cluster_conf_sizing():
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     small = cluster_conf(10 * 1024 ** 2, 2, 4)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_pipeline_list_with_versions(spark):
+    import datetime as dt
+
+    p = spark.createDataFrame([(1, "a", "active"), (2, "b", "active")],
+                              "pipeline_id int, name string, status string")
+    r = spark.createDataFrame([(10, 1, dt.datetime(2024, 1, 1), "success"),
+                               (11, 1, dt.datetime(2024, 1, 2), "failed")],
+                              "run_id int, pipeline_id int, started_at timestamp, status string")
+    v = spark.createDataFrame([(1, 1, True, dt.datetime(2024, 1, 1)),
+                               (1, 2, True, dt.datetime(2024, 1, 3)),
+                               (2, 1, False, dt.datetime(2024, 1, 1))],
+                              "pipeline_id int, version int, is_current boolean, created_at timestamp")
+    out = {x.pipeline_id: x for x in runs.pipeline_list(p, r, versions=v).collect()}
+    assert out[1].last_run_id == 11 and out[1].current_version == 2
+    assert out[2].last_run_id is None and out[2].current_version is None
