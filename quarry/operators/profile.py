@@ -248,6 +248,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
         if not wide:
             break
     live = [k for k in keys if state[k]["m"]]
+    if not live:
+        return spark.createDataFrame([], "column_name string, q double, value double")
     # final: the remaining candidates of each (column, quantile), counted per
     # distinct value; the running count over distinct values locates the two
     # order statistics (ties cost one row each)

@@ -360,3 +360,16 @@ def test_pipeline_list_with_versions(spark):
     out = {x.pipeline_id: x for x in runs.pipeline_list(p, r, versions=v).collect()}
     assert out[1].last_run_id == 11 and out[1].current_version == 2
     assert out[2].last_run_id is None and out[2].current_version is None
+
+
+def test_profile_edge_cases(spark):
+    from quarry.operators import profile
+
+    df = spark.createDataFrame([(None, 1.0, "a"), (None, 1.0, None)], "a double, b double, s string")
+    p = {r.column_name: r for r in profile.profile_columns(df).collect()}
+    assert p["a"].null_count == 2 and p["a"].median is None
+    assert p["b"].median == 1.0 and p["b"].q25 == 1.0 and p["b"].std == 0.0
+    assert p["s"].null_count == 1 and p["s"].max_length == 1
+    empty = spark.createDataFrame([], "a double")
+    e = profile.profile_columns(empty).first()
+    assert e.null_count == 0 and e.median is None
