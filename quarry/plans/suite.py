@@ -522,24 +522,24 @@ FLAGSHIP_RULES = [Rule("fq_spent", "completeness", "total_spent"),
                   Rule("fq_orders", "range_check", "n_orders", {"min_value": 1, "max_value": 15})]
 
 
-@register("pipeline_quality", " UNION ALL ".join([
+@register("transform_chain_quality", " UNION ALL ".join([
     rule_sql("fq_spent", "count(total_spent)", "count(*)", 0.95, CHAIN_SQL),
     rule_sql("fq_unique", "count(DISTINCT o_custkey)", "count(*)", 1.0, CHAIN_SQL, 1.0),
     rule_sql("fq_orders", "count_if(n_orders IS NULL OR (n_orders >= 1 AND n_orders <= 15))",
              "count(*)", 0.95, CHAIN_SQL),
 ]))
-def q_pipeline_quality(spark, d):
+def q_transform_chain_quality(spark, d):
     """Flagship (7.2 step 1): parquet scan -> transform chain (filter,
     computed column, aggregate) -> fused completeness/uniqueness/range."""
-    from quarry.plans.pipeline import PipelineSpec, quality_of
+    from quarry.plans.runner import PipelineSpec, quality_of
 
     spec = PipelineSpec(source={"format": "parquet", "path": os.path.join(d, "orders.parquet")},
                         transforms=ORDER_CHAIN, rules=FLAGSHIP_RULES)
     return results(quality_of(spark, spec))
 
 
-@register("pipeline_chain", f"SELECT * FROM {CHAIN_SQL}")
-def q_pipeline_chain(spark, d):
+@register("transform_chain", f"SELECT * FROM {CHAIN_SQL}")
+def q_transform_chain(spark, d):
     """P1-P7 chain output (the transformed frame itself)."""
     return transforms.apply_transforms(T(spark, d, "orders"), ORDER_CHAIN)
 
@@ -930,7 +930,7 @@ def q_runs_page(spark, d):
         "status")
 
 
-@register("pipeline_list", f"""
+@register("listing_with_last_run", f"""
 WITH p AS (SELECT c_custkey AS pipeline_id, c_name AS name, c_mktsegment AS status FROM customer
            WHERE c_mktsegment = 'MACHINERY' AND (c_name ILIKE '%00001%' OR c_mktsegment ILIKE '%00001%')),
 l AS (SELECT pipeline_id, run_id, status FROM (
@@ -938,7 +938,7 @@ l AS (SELECT pipeline_id, run_id, status FROM (
   FROM {RUNS_SQL}) WHERE rn = 1)
 SELECT p.pipeline_id, p.name, l.run_id AS last_run_id, l.status AS last_run_status
 FROM p LEFT JOIN l USING (pipeline_id)""")
-def q_pipeline_list(spark, d):
+def q_listing_with_last_run(spark, d):
     """Filtered pipeline list with the last run attached."""
     from quarry.functions.text import ilike_any
 

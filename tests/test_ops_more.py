@@ -145,7 +145,7 @@ def test_connections_join(spark):
 
 
 def test_pipeline_run_end_to_end(spark):
-    from quarry.plans.pipeline import PipelineSpec, run
+    from quarry.plans.runner import PipelineSpec, run
 
     d = tmp()
     spec = PipelineSpec(source={"format": "parquet", "path": f"{SF001}/lineitem.parquet"},

@@ -20,7 +20,7 @@ def formatted(df):
 
 
 def test_flagship_pushes_filter_and_prunes_columns(spark):
-    txt = formatted(suite.QUERIES["pipeline_quality"](spark, SF001))
+    txt = formatted(suite.QUERIES["transform_chain_quality"](spark, SF001))
     assert "GreaterThan(o_totalprice,0.0)" in txt
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", txt)
     assert schemas and all(s == "struct<o_custkey:bigint,o_totalprice:double>" for s in schemas)

@@ -131,7 +131,7 @@ def test_cdc_stream(spark):
 def test_pipeline_spec_runs_as_stream(spark):
     """The batch pipeline spec applied to a file stream (availableNow)."""
     from quarry.operators.quality import Rule
-    from quarry.plans.pipeline import PipelineSpec, build, run_streaming
+    from quarry.plans.runner import PipelineSpec, build, run_streaming
 
     d, src = _stream_copy(spark, 3)
     spec = PipelineSpec(source={"format": "parquet", "path": os.path.join(d, "in")},
