@@ -208,3 +208,72 @@ def rules_batch_writer(rules: list[Rule], base: str, frames: dict | None = None)
         res = run_rules(batch, rules, frames, ctx={"batch_id": str(batch_id)})
         res.write.mode("overwrite").parquet(os.path.join(base, f"batch_id={batch_id}"))
     return write
+
+
+# ------------------------------------------------------------------ 3.3 flow
+
+def quota_batch_writer(base: str, quotas: DataFrame, window_seconds: int = 3600) -> Callable:
+    """Usage -> quota -> violation per micro-batch (the 3.3 flow).
+
+    1. the batch is rolled up (A16) into ``usage/batch_id=<n>`` (overwrite:
+       replay-safe);
+    2. current usage per quota period is the sum over all written roll-ups of
+       the periods this batch touched (G1, bucketed by each quota's period);
+    3. each (org, resource) over a threshold is a violation candidate at the
+       batch's event time (G2) with its action (G3);
+    4. a candidate is recorded only when the last *recorded* violation of the
+       same (org, resource, type) is more than ``window_seconds`` older (W4);
+       with one candidate per key and batch this is a join with the latest
+       recorded violation per key, not a chain;
+    5. recorded violations go to ``violations/batch_id=<n>`` (overwrite).
+    """
+    from quarry.functions.periods import period_start_col
+    from quarry.operators.joins import latest_per_key
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        keys = ["organization_id", "resource_type"]
+        b = batch.join(quotas.select(*keys, "reset_period"), keys, "inner").withColumn(
+            "period_start", period_start_col(F.col("ts"), F.col("reset_period")))
+        (b.groupBy(*keys, "period_start").agg(F.sum("amount").alias("amount"),
+                                              F.count(F.lit(1)).alias("records"),
+                                              F.max("ts").alias("last_ts"))
+         .withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").parquet(os.path.join(base, "usage", f"batch_id={batch_id}")))
+        usage_tbl = spark.read.parquet(os.path.join(base, "usage"))
+        touched = b.select(*keys, "period_start").distinct()
+        current = (usage_tbl.where(F.col("batch_id") <= batch_id)
+                   .join(touched, [*keys, "period_start"], "left_semi")
+                   .groupBy(*keys, "period_start")
+                   .agg(F.sum("amount").alias("current_usage"), F.max("last_ts").alias("ts")))
+        st = current.join(quotas, keys, "inner")
+        pct = F.when(F.col("quota_limit") > 0, F.col("current_usage") / F.col("quota_limit")) \
+            .otherwise(F.lit(0.0))
+        cand = (st.withColumn("pct", pct)
+                .withColumn("violation_type",
+                            F.when(F.col("pct") >= 1.0, "exceeded")
+                            .when(F.col("pct") >= F.col("warning_threshold"), "warning"))
+                .where(F.col("violation_type").isNotNull())
+                .select(*keys, "violation_type", "current_usage", "quota_limit",
+                        F.col("ts").alias("created_at"),
+                        usage.enforcement_action(F.col("violation_type"), F.col("resource_type"))
+                        .alias("action_taken")))
+        vkeys = [*keys, "violation_type"]
+        vpath = os.path.join(base, "violations")
+        if _exists(spark, vpath):
+            prev = spark.read.parquet(vpath).where(F.col("batch_id") < batch_id)
+            last = latest_per_key(prev.select(*vkeys, "created_at"), vkeys,
+                                  [F.col("created_at")]).withColumnRenamed("created_at", "last_at")
+            cand = (cand.join(last, vkeys, "left")
+                    .where(F.col("last_at").isNull() |
+                           (F.unix_seconds("created_at") - F.unix_seconds("last_at")
+                            > window_seconds))
+                    .drop("last_at"))
+        (cand.withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").parquet(os.path.join(vpath, f"batch_id={batch_id}")))
+    return write
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)

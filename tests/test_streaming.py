@@ -148,3 +148,28 @@ def test_pipeline_spec_runs_as_stream(spark):
     assert out.count() == batch.count()
     assert out.where(F.size("_failed_rules") > 0).count() == batch.where("amount > 100").count()
     assert out.select("organization").distinct().first()[0] == "org_9"
+
+
+def test_quota_flow_suppresses_within_the_hour(spark):
+    """3.3: usage -> quota -> violation per batch; a repeated violation of
+    the same key within an hour of the last recorded one is not recorded."""
+    import datetime as dt
+
+    d = tempfile.mkdtemp(prefix="quarry-quota-")
+    quotas = spark.createDataFrame([("o", "api_calls", 10.0, 0.8, "monthly")],
+                                   "organization_id string, resource_type string, "
+                                   "quota_limit double, warning_threshold double, "
+                                   "reset_period string")
+    w = streaming.quota_batch_writer(d, quotas)
+    schema = "organization_id string, resource_type string, amount double, ts timestamp"
+    t0 = dt.datetime(2024, 1, 1, 10, 0)
+    batches = [[("o", "api_calls", 11.0, t0)],                          # exceeded -> recorded
+               [("o", "api_calls", 1.0, t0 + dt.timedelta(minutes=30))],  # within 1 h -> no
+               [("o", "api_calls", 1.0, t0 + dt.timedelta(minutes=90))]]  # 90 min -> recorded
+    for i, rows in enumerate(batches):
+        w(spark.createDataFrame(rows, schema), i)
+    w(spark.createDataFrame(batches[1], schema), 1)                      # replay is harmless
+    v = spark.read.parquet(os.path.join(d, "violations")).orderBy("batch_id").collect()
+    assert [r.batch_id for r in v] == [0, 2]
+    assert all(r.violation_type == "exceeded" and r.action_taken == "rate_limit_api" for r in v)
+    assert v[1].current_usage == 13.0
