@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,25 +164,36 @@ def suppress_stream(violations: DataFrame, window_seconds: int = 3600,
     micro-batch size (maxFiles/maxOffsets per trigger); state times out once
     the watermark passes the suppression horizon."""
     keys = ["organization_id", "resource_type", "violation_type"]
-    gap = pd.Timedelta(seconds=window_seconds)
+
+    gap_us = window_seconds * 1_000_000
 
     def fold(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        emitted = []
-        for pdf in pdfs:
-            for row in pdf.sort_values(["ts", "id"]).itertuples(index=False):
-                if last is None or row.ts - last > gap:
-                    emitted.append(row)
-                    last = row.ts
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000)
+        chunks = [p for p in pdfs if len(p)]
+        if not chunks:
+            return
+        pdf = pd.concat(chunks, ignore_index=True).sort_values(["ts", "id"], kind="stable")
+        t = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+        # greedy chain with jumps: the next kept row is the first one more
+        # than the window after the last kept one (searchsorted), so the loop
+        # runs once per emitted violation, not once per row
+        i = 0
+        if state.exists:
+            last = pd.Timestamp(state.get[0]).to_datetime64().astype("datetime64[us]")
+            i = int(np.searchsorted(t, last.astype("int64") + gap_us, side="right"))
+        kept = []
+        while i < len(t):
+            kept.append(i)
+            i = int(np.searchsorted(t, t[i] + gap_us, side="right"))
+        if kept:
+            out = pdf.iloc[kept]
+            last_ts = out["ts"].iloc[-1]
+            state.update((last_ts,))
+            state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000)
                                       + window_seconds * 1000)
-        if emitted:
-            yield pd.DataFrame(emitted)[["id", *keys, "ts"]]
+            yield out[["id", *keys, "ts"]]
 
     s = event_time(violations, "ts", delay)
     return s.groupBy(*keys).applyInPandasWithState(

@@ -173,3 +173,31 @@ def test_quota_flow_suppresses_within_the_hour(spark):
     assert [r.batch_id for r in v] == [0, 2]
     assert all(r.violation_type == "exceeded" and r.action_taken == "rate_limit_api" for r in v)
     assert v[1].current_usage == 13.0
+
+
+def test_suppress_stream_state_across_batches(spark):
+    """X6 with one file per trigger in time order: the last emitted time per
+    key is carried in state from batch to batch."""
+    import time as _time
+
+    d = tempfile.mkdtemp(prefix="quarry-sup2-")
+    ev = spark.read.parquet(f"{SF001}/events.parquet").where(F.col("value") >= 40)
+    v = ev.select(F.col("event_id").alias("id"),
+                  F.concat(F.lit("org_"), (F.col("user_id") % 2).cast("string"))
+                  .alias("organization_id"), F.lit("r").alias("resource_type"),
+                  F.lit("exceeded").alias("violation_type"), F.col("ts").cast("timestamp"))
+    days = [r[0] for r in v.select(F.to_date("ts")).distinct().orderBy(1).collect()]
+    for i, chunk in enumerate([days[j:j + 10] for j in range(0, len(days), 10)]):
+        v.where(F.to_date("ts").isin(chunk)).coalesce(1).write.parquet(
+            os.path.join(d, "in", f"part{i:02d}"))
+        _time.sleep(1.1)       # distinct modification times keep the file order
+    stream = (spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(d, "in")))
+    q = streaming.start(streaming.suppress_stream(stream), os.path.join(d, "ck"), "batch",
+                        "memory", "sup_out2")
+    q.awaitTermination()
+    got = {r.id for r in spark.table("sup_out2").collect()}
+    want = {r.id for r in sequence.suppress_repeats(
+        v, ["organization_id", "resource_type", "violation_type"], "ts", "id")
+        .where("emitted").collect()}
+    assert got == want
