@@ -1530,3 +1530,18 @@ def q_retention_purge(spark, d):
         "retention_until", F.col("ts") + F.make_dt_interval(F.col("user_id") % 30))
     kept = monitoring.retention_purge(r, "2024-01-20 00:00:00")
     return kept.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@register("top_values_per_column", """
+SELECT column_name, value, count, rank FROM (
+  SELECT column_name, value, count,
+         row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank
+  FROM (SELECT 'p_brand' AS column_name, p_brand AS value, count(*) AS count FROM part
+        WHERE p_brand IS NOT NULL GROUP BY p_brand
+        UNION ALL SELECT 'p_type', p_type, count(*) FROM part WHERE p_type IS NOT NULL GROUP BY p_type
+        UNION ALL SELECT 'p_name', p_name, count(*) FROM part WHERE p_name IS NOT NULL GROUP BY p_name))
+WHERE rank <= 3""")
+def q_top_values_per_column(spark, d):
+    """A11/T4 for several columns in one pass (two-stage top-k per column)."""
+    out = profile.top_values_all(T(spark, d, "part"), ["p_brand", "p_type", "p_name"], 3)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
