@@ -97,7 +97,8 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
 
     With ``group_by`` (e.g. tenant, partition date) every rule is evaluated
     per group in the same single aggregation and the group columns lead the
-    result rows; custom SQL rules are whole-dataset only.
+    result rows; custom SQL rules are whole-dataset rules (one row, NULL
+    group columns).
 
     Planning errors are always isolated per rule. With
     ``isolate_runtime_errors`` each pass is also executed right away (its
@@ -138,8 +139,8 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
         structs = [_result_struct(c, F.col, total, ctx) for c in group]
         outs.append(row.select(*group_by, F.explode(F.array(*structs)).alias("r"))
                     .select(*group_by, "r.*"))
-    if group_by:
-        sql = []
+    # custom SQL rules judge the dataset as a whole: with ``group_by`` they
+    # are reported once, with NULL group columns
     for c in sql:
         outs.append(_custom_sql_result(c, ctx))
     if not outs:
@@ -147,7 +148,7 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
     # Results of several passes / SQL rules appended by name
     out = outs[0]
     for o in outs[1:]:
-        out = out.unionByName(o)
+        out = out.unionByName(o, allowMissingColumns=bool(group_by))
     return out
 
 

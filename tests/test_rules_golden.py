@@ -112,3 +112,13 @@ def test_runtime_error_is_isolated(spark):
         isolate_runtime_errors=True).collect()}
     assert res["boom"].status == "error" and "runtime error" in res["boom"].error
     assert res["ok"].status == "passed" and res["ok2"].status == "passed"
+
+
+def test_grouped_checks_keep_custom_sql(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "g string, v int")
+    res = run_rules(df, [Rule("c", "completeness", "v"),
+                         Rule("s", "custom_sql", None, {"sql_query": "SELECT * FROM {t} WHERE v < 0"})],
+                    frames={"t": df}, group_by=["g"]).collect()
+    by = {(r.g, r.rule_id): r for r in res}
+    assert by[("a", "c")].failed_records == 1 and by[("b", "c")].status == "passed"
+    assert by[(None, "s")].status == "passed"
