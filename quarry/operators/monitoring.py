@@ -23,7 +23,8 @@ def upsert_alerts(alerts: DataFrame, keys=("name", "service", "organization_id")
             .select(*keys, id_col, "__n.message", "__n.details", ts, "occurrences"))
 
 
-def health_rollup(results: DataFrame, services: DataFrame, group: list[str] | None = None) -> DataFrame:
+def health_rollup(results: DataFrame, services: DataFrame,
+                  group: list[str] | None = None) -> DataFrame:
     """Overall status per group: any critical service unhealthy ->
     unhealthy, else any critical degraded -> degraded, else healthy.
     Services missing from ``services`` count as critical; ``unknown`` and
@@ -40,7 +41,8 @@ def health_rollup(results: DataFrame, services: DataFrame, group: list[str] | No
                                  [F.col("__w")], F.lit("healthy")).alias("overall_status"))
 
 
-def score_trend(scores: DataFrame, key: str, day: str, score: str, window_days: int = 7) -> DataFrame:
+def score_trend(scores: DataFrame, key: str, day: str, score: str,
+                window_days: int = 7) -> DataFrame:
     """Day-over-day change and trailing moving average of a daily score.
     The input is one row per (key, day) - already aggregated - so each
     window partition is bounded by the number of days."""

@@ -174,9 +174,11 @@ def validity_reasons(df: DataFrame, c: str, d: dict) -> Column:
     rng = d.get("range") or {}
     if rng and P.is_numeric(dt):
         if rng.get("min") is not None:
-            reasons.append(F.when(col < F.lit(rng["min"]), F.lit(REASON_TEXT["min"].format(rng["min"]))))
+            reasons.append(F.when(col < F.lit(rng["min"]),
+                                  F.lit(REASON_TEXT["min"].format(rng["min"]))))
         if rng.get("max") is not None:
-            reasons.append(F.when(col > F.lit(rng["max"]), F.lit(REASON_TEXT["max"].format(rng["max"]))))
+            reasons.append(F.when(col > F.lit(rng["max"]),
+                                  F.lit(REASON_TEXT["max"].format(rng["max"]))))
     if d.get("allowed_values"):
         reasons.append(F.when(~P.allowed(col, d["allowed_values"]),
                               F.lit(REASON_TEXT["allowed_values"].format(d["allowed_values"]))))
@@ -294,7 +296,8 @@ def accuracy(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
     if not keys or any(k not in df.columns for k in keys):
         raise RuleError("accuracy needs join keys present in the dataset")
     flag = f"{key}_acc"
-    prep = lambda x: J.accuracy_flag(x, keys, target, ref, ref_keys, ref_col or target, flag)
+    def prep(x: DataFrame) -> DataFrame:
+        return J.accuracy_flag(x, keys, target, ref, ref_keys, ref_col or target, flag)
     name = f"{key}_ok"
 
     def build(get, total):

@@ -41,7 +41,8 @@ def pipeline_metrics(runs: DataFrame) -> DataFrame:
                  F.avg("records_processed").alias("avg_records")))
 
 
-def classify_timeouts(runs: DataFrame, as_of, limit_seconds: int = RUN_TIMEOUT_SECONDS) -> DataFrame:
+def classify_timeouts(runs: DataFrame, as_of,
+                      limit_seconds: int = RUN_TIMEOUT_SECONDS) -> DataFrame:
     """A running run older than the limit at ``as_of`` is a timeout."""
     age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("started_at"))
     return runs.withColumn("status", F.when((F.col("status") == "running") &

@@ -266,7 +266,8 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap_seconds: int,
     from pyspark.sql.types import TimestampNTZType
 
     ntz = isinstance(df.schema[ts].dataType, TimestampNTZType)
-    x = df.withColumn("__t", to_micros(df, ts)).withColumn("__slab", F.floor(F.col("__t") / F.lit(slab_us)))
+    x = (df.withColumn("__t", to_micros(df, ts))
+         .withColumn("__slab", F.floor(F.col("__t") / F.lit(slab_us))))
     w = Window.partitionBy(*keys, "__slab").orderBy("__t")
     x = x.withColumn("__prev", F.lag("__t").over(w))
     # carry: last event time of the closest earlier non-empty slab

@@ -50,7 +50,8 @@ def aggregate(df: DataFrame, group_by: list[str], aggregations: Mapping[str, str
     return df.groupBy(*group_by).agg(*aggs)
 
 
-def custom_sql(df: DataFrame, sql: str, view: str = "source", args: dict | None = None) -> DataFrame:
+def custom_sql(df: DataFrame, sql: str, view: str = "source",
+               args: dict | None = None) -> DataFrame:
     """Free SQL over the incoming frame, exposed as ``{view}``.
 
     The frame is passed as a DataFrame argument (``spark.sql(q, source=df)``),

@@ -29,7 +29,8 @@ def usage_from_events(events: DataFrame, n_orgs: int = 3) -> DataFrame:
     """Usage records derived from ``events``: ``user_id % n`` -> organization,
     ``event_type`` -> resource, ``value`` -> amount."""
     return events.select(
-        F.concat(F.lit("org_"), (F.col("user_id") % n_orgs).cast("string")).alias("organization_id"),
+        F.concat(F.lit("org_"), (F.col("user_id") % n_orgs).cast("string"))
+        .alias("organization_id"),
         F.col("event_type").alias("resource_type"), F.col("value").alias("amount"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("props"), F.col("event_id"))
 

@@ -23,7 +23,7 @@ class PipelineSpec:
     source: dict                      # {"format": "parquet", "path": ...} or {"frame": df}
     transforms: list[dict] = field(default_factory=list)
     rules: list[Rule] = field(default_factory=list)
-    target: dict | None = None        # {"path": ..., "format": ..., "mode": ..., "partition_by": [...]}
+    target: dict | None = None        # {"path": ..., "format": ..., "mode": ...}
     organization: str | None = None
     environment: str = "dev"
     incremental_column: str | None = None
