@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import langid
+from quarry.llm import jaccard, langid
 
 QUERIES = {
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op9_language_id": langid.op9_language_id,
 }
 
