@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard, langid
+from quarry.llm import jaccard, langid, suffix_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
+    "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op9_language_id": langid.op9_language_id,
 }
 
