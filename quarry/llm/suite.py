@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard, langid, suffix_dedup
+from quarry.llm import decontam, jaccard, langid, suffix_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op9_language_id": langid.op9_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": decontam.OP3_SQL,
+}
