@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, jaccard, langid, suffix_dedup
+from quarry.llm import bpe, decontam, jaccard, langid, quality_rules, suffix_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op9_language_id": langid.op9_language_id,
 }
