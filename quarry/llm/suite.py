@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, jaccard, langid, quality_rules, suffix_dedup
+from quarry.llm import bpe, decontam, jaccard, langid, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
