@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, jaccard, langid, quality_rules, suffix_dedup, token_counts
+from quarry.llm import bpe, decontam, html_extract, jaccard, langid, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
+    "op5_warc": warc.op5_warc,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op9_language_id": langid.op9_language_id,
@@ -16,4 +18,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontam.OP3_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
