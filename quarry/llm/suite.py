@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, html_extract, jaccard, langid, quality_rules, suffix_dedup, token_counts, warc
+from quarry.llm import bpe, decontam, html_extract, jaccard, langid, license_scan, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
     "op9_language_id": langid.op9_language_id,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontam.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op10_license_scan": license_scan.OP10_SQL,
 }
