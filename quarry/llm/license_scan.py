@@ -6,10 +6,11 @@ too. A segment's terms weigh term frequency times ``ln((1 + N) / (1 + df)) + 1``
 with document frequencies over all N files (a term in no template counts as
 df = 0). The best template of a segment with a cosine of ``MIN_COSINE`` or more
 names its license; ties go to the smaller license name. The file's own license
-is that of its best segment. A file whose whole text matches is a license file:
-it names the license of its directory, and a file without a license of its own
-takes that of the nearest directory at or above its own (the best match there;
-ties go to the smaller file path, then the license).
+is that of its best segment. A file with a license is a license file if its whole
+text matches or its name says so (``NAMES``): it names the license of its
+directory, and a file without a license of its own takes that of the nearest
+directory at or above its own (the best match there; ties go to the smaller file
+path, then the license).
 
 Only segments with a key term are scored. A template's key terms are its
 heaviest ones up to where the rest of its norm is below ``MIN_COSINE``; by
@@ -75,6 +76,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Fixed value: names of files that hold licenses.
+NAMES = r"(^|/)(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)[^/]*$"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -164,11 +168,12 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     best = F.max_by(F.struct("name", "cosine", "line"),
                     F.struct("cosine", F.col("line") < 0, _reversed("name"), -F.col("line")))
     matched = common.staged(scored.groupBy(*own).agg(best.alias("m"))
-                            .select(*own, "m.name", "m.cosine", "m.line"))
+                            .select(*own, "m.name", "m.cosine", ((F.col("m.line") < 0) | F.coalesce(
+                                F.col("path").rlike(f"(?i){NAMES}"), F.lit(False))).alias("file")))
 
     # licenses of directories, and the nearest one at or above each directory
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    inside = matched.where("line < 0 and path is not null") \
+    inside = matched.where("file and path is not null") \
         .groupBy(directory.alias("dir")) \
         .agg(F.min_by(F.struct("name", "path"), F.struct(-F.col("cosine"), "path", "name"))
              .alias("given"))
@@ -183,11 +188,11 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
 
     keyed = rows.select("file_id", "path", F.xxhash64("text").alias("h"), directory.alias("dir"))
     found = keyed.join(matched, same(keyed, matched, own), "left") \
-        .select(*(keyed[c] for c in ("file_id", "path", "dir")), "name", "cosine", "line") \
+        .select(*(keyed[c] for c in ("file_id", "path", "dir")), "name", "cosine", "file") \
         .join(near, "dir", "left")
     return found.select(
         "file_id", "path", F.coalesce("name", "given.name").alias("license"),
-        F.when(F.col("name").isNotNull(), F.when(F.col("line") < 0, "file").otherwise("header"))
+        F.when(F.col("name").isNotNull(), F.when(F.col("file"), "file").otherwise("header"))
         .when(F.col("given").isNotNull(), "inherited").alias("origin"),
         F.round("cosine", 6).alias("cosine"),
         F.when(F.col("name").isNotNull(), F.col("path")).otherwise(F.col("given.path"))
@@ -201,10 +206,11 @@ def _reversed(name: str) -> Column:
 
 
 def document_path() -> Column:
-    """Documents have no path: source, then the digits of the id as folders,
-    without zeros at the end, so that shorter ids stand above longer ones."""
-    digits = F.regexp_replace(F.col("doc_id").cast("string"), "(?<=.)0+$", "")
-    return F.concat_ws("/", "source", F.array_join(F.split(digits, "(?<=.)(?=.)"), "/"))
+    """Documents have no path: the digits of the id are folders, and an id that
+    ends in 0 is the license file of the folder before."""
+    digits = F.col("doc_id").cast("string")
+    return F.concat_ws("/", F.lit("corpus"), F.regexp_replace(
+        F.array_join(F.split(digits, "(?<=.)(?=.)"), "/"), "/0$", "/LICENSE"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,8 +227,8 @@ def _sql() -> str:
 WITH tpl AS (SELECT * FROM (VALUES {templates}) v(template, name, t)),
 tt AS (SELECT template, name, term, count(*) AS tf FROM (
          SELECT template, name, unnest({words % 't'}) AS term FROM tpl) GROUP BY ALL),
-f AS (SELECT doc_id, text, concat_ws('/', source, array_to_string(string_split(regexp_replace(
-        CAST(doc_id AS VARCHAR), '(.)0+$', '\\1'), ''), '/')) AS path FROM documents),
+f AS (SELECT doc_id, text, 'corpus/' || regexp_replace(array_to_string(string_split(
+        CAST(doc_id AS VARCHAR), ''), '/'), '/0$', '/LICENSE') AS path FROM documents),
 n AS (SELECT count(*) AS n FROM f),
 df AS (SELECT term, count(*) AS df FROM (
          SELECT DISTINCT doc_id, unnest({words % 'text'}) AS term FROM f)
@@ -247,17 +253,18 @@ cos AS (SELECT doc_id, path, line, name, round(sum(w * unit) / any_value(norm),
 m AS (SELECT * FROM cos WHERE cosine >= {MIN_COSINE}
       QUALIFY row_number() OVER (PARTITION BY doc_id
         ORDER BY cosine DESC, line >= 0, name, line) = 1),
-inside AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, name, path FROM m WHERE line < 0
+mf AS (SELECT *, line < 0 OR regexp_matches(path, '(?i){NAMES}') AS file FROM m),
+inside AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, name, path FROM mf WHERE file
            QUALIFY row_number() OVER (PARTITION BY up ORDER BY cosine DESC, path, name) = 1),
 near AS (SELECT f.doc_id, i.name, i.path FROM f JOIN inside i
            ON starts_with(regexp_extract(f.path, '^(.*)/[^/]*$', 1) || '/', i.up || '/')
          QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(i.up) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(m.name, near.name) AS license,
-       CASE WHEN m.name IS NOT NULL THEN CASE WHEN m.line < 0 THEN 'file' ELSE 'header' END
+       CASE WHEN m.name IS NOT NULL THEN CASE WHEN m.file THEN 'file' ELSE 'header' END
             WHEN near.name IS NOT NULL THEN 'inherited' END AS origin,
        round(m.cosine, 6) AS cosine,
        CASE WHEN m.name IS NOT NULL THEN f.path ELSE near.path END AS license_path
-FROM f LEFT JOIN m USING (doc_id) LEFT JOIN near USING (doc_id)
+FROM f LEFT JOIN mf m USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
