@@ -87,11 +87,14 @@ def window_min(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int,
+           within: str | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``max_bytes`` of a text column each (one row
-    at least), so that what a task expands a part into stays small."""
+    at least), so that what a task expands a part into stays small. The column
+    may be a field ``within`` a struct column."""
     start, size = 0, 0
-    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    texts = batch.column(within).field(column) if within else batch.column(column)
+    lengths = pc.binary_length(texts).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > max_bytes:
             yield batch.slice(start, i - start)

@@ -159,11 +159,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that have a language: texts without letters, or unlike
-    every learned profile, go. A missing ``lang`` is filled in."""
+    every learned profile, go. A missing ``lang`` is filled in. Without any
+    labelled row nothing is known, and all rows stay."""
     learned = fit(docs)
-    columns = docs.columns
-    seen = identify(docs, learned, [F.col(f"`{c}`") for c in columns])
-    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)
     if not learned:
         return docs
-    return seen.where(kept).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    seen = identify(docs, learned, [whole]) \
+        .where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return seen.select(*((F.coalesce("doc.lang", "lang_pred") if c == "lang" else
+                          F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

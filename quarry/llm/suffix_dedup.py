@@ -31,7 +31,6 @@ bytes. Texts are used whole, and no other column is read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -354,54 +353,47 @@ def cut_out(text: bytes, packed: list[bytes] | None) -> tuple[bytes, int, int]:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           decode: bool = False) -> DataFrame:
-    """Every row with its columns and ``_kept`` (binary: what remains of the
-    text; as a string if ``decode``, without characters that were cut in two),
-    ``_removed`` and ``_spans`` (long)."""
-    names = docs.columns
+    """Every row as ``doc`` (a struct of its columns), ``kept`` (binary: what
+    remains of the text; as a string if ``decode``, without characters that were
+    cut in two), ``removed`` and ``spans`` (long)."""
     spans = repeated_spans(docs, doc_id, text)
-    keys = [c.alias(f"_{n}") for c, n in zip(_keyed(docs, doc_id, text), ("id", "h"))]
-    rows = docs.select("*", *keys)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+                       *(c.alias(f"_{n}") for c, n in
+                         zip(_keyed(docs, doc_id, text), ("id", "h"))))
     joined = rows.join(spans, (rows["_id"] == spans["id"]) & (rows["_h"] == spans["h"]), "left") \
-        .select(*(rows[f"`{c}`"] for c in names), spans["spans"].alias("_packed"))
-    schema = joined.drop("_packed").schema.add("_kept", "string" if decode else "binary") \
-        .add("_removed", "long").add("_spans", "long")
-    at = names.index(text)
+        .select("doc", spans["spans"].alias("packed"))
+    schema = joined.drop("packed").schema.add("kept", "string" if decode else "binary") \
+        .add("removed", "long").add("spans", "long")
+    kind = pa.string() if decode else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, text, SLICE_BYTES):
-                got = [cut_out(common.encode(t.as_py()), p.as_py())
-                       for t, p in zip(part.column(at), part.column("_packed"))]
+            for part in common.slices(batch, text, SLICE_BYTES, within="doc"):
+                got = [cut_out(common.encode(t.as_py()), p.as_py()) for t, p in
+                       zip(part.column("doc").field(text), part.column("packed"))]
+                kept = [g[0].decode("utf-8", "ignore") if decode else g[0] for g in got]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(names))),
-                     pa.array([g[0].decode("utf-8", "ignore") if decode else g[0] for g in got],
-                              pa.string() if decode else pa.binary()),
+                    [part.column("doc"), pa.array(kept, kind),
                      pa.array([g[1] for g in got], pa.int64()),
-                     pa.array([g[2] for g in got], pa.int64())],
-                    [*names, "_kept", "_removed", "_spans"])
+                     pa.array([g[2] for g in got], pa.int64())], schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long")
     return dedup(docs).select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"),
-        F.sha2("_kept", 256).alias("kept_sha256"))
+        "doc.doc_id", size.alias("n_bytes"), F.col("removed").alias("n_removed"),
+        F.col("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated bytes are cut out of the texts (a character cut in two goes);
     rows of which nothing but white space is left go, if anything was cut."""
-    columns = docs.columns
-    left = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    cut = dedup(docs, decode=True).withColumn("_left", left) \
-        .where("_removed = 0 or length(trim(_left)) > 0")
-    fixed = {"text": F.col("_left"), "n_chars": F.when(
-        F.col("_removed") > 0, F.length("_left")).otherwise(F.col("n_chars")).cast("long")}
-    return cut.select(*(fixed[c].alias(c) if c in fixed else F.col(f"`{c}`") for c in columns))
+    cut = dedup(docs, decode=True).where("removed = 0 or length(trim(kept)) > 0")
+    touched = F.col("removed") > 0
+    fixed = {"text": F.when(touched, F.col("kept")).otherwise(F.col("doc.text")),
+             "n_chars": F.when(touched, F.length("kept")).otherwise(F.col("doc.n_chars"))
+             .cast("long")}
+    return cut.select(*(fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
