@@ -35,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quarry.llm import common
 
@@ -245,7 +246,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, n_tokens, ids`` (array of int) of every row."""
     sent = _vocabulary(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = rows.drop("text").schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = rows.drop("text").schema.add("n_tokens", "long") \
+        .add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
