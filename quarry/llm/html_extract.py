@@ -5,15 +5,15 @@ stands in, a tag by its name; tags never score above ``TAG_MOST``. The weights
 are log odds of being inside or outside of the content, counted over all
 labelled pages: those that mark their content themselves (``LABELS`` elements).
 One linear scan finds the contiguous region with the highest sum; a tie goes to
-the earlier region. From the region's text the blocks inside of elements that
-are never content (``ASIDE`` elements, or a class, id or role with one of
-``ASIDE_WORDS``) are left out; their words always score below zero.
+the earlier region. Elements that are never content (``ASIDE`` elements, or a
+class, id or role with one of ``ASIDE_WORDS``) score nothing and are left out of
+the region's text, so an advert in the midst of an article does not end it.
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are trimmed and joined by line feeds, empty ones vanish. A null or empty
 page, and one without a region that scores above zero, has an empty text.
-Unclosed, crossing and truncated markup is read as far as it goes. Without any
-labelled page, words count 1 and tags ``TAG_MOST``. Repeated rows each get
+Unclosed, crossing and truncated markup is read as far as it goes. Words of a
+kind that no labelled page has score 1, such tags ``TAG_UNSEEN``. Repeated rows each get
 their row; other columns than id, url and page are not read.
 """
 
@@ -33,8 +33,8 @@ from quarry.llm import common
 
 SLICE_BYTES = 4 << 20
 TAG_MOST = -0.2
+TAG_UNSEEN = -0.5
 LIMIT = 6.0        # bound of a weight
-ASIDE_WEIGHT = -1.0
 
 # Names of HTML elements and of what pages call their parts.
 LABELS = {"article", "main"}
@@ -128,8 +128,7 @@ def nodes(page: str) -> list[Node]:
                           if open_[i][0] not in INLINE), None)
             if place is not None and open_[place][0] == "p":
                 close(place)
-        out.append(Node(f"t:{known}{'!' if aside else ''}", None, breaks, asides > 0 or aside,
-                        labels > 0))
+        out.append(Node("t:" + known, None, breaks, asides > 0 or aside, labels > 0))
         if name == "br":
             out.append(Node("w:" + block[-1], " ", False, asides > 0, labels > 0))
         if name in RAW:
@@ -154,8 +153,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not any(n.labelled for n in found):
                     continue
                 for n in found:
-                    inside = n.labelled and not n.aside
-                    seen[n.kind, inside] += 1 if n.text is None else len(n.text.split())
+                    if not n.aside:
+                        seen[n.kind, n.labelled] += 1 if n.text is None else len(n.text.split())
         keys = [k for k, n in seen.items() if n]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()),
@@ -183,11 +182,12 @@ def region(found: list[Node], weights: dict[str, float]) -> tuple[int, int]:
     """First and last + 1 node of the contiguous region with the highest score."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, n in enumerate(found):
+        if n.aside:
+            continue
         if n.text is None:
-            total += weights.get(n.kind, TAG_MOST)
-        elif words := len(n.text.split()):
-            weight = weights.get(n.kind, 1.0)
-            total += words * (min(weight, ASIDE_WEIGHT) if n.aside else weight)
+            total += weights.get(n.kind, TAG_UNSEEN)
+        else:
+            total += len(n.text.split()) * weights.get(n.kind, 1.0)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
