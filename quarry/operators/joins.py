@@ -1,9 +1,7 @@
 """Join helpers.
 
-Broadcasts are only requested behind a bounded probe: ``limit(n+1).count()``
-reads at most ``n+1`` rows of the (already deduplicated) side. Above the
-bound the plan is left to Catalyst, and AQE may still switch to a broadcast
-join at runtime from measured shuffle sizes.
+No side is hinted: Catalyst broadcasts what its size estimate allows, and AQE
+switches to a broadcast join from the bytes a side was measured to have.
 """
 
 from __future__ import annotations
@@ -11,25 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side provably has at most ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def membership_flag(df: DataFrame, column: str, ref: DataFrame, ref_column: str,
-                    flag: str, broadcast_max_rows: int | None = None) -> DataFrame:
+                    flag: str) -> DataFrame:
     """Add boolean ``flag`` = value is in the set of non-null
     reference values. The reference side is deduplicated first (partial
     aggregation per task), so the left join keeps the row count of ``df``."""
     keys = (ref.select(F.col(ref_column).alias("__ref_key"))
             .where(F.col("__ref_key").isNotNull()).distinct()
             .withColumn(flag, F.lit(True)))
-    if broadcast_max_rows:
-        keys = sized_broadcast(keys, broadcast_max_rows)
     out = df.join(keys, df[column] == keys["__ref_key"], "left").drop("__ref_key")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage, cut_lineage_counting, drop_written
+
 
 def closure(spark: SparkSession, edges: DataFrame, direction: str = "downstream",
-            max_depth: int = 10, roots: DataFrame | None = None) -> DataFrame:
-    """Transitive closure over ``edges(source, target)`` by a recursive
-    CTE. ``direction`` is downstream (follow source -> target), upstream
-    (target -> source) or both. Each row carries its path; a node already on
-    the path is not revisited (cycle stop) and depth is capped.
+            roots: DataFrame | None = None) -> DataFrame:
+    """Transitive closure over ``edges(source, target)``. ``direction``
+    is downstream (follow source -> target), upstream (target -> source) or
+    both.
+
+    Breadth first: the frontier of ``(root, node)`` pairs is joined with the
+    edges, and pairs seen before are dropped by an anti-join, so a cycle ends
+    by itself, a node reached on many paths is one row, and there is no limit
+    on depth or rows. Each level is written once to the checkpoint folder;
+    the levels are then gathered in one table and freed.
 
-    Returns ``(root, node, depth)`` for every node reachable from a root
-    (all sources by default) within ``max_depth`` steps.
+    Returns ``(root, node, depth)``, depth being the fewest steps, for every
+    other node reachable from a root (all sources by default).
     """
-    if direction == "downstream":
-        e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    elif direction == "upstream":
-        e = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    elif direction == "both":
-        e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(
-            edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    else:
+    down = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    up = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
+    if direction not in ("downstream", "upstream", "both"):
         raise ValueError(f"unknown direction: {direction}")
-    starts = (roots.select(F.col("root").alias("a")) if roots is not None
-              else e.select("a").distinct())
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(root, node, depth, path) AS (
-          SELECT a, a, 0, array(a) FROM {starts}
-          UNION ALL
-          SELECT w.root, e.b, w.depth + 1, concat(w.path, array(e.b))
-          FROM walk w JOIN {e} e ON e.a = w.node
-          WHERE w.depth < :max_depth AND NOT array_contains(w.path, e.b)
-        )
-        SELECT root, node, depth FROM walk WHERE depth > 0
-        """, args={"max_depth": max_depth}, starts=starts, e=e)
+    e = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
+    e = cut_lineage(e.where("a is not null and b is not null").distinct())
+    starts = roots.select("root") if roots is not None else e.select(F.col("a").alias("root"))
+    levels = [cut_lineage(starts.distinct().select("root", F.col("root").alias("node"),
+                                                   F.lit(0).alias("depth")))]
+    while True:
+        seen = functools.reduce(DataFrame.unionByName, levels).select("root", "node")
+        step = (levels[-1].join(e, F.col("node") == F.col("a"))
+                .select("root", F.col("b").alias("node")).distinct()
+                .join(seen, ["root", "node"], "left_anti")
+                .withColumn("depth", F.lit(len(levels))))
+        level, n = cut_lineage_counting(step, F.lit(True))
+        if not n:
+            break
+        levels.append(level)
+    out = cut_lineage(functools.reduce(DataFrame.unionByName, levels).where("depth > 0"))
+    for t in [e, level, *levels]:
+        drop_written(spark, t)
+    return out
 
 
 def reference_edges(region: DataFrame, nation: DataFrame, customer: DataFrame,

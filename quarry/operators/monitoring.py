@@ -13,9 +13,18 @@ def upsert_alerts(alerts: DataFrame, keys=("name", "service", "organization_id")
                   ts: str = "created_at", id_col: str = "alert_id") -> DataFrame:
     """While an alert with the same key is active the existing row is
     updated in place: the id of the first alert stays, message/details and
-    created_at come from the newest. Partial ``min_by``/``max_by`` per key."""
+    created_at come from the newest. Partial ``min_by``/``max_by`` per key.
+    Alerts that are closed (``is_active`` false) stay as they are and lend
+    nothing to a later alert of their key."""
     keys = list(keys)
     newest = F.struct(F.col(ts), F.col(id_col))
+    if "is_active" in alerts.columns:
+        active = F.coalesce("is_active", F.lit(True))
+        closed = alerts.where(~active).select(
+            *keys, id_col, "message", "details", ts, F.lit(1).cast("long").alias("occurrences"),
+            F.lit(False).alias("is_active"))
+        open_ = upsert_alerts(alerts.where(active).drop("is_active"), keys, ts, id_col)
+        return open_.withColumn("is_active", F.lit(True)).unionByName(closed)
     return (alerts.groupBy(*keys)
             .agg(F.min_by(id_col, newest).alias(id_col),
                  F.max_by(F.struct("message", "details"), newest).alias("__n"),
@@ -73,9 +82,9 @@ def status_counts(df: DataFrame, group: list[str], status: str, values: list[str
 
 def quality_report(results: DataFrame, period: str = "daily", start=None, end=None,
                    datasets: list[str] | None = None) -> DataFrame:
-    """Per period (daily/weekly/monthly) and dataset the
-    total, passed / failed / warning counts (errors excluded) and the score
-    = passed / total non-error rules (1.0 when there is none)."""
+    """Per period (daily/weekly/monthly) and dataset the total
+    (errors included), the count of each status and the score = passed /
+    total, as ``overall_score`` has it."""
     unit = {"daily": "DAY", "weekly": "WEEK", "monthly": "MONTH"}[period]
     r = results
     if start is not None:
@@ -84,15 +93,13 @@ def quality_report(results: DataFrame, period: str = "daily", start=None, end=No
         r = r.where(F.col("executed_at") <= F.lit(end).cast("timestamp"))
     if datasets:
         r = r.where(F.col("dataset_name").isin(datasets))
-    counted = F.col("status") != "error"
     return (r.groupBy(F.date_trunc(unit, "executed_at").alias("period_start"), "dataset_name")
-            .agg(F.count_if(counted).alias("total_rules"),
+            .agg(F.count(F.lit(1)).alias("total_rules"),
                  F.count_if(F.col("status") == "passed").alias("passed"),
                  F.count_if(F.col("status") == "failed").alias("failed"),
                  F.count_if(F.col("status") == "warning").alias("warning"),
                  F.count_if(F.col("status") == "error").alias("errors"))
-            .withColumn("score", F.coalesce(F.col("passed") / F.nullif(F.col("total_rules"),
-                                                                        F.lit(0)), F.lit(1.0))))
+            .withColumn("score", F.col("passed") / F.col("total_rules")))
 
 
 def overall_score(results: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -134,12 +141,11 @@ def audit_rows(requests: DataFrame) -> DataFrame:
 
 def retention_purge(df: DataFrame, as_of, column: str = "retention_until") -> DataFrame:
     """Keep rows whose retention has not expired (NULL = keep)."""
-    t = F.lit(as_of).cast("timestamp")
-    return df.where(F.col(column).isNull() | (F.col(column) > t))
+    return df.where(not_expired(as_of, column))
 
 
-def not_expired(df: DataFrame, as_of, column: str = "expires_at") -> Column:
-    """P19."""
+def not_expired(as_of, column: str = "expires_at") -> Column:
+    """No expiry, or one after ``as_of``."""
     return F.col(column).isNull() | (F.col(column) > F.lit(as_of).cast("timestamp"))
 
 

@@ -9,17 +9,20 @@ a ``build`` function that turns the aggregated columns into result fields.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 
 from quarry.functions import predicates as P
 from quarry.operators import joins as J
 from quarry.operators.quality.spec import Rule
+from quarry.session import lenient
 
 
 class RuleError(ValueError):
@@ -119,10 +122,10 @@ def uniqueness(df: DataFrame, rule: Rule, key: str) -> Check:
     d = rule.definition
     cols = d.get("columns") or ([rule.column] if rule.column else [])
     if not cols:
-        raise RuleError("Uniqueness rule requires column specification")
+        raise RuleError("a uniqueness rule needs a column or columns")
     present = [c for c in cols if c in df.columns]
     if not present:
-        raise RuleError(f"None of specified columns {cols} exist in dataset")
+        raise RuleError(f"the dataset has none of the columns {cols}")
     name = f"{key}_distinct"
     null_policy = d.get("null_policy", "exclude")
     aggs = {}
@@ -221,13 +224,28 @@ def _engine_validity(df: DataFrame, rule: Rule, key: str, c: str) -> Check:
 
 # ------------------------------------------------------------------ Q5-Q7, Q10
 
-def _checked_expr(df: DataFrame, sql: str) -> Column:
-    e = F.expr(sql)
-    try:
-        df.select(e.alias("__probe")).schema  # analysis only; nothing runs
-    except AnalysisException as exc:
-        raise RuleError(f"invalid condition: {sql}: {exc.getCondition()}") from None
-    return e
+def _condition_rule(df: DataFrame, rule: Rule, key: str, conditions: list[str], details: dict,
+                    empty_rate: float = 1.0) -> Check:
+    """A rule whose rows have to meet user conditions. A row for which a
+    condition is null or can't be worked out (a division by zero, a text that
+    is no number) does not meet it; it never fails the run."""
+    names = [f"{key}_cond{i}" for i in range(len(conditions))]
+
+    def prep(x: DataFrame) -> DataFrame:
+        with lenient(x.sparkSession):
+            return x.withColumns({n: F.coalesce(F.expr(c), F.lit(False))
+                                  for n, c in zip(names, conditions)})
+
+    for c in conditions:
+        try:
+            with lenient(df.sparkSession):
+                df.where(F.expr(c)).schema  # analysis only; nothing runs
+        except (AnalysisException, ParseException) as exc:
+            raise RuleError(f"invalid condition: {c}: {exc.getCondition()}") from None
+    valid = functools.reduce(lambda a, b: a & b, [F.col(n) for n in names])
+    out = _row_rule(rule, key, valid, details, empty_rate=empty_rate)
+    out.prep = prep
+    return out
 
 
 def consistency(df: DataFrame, rule: Rule, key: str) -> Check:
@@ -247,16 +265,15 @@ def consistency(df: DataFrame, rule: Rule, key: str) -> Check:
         cond = (d["rule"].replace("column1", f"`{d['column1']}`")
                 .replace("column2", f"`{d['column2']}`"))
     else:
-        raise RuleError("Cross-column consistency rule requires condition")
-    valid = F.coalesce(_checked_expr(df, cond), F.lit(False))
-    return _row_rule(rule, key, valid, {"condition": cond},
-                     empty_rate=0.0 if rule.dialect == "engine" else 1.0)
+        raise RuleError("a cross-column rule needs a condition")
+    return _condition_rule(df, rule, key, [cond], {"condition": cond},
+                           0.0 if rule.dialect == "engine" else 1.0)
 
 
 def temporal_consistency(df: DataFrame, rule: Rule, key: str) -> Check:
     cols = rule.definition.get("date_columns", [])
     if len(cols) < 2:
-        raise RuleError("Temporal consistency requires at least 2 date columns")
+        raise RuleError("a temporal rule needs two date columns or more")
     present = [c for c in cols if c in df.columns]
     ts = F.filter(F.array(*[P.as_timestamp(_col(df, c), _dtype(df, c)) for c in present]),
                   lambda x: x.isNotNull())
@@ -268,10 +285,8 @@ def business_rule(df: DataFrame, rule: Rule, key: str) -> Check:
     conds = rule.definition.get("conditions") or []
     if not conds:
         raise RuleError("business_rule accuracy requires conditions")
-    valid = F.lit(True)
-    for c in conds:
-        valid = valid & F.coalesce(_checked_expr(df, c), F.lit(False))
-    return _row_rule(rule, key, valid, {"conditions": F.array(*[F.lit(c) for c in conds])})
+    return _condition_rule(df, rule, key, conds,
+                           {"conditions": F.array(*[F.lit(c) for c in conds])})
 
 
 # ------------------------------------------------------------------ Q9 / Q11 / J3
@@ -285,7 +300,7 @@ def accuracy(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
         return business_rule(df, rule, key)
     src, ref_col, target = d.get("reference_source"), d.get("reference_column"), rule.column
     if not src or not target:
-        raise RuleError("Accuracy validation requires reference source and target column")
+        raise RuleError("an accuracy rule needs a reference source and a target column")
     if target not in df.columns:
         raise RuleError(f"Column '{target}' not found in dataset")
     ref = frames.get(src) if isinstance(src, str) else src
@@ -380,7 +395,7 @@ def reference_integrity(df: DataFrame, rule: Rule, key: str, frames: dict | None
     ref_name = d.get("reference_table")
     ref_col = d.get("reference_column") or ("id" if rule.rule_type == "integrity" else None)
     if not c or not ref_name or not ref_col:
-        raise RuleError("Reference table or column not specified")
+        raise RuleError("a reference rule needs a column, a reference table and its column")
     if c not in df.columns:
         raise RuleError(f"Column {c} not found in dataset")
     ref = frames.get(ref_name) if isinstance(ref_name, str) else ref_name
@@ -389,8 +404,7 @@ def reference_integrity(df: DataFrame, rule: Rule, key: str, frames: dict | None
     if ref_col not in ref.columns:
         raise RuleError(f"reference column '{ref_col}' not found")
     flag = f"{key}_hit"
-    bmax = d.get("broadcast_max_rows")
-    prep = lambda x: J.membership_flag(x, c, ref, ref_col, flag, bmax)
+    prep = lambda x: J.membership_flag(x, c, ref, ref_col, flag)
     valid = F.col(flag) | F.col(c).isNull()
     name = f"{key}_ok"
 
@@ -417,7 +431,7 @@ def range_check(df: DataFrame, rule: Rule, key: str) -> Check:
 def regex_pattern(df: DataFrame, rule: Rule, key: str) -> Check:
     pattern = rule.definition.get("pattern")
     if not pattern:
-        raise RuleError("Regex pattern not specified in rule definition")
+        raise RuleError("the rule has no pattern")
     c = _require_column(df, rule, f"Column {rule.column} not found in dataset")
     valid = F.coalesce(P.match_start(_col(df, c).cast("string"), pattern), F.lit(False))
     return _row_rule(rule, key, valid, {"pattern": pattern}, empty_rate=0.0)
@@ -425,22 +439,43 @@ def regex_pattern(df: DataFrame, rule: Rule, key: str) -> Check:
 
 # ------------------------------------------------------------------ Q18
 
+# Functions that run JVM code named by their arguments.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+
+
 def custom_sql(df: DataFrame, rule: Rule, key: str, frames: dict) -> Check:
-    d = rule.definition
-    q = d.get("sql_query")
-    if not q:
-        raise RuleError("SQL query not specified in rule definition")
-    head = q.lstrip().split(None, 1)[0].lower() if q.strip() else ""
-    if head not in ("select", "with"):
-        raise RuleError("custom_sql must be a read-only SELECT")
+    """The query's frames are named by CTEs around it, and it stands in the
+    place of a table, where no command can stand. Before anything is run its
+    parsed plan is read: it may name only the supplied frames (and its own
+    CTEs) and call no function that reaches into the JVM."""
+    q = rule.definition.get("sql_query")
+    if not q or not q.strip():
+        raise RuleError("the rule has no SQL query")
+    for k in frames:
+        q = q.replace("{" + k + "}", f"`{k}`")
     spark = df.sparkSession
+    counted = f"SELECT count(*) AS n_rows FROM (\n{q}\n)"
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(counted).toString()
+    except Exception as exc:  # noqa: BLE001 - a parse error of any kind
+        raise RuleError(f"not a read-only query: {type(exc).__name__}") from None
+    own = {n.strip() for m in re.findall(r"CTE \[([^\]]*)\]", plan) for n in m.split(",")}
+    named = {n.strip() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)}
+    foreign = {n for n in named if n not in own and n not in frames}
+    if foreign:
+        raise RuleError(f"not among the supplied frames: {sorted(foreign)}")
+    called = {n.lower() for n in re.findall(r"(\w+)\(", plan)} & FORBIDDEN_FUNCTIONS
+    if called:
+        raise RuleError(f"functions that a rule can't call: {sorted(called)}")
+    used = [k for k in frames if k in named]
+    binds = ", ".join(f"`{k}` AS (SELECT * FROM {{__f{i}}})" for i, k in enumerate(used))
+    text = counted.replace("{", "{{").replace("}", "}}")
     try:
-        res = spark.sql(q, **{k: v for k, v in frames.items() if "{" + k + "}" in q})
-        plan = res.agg(F.count(F.lit(1)).alias("n_rows"))
-        plan.schema
+        res = spark.sql(f"WITH {binds} {text}" if used else text.replace("{{", "{")
+                        .replace("}}", "}"), **{f"__f{i}": frames[k] for i, k in enumerate(used)})
     except AnalysisException as exc:
-        raise RuleError(f"SQL execution failed: {exc.getCondition()}") from None
-    return Check(rule, sql_plan=plan)
+        raise RuleError(f"the SQL query failed: {exc.getCondition()}") from None
+    return Check(rule, sql_plan=res)
 
 
 # Named, pre-registered row checks (pandas UDFs returning a boolean per

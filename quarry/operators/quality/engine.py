@@ -133,7 +133,7 @@ def run_checks(df: DataFrame, checks: list[Check], ctx: dict | None = None,
                     pending = [[c] for c in group] + pending
                     continue
                 for c in live:
-                    c.error = f"runtime error: {type(exc).__name__}: {str(exc)[:200]}"
+                    c.error = f"runtime error: {type(exc).__name__}: {exc}"
                 row = df.groupBy(*group_by).agg(aggs[0]) if group_by else df.agg(aggs[0])
         total = F.col("__total")
         structs = [_result_struct(c, F.col, total, ctx) for c in group]

@@ -101,20 +101,41 @@ def auto_rules(columns: list[str], completeness_threshold: float = 0.95) -> list
     return rules
 
 
-def match_rules(rules: DataFrame, datasets: DataFrame, max_rules: int = 100_000) -> DataFrame:
+# Patterns without any operator but the anchors: ``^name$`` and ``^prefix``.
+_EXACT = r"^\^[A-Za-z0-9_]+\$$"
+_PREFIX = r"^\^[A-Za-z0-9_]+(\.\*)?$"
+
+
+def match_rules(rules: DataFrame, datasets: DataFrame) -> DataFrame:
     """Which pattern rules apply to which dataset columns.
 
     ``rules(rule_id, table_pattern, column_pattern, data_source_types)``
     (patterns are regular expressions, NULL = any) against
-    ``datasets(table_name, column_name, source_type)``. The rules side is a
-    configuration table: it is broadcast only after a bounded size probe, and
-    only matching pairs are emitted."""
-    from quarry.operators.joins import sized_broadcast
-
-    r = sized_broadcast(rules, max_rules)
-    cond = (F.expr("table_pattern IS NULL OR table_name RLIKE table_pattern")
-            & F.expr("column_pattern IS NULL OR column_name RLIKE column_pattern"))
+    ``datasets(table_name, column_name, source_type)``.
+
+    Table patterns are matched against the distinct table names, not against
+    every column: exact and prefix patterns by equi-joins (a name is looked
+    up under each of its prefixes), other expressions name by name. The
+    matching (rule, table) pairs are then joined to the columns on the table
+    name, where column pattern and source type are plain filters."""
+    names = datasets.select("table_name").distinct()
+    by = rules.withColumn("__kind", F.when(F.col("table_pattern").isNull(), "any")
+                          .when(F.col("table_pattern").rlike(_EXACT), "exact")
+                          .when(F.col("table_pattern").rlike(_PREFIX), "prefix")
+                          .otherwise("regex")) \
+        .withColumn("__key", F.regexp_replace("table_pattern", r"^\^|\$$|\.\*$", ""))
+    exact = names.join(by.where("__kind = 'exact'"), F.col("table_name") == F.col("__key"))
+    prefixes = names.select("table_name", F.explode(F.expr(
+        "transform(sequence(1, greatest(length(table_name), 1)), n -> left(table_name, n))"))
+        .alias("__start"))
+    prefix = prefixes.join(by.where("__kind = 'prefix'"), F.col("__start") == F.col("__key")) \
+        .drop("__start")
+    rest = names.join(by.where("__kind IN ('any', 'regex')"), F.expr(
+        "table_pattern IS NULL OR table_name RLIKE table_pattern"))
+    pairs = exact.unionByName(prefix).unionByName(rest).drop("__kind", "__key")
+    out = datasets.join(pairs, "table_name").where(
+        "column_pattern IS NULL OR column_name RLIKE column_pattern")
     if "data_source_types" in rules.columns and "source_type" in datasets.columns:
-        cond = cond & F.expr("data_source_types IS NULL OR "
-                             "array_contains(data_source_types, source_type)")
-    return datasets.join(r, cond, "inner")
+        out = out.where("data_source_types IS NULL OR "
+                        "array_contains(data_source_types, source_type)")
+    return out

@@ -103,11 +103,15 @@ def reject_batch(results: DataFrame, routed: DataFrame | None = None) -> DataFra
                     .alias("run_status")))
 
 
+# Fixed value: how an incident's title begins.
+INCIDENT_TITLE = "Quality Rule Failure: "
+
+
 def incidents(routed: DataFrame) -> DataFrame:
     """Manual-review failures become incident rows."""
     return (routed.where(F.col("action") == "manual_review")
             .select("organization_id", "rule_id",
-                    F.concat(F.lit("Quality Rule Failure: "), F.col("rule_type"))
+                    F.concat(F.lit(INCIDENT_TITLE), F.col("rule_type"))
                     .alias("incident_type"),
                     "severity", F.coalesce("dataset_name", F.lit("unknown")).alias("dataset_name"),
                     F.format_string("Rule '%s' failed with %d failed records",

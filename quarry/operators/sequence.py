@@ -108,7 +108,7 @@ def next_at_or_after(ev: DataFrame, keys: list[str], gap_us: int, inclusive: boo
     return next_events(ev, keys, {"n": (gap_us, mode)}, slab_us).select("id", "nxt")
 
 
-def mark_paths(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def mark_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes reachable from ``roots`` (``id``) following ``edges`` (``id``,
     ``nxt``) - each node has at most one successor. Returns ``id``.
 
@@ -119,9 +119,9 @@ def mark_paths(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> Data
     level, live = cut_lineage_counting(edges.select("id", F.col("nxt").alias("j")),
                                        F.col("j").isNotNull())
     levels = [level]
-    for _ in range(max_rounds):
-        if live == 0:
-            break
+    while live:
+        if len(levels) > 64:  # 2^64 steps: longer than any path without a cycle
+            raise ValueError("the edges have a cycle")
         a, b = level.alias("a"), level.alias("b")
         level, live = cut_lineage_counting(
             a.join(b, F.col("a.j") == F.col("b.id"), "left").select(F.col("a.id"), F.col("b.j")),
@@ -148,13 +148,23 @@ def first_per_key(ev: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def suppress_repeats(events: DataFrame, keys: list[str], ts: str, id_col: str,
-                     window_seconds: int = 3600) -> DataFrame:
+                     window_seconds: int = 3600, resolved: str | None = None) -> DataFrame:
     """Keep an event only when no *kept* event of the same key happened
     within ``window_seconds`` before it (a gap of exactly the window is still
-    suppressed). Suppressed events do not extend the window. Returns the
-    input rows with a boolean ``emitted`` column."""
+    suppressed). Suppressed events do not extend the window. A kept event
+    that is ``resolved`` (a boolean column) suppresses nothing: the next one
+    after it is looked at again. Returns the input rows with a boolean
+    ``emitted`` column."""
     ev = events.select(*keys, F.col(id_col).alias("id"), to_micros(events, ts).alias("t"))
-    edges = next_at_or_after(ev, keys, window_seconds * 1_000_000, inclusive=False)
+    gap = window_seconds * 1_000_000
+    if resolved is None:
+        edges = next_at_or_after(ev, keys, gap, inclusive=False)
+    else:
+        nx = next_events(ev, keys, {"open": (gap, "gt"), "resolved": (0, "succ")})
+        done = events.select(F.col(id_col).alias("id"),
+                             F.coalesce(F.col(resolved), F.lit(False)).alias("__done"))
+        edges = nx.join(done, "id").where((F.col("name") == "resolved") == F.col("__done")) \
+            .select("id", "nxt")
     kept = mark_paths(edges, first_per_key(ev, keys)).withColumn("emitted", F.lit(True))
     return (events.join(kept.withColumnRenamed("id", id_col), id_col, "left")
             .withColumn("emitted", F.coalesce("emitted", F.lit(False))))

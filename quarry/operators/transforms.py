@@ -54,25 +54,33 @@ def custom_sql(df: DataFrame, sql: str, view: str = "source",
                args: dict | None = None) -> DataFrame:
     """Free SQL over the incoming frame, exposed as ``{view}``.
 
-    The frame is passed as a DataFrame argument (``spark.sql(q, source=df)``),
-    so no global temp view leaks between tenants.
+    The frame is passed as a DataFrame argument and named by a CTE around the
+    query, so the text is not rewritten (a column may share the view's name)
+    and no global temp view leaks between tenants. ``{view}`` in the text
+    means the same as the plain name.
     """
-    placeholder = "{" + view + "}"
-    q = sql if placeholder in sql else re.sub(rf"\b{re.escape(view)}\b", placeholder, sql)
-    return df.sparkSession.sql(q, args=args or None, **{view: df})
+    body = sql.replace("{" + view + "}", view).replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(
+        f"WITH `{view}` AS (SELECT * FROM {{__frame}}) SELECT * FROM (\n{body}\n)",
+        args=args or None, __frame=df)
 
 
-_PARAM = re.compile(r"'?\$\{(\w+)\}'?")
+_PARAM = re.compile(r"'\$\{(\w+)\}'|\$\{(\w+)\}")
+_LITERAL = re.compile(r"'(?:[^']|'')*'")
 
 
 def parameterized_sql(spark: SparkSession, sql: str, parameters: Mapping[str, object],
                       **frames: DataFrame) -> DataFrame:
     """``'${start_date}'`` placeholders become named parameter markers
     ``:start_date`` bound with typed values (no string splicing)."""
-    missing = [m for m in _PARAM.findall(sql) if m not in parameters]
+    inside = [x for x in _LITERAL.findall(sql) if "${" in x and not _PARAM.fullmatch(x)]
+    if inside:
+        raise TransformError(f"a placeholder can't be part of a longer literal: {inside}; "
+                             "join the parts with concat")
+    missing = [a or b for a, b in _PARAM.findall(sql) if (a or b) not in parameters]
     if missing:
         raise TransformError(f"missing parameters: {sorted(set(missing))}")
-    q = _PARAM.sub(lambda m: ":" + m.group(1), sql)
+    q = _PARAM.sub(lambda m: ":" + (m[1] or m[2]), sql)
     return spark.sql(q, args=dict(parameters), **frames)
 
 
@@ -105,16 +113,35 @@ def incremental_filter(df: DataFrame, column: str, last_value=None) -> DataFrame
 
 def high_water_mark(df: DataFrame, column: str, source: str) -> DataFrame:
     """The new high-water mark of a batch as a one-row frame
-    ``(source, column, last_value)`` to append to a watermarks table after a
-    successful write (a partial ``max``; no data is collected)."""
+    ``(source, column, last_value, value_type)`` to append to a watermarks
+    table after a successful write (a partial ``max``; no data is collected).
+    The value is kept as text with its type."""
     return df.agg(F.max(column).cast("string").alias("last_value")).select(
-        F.lit(source).alias("source"), F.lit(column).alias("column"), "last_value")
+        F.lit(source).alias("source"), F.lit(column).alias("column"), "last_value",
+        F.lit(df.schema[column].dataType.simpleString()).alias("value_type"))
+
+
+_NUMERIC = r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+
+
+def latest_marks(watermarks: DataFrame) -> DataFrame:
+    """P12 read side: the largest mark per ``(source, column)`` in the order
+    of its type (numbers as numbers; dates and timestamps read as text in
+    their own order). Marks of empty batches are null and never win."""
+    number = F.when(F.col("value_type").rlike(_NUMERIC), F.col("last_value").try_cast("double"))
+    exact = F.when(F.col("value_type").rlike(_NUMERIC),
+                   F.col("last_value").try_cast("decimal(38,10)"))
+    return (watermarks.where(F.col("last_value").isNotNull()).groupBy("source", "column")
+            .agg(F.max_by(F.struct("last_value", "value_type"),
+                          F.struct(F.coalesce(exact, number.cast("decimal(38,10)")), number,
+                                   "last_value")).alias("m"))
+            .select("source", "column", "m.last_value", "m.value_type"))
 
 
 def last_value_from(watermarks: DataFrame, source: str, column: str) -> DataFrame:
-    """P12 read side: the latest stored mark for ``(source, column)``."""
-    return (watermarks.filter((F.col("source") == source) & (F.col("column") == column))
-            .agg(F.max("last_value").alias("last_value")))
+    """The latest stored mark for one ``(source, column)``."""
+    return latest_marks(watermarks.where((F.col("source") == source) &
+                                         (F.col("column") == column)))
 
 
 # Names accepted by ``cast_columns`` (logical -> Spark type).
@@ -143,19 +170,12 @@ def existing_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Keep only columns present in the frame; error when none are."""
     present = [c for c in columns if c in df.columns]
     if not present:
-        raise TransformError(f"None of specified columns {columns} exist in dataset")
+        raise TransformError(f"the dataset has none of the columns {columns}")
     return present
 
 
-def join_with(df: DataFrame, other: DataFrame, on, how: str = "left",
-              broadcast_max_rows: int | None = None) -> DataFrame:
-    """Enrichment join. The other side is broadcast only after a bounded
-    size probe proves it small; otherwise Catalyst/AQE pick the strategy
-    (AQE still converts to a broadcast at runtime from measured sizes)."""
-    from quarry.operators.joins import sized_broadcast
-
-    if broadcast_max_rows:
-        other = sized_broadcast(other, broadcast_max_rows)
+def join_with(df: DataFrame, other: DataFrame, on, how: str = "left") -> DataFrame:
+    """Enrichment join; Catalyst and AQE pick the strategy from sizes."""
     return df.join(other, on=on, how=how)
 
 
@@ -163,7 +183,7 @@ def join_with(df: DataFrame, other: DataFrame, on, how: str = "left",
 
 def _t_join(df, spec, frames):
     other = frames[spec["with"]] if isinstance(spec["with"], str) else spec["with"]
-    return join_with(df, other, spec["on"], spec.get("how", "left"), spec.get("broadcast_max_rows"))
+    return join_with(df, other, spec["on"], spec.get("how", "left"))
 
 
 TRANSFORMS: dict[str, Callable] = {

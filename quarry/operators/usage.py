@@ -64,6 +64,11 @@ def usage_per_period(usage: DataFrame, period: str | Column = "monthly") -> Data
             .withColumn("period_end", period_end_col(F.col("period_start"), p)))
 
 
+def active_quotas(quotas: DataFrame) -> DataFrame:
+    """Quotas that are switched on (all, where there is no ``is_active``)."""
+    return quotas.where("is_active") if "is_active" in quotas.columns else quotas
+
+
 def quota_status(quotas: DataFrame, usage: DataFrame, as_of=None) -> DataFrame:
     """Per quota and period, usage / limit (0 when the limit is 0),
     status exceeded (>= 1) / warning (>= warning threshold) / active, and
@@ -73,8 +78,8 @@ def quota_status(quotas: DataFrame, usage: DataFrame, as_of=None) -> DataFrame:
     With ``as_of`` only the period containing ``as_of`` is reported, one row
     per quota; without it, every period that has usage.
     """
-    q = quotas.select("organization_id", "resource_type", "quota_limit", "warning_threshold",
-                      "reset_period")
+    q = active_quotas(quotas).select("organization_id", "resource_type", "quota_limit",
+                                     "warning_threshold", "reset_period")
     # Tag every usage row with its quota's period: join on the small quota
     # table (one row per org/resource), then aggregate per period.
     u = usage.join(q.select("organization_id", "resource_type", "reset_period"),
@@ -149,11 +154,12 @@ def compliance(snapshot: DataFrame) -> DataFrame:
 
 def downsample(metrics: DataFrame, ts: str, value: str, keys: list[str],
                period: str = "1 hour") -> DataFrame:
-    """Tumbling-window Sum / Average / Maximum and the latest point."""
+    """Tumbling-window Sum / Average / Maximum and the latest point
+    (of several at that time the largest)."""
     return (metrics.groupBy(*keys, F.window(F.col(ts).cast("timestamp"), period).alias("w"))
             .agg(F.sum(value).alias("sum"), F.avg(value).alias("average"),
                  F.max(value).alias("maximum"), F.count(F.lit(1)).alias("points"),
-                 F.max_by(value, F.col(ts)).alias("latest"))
+                 F.max_by(value, F.struct(F.col(ts), F.col(value))).alias("latest"))
             .select(*keys, F.col("w.start").alias("window_start"),
                     F.col("w.end").alias("window_end"), "sum", "average", "maximum",
                     "points", "latest"))
@@ -168,21 +174,49 @@ def monthly_cost(costs: DataFrame, org_col: str, ts: str, amount: str,
             .agg(F.sum(amount).alias("cost"), F.count(F.lit(1)).alias("items")))
 
 
-def usage_snapshot(usage: DataFrame, as_of, dbu_resource: str, storage_resource: str) -> DataFrame:
-    """Per organization the DBU of the last hour before ``as_of``, storage
-    total, distinct active nodes (resources) and month-to-date cost."""
+BYTES_PER_GB = 1024 ** 3
+
+
+def usage_snapshot(usage: DataFrame, as_of, dbu_resource: str, storage_resource: str,
+                   nodes_resource: str) -> DataFrame:
+    """What an organization uses at ``as_of``, from readings before it.
+
+    * ``dbu_usage``: sum of the last hour;
+    * ``storage_gb``: a gauge in bytes - the mean of the readings in the last
+      clock hour that has any, in GB (never a sum over history);
+    * ``compute_nodes``: highest reading of the last five minutes, else 0;
+    * ``cost_this_month``: sum of all amounts since the first of the month.
+    """
     t = F.lit(as_of).cast("timestamp")
-    month = F.date_trunc("MONTH", t)
-    return (usage.where(F.col("ts") < t)
-            .groupBy("organization_id")
-            .agg(F.sum(F.when((F.col("resource_type") == dbu_resource) &
-                              (F.col("ts") >= t - F.expr("INTERVAL 1 HOUR")), F.col("amount"))
-                       .otherwise(0.0)).alias("dbu_usage"),
-                 F.sum(F.when(F.col("resource_type") == storage_resource, F.col("amount"))
-                       .otherwise(0.0)).alias("storage_gb"),
-                 F.count_distinct("resource_type").alias("compute_nodes"),
-                 F.sum(F.when(F.col("ts") >= month, F.col("amount")).otherwise(0.0))
-                 .alias("cost_this_month")))
+    of = lambda r: F.col("resource_type") == r
+    now = usage.where(F.col("ts") < t)
+    hours = (now.where(of(storage_resource))
+             .groupBy("organization_id", F.date_trunc("HOUR", "ts").alias("hour"))
+             .agg(F.avg("amount").alias("mean"))
+             .groupBy("organization_id")
+             .agg((F.max_by("mean", "hour") / BYTES_PER_GB).alias("storage_gb")))
+    sums = now.groupBy("organization_id").agg(
+        F.sum(F.when(of(dbu_resource) & (F.col("ts") >= t - F.expr("INTERVAL 1 HOUR")),
+                     F.col("amount")).otherwise(0.0)).alias("dbu_usage"),
+        F.coalesce(F.max(F.when(of(nodes_resource) & (F.col("ts") >= t - F.expr(
+            "INTERVAL 5 MINUTES")), F.col("amount"))), F.lit(0.0)).cast("long")
+        .alias("compute_nodes"),
+        F.sum(F.when(F.col("ts") >= F.date_trunc("MONTH", t), F.col("amount")).otherwise(0.0))
+        .alias("cost_this_month"))
+    return sums.join(hours, "organization_id", "left").select(
+        "organization_id", "dbu_usage", F.coalesce("storage_gb", F.lit(0.0)).alias("storage_gb"),
+        "compute_nodes", "cost_this_month")
+
+
+def run_cost(runs: DataFrame, dbu_per_node_hour: float = 1.0,
+             usd_per_dbu: float = 0.55) -> DataFrame:
+    """DBU and cost of each run from its nodes and duration:
+    ``runs(run_id, organization_id, nodes, started_at, completed_at)``; an
+    unfinished run has none yet."""
+    hours = (F.unix_micros(F.col("completed_at").cast("timestamp")) -
+             F.unix_micros(F.col("started_at").cast("timestamp"))) / 3_600_000_000
+    return runs.withColumn("dbu", F.col("nodes") * hours * dbu_per_node_hour) \
+        .withColumn("cost_usd", F.col("dbu") * usd_per_dbu)
 
 
 def session_totals(usage: DataFrame, idle: str = "1 hour", idle_seconds: int | None = 3600,

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from quarry.operators import monitoring, remediate
 from quarry.operators.quality import rule_from_row, run_rules, select_rules
 
-MAX_RULES = 10_000
-
 
 def run_quality_check(spark: SparkSession, rules_table: DataFrame, dataset: DataFrame,
                       organization_id: str, dataset_name: str, batch_id: str,
@@ -27,10 +25,7 @@ def run_quality_check(spark: SparkSession, rules_table: DataFrame, dataset: Data
     decision) and ``score`` frames; appends results partitioned by tenant and
     run date when ``results_path`` is given (K11)."""
     selected = select_rules(rules_table, organization_id, dataset_name)
-    rows = selected.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} active rules for one dataset")
-    rules = [rule_from_row(r) for r in rows]
+    rules = [rule_from_row(r) for r in selected.collect()]
     executed_at = executed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     ctx = {"organization_id": organization_id, "dataset_name": dataset_name,
            "batch_id": batch_id, "executed_at": executed_at}

@@ -1058,15 +1058,15 @@ walk(root, node, depth, path) AS (
   UNION ALL
   SELECT w.root, e.target, w.depth + 1, list_append(w.path, e.target)
   FROM walk w JOIN e ON e.source = w.node
-  WHERE w.depth < 5 AND NOT list_contains(w.path, e.target))
+  WHERE NOT list_contains(w.path, e.target))
 SELECT root, depth, count(*) AS n_nodes FROM walk WHERE depth > 0 GROUP BY root, depth""")
 def q_lineage(spark, d):
-    """Downstream closure from every region (recursive CTE, depth cap,
-    cycle stop), counted per root and depth."""
+    """Downstream closure from every region (visited set, no depth cap),
+    counted per root and depth."""
     edges = lineage.reference_edges(T(spark, d, "region"), T(spark, d, "nation"),
                                     T(spark, d, "customer"), T(spark, d, "orders"))
     roots = T(spark, d, "region").select(F.concat(F.lit("region:"), "r_name").alias("root"))
-    walk = lineage.closure(spark, edges, "downstream", 5, roots.distinct())
+    walk = lineage.closure(spark, edges, "downstream", roots)
     return walk.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -1077,7 +1077,7 @@ walk(root, node, depth, path) AS (
   UNION ALL
   SELECT w.root, e.source, w.depth + 1, list_append(w.path, e.source)
   FROM walk w JOIN e ON e.target = w.node
-  WHERE w.depth < 5 AND NOT list_contains(w.path, e.source))
+  WHERE NOT list_contains(w.path, e.source))
 SELECT node, count(*) AS n_customers FROM walk WHERE depth > 0 GROUP BY node""")
 def q_lineage_upstream(spark, d):
     """J10 upstream: for every customer its nation and region, counted per
@@ -1086,7 +1086,7 @@ def q_lineage_upstream(spark, d):
                                     T(spark, d, "customer"), T(spark, d, "orders"))
     roots = edges.where(F.col("target").startswith("customer:")).select(
         F.col("target").alias("root")).distinct()
-    walk = lineage.closure(spark, edges, "upstream", 5, roots)
+    walk = lineage.closure(spark, edges, "upstream", roots)
     return walk.groupBy("node").agg(F.count(F.lit(1)).alias("n_customers"))
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,14 +65,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session (it is a core setting:
-    cluster defaults or ``--conf``). Only when nothing is configured (a bare
-    local test session) a private folder is registered with the context.
+    cluster defaults or ``--conf``). Where nothing is configured, a local
+    master (tests) gets a private folder; on a cluster, whose machines would
+    not share such a folder, that is an error.
     """
     sc = spark.sparkContext
     jdir = sc._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not d and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder "
+                           "that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
@@ -91,6 +98,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_LENIENT = threading.RLock()
+
+
+@contextmanager
+def lenient(spark: SparkSession):
+    """Expressions put into a plan inside this block give null where ANSI mode
+    would raise (division by zero, a cast that fails, an index out of range).
+    A plan keeps the mode that it was made under; the block only makes plans,
+    one thread at a time, and puts the setting back."""
+    with _LENIENT:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete the folder behind a frame returned by ``cut_lineage`` once no
     later plan reads it (iterative operators free their finished levels)."""

@@ -63,11 +63,18 @@ def write_documents(df: DataFrame, path: str, mode: str = "append") -> None:
 def write_table(df: DataFrame, table: str, mode: str = "append",
                 partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
     """K6: managed/catalog table write; overwrite replaces only the written
-    partitions (dynamic partition overwrite)."""
+    partitions (dynamic partition overwrite, an option of this write alone).
+    Columns go to the table's columns by name; a missing or unknown one is an
+    error."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     if spark.catalog.tableExists(table) and mode in ("append", "overwrite"):
-        df.write.insertInto(table, overwrite=(mode == "overwrite"))
+        wanted = spark.table(table).columns
+        odd = set(map(str.lower, wanted)) ^ set(map(str.lower, df.columns))
+        if odd:
+            raise ValueError(f"columns of the frame and of {table} differ: {sorted(odd)}")
+        df.select(*(F.col(f"`{c}`") for c in wanted)).write \
+            .option("partitionOverwriteMode", "dynamic") \
+            .insertInto(table, overwrite=(mode == "overwrite"))
         return
     w = df.write.mode(mode).format(fmt)
     if partition_by:
@@ -97,17 +104,48 @@ def merge_frames(target: DataFrame, source: DataFrame, keys: list[str],
     return kept.unionByName(upserts, allowMissingColumns=True)
 
 
-def merge_into_path(target_path: str, source: DataFrame, keys: list[str], run_id: str,
-                    order: list[Column] | None = None) -> str:
-    """K7 with atomic publication: the merged image is written to a new run
-    directory next to the old one; readers switch by taking the newest run
-    directory (never an in-place overwrite of the files being read)."""
+def _fs(spark, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def versions(spark, path: str) -> list[int]:
+    """Finished versions (folders ``v=<n>`` with a ``_SUCCESS`` mark) of a
+    versioned table, in order."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    found = [s.getPath() for s in fs.listStatus(jpath) if s.getPath().getName().startswith("v=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName()[2:]) for p in found if fs.exists(done(p, "_SUCCESS")))
+
+
+def read_version(spark, path: str, version: int | None = None) -> DataFrame:
+    """The newest finished version of a versioned table, or a given one."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no finished version")
+    return spark.read.parquet(os.path.join(path, f"v={found[-1] if version is None else version}"))
+
+
+def publish_version(df: DataFrame, path: str) -> int:
+    """Write a frame as the next version. The ``_SUCCESS`` mark of the new
+    folder is what publishes it: readers see the old version or the new one,
+    and a write that failed half-way is never read."""
+    found = versions(df.sparkSession, path)
+    number = found[-1] + 1 if found else 0
+    df.write.mode("overwrite").parquet(os.path.join(path, f"v={number}"))
+    return number
+
+
+def merge_into_path(path: str, source: DataFrame, keys: list[str],
+                    order: list[Column] | None = None, delete_col: str | None = None) -> int:
+    """K7 on a versioned table: the merged image of the newest version and
+    ``source`` becomes the next version, which later merges start from."""
     spark = source.sparkSession
-    current = spark.read.parquet(target_path)
-    merged = merge_frames(current, source, keys, order)
-    out = os.path.join(os.path.dirname(target_path.rstrip("/")), f"merged-{run_id}")
-    merged.write.mode("errorifexists").parquet(out)
-    return out
+    current = read_version(spark, path) if versions(spark, path) else \
+        source.drop(*([delete_col] if delete_col else [])).limit(0)
+    return publish_version(merge_frames(current, source, keys, order, delete_col), path)
 
 
 def write_report(results: DataFrame, base: str, stamp: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class ConnectorUnavailable(RuntimeError):
@@ -132,13 +132,14 @@ def kafka_batch_read(spark: SparkSession, servers: str, topic: str,
 def parse_json_value(df: DataFrame, schema: StructType | str, value_col: str = "value",
                      keep=("key", "timestamp")) -> DataFrame:
     """S16 parse step (F14): ``from_json(value)`` expanded to columns; rows whose
-    value does not parse keep a ``_corrupt`` copy of the raw text (K14)."""
-    parsed = F.from_json(F.col(value_col).cast("string"), schema)
+    value does not parse, or has a field of another type than the schema's,
+    keep a ``_corrupt`` copy of the raw text (the parser's own mark, K14)."""
+    full = f"{schema}, _corrupt string" if isinstance(schema, str) else \
+        StructType([*schema.fields, StructField("_corrupt", StringType())])
+    parsed = F.from_json(F.col(value_col).cast("string"), full,
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     kept = [c for c in keep if c in df.columns]
-    raw = F.col("_raw")
-    bad = raw.isNotNull() & F.try_parse_json(raw).isNull()
-    return (df.select(*kept, parsed.alias("data"), F.col(value_col).cast("string").alias("_raw"))
-            .select(*kept, "data.*", F.when(bad, raw).alias("_corrupt")))
+    return df.select(*kept, parsed.alias("data")).select(*kept, "data.*")
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: StructType | str,

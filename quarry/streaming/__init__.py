@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.operators import usage
 from quarry.operators.quality import Rule, compile_rules, run_rules
-from quarry.sinks import merge_frames
+from quarry.session import cut_lineage, drop_written
+from quarry.sinks import _fs, versions
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet",
@@ -73,56 +74,79 @@ def start(df: DataFrame, checkpoint: str, kind: str = "batch", sink: str = "memo
 
 # ------------------------------------------------------------------ X3, X9
 
-def usage_batch_writer(base: str, quotas: DataFrame | None = None) -> Callable:
+def usage_batch_writer(base: str) -> Callable:
     """``foreachBatch`` body: roll the micro-batch up per (org, resource)
     (A16) and write it under ``batch_id=<id>`` with overwrite - a replayed
-    batch rewrites the same folder, so the table stays exactly-once."""
+    batch rewrites the same folder, so the table stays exactly-once. Quotas
+    hold for periods, not batches: ``quota_batch_writer`` judges them."""
     def write(batch: DataFrame, batch_id: int) -> None:
         rolled = usage.rollup_batch(batch).withColumn("batch_id", F.lit(batch_id))
         rolled.write.mode("overwrite").parquet(os.path.join(base, "usage", f"batch_id={batch_id}"))
-        if quotas is not None:
-            st = usage.quota_status(quotas, batch)
-            (usage.violations(st).withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite")
-             .parquet(os.path.join(base, "violations", f"batch_id={batch_id}")))
     return write
 
 
 def cdc_batch_writer(target_path: str, keys: list[str], order_col: str,
-                     op_col: str = "op") -> Callable:
-    """Apply a change feed per micro-batch: latest change per key wins,
-    ``op = 'd'`` deletes; the merged image goes to a new versioned folder
-    (``v=<batch_id>``) so readers never see a half-written table."""
+                     op_col: str = "op", buckets: int = 32) -> Callable:
+    """Apply a change feed per micro-batch; ``op = 'd'`` deletes.
+
+    The target keeps ``order_col`` and, for deleted keys, a marker row, and
+    per key the change with the largest ``order_col`` wins (at equal values
+    the newer batch): a change that comes late never replaces a newer one
+    and never brings a deleted key back. Rows live in ``buckets`` hash
+    buckets of the key; a batch writes only the buckets it touches, under
+    ``v=<batch_id>``, from versions before its own - so a replayed batch
+    reads what it read the first time and rewrites the same folder."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        versions = _versions(spark, target_path)
-        src = batch.withColumn("__del", F.col(op_col) == "d").drop(op_col)
-        if versions:
-            cur = spark.read.parquet(os.path.join(target_path, f"v={max(versions)}"))
-            merged = merge_frames(cur, src, keys, [F.col(order_col)], delete_col="__del")
-        else:
-            merged = merge_frames(src.limit(0).drop("__del"), src, keys, [F.col(order_col)],
-                                  delete_col="__del")
-        merged.write.mode("overwrite").parquet(os.path.join(target_path, f"v={batch_id}"))
+        rest = [c for c in batch.columns if c not in (*keys, op_col)]
+        place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        src = cut_lineage(
+            batch.withColumn("_deleted", F.coalesce(F.col(op_col) == "d", F.lit(False)))
+            .groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest, "_deleted"), F.struct(order_col, "_deleted")).alias("r"))
+            .select(*keys, "r.*").withColumn("_bucket", place))
+        touched = [r[0] for r in src.select("_bucket").distinct().collect()]  # at most ``buckets``
+        new = src.withColumn("_new", F.lit(1))
+        cur = _image(spark, target_path, batch_id, touched)
+        if cur is not None:
+            new = new.unionByName(cur.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+        cols = [c for c in new.columns if c not in (*keys, "_new")]
+        merged = (new.groupBy(*keys)
+                  .agg(F.max_by(F.struct(*cols), F.struct(order_col, "_new")).alias("r"))
+                  .select(*keys, "r.*"))
+        merged.write.mode("overwrite").partitionBy("_bucket") \
+            .parquet(os.path.join(target_path, f"v={batch_id}"))
+        drop_written(spark, src)
     return apply
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
-        return []
-    out = []
-    for st in fs.listStatus(jpath):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(
-                st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return out
+def _image(spark: SparkSession, path: str, before: int | None = None,
+           only: list[int] | None = None) -> DataFrame | None:
+    """Newest rows of each bucket (of ``only`` these), from finished versions
+    smaller than ``before``; markers of deleted keys included."""
+    fs, _ = _fs(spark, path)
+    newest: dict[int, str] = {}
+    for v in versions(spark, path):
+        if before is not None and v >= before:
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"v={v}"))
+        for st in fs.listStatus(folder):
+            name = st.getPath().getName()
+            if name.startswith("_bucket="):
+                newest[int(name[8:])] = os.path.join(path, f"v={v}", name)
+    found = [p for n, p in newest.items() if only is None or n in only]
+    if not found:
+        return None
+    return spark.read.option("basePath", path).option("mergeSchema", "true") \
+        .parquet(*found).drop("v")
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, f"v={max(_versions(spark, path))}"))
+    """The current rows of a CDC target."""
+    image = _image(spark, path)
+    if image is None:
+        raise FileNotFoundError(f"{path} has no finished version")
+    return image.where("not _deleted").drop("_deleted", "_bucket")
 
 
 # ------------------------------------------------------------------ X4, X5
@@ -202,16 +226,35 @@ def suppress_stream(violations: DataFrame, window_seconds: int = 3600,
 
 # ------------------------------------------------------------------ X7
 
-def flag_stream(stream: DataFrame, rules: list[Rule], as_of=None) -> DataFrame:
+def split_rules(stream: DataFrame, rules: list[Rule], frames: dict | None = None,
+                as_of=None) -> tuple[list[Rule], list[Rule]]:
+    """Rules that can be judged row by row on a stream (also against static
+    reference frames), and those that need a whole batch (uniqueness, custom
+    SQL, statistics) or could not be planned."""
+    checks = compile_rules(stream, rules, frames, as_of)
+    inline = [c.rule for c in checks if c.error is None and c.row_valid is not None
+              and c.rule.definition.get("method") != "statistical"]
+    known = {r.rule_id for r in inline}
+    return inline, [c.rule for c in checks if c.rule.rule_id not in known]
+
+
+def flag_stream(stream: DataFrame, rules: list[Rule], as_of=None,
+                frames: dict | None = None) -> DataFrame:
     """Row-level rules evaluated inline on the stream (no state); each
-    row gets the ids of the rules it fails."""
-    checks = [c for c in compile_rules(stream, rules, None, as_of)
-              if c.error is None and c.row_valid is not None and c.prep is None]
-    flags = [F.when(~F.coalesce(c.row_valid, F.lit(False)), F.lit(c.rule.rule_id))
-             for c in checks]
+    row gets the ids of the rules it fails. Reference rules join the static
+    ``frames``. A rule that can't be judged row by row is an error, not
+    skipped: ``split_rules`` tells them apart for ``rules_batch_writer``."""
+    inline, rest = split_rules(stream, rules, frames, as_of)
+    if rest:
+        raise ValueError("not row-level on a stream: " + ", ".join(r.rule_id for r in rest))
+    out, flags = stream, []
+    for c in compile_rules(stream, inline, frames, as_of):
+        if c.prep is not None:
+            out = c.prep(out)
+        flags.append(F.when(~F.coalesce(c.row_valid, F.lit(False)), F.lit(c.rule.rule_id)))
     arr = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else \
         F.array().cast("array<string>")
-    return stream.withColumn("_failed_rules", arr)
+    return out.withColumn("_failed_rules", arr).select(*stream.columns, "_failed_rules")
 
 
 def rules_batch_writer(rules: list[Rule], base: str, frames: dict | None = None) -> Callable:
@@ -227,12 +270,13 @@ def rules_batch_writer(rules: list[Rule], base: str, frames: dict | None = None)
 def quota_batch_writer(base: str, quotas: DataFrame, window_seconds: int = 3600) -> Callable:
     """Usage -> quota -> violation per micro-batch (the 3.3 flow).
 
-    1. the batch is rolled up (A16) into ``usage/batch_id=<n>`` (overwrite:
-       replay-safe);
-    2. current usage per quota period is the sum over all written roll-ups of
-       the periods this batch touched (G1, bucketed by each quota's period);
-    3. each (org, resource) over a threshold is a violation candidate at the
-       batch's event time (G2) with its action (G3);
+    1. the batch is rolled up per quota period (A16; resources without a
+       quota by month) into ``usage/batch_id=<n>`` (overwrite: replay-safe),
+       in folders by the period's first day;
+    2. current usage per quota period is the sum over the written roll-ups of
+       the periods this batch touched (G1) - only their days' folders are read;
+    3. each (org, resource) over a threshold of an active quota is a violation
+       candidate at the batch's event time (G2) with its action (G3);
     4. a candidate is recorded only when the last *recorded* violation of the
        same (org, resource, type) is more than ``window_seconds`` older (W4);
        with one candidate per key and batch this is a join with the latest
@@ -245,20 +289,27 @@ def quota_batch_writer(base: str, quotas: DataFrame, window_seconds: int = 3600)
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keys = ["organization_id", "resource_type"]
-        b = batch.join(quotas.select(*keys, "reset_period"), keys, "inner").withColumn(
-            "period_start", period_start_col(F.col("ts"), F.col("reset_period")))
-        (b.groupBy(*keys, "period_start").agg(F.sum("amount").alias("amount"),
-                                              F.count(F.lit(1)).alias("records"),
-                                              F.max("ts").alias("last_ts"))
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(os.path.join(base, "usage", f"batch_id={batch_id}")))
-        usage_tbl = spark.read.parquet(os.path.join(base, "usage"))
-        touched = b.select(*keys, "period_start").distinct()
-        current = (usage_tbl.where(F.col("batch_id") <= batch_id)
-                   .join(touched, [*keys, "period_start"], "left_semi")
+        active = usage.active_quotas(quotas)
+        period = F.coalesce("reset_period", F.lit("monthly"))
+        rolled = (batch.join(active.select(*keys, "reset_period"), keys, "left")
+                  .withColumn("period_start", period_start_col(F.col("ts"), period))
+                  .groupBy(*keys, "period_start")
+                  .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("records"),
+                       F.max("ts").alias("last_ts"))
+                  .withColumn("period_day", F.to_date("period_start")))
+        own = os.path.join(base, "usage", f"batch_id={batch_id}")
+        rolled.write.mode("overwrite").partitionBy("period_day").parquet(own)
+        usage_tbl = spark.read.schema(StructType(
+            [*rolled.schema.fields, StructField("batch_id", LongType())])) \
+            .parquet(os.path.join(base, "usage"))
+        mine = usage_tbl.where(F.col("batch_id") == batch_id)
+        # a micro-batch touches few periods: their days prune the read
+        days = [r[0] for r in mine.select("period_day").distinct().collect()]
+        current = (usage_tbl.where((F.col("batch_id") <= batch_id) & F.col("period_day").isin(days))
+                   .join(mine.select(*keys, "period_start"), [*keys, "period_start"], "left_semi")
                    .groupBy(*keys, "period_start")
                    .agg(F.sum("amount").alias("current_usage"), F.max("last_ts").alias("ts")))
-        st = current.join(quotas, keys, "inner")
+        st = current.join(active, keys, "inner")
         pct = F.when(F.col("quota_limit") > 0, F.col("current_usage") / F.col("quota_limit")) \
             .otherwise(F.lit(0.0))
         cand = (st.withColumn("pct", pct)
@@ -278,8 +329,8 @@ def quota_batch_writer(base: str, quotas: DataFrame, window_seconds: int = 3600)
                                   [F.col("created_at")]).withColumnRenamed("created_at", "last_at")
             cand = (cand.join(last, vkeys, "left")
                     .where(F.col("last_at").isNull() |
-                           (F.unix_seconds("created_at") - F.unix_seconds("last_at")
-                            > window_seconds))
+                           (F.unix_micros("created_at") - F.unix_micros("last_at")
+                            > window_seconds * 1_000_000))
                     .drop("last_at"))
         (cand.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(os.path.join(vpath, f"batch_id={batch_id}")))
@@ -287,5 +338,5 @@ def quota_batch_writer(base: str, quotas: DataFrame, window_seconds: int = 3600)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath)

@@ -131,7 +131,7 @@ def test_tenant_scope_isolation(spark):
 
 def test_lineage_cycles_and_jobs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
-    w = lineage.closure(spark, e, "downstream", 10)
+    w = lineage.closure(spark, e, "downstream")
     assert w.where("root = 'a'").count() == 2          # b and c, cycle stopped
     jobs = spark.createDataFrame([(1, "success", []), (2, "pending", [1]), (3, "pending", [2]),
                                   (4, "pending", [])],

@@ -220,7 +220,7 @@ def test_lakehouse_prefix_join_business_rule(spark):
     r = spark.read.parquet(f"{SF001}/region.parquet").withColumnRenamed("r_regionkey",
                                                                         "n_regionkey")
     j = apply_transforms(n, [{"type": "join", "with": "region", "on": "n_regionkey",
-                              "how": "left", "broadcast_max_rows": 100}], {"region": r})
+                              "how": "left"}], {"region": r})
     assert j.where("r_name IS NULL").count() == 0 and j.count() == 25
     res = run_rules(n, [Rule("b", "accuracy", None, {"method": "business_rule",
                                                       "conditions": ["n_nationkey >= 0",

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators.quality import Rule, run_rules
 
@@ -102,12 +103,15 @@ def test_passed_plus_failed_is_total(spark):
 
 
 def test_runtime_error_is_isolated(spark):
-    """Q19 at run time: a condition that fails during execution (ANSI divide
-    by zero) becomes one error row; the other rules of the pass still run."""
+    """Q19 at run time: a rule that fails during execution becomes one error
+    row; the other rules of the pass still run."""
+    from quarry.operators.quality import register_row_check
+
+    register_row_check("boom", F.udf(lambda x: 1 / 0 > x, "boolean"))
     df = spark.createDataFrame([(1, 0), (2, 1)], "a int, b int")
     res = {r.rule_id: r for r in run_rules(
         df, [Rule("ok", "completeness", "a"),
-             Rule("boom", "consistency", None, {"condition": "a / b > 0"}),
+             Rule("boom", "python", "a", {"check": "boom"}),
              Rule("ok2", "range_check", "a", {"min_value": 0})],
         isolate_runtime_errors=True).collect()}
     assert res["boom"].status == "error" and "runtime error" in res["boom"].error
@@ -122,3 +126,34 @@ def test_grouped_checks_keep_custom_sql(spark):
     by = {(r.g, r.rule_id): r for r in res}
     assert by[("a", "c")].failed_records == 1 and by[("b", "c")].status == "passed"
     assert by[(None, "s")].status == "passed"
+
+
+def test_row_errors_are_inconsistent_rows(spark):
+    """A row whose condition can't be worked out is an inconsistent row."""
+    df = spark.createDataFrame([(4, 2, "1"), (1, 0, "x"), (1, 4, "3"), (None, 1, None)],
+                               "m int, n int, t string")
+    got = {r.rule_id: (r.status, r.failed_records) for r in run_rules(df, [
+        Rule("div", "consistency", None, {"condition": "m / n > 1", "threshold": 0.5}),
+        Rule("cast", "consistency", None, {"condition": "cast(t AS int) > 0"}),
+        Rule("biz", "accuracy", None, {"method": "business_rule",
+                                       "conditions": ["m / n >= 0", "n > 1"]})]).collect()}
+    assert got == {"div": ("failed", 3), "cast": ("failed", 2), "biz": ("failed", 2)}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_custom_sql_only_reads_supplied_frames(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS golden_tgt (a int) USING parquet")
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    texts = {"ok": "SELECT * FROM {t} WHERE a > 5", "cte": "WITH q AS (SELECT a FROM t) "
+             "SELECT * FROM q WHERE a > 7", "write": "WITH q AS (SELECT a FROM {t}) "
+             "INSERT INTO golden_tgt SELECT a FROM q", "table": "SELECT * FROM golden_tgt",
+             "file": "SELECT * FROM parquet.`/tmp/x`", "drop": "DROP TABLE golden_tgt",
+             "reflect": "SELECT reflect('java.util.UUID', 'randomUUID') FROM {t}",
+             "brace": "SELECT * FROM {t} WHERE rlike(cast(a AS string), '^9{2}$')",
+             "none": "SELECT 1 WHERE 1 = 0"}
+    got = {r.rule_id: r.status for r in run_rules(
+        df, [Rule(k, "custom_sql", None, {"sql_query": q}) for k, q in texts.items()],
+        {"t": df}).collect()}
+    assert got == {k: "passed" if k in ("ok", "cte", "brace", "none") else "error" for k in texts}
+    assert spark.table("golden_tgt").count() == 0
+    spark.sql("DROP TABLE golden_tgt")

@@ -87,12 +87,14 @@ def test_foreach_batch_usage_and_rules_in_stream(spark):
                                    "reset_period string")
     stream = streaming.file_stream(spark, os.path.join(d, "in"), src.schema,
                                    max_files_per_trigger=1)
-    usage_w = streaming.usage_batch_writer(os.path.join(d, "out"), quotas)
+    usage_w = streaming.usage_batch_writer(os.path.join(d, "out"))
+    quota_w = streaming.quota_batch_writer(os.path.join(d, "quota"), quotas)
     rules_w = streaming.rules_batch_writer([Rule("c", "completeness", "amount")],
                                            os.path.join(d, "rules"))
 
     def both(batch, batch_id):
         usage_w(batch, batch_id)
+        quota_w(batch, batch_id)
         rules_w(batch, batch_id)
 
     q = streaming.start(stream, os.path.join(d, "ck"), "batch", foreach_batch=both)
@@ -102,7 +104,7 @@ def test_foreach_batch_usage_and_rules_in_stream(spark):
     assert rolled.select("batch_id").distinct().count() == 2
     res = spark.read.parquet(os.path.join(d, "rules"))
     assert res.agg(F.sum("total_records")).first()[0] == src.count()
-    v = spark.read.parquet(os.path.join(d, "out", "violations"))
+    v = spark.read.parquet(os.path.join(d, "quota", "violations"))
     assert set(v.columns) >= {"violation_type", "action_taken", "batch_id"}
 
 
