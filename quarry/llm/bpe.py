@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quarry.llm import common
 
 SLICE_BYTES = 4 << 20
-PAIRS = 1_000_000
+PAIRS = 200_000
 NEVER = 1 << 30
 
 # Fixed value: the vocabulary's word pattern.
@@ -100,6 +100,12 @@ class Encoder:
         self.chunks: dict[str, tuple[int, str, str, list[int]]] = {}
         self.words: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Empty the caches; workers outlive their tasks."""
+        self.pairs.clear()
+        self.chunks.clear()
+        self.words.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -237,6 +243,7 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                      pa.array(back, pa.string())], schema.names)
+        encoder.forget()
 
     return rows.mapInArrow(run, schema)
 
@@ -259,6 +266,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()),
                      pa.array(ids, pa.list_(pa.int32()))], schema.names)
+        encoder.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ WORD_TABLE = bytes(
 
 # A worker's word caches are emptied beyond this many entries, so that their
 # memory stays bounded whatever the number of distinct words.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 # Words longer than this are worked out each time and never cached.
 CACHE_WORD = 64
 

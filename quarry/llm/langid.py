@@ -132,20 +132,19 @@ class Profiles:
 def identify(docs: DataFrame, learned: dict[str, list[int]], keep: list[Column],
              text: str = "text") -> DataFrame:
     """``keep`` columns of every row plus ``lang_pred`` and ``score``."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kept = rows.schema.names[:-1]
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the text goes to Python, the other columns stay where they are
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Profiles(learned)
-        for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column("_text")]
-            columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([g[0] for g in got], pa.string()),
-                 pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
+        for batch in texts:
+            got = [model.predict(t.as_py()) for t in batch]
+            yield pa.array([{"lang": g[0], "score": g[1]} for g in got], kind)
 
-    return rows.mapInArrow(predict, schema)
+    return docs.select(*keep, predict(F.col(text)).alias("predicted")).select(
+        *(F.col(f"`{c}`") for c in docs.select(*keep).columns),
+        F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,7 @@ def count(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     [part.column("doc_id"),
                      *(pa.array([g[k] for g in got], pa.int64()) for k in range(3))],
                     schema.names)
+        counter.known.clear()  # workers outlive their tasks
 
     return rows.mapInArrow(run, schema)
 
