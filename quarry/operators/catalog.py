@@ -20,18 +20,28 @@ def search(df: DataFrame, query: str, name: str, description: str | None = None,
             .orderBy(*order).limit(limit))
 
 
+def _text(v) -> str:
+    """A SQL string literal."""
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(v: str) -> str:
+    """A quoted identifier; dots part the levels of a name."""
+    return ".".join("`" + p.replace("`", "``") + "`" for p in v.split("."))
+
+
 def create_schema(spark: SparkSession, name: str, comment: str | None = None,
                   properties: dict | None = None, location: str | None = None) -> None:
     """K8."""
-    q = f"CREATE SCHEMA IF NOT EXISTS `{name}`"
+    q = f"CREATE SCHEMA IF NOT EXISTS {_name(name)}"
     if comment:
-        q += " COMMENT :comment"
+        q += f" COMMENT {_text(comment)}"
     if location:
-        q += f" LOCATION '{location}'"
+        q += f" LOCATION {_text(location)}"
     if properties:
-        props = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
+        props = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items())
         q += f" WITH DBPROPERTIES ({props})"
-    spark.sql(q, args={"comment": comment} if comment else None)
+    spark.sql(q)
 
 
 def create_table(spark: SparkSession, name: str, schema: StructType,
@@ -42,37 +52,43 @@ def create_table(spark: SparkSession, name: str, schema: StructType,
     properties; managed table, or external when ``path`` is given."""
     cols = []
     for f in schema.fields:
-        c = f"`{f.name}` {f.dataType.simpleString()}"
+        c = "`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}"
         if not f.nullable:
             c += " NOT NULL"
         if f.metadata.get("comment"):
-            c += " COMMENT '" + f.metadata["comment"].replace("'", "\\'") + "'"
+            c += f" COMMENT {_text(f.metadata['comment'])}"
         cols.append(c)
-    q = f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(cols)}) USING {fmt}"
+    if not fmt.isidentifier():
+        raise ValueError(f"no format: {fmt}")
+    q = f"CREATE TABLE IF NOT EXISTS {_name(name)} ({', '.join(cols)}) USING {fmt}"
     if partition_columns:
-        q += f" PARTITIONED BY ({', '.join(partition_columns)})"
+        q += f" PARTITIONED BY ({', '.join(map(_name, partition_columns))})"
     if path:
-        q += f" LOCATION '{path}'"
+        q += f" LOCATION {_text(path)}"
     if comment:
-        q += " COMMENT '" + comment.replace("'", "\\'") + "'"
+        q += f" COMMENT {_text(comment)}"
     if properties:
-        q += " TBLPROPERTIES (" + ", ".join(f"'{k}' = '{v}'" for k, v in properties.items()) + ")"
+        q += " TBLPROPERTIES (" + ", ".join(f"{_text(k)} = {_text(v)}"
+                                            for k, v in properties.items()) + ")"
     spark.sql(q)
 
 
 def analyze(spark: SparkSession, table: str) -> None:
     """K12 (stats half): table and column statistics for the cost model."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    spark.sql(f"ANALYZE TABLE {_name(table)} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
-def compact(spark: SparkSession, table: str, target_files: int) -> None:
-    """K12 (compaction half): rewrite into ``target_files`` files with an
-    ``INSERT OVERWRITE`` of a rebalanced read of itself (staged through a
-    checkpointed frame so the source is not read while being replaced)."""
-    from quarry.session import cut_lineage
+def compact(spark: SparkSession, path: str, file_bytes: int = 128 * 1024 ** 2) -> int:
+    """K12 (compaction half) of a versioned table: its newest version is
+    rewritten with files of about ``file_bytes`` as the next version. The
+    old one stays readable until the new one is finished, and a failed
+    rewrite leaves it as it was."""
+    from quarry import sinks
 
-    df = cut_lineage(spark.table(table).repartition(target_files))
-    df.write.mode("overwrite").insertInto(table, overwrite=True)
+    now = sinks.read_version(spark, path)
+    fs, folder = sinks._fs(spark, f"{path}/v={sinks.versions(spark, path)[-1]}")
+    size = fs.getContentSummary(folder).getLength()
+    return sinks.publish_version(now.repartition(max(1, -(-size // file_bytes))), path)
 
 
 def snapshots(spark: SparkSession, base: str) -> DataFrame:

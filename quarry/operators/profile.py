@@ -23,6 +23,10 @@ PROFILE_SCHEMA = [
 ]
 
 
+# Exact distinct counts expand each row once per column: so many at a time.
+DISTINCT_PER_PASS = 4
+
+
 def _null(t: str) -> Column:
     return F.lit(None).cast(t)
 
@@ -145,17 +149,44 @@ def top_values_all(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
             .select("column_name", "value", "count", "rank"))
 
 
-def table_statistics(df: DataFrame) -> DataFrame:
-    """Row count plus file-level facts from the scan's ``_metadata``
-    (size in bytes, file count, last modification). Only the metadata
-    columns are read."""
+def table_statistics(df: DataFrame, partition_columns: list[str] | None = None,
+                     columns: list[str] | None = None) -> DataFrame:
+    """One row with the row count, the number of partitions (distinct
+    values of the partition columns; 1 without any) and per column the null
+    and distinct counts, minimum and maximum (as text). Distinct counts run
+    in passes of their own, a few columns at a time, so that they don't
+    multiply the rows of the other aggregates."""
+    columns = columns or df.columns
+    aggs = [F.count(F.lit(1)).alias("row_count")]
+    for i, c in enumerate(columns):
+        col = F.col(f"`{c}`")
+        aggs += [F.count_if(col.isNull()).alias(f"n{i}"),
+                 F.min(col).cast("string").alias(f"lo{i}"),
+                 F.max(col).cast("string").alias(f"hi{i}")]
+    out, distinct = df.agg(*aggs), {}
+    for at in range(0, len(columns), DISTINCT_PER_PASS):
+        some = range(at, min(at + DISTINCT_PER_PASS, len(columns)))
+        one = df.select(F.struct(*[F.count_distinct(F.col(f"`{columns[i]}`")).alias(f"d{i}")
+                                   for i in some])).scalar()
+        distinct |= {i: one[f"d{i}"] for i in some}
+    parts = df.select(*partition_columns).distinct().select(F.count(F.lit(1))).scalar() \
+        if partition_columns else F.lit(1).cast("long")
+    stats = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.struct(
+        F.col(f"n{i}").alias("null_count"), distinct[i].alias("distinct_count"),
+        F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")))
+        for i, c in enumerate(columns)]))
+    return out.select("row_count", parts.alias("partition_count"), stats.alias("column_stats"))
+
+
+def table_files(df: DataFrame) -> DataFrame:
+    """File-level facts from the scan's ``_metadata`` (size in bytes,
+    file count, last modification). Only the metadata columns are read."""
     files = (df.select(F.col("_metadata.file_path").alias("f"),
                        F.col("_metadata.file_size").alias("s"),
                        F.col("_metadata.file_modification_time").alias("m"))
-             .groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.max("s").alias("s"),
-                               F.max("m").alias("m")))
-    return files.agg(F.sum("rows").alias("row_count"), F.sum("s").alias("size_bytes"),
-                     F.count(F.lit(1)).alias("file_count"), F.max("m").alias("last_updated"))
+             .groupBy("f").agg(F.max("s").alias("s"), F.max("m").alias("m")))
+    return files.agg(F.sum("s").alias("size_bytes"), F.count(F.lit(1)).alias("file_count"),
+                     F.max("m").alias("last_updated"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],

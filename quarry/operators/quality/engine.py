@@ -79,9 +79,12 @@ def _result_struct(check: Check, get, total: Column, ctx: dict) -> Column:
 
 
 def _passes(checks: list[Check]) -> list[list[Check]]:
-    groups: list[list[Check]] = [[]]
+    """Plain aggregates share one pass; exact distinct counts, which expand
+    every row they share a pass with, go to passes of their own."""
+    plain = [c for c in checks if not c.n_distinct]
+    groups: list[list[Check]] = [plain, []]
     nd = 0
-    for c in checks:
+    for c in (c for c in checks if c.n_distinct):
         if nd + c.n_distinct > MAX_DISTINCT_PER_PASS and groups[-1]:
             groups.append([])
             nd = 0
@@ -194,15 +197,28 @@ def run_rules(df: DataFrame, rules: list[Rule], frames: dict | None = None, as_o
 
 # ---------------------------------------------------------------- row flags (R2)
 
+def without_row_form(df: DataFrame, rules: list[Rule], frames: dict | None = None,
+                     as_of=None) -> dict[str, str]:
+    """Rules whose failing rows can't be told, with the reason."""
+    return {c.rule.rule_id: c.error or f"{c.rule.rule_type} judges the dataset as a whole"
+            for c in compile_rules(df, rules, frames, as_of)
+            if c.error is not None or (c.row_valid is None and c.rule.rule_type != "uniqueness")}
+
+
 def row_flags(df: DataFrame, rules: list[Rule], frames: dict | None = None, as_of=None,
-              key_columns: list[str] | None = None) -> DataFrame:
+              strict: bool = False) -> DataFrame:
     """Per-row failure flags for every row-level rule, plus set-level
-    uniqueness flags (rows whose key occurs more than once).
+    uniqueness flags (rows whose key occurs more than once). A rule without
+    a row form (``without_row_form``) flags nothing; with ``strict`` it is an
+    error.
 
     Adds ``_failed_rules array<string>`` and ``_reasons array<string>``.
     Uniqueness duplicates come from a partial-aggregated ``groupBy(key).count``
     joined back (AQE splits a skewed key on the large side).
     """
+    gaps = without_row_form(df, rules, frames, as_of) if strict else {}
+    if gaps:
+        raise ValueError(f"rules without a row form: {gaps}")
     checks = compile_rules(df, rules, frames, as_of)
     base = df
     for c in checks:

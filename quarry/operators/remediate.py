@@ -20,7 +20,7 @@ def quarantine_split(df: DataFrame, rules: list[Rule], frames: dict | None = Non
     """R2: ``good`` rows (no rule failed) and ``bad`` rows with the ids of the
     failed rules and the reasons. ``good ∪ bad = input``; the flagged frame
     is computed once per consumer (persist or write it when both are used)."""
-    flagged = row_flags(df, rules, frames, as_of)
+    flagged = row_flags(df, rules, frames, as_of, strict=True)
     good = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
     bad = flagged.where(F.size("_failed_rules") > 0)
     return good, bad
@@ -31,7 +31,7 @@ def split_write(df: DataFrame, rules: list[Rule], path: str, frames: dict | None
     """R2 in one job: rows are flagged once and written partitioned by
     ``_part`` (``good`` rows, ``bad`` rows with the failed rule ids and
     reasons), so the input is scanned and checked a single time."""
-    flagged = row_flags(df, rules, frames, as_of)
+    flagged = row_flags(df, rules, frames, as_of, strict=True)
     (flagged.withColumn("_part", F.when(F.size("_failed_rules") > 0, "bad").otherwise("good"))
      .write.mode(mode).format(fmt).partitionBy("_part").save(path))
 
@@ -49,18 +49,40 @@ def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> Da
             .select(*keys, "__r.*"))
 
 
+def unfixable(df: DataFrame, rules: list[Rule]) -> list[str]:
+    """Ids of rules that ``auto_fix`` has no fix for."""
+    def known(r: Rule) -> bool:
+        d = r.definition
+        if r.rule_type == "uniqueness":
+            return all(k in df.columns for k in d.get("columns") or [r.column])
+        return r.column in df.columns and (
+            (r.rule_type == "completeness" and "default" in d) or r.rule_type == "range_check" or
+            (r.rule_type == "validity" and d.get("data_type") == "email") or
+            (r.rule_type == "conformity" and d.get("standard") == "EMAIL") or
+            (r.rule_type == "regex_pattern" and bool(d.get("pattern"))))
+    return [r.rule_id for r in rules if not known(r.normalized())]
+
+
 def auto_fix(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Deterministic fixes by rule type.
 
     completeness -> fill ``definition.default`` (when given); range_check ->
     clamp into [min, max]; validity with data_type email / conformity EMAIL ->
     trim + lower, then null-out if still invalid; regex_pattern -> null-out
-    values that do not match. Uniqueness is fixed by ``dedupe_keep_first``.
+    values that do not match; uniqueness -> one row per key, the first in
+    the order of ``definition.order_by`` (else of all other columns).
+    Other rules have no fix (``unfixable``) and are an error here.
     """
+    odd = unfixable(df, rules)
+    if odd:
+        raise ValueError(f"rules without a fix: {odd}")
     out = df
     for r in (x.normalized() for x in rules):
         c, d = r.column, r.definition
-        if not c or c not in out.columns:
+        if r.rule_type == "uniqueness":
+            keys = d.get("columns") or [c]
+            rest = d.get("order_by") or [x for x in out.columns if x not in keys]
+            out = dedupe_keep_first(out, keys, [F.col(x) for x in rest]).select(*out.columns)
             continue
         col = F.col(c)
         if r.rule_type == "completeness" and "default" in d:

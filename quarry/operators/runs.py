@@ -33,12 +33,18 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def pipeline_metrics(runs: DataFrame) -> DataFrame:
-    """Total / success / failed runs and average records per pipeline."""
+    """Total / success / failed runs, average records and (of finished
+    runs with a ``completed_at``) average minutes per pipeline."""
+    minutes = F.lit(None).cast("double")
+    if "completed_at" in runs.columns:
+        minutes = (F.unix_micros(F.col("completed_at").cast("timestamp")) -
+                   F.unix_micros(F.col("started_at").cast("timestamp"))) / 60_000_000
     return (runs.groupBy("pipeline_id")
             .agg(F.count(F.lit(1)).alias("total_runs"),
                  F.count_if(F.col("status") == "success").alias("successful_runs"),
                  F.count_if(F.col("status") == "failed").alias("failed_runs"),
-                 F.avg("records_processed").alias("avg_records")))
+                 F.avg("records_processed").alias("avg_records"),
+                 F.avg(minutes).alias("avg_minutes")))
 
 
 def classify_timeouts(runs: DataFrame, as_of,

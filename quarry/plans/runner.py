@@ -7,15 +7,20 @@ program text, no job polling and no per-step ``count()``.
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import sinks
-from quarry.operators.quality import Rule, row_flags, run_rules
-from quarry.session import cut_lineage
-from quarry.operators.transforms import apply_transforms, incremental_filter, ingest_metadata
+from quarry.operators import remediate
+from quarry.operators.quality import Rule, row_flags, run_rules, without_row_form
+from quarry.operators.quality.spec import REMEDIATIONS
+from quarry.operators.transforms import (apply_transforms, high_water_mark, incremental_filter,
+                                         ingest_metadata, last_value_from)
+from quarry.session import cut_lineage, drop_written
 
 
 @dataclass
@@ -23,12 +28,14 @@ class PipelineSpec:
     source: dict                      # {"format": "parquet", "path": ...} or {"frame": df}
     transforms: list[dict] = field(default_factory=list)
     rules: list[Rule] = field(default_factory=list)
-    target: dict | None = None        # {"path": ..., "format": ..., "mode": ...}
+    target: dict | None = None        # see write_target
     organization: str | None = None
     environment: str = "dev"
     incremental_column: str | None = None
     last_value: object = None
     quarantine: bool = False
+    dataset_name: str = "dataset"
+    state_path: str | None = None     # results, alerts, incidents, runs, marks
 
 
 def read_source(spark: SparkSession, source: dict) -> DataFrame:
@@ -57,52 +64,191 @@ def quality_of(spark: SparkSession, spec: PipelineSpec, frames: dict | None = No
 
 def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | None = None,
         as_of=None) -> dict:
-    """Execute: write the (good) rows with metrics observed during the write,
-    quarantine the bad rows when asked, return the run summary."""
-    df = build(spark, spec, frames)
+    """Execute a pipeline: read the mark, filter, transform, stage once, judge,
+    act, write, record.
+
+    Rules are judged on the staged frame, and each failed rule's remediation
+    action takes effect: ``reject`` - nothing is written to the target and
+    the mark stays; ``auto_fix`` - values are fixed (or duplicates dropped);
+    ``quarantine`` - the rule's bad rows go to the quarantine folder;
+    ``manual_review`` and ``alert_only`` - incident and alert rows. With
+    ``spec.quarantine`` every rule's bad rows are quarantined. A rule that its
+    action can't be applied to (no row form, no fix) is listed in the run row,
+    not skipped.
+
+    Results, the run row and the new mark are appended under
+    ``spec.state_path``; the mark comes last, so a run that fails before is
+    repeated. Returns the run row as a dict and the frames ``results``,
+    ``alerts`` and ``incidents``.
+    """
+    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    state = spec.state_path
+    last = spec.last_value
+    if spec.incremental_column and last is None and state:
+        last = read_mark(spark, f"{state}/marks", spec)
+    df = build(spark, dataclasses.replace(spec, last_value=last), frames)
     if spec.organization:
         df = ingest_metadata(df, spec.organization, spec.environment)
-    bad = None
-    if spec.quarantine and spec.rules:
-        # flag once, stage in the shared checkpoint folder, then write both
-        # outputs from the staged table (no second scan / rule evaluation)
-        flagged = cut_lineage(row_flags(df, spec.rules, frames, as_of))
+    base = cut_lineage(df)
+    ctx = {"organization_id": spec.organization, "dataset_name": spec.dataset_name,
+           "batch_id": run_id, "executed_at": started}
+    results = cut_lineage(run_rules(base, spec.rules, frames, as_of, ctx,
+                                    isolate_runtime_errors=True))
+    # one row per rule: as many as the configuration has
+    failed = {r.rule_id for r in results.where("status = 'failed'").collect()}
+    by_action = {a: [r for r in spec.rules if r.remediation == a and r.rule_id in failed]
+                 for a in REMEDIATIONS}
+    if spec.quarantine:
+        by_action["quarantine"] = list(spec.rules)
+    rejected = [r.rule_id for r in by_action["reject"]]
+
+    gaps = without_row_form(base, by_action["quarantine"], frames, as_of)
+    unfixed = remediate.unfixable(base, by_action["auto_fix"])
+    kept, bad = base, None
+    split = [r for r in by_action["quarantine"] if r.rule_id not in gaps]
+    if split and not rejected:
+        flagged = cut_lineage(row_flags(base, split, frames, as_of))
         bad = flagged.where(F.size("_failed_rules") > 0)
-        df = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
-    obs = Observation(f"run_{run_id}")
-    df = df.observe(obs, F.count(F.lit(1)).alias("records_processed"))
-    out = None
-    if spec.target:
-        t = spec.target
-        out = sinks.write_run(df, t["path"], run_id, t.get("format", "parquet"),
-                              t.get("mode", "overwrite"))
-        if bad is not None:
-            sinks.write_run(bad, t["path"] + "_quarantine", run_id)
+        kept = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
+    fixes = [r for r in by_action["auto_fix"] if r.rule_id not in unfixed]
+    if fixes:
+        kept = remediate.auto_fix(kept, fixes)
+
+    out, n_bad, n_kept = None, 0, 0
+    if not rejected:
+        obs = Observation(f"run_{run_id}")
+        out = write_target(kept.observe(obs, F.count(F.lit(1)).alias("n")), spec.target, run_id)
+        n_kept = obs.get["n"]
+        if bad is not None and spec.target and "path" in spec.target:
+            obs = Observation(f"bad_{run_id}")
+            sinks.write_run(bad.observe(obs, F.count(F.lit(1)).alias("n")),
+                            spec.target["path"] + "_quarantine", run_id)
+            n_bad = obs.get["n"]
+        elif bad is not None:
+            n_bad = bad.count()
+    rules = rule_rows(spark, spec)
+    routed = remediate.route(results, rules)
+    frames_out = {"results": results, "alerts": remediate.alerts(routed),
+                  "incidents": remediate.incidents(routed)}
+    finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    row = {"run_id": run_id, "organization_id": spec.organization,
+           "dataset_name": spec.dataset_name, "status": "failed" if rejected else "success",
+           "records_processed": n_kept, "failed_records": n_bad,
+           "output_bytes": folder_bytes(spark, out), "output": out, "rejected_by": rejected,
+           "unflagged_rules": sorted(gaps), "unfixed_rules": sorted(unfixed),
+           "started_at": started, "completed_at": finished,
+           "seconds": (finished - started).total_seconds()}
+    if state:
+        for name, frame in frames_out.items():
+            sinks.write_files(frame.withColumn("run_id", F.lit(run_id)), f"{state}/{name}")
+        sinks.write_files(spark.createDataFrame([tuple(row.values())], RUN_SCHEMA),
+                          f"{state}/runs")
+        if spec.incremental_column and not rejected:
+            sinks.write_files(high_water_mark(base, spec.incremental_column, spec.dataset_name)
+                              .where("last_value is not null"), f"{state}/marks")
+        drop_written(spark, results)
+        frames_out = {n: spark.read.parquet(f"{state}/{n}").where(F.col("run_id") == run_id)
+                      .drop("run_id") for n in frames_out}
+    if bad is not None:
+        drop_written(spark, flagged)
+    drop_written(spark, base)
+    return {**row, **frames_out}
+
+
+RUN_SCHEMA = ("run_id string, organization_id string, dataset_name string, status string, "
+              "records_processed long, failed_records long, output_bytes long, output string, "
+              "rejected_by array<string>, unflagged_rules array<string>, "
+              "unfixed_rules array<string>, started_at timestamp, completed_at timestamp, "
+              "seconds double")
+
+
+def rule_rows(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
+    return spark.createDataFrame([(r.rule_id, r.remediation) for r in spec.rules],
+                                 "id string, remediation_action string")
+
+
+def read_mark(spark: SparkSession, path: str, spec: PipelineSpec):
+    """The last mark of a spec's source column, in the column's own type."""
+    fs, folder = sinks._fs(spark, path)
+    if not fs.exists(folder):
+        return None
+    found = last_value_from(spark.read.parquet(path), spec.dataset_name,
+                            spec.incremental_column).collect()
+    if not found:
+        return None
+    return spark.sql(f"SELECT CAST(:v AS {found[0].value_type}) AS v",
+                     args={"v": found[0].last_value}).first().v
+
+
+def folder_bytes(spark: SparkSession, path: str | None) -> int:
+    if not path:
+        return 0
+    fs, folder = sinks._fs(spark, path)
+    return fs.getContentSummary(folder).getLength() if fs.exists(folder) else 0
+
+
+def write_target(df: DataFrame, target: dict | None, run_id: str) -> str | None:
+    """Write to a pipeline's target: ``{"path"}`` a folder per run,
+    ``{"table"}`` a catalog table, ``{"merge", "keys"}`` a versioned table
+    merged by key, ``{"jdbc", "table"}`` or ``{"kafka", "topic"}``; none: the
+    rows are only counted. Returns the path written, if there is one."""
+    t = dict(target or {})
+    if "path" in t:
+        return sinks.write_run(df, t["path"], run_id, t.get("format", "parquet"),
+                               t.get("mode", "overwrite"))
+    if "merge" in t:
+        order = [F.col(c) for c in t.get("order", [])]
+        number = sinks.merge_into_path(t["merge"], df, t["keys"], order or None)
+        return f"{t['merge']}/v={number}"
+    if "jdbc" in t:
+        sinks.write_jdbc(df, t.pop("jdbc"), t.pop("table"), t.pop("mode", "append"), **t)
+    elif "table" in t:
+        sinks.write_table(df, t["table"], t.get("mode", "append"), t.get("partition_by"))
+    elif "kafka" in t:
+        sinks.write_kafka(df, t["kafka"], t["topic"], t.get("key"))
     else:
         df.write.format("noop").mode("overwrite").save()
-    return {"run_id": run_id, "output": out, **obs.get}
+    return None
 
 
 def run_streaming(spark: SparkSession, spec: PipelineSpec, checkpoint: str, kind: str = "batch",
                   schema=None, max_files_per_trigger: int | None = None,
-                  interval: str = "60 seconds"):
+                  interval: str = "60 seconds", frames: dict | None = None):
     """The same pipeline spec on a stream. The source folder is read as
-    a file stream (new files become micro-batches), the row-level transform
-    chain is applied unchanged, row-level rules flag rows inline (X7) and the
+    a file stream (new files become micro-batches), the incremental filter
+    and the transform chain are applied unchanged (joins against the static
+    ``frames``), row-level and reference rules flag rows inline (X7) and the
     result is appended to the target path; ``kind`` picks the trigger
     (batch = availableNow, micro_batch = processingTime, streaming = default).
+    Rules that judge a set of rows (uniqueness, custom SQL, statistics) are
+    evaluated per micro-batch into ``<target>_results``; this form writes
+    each batch into its own folder of the target.
     Returns the started ``StreamingQuery``."""
     from quarry import streaming
 
     src = spec.source
     stream = streaming.file_stream(spark, src["path"], schema or src.get("schema"),
                                    src.get("format", "parquet"), max_files_per_trigger)
-    df = apply_transforms(stream, spec.transforms)
+    if spec.incremental_column:
+        stream = incremental_filter(stream, spec.incremental_column, spec.last_value)
+    df = apply_transforms(stream, spec.transforms, frames)
     if spec.organization:
         df = ingest_metadata(df, spec.organization, spec.environment)
-    if spec.rules:
-        df = streaming.flag_stream(df, spec.rules)
     target = spec.target or {}
     trig = {"interval": interval} if kind == "micro_batch" else {}
+    inline, whole = streaming.split_rules(df, spec.rules, frames)
+    if spec.rules:
+        df = streaming.flag_stream(df, inline, frames=frames)
+    if whole:
+        judge = streaming.rules_batch_writer(whole, target["path"] + "_results", frames)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            staged = cut_lineage(batch)
+            judge(staged.drop("_failed_rules"), batch_id)
+            staged.write.mode("overwrite").format(target.get("format", "parquet")) \
+                .save(f"{target['path']}/batch_id={batch_id}")
+            drop_written(spark, staged)
+
+        return streaming.start(df, checkpoint, kind, foreach_batch=write, **trig)
     return streaming.start(df, checkpoint, kind, target.get("format", "parquet"),
                            path=target.get("path"), **trig)

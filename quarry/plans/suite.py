@@ -811,7 +811,7 @@ def q_violations_suppressed(spark, d):
 SELECT event_type, date_trunc('hour', ts) AS window_start,
        date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, round(sum(value), 2) AS sum,
        round(sum(value), 2) / count(*) AS average, max(value) AS maximum, count(*) AS points,
-       arg_max(value, ts) AS latest
+       arg_max(value, {'t': ts, 'v': value}) AS latest
 FROM events GROUP BY ALL""")
 def q_hourly_window(spark, d):
     """1-hour tumbling-window Sum/Average/Maximum + latest point."""
@@ -864,21 +864,41 @@ def q_monthly_cost(spark, d):
     return out.withColumn("cost", F.round("cost", 4)).transform(_ntz("month"))
 
 
+def _snapshot(spark, d):
+    """Views as storage readings in GB (decimal), purchases as node counts."""
+    u = usage.usage_from_events(T(spark, d, "events"))
+    u = u.withColumn("amount", F.when(F.col("resource_type") == "view",
+                                      F.col("amount") * 1_000_000_000).otherwise(F.col("amount")))
+    out = usage.usage_snapshot(u, "2024-01-30 12:00:00", "click", "view", "purchase")
+    back = usage.usage_snapshot(usage.usage_from_events(T(spark, d, "events")),
+                                "2024-01-30 12:00:00", "click", "view", "purchase")
+    return out.drop("cost_this_month").join(back.select("organization_id", "cost_this_month"),
+                                            "organization_id")
+
+
 @register("usage_snapshot", f"""
 SELECT organization_id,
        round(sum(CASE WHEN resource_type = 'click' AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR
                  THEN amount ELSE 0.0 END), 4) AS dbu_usage,
-       round(sum(CASE WHEN resource_type = 'view' THEN amount ELSE 0.0 END), 4) AS storage_gb,
-       count(DISTINCT resource_type) AS compute_nodes,
+       round((SELECT avg(v.amount) * 1000000000 / 1073741824.0 FROM {USAGE_SQL} v
+        WHERE v.organization_id = u.organization_id AND v.resource_type = 'view'
+          AND date_trunc('hour', v.ts) = (
+            SELECT max(date_trunc('hour', w.ts)) FROM {USAGE_SQL} w
+            WHERE w.organization_id = u.organization_id AND w.resource_type = 'view'
+              AND w.ts < TIMESTAMP '2024-01-30 12:00:00')
+          AND v.ts < TIMESTAMP '2024-01-30 12:00:00'), 4) AS storage_gb,
+       coalesce(max(CASE WHEN resource_type = 'purchase'
+                    AND ts >= TIMESTAMP '2024-01-30 11:55:00' THEN floor(amount) END), 0)::BIGINT
+         AS compute_nodes,
        round(sum(CASE WHEN ts >= TIMESTAMP '2024-01-01 00:00:00' THEN amount ELSE 0.0 END), 4)
          AS cost_this_month
-FROM {USAGE_SQL} WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id""")
+FROM {USAGE_SQL} u WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id""")
 def q_usage_snapshot(spark, d):
-    """Per-organization snapshot (last-hour DBU, storage, nodes, MTD cost)."""
-    u = usage.usage_from_events(T(spark, d, "events"))
-    out = usage.usage_snapshot(u, "2024-01-30 12:00:00", "click", "view")
-    return out.select("organization_id", *[F.round(c, 4).alias(c) for c in
-                                           ("dbu_usage", "storage_gb")],
+    """Per-organization snapshot (last-hour DBU, storage gauge of the last
+    hour with readings, nodes of the last five minutes, MTD cost)."""
+    out = _snapshot(spark, d)
+    return out.select("organization_id", F.round("dbu_usage", 4).alias("dbu_usage"),
+                      F.round("storage_gb", 4).alias("storage_gb"),
                       "compute_nodes", F.round("cost_this_month", 4).alias("cost_this_month"))
 
 
@@ -991,10 +1011,15 @@ SELECT 'error_rate' AS name, 'svc_' || (user_id % 7)::VARCHAR AS service,
        arg_min(event_id, {'t': ts, 'i': event_id}) AS alert_id,
        arg_max(printf('value %.2f', value), {'t': ts, 'i': event_id}) AS message,
        arg_max(props, {'t': ts, 'i': event_id}) AS details, max(ts) AS created_at,
-       count(*) AS occurrences
-FROM events WHERE event_type = 'error' GROUP BY ALL""")
+       count(*) AS occurrences, true AS is_active
+FROM events WHERE event_type = 'error' AND event_id % 5 <> 0 GROUP BY ALL
+UNION ALL
+SELECT 'error_rate', 'svc_' || (user_id % 7)::VARCHAR, 'org_' || (user_id % 3)::VARCHAR, event_id,
+       printf('value %.2f', value), props, ts, 1, false
+FROM events WHERE event_type = 'error' AND event_id % 5 = 0""")
 def q_alert_upsert(spark, d):
-    """Active-alert upsert per (name, service, organization)."""
+    """Active-alert upsert per (name, service, organization); every fifth
+    alert is closed and stays by itself."""
     a = (T(spark, d, "events").where(F.col("event_type") == "error")
          .select(F.lit("error_rate").alias("name"),
                  F.concat(F.lit("svc_"), (F.col("user_id") % 7).cast("string")).alias("service"),
@@ -1002,7 +1027,8 @@ def q_alert_upsert(spark, d):
                  .alias("organization_id"),
                  F.col("event_id").alias("alert_id"),
                  F.format_string("value %.2f", "value").alias("message"),
-                 F.col("props").alias("details"), F.col("ts").alias("created_at")))
+                 F.col("props").alias("details"), F.col("ts").alias("created_at"),
+                 (F.col("event_id") % 5 != 0).alias("is_active")))
     return monitoring.upsert_alerts(a)
 
 
@@ -1390,13 +1416,21 @@ WITH s AS (
   SELECT organization_id,
          sum(CASE WHEN resource_type = 'click' AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR
              THEN amount ELSE 0.0 END) AS dbu_usage,
-         sum(CASE WHEN resource_type = 'view' THEN amount ELSE 0.0 END) AS storage_gb,
-         count(DISTINCT resource_type) AS compute_nodes,
+         coalesce(max(CASE WHEN resource_type = 'purchase'
+                      AND ts >= TIMESTAMP '2024-01-30 11:55:00' THEN floor(amount) END), 0)
+           AS compute_nodes,
+         (SELECT avg(v.amount) * 1000000000 / 1073741824.0 FROM {USAGE_SQL} v
+          WHERE v.organization_id = u.organization_id AND v.resource_type = 'view'
+            AND date_trunc('hour', v.ts) = (
+              SELECT max(date_trunc('hour', w.ts)) FROM {USAGE_SQL} w
+              WHERE w.organization_id = u.organization_id AND w.resource_type = 'view'
+                AND w.ts < TIMESTAMP '2024-01-30 12:00:00')
+            AND v.ts < TIMESTAMP '2024-01-30 12:00:00') AS storage_gb,
          sum(CASE WHEN ts >= TIMESTAMP '2024-01-01 00:00:00' THEN amount ELSE 0.0 END) AS cost_this_month
-  FROM {USAGE_SQL} WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id),
-l AS (SELECT * FROM (VALUES ('org_0', 100.0, 1000000.0, 10, 1000000000.0),
-                            ('org_1', 1000000.0, 50000.0, 10, 1000000000.0),
-                            ('org_2', 1000000.0, 1000000.0, 5, 1000000000.0))
+  FROM {USAGE_SQL} u WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY organization_id),
+l AS (SELECT * FROM (VALUES ('org_0', 5.0, 1000000.0, 1000000, 1000000000.0),
+                            ('org_1', 1000000.0, 5.0, 1000000, 1000000000.0),
+                            ('org_2', 1000000.0, 1000000.0, 1000000, 1000.0))
       t(organization_id, max_dbu_per_hour, max_storage_gb, max_compute_nodes, monthly_budget_usd))
 SELECT organization_id,
        CASE WHEN dbu_usage >= max_dbu_per_hour THEN 'DBU' WHEN storage_gb >= max_storage_gb THEN 'Storage'
@@ -1407,10 +1441,10 @@ SELECT organization_id,
 FROM s JOIN l USING (organization_id)""")
 def q_quota_compliance(spark, d):
     """First violated limit (DBU, storage, nodes, budget) per organization."""
-    snap = usage.usage_snapshot(usage.usage_from_events(T(spark, d, "events")),
-                                "2024-01-30 12:00:00", "click", "view")
+    snap = _snapshot(spark, d)
     limits = spark.createDataFrame(
-        [("org_0", 100.0, 1e6, 10, 1e9), ("org_1", 1e6, 5e4, 10, 1e9), ("org_2", 1e6, 1e6, 5, 1e9)],
+        [("org_0", 5.0, 1e6, 10 ** 6, 1e9), ("org_1", 1e6, 5.0, 10 ** 6, 1e9),
+         ("org_2", 1e6, 1e6, 10 ** 6, 1e3)],
         "organization_id string, max_dbu_per_hour double, max_storage_gb double, "
         "max_compute_nodes bigint, monthly_budget_usd double")
     return usage.compliance(snap.join(limits, "organization_id")).select(
@@ -1431,11 +1465,24 @@ def q_current_version(spark, d):
     return runs.current_version(v).select("pipeline_id", "version", "created_at")
 
 
-@register("table_statistics")
+STAT_COLUMNS = ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate", "flag"]
+
+
+@register("table_statistics", """
+WITH l AS (SELECT *, nullif(l_returnflag, 'A') AS flag FROM lineitem)
+""" + " UNION ALL ".join(
+    f"SELECT (SELECT count(*) FROM lineitem) AS row_count, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)) "
+    f"AS partition_count, '{c}' AS column_name, count(*) - count({c}) AS null_count, "
+    f"count(DISTINCT {c}) AS distinct_count, min({c})::VARCHAR AS min_value, "
+    f"max({c})::VARCHAR AS max_value FROM l" for c in STAT_COLUMNS))
 def q_table_statistics(spark, d):
-    """Row count, bytes, files and last update of a table from the
-    scan's file metadata (no SQL oracle: file sizes are not in SQL)."""
-    return profile.table_statistics(T(spark, d, "lineitem"))
+    """Row and partition count, and per column nulls, distinct values,
+    minimum and maximum."""
+    df = T(spark, d, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("A")))
+    st = profile.table_statistics(df, ["l_returnflag", "l_linestatus"], STAT_COLUMNS)
+    return st.select("row_count", "partition_count", F.explode("column_stats").alias(
+        "column_name", "s")).select("row_count", "partition_count", "column_name", "s.*")
 
 
 CHECK_RULES = [
@@ -1548,3 +1595,6 @@ def q_top_values_per_column(spark, d):
     """A11/T4 for several columns in one pass (two-stage top-k per column)."""
     out = profile.top_values_all(T(spark, d, "part"), ["p_brand", "p_type", "p_name"], 3)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+from quarry.plans import suite_more  # noqa: E402, F401  (registers its queries)

@@ -134,11 +134,15 @@ def _image(spark: SparkSession, path: str, before: int | None = None,
             name = st.getPath().getName()
             if name.startswith("_bucket="):
                 newest[int(name[8:])] = os.path.join(path, f"v={v}", name)
-    found = [p for n, p in newest.items() if only is None or n in only]
-    if not found:
-        return None
-    return spark.read.option("basePath", path).option("mergeSchema", "true") \
-        .parquet(*found).drop("v")
+    by_version: dict[str, list[str]] = {}
+    for n, p in newest.items():
+        if only is None or n in only:
+            by_version.setdefault(os.path.dirname(p), []).append(p)
+    out = None
+    for base, folders in by_version.items():  # at most as many as there are buckets
+        part = spark.read.option("basePath", base).parquet(*folders)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:

@@ -105,7 +105,12 @@ def test_managed_table_and_maintenance(spark):
     sinks.write_table(df.where("n_regionkey = 1"), "nation_t", mode="append")
     assert spark.table("nation_t").count() == 30
     catalog.analyze(spark, "nation_t")
-    catalog.compact(spark, "nation_t", 1)
+    path = tempfile.mkdtemp(prefix="quarry-v-")
+    sinks.publish_version(df.repartition(5), path)
+    catalog.compact(spark, path)
+    assert sinks.versions(spark, path) == [0, 1]
+    assert sinks.read_version(spark, path).count() == 25
+    assert len(sinks.read_version(spark, path).inputFiles()) == 1
     assert spark.table("nation_t").count() == 30
 
 
