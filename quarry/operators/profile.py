@@ -190,8 +190,8 @@ def table_files(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
-                    accuracy: int = 1000, grid: int = 100, max_candidates: int = 100_000,
-                    max_rounds: int = 8) -> DataFrame:
+                    accuracy: int = 20_000, grid: int = 1000,
+                    max_candidates: int = 100_000) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / SQL ``quantile_cont``)
     of numeric columns without holding a column in one task.
 
@@ -201,9 +201,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
     of values below and inside the current value range plus an approximate
     quantile grid (``percentile_approx``, ``grid + 1`` points) of the values
     inside; the next range is the pair of grid points bracketing the target
-    ranks (rank error 1/accuracy < 1/grid, so the bracket is safe, and the
-    next round's exact counts confirm it). Each round shrinks the range by
-    about ``grid / 3``; once at most ``max_candidates`` values remain they
+    ranks (rank error 1/accuracy < 1/grid; the next round's exact counts
+    confirm the pair, and one that lost its rank is drawn again four times as
+    wide). Each round shrinks the range by about ``grid / 3`` (two rounds for
+    10^10 values), as many rounds as it takes; once at most
+    ``max_candidates`` values remain they
     are ranked in one small window per column and quantile. Ranges are
     literal predicates, so rows outside every range are dropped by the
     codegen'd filter; between rounds a few numbers per (column, quantile)
@@ -213,7 +215,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
     spark = df.sparkSession
     fractions = F.lit([i / grid for i in range(grid + 1)])   # one array literal
     keys = [(c, q) for c in columns for q in qs]
-    state = {k: {"lo": None, "hi": None, "below": 0} for k in keys}
+    state = {k: {"lo": None, "hi": None, "below": 0, "margin": 1, "last": None} for k in keys}
 
     def xcol(c: str) -> Column:
         return F.col(f"`{c}`").cast("double")
@@ -227,7 +229,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
         return cond
 
     prev = {k: (None, None) for k in keys}     # range the rows of this round come from
-    for rnd in range(max_rounds):
+    rnd = -1
+    while True:
+        rnd += 1
         # rows outside every previous range cannot matter any more: below-counts
         # only grow by values inside the previous range
         src = df
@@ -261,14 +265,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float],
             v["below"] += b
             v["m"] = m
             if m and not (v["below"] <= v["r0"] and v["r1"] < v["below"] + m):
-                raise RuntimeError("quantile bracket lost; increase accuracy")
+                # draw the range again from the round before, wider
+                v.update(v["last"], margin=v["margin"] * 4)
+                m, g = v["m"], v["g"]
+            else:
+                v["last"] = {"lo": v["lo"], "hi": v["hi"], "below": v["below"], "m": m, "g": g}
             prev[key] = (v["lo"], v["hi"])
             done = v.get("done") or m <= max_candidates or (
                 v["lo"] is not None and v["lo"] == v["hi"])
             if not done:
                 f0 = (v["r0"] - v["below"]) / (m - 1)
                 f1 = (v["r1"] - v["below"]) / (m - 1)
-                i0, i1 = max(0, int(f0 * grid) - 1), min(grid, int(-(-f1 * grid // 1)) + 1)
+                i0 = max(0, int(f0 * grid) - v["margin"])
+                i1 = min(grid, int(-(-f1 * grid // 1)) + v["margin"])
                 new = (g[i0] if i0 > 0 else v["lo"], g[i1] if i1 < grid else v["hi"])
                 if new == (v["lo"], v["hi"]):
                     done = True       # heavy ties: few distinct values remain
