@@ -123,7 +123,7 @@ PART_VALIDITY = [
     Rule("v_size", "validity", "p_size", {"range": {"min": 5, "max": 45}}),
     Rule("v_brand", "validity", "p_brand",
          {"allowed_values": [f"Brand#{i}" for i in range(1, 21)], "threshold": 0.9}),
-    Rule("v_price_float", "validity", "p_retailprice", {"data_type": "float"}),
+    Rule("v_price_float", "validity", "price_text", {"data_type": "float", "threshold": 0.95}),
     Rule("v_name_int", "validity", "p_name", {"data_type": "int"}),
 ]
 
@@ -135,13 +135,17 @@ PART_VALIDITY = [
              1.0, "part", 1.0),
     rule_sql("v_brand", "count_if(p_brand IS NULL OR p_brand IN (" +
              ", ".join(f"'Brand#{i}'" for i in range(1, 21)) + "))", "count(*)", 0.9, "part", 1.0),
-    rule_sql("v_price_float", "count(*)", "count(*)", 1.0, "part", 1.0),
+    rule_sql("v_price_float", "count_if(p_partkey % 7 <> 0)", "count(*)", 0.95, "part", 1.0),
     rule_sql("v_name_int", "count_if(p_name IS NULL OR regexp_matches(p_name, '^\\s*[+-]?\\d+\\s*$'))",
              "count(*)", 1.0, "part", 1.0),
 ]))
 def q_validity_rules(spark, d):
-    """Q3: pattern (start-anchored), range, allowed values, castability."""
-    return results(run_rules(T(spark, d, "part"), PART_VALIDITY))
+    """Q3: pattern (start-anchored), range, allowed values, castability
+    (every seventh price text is no number)."""
+    part = T(spark, d, "part").withColumn("price_text", F.concat(
+        F.when(F.col("p_partkey") % 7 == 0, "about ").otherwise(""),
+        F.col("p_retailprice").cast("string")))
+    return results(run_rules(part, PART_VALIDITY))
 
 
 @register("validity_reasons", """
@@ -162,7 +166,7 @@ def q_validity_reasons(spark, d):
 
 
 @register("engine_validity", " UNION ALL ".join([
-    rule_sql("e_int", "count(*)", "count(*)", 0.95, "lineitem"),
+    rule_sql("e_int", "count_if(l_orderkey % 10 NOT IN (0, 1))", "count(*)", 0.95, "lineitem"),
     rule_sql("e_string", "count(l_returnflag)", "count(*)", 0.95, "lineitem"),
     rule_sql("e_datetime", "count(l_shipdate)", "count(*)", 0.95, "lineitem"),
     rule_sql("e_email", "count_if(regexp_matches(l_returnflag, "
@@ -170,8 +174,10 @@ def q_validity_reasons(spark, d):
 ]))
 def q_engine_validity(spark, d):
     """Q4: engine-dialect type validity (integer/string/datetime/email)."""
-    li = T(spark, d, "lineitem")
-    rules = [Rule("e_int", "validity", "l_orderkey", {"expected_type": "integer"}, dialect="engine"),
+    ten = F.col("l_orderkey") % 10     # every tenth key is no number, every tenth is null
+    li = T(spark, d, "lineitem").withColumn("key_text", F.when(ten != 1, F.concat(
+        F.when(ten == 0, "k").otherwise(""), F.col("l_orderkey").cast("string"))))
+    rules = [Rule("e_int", "validity", "key_text", {"expected_type": "integer"}, dialect="engine"),
              Rule("e_string", "validity", "l_returnflag", {"expected_type": "string"},
                   dialect="engine"),
              Rule("e_datetime", "validity", "l_shipdate", {"expected_type": "datetime"},
@@ -1165,11 +1171,13 @@ WITH p AS (SELECT role, split_part(perm, ':', 1) AS resource, split_part(perm, '
            FROM (SELECT role, unnest(permissions) AS perm FROM {ROLES_SQL}))
 SELECT user_id, count(*) AS n_permissions FROM (
   SELECT DISTINCT ur.user_id, p.resource, p.action FROM {UR_SQL} ur JOIN p USING (role)
-  WHERE ur.is_active) GROUP BY user_id""")
+  WHERE ur.is_active AND (user_id % 6 <> 0)) GROUP BY user_id""")
 def q_user_permissions(spark, d):
     """Set union of permissions over a user's active roles."""
     roles, ur, _ = _access_inputs(spark, d)
-    ur = ur.withColumn("expires_at", F.lit(None).cast("timestamp"))
+    six = F.col("user_id") % 6         # some roles expired before the clock, some run on
+    ur = ur.withColumn("expires_at", F.when(six == 0, F.lit("2024-01-30 23:59:59"))
+                       .when(six == 1, F.lit("2024-01-31 00:00:01")).cast("timestamp"))
     up = access.user_permissions(ur, roles, as_of=AS_OF)
     return up.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_permissions"))
 
@@ -1394,9 +1402,13 @@ ORG_LEVELS = {"org_0": "low", "org_1": "high", "org_2": "unknown"}
 
 
 @register("default_quotas", """
-WITH t AS (SELECT * FROM (VALUES """ + ", ".join(
-    f"('{lvl}', '{r}', {float(v)}::DOUBLE)" for lvl, t in usage.QUOTA_TEMPLATES.items()
-    for r, v in t.items()) + """) x(level, resource_type, quota_limit)),
+WITH t AS (
+  SELECT level, unnest(['dbu_hours', 'storage_gb', 'api_calls', 'concurrent_pipelines',
+                        'databricks_clusters', 's3_requests', 'bandwidth_gb']) AS resource_type,
+         unnest(limits)::DOUBLE AS quota_limit
+  FROM (VALUES ('low', [1000, 1000, 100000, 10, 5, 1000000, 100]),
+               ('medium', [5000, 10000, 500000, 25, 10, 5000000, 500]),
+               ('high', [20000, 100000, 2000000, 100, 50, 20000000, 2000])) x(level, limits)),
 o AS (SELECT DISTINCT 'org_' || (user_id % 3)::VARCHAR AS organization_id FROM events),
 ol AS (SELECT organization_id, CASE organization_id WHEN 'org_0' THEN 'low' WHEN 'org_1' THEN 'high'
        ELSE 'medium' END AS level FROM o)
