@@ -21,7 +21,8 @@ never cross documents.
    another like sequential files and only the last one is kept. Neighbours with
    a common prefix of ``LENGTH`` are repeats; the smallest id of such an
    interval keeps its bytes.
-3. Spans are gathered per document and cut out of the text.
+3. Spans are gathered per document and cut out of the text. They travel in
+   bulk: a task sends the spans of all its documents in one row per target.
 
 A bucket is processed in one task; the number of buckets follows the bytes of
 the input. Rows: a null or empty text has no bytes. A null id stands after all
@@ -43,25 +44,32 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 LEFT = LENGTH - GRAM          # most bytes of a segment before its gram
 WIDTH = LEFT + LENGTH         # columns of an aligned segment
 WORDS = -(-WIDTH // 8)
-SLICE_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-# Segments overlap: they hold about four times the bytes of the text.
+SLICE_BYTES = 3 << 20
+LEVEL = 6                     # of compression, for what is shuffled
+BUCKET_BYTES = 24 << 20
+# Segments overlap: they hold nearly four times the bytes of the text.
 OVERLAP = 4
 
 _TABLE = np.random.RandomState(50).randint(1, 2 ** 63 - 1, 256, dtype=np.int64).astype(np.uint64)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all 16-byte grams, each twice as long as those before."""
-    h, k, n = _TABLE[data], int(common.ROLL), 1
-    while n < GRAM:
-        h = h[:-n] * np.uint64(k) + h[n:]
-        k, n = k * k % 2 ** 64, n * 2
-    return common.mix(h)
+    """Hashes of all GRAM-byte grams, put together from powers of two."""
+    power, length, n = _TABLE[data], 1, len(data) - GRAM + 1
+    out, have = np.zeros(n, np.uint64), 0
+    while True:
+        if GRAM & length:
+            out = out * np.uint64(pow(int(common.ROLL), length, 2 ** 64)) + power[have:have + n]
+            have += length
+        if have == GRAM:
+            return common.mix(out)
+        power = power[:-length] * np.uint64(pow(int(common.ROLL), length, 2 ** 64)) + \
+            power[length:]
+        length *= 2
 
 
 def _align(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -129,7 +137,7 @@ def _cut(n_buckets: int):
     """Rows of segments for the buckets; a row with ``marks`` has the spans of a
     batch's own copies instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
                 part = part.take(pc.sort_indices(part.column("id")))
@@ -152,7 +160,7 @@ def _cut(n_buckets: int):
                 if copy.any():
                     c = order[copy]
                     yield _marks_batch(ids[owner[c]], own[owner[c]], place[c],
-                                       place[c] + left[c] + right[c], bucket[c[0]])
+                                       place[c] + left[c] + right[c], n_buckets)
                 # occurrences in the leading document, in the order of the text
                 held, group = order[~copy], group[~copy]
                 rank = np.empty(len(lead), np.int64)
@@ -172,7 +180,8 @@ def _cut(n_buckets: int):
                     where = np.stack([np.diff(who, prepend=0),
                                       np.diff(place[held[i:j]], prepend=0)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in (
-                        (int(bucket[s[0]]), pa.int32()), (ids[known].tobytes(), pa.binary()),
+                        (int(bucket[s[0]]), pa.int32()),
+                        (pack(np.diff(ids[known], prepend=0).tobytes()), pa.binary()),
                         (own[known].tobytes(), pa.binary()),
                         (pack(rows[s][inside].tobytes()), pa.binary()),
                         (pack(shape.tobytes()), pa.binary()),
@@ -194,13 +203,22 @@ def _by_row(ids, own, start, end):
     return ids[new], own[new], spans
 
 
-def _marks_batch(ids, own, start, end, bucket) -> pa.RecordBatch:
+def _marks_batch(ids, own, start, end, n_buckets: int) -> pa.RecordBatch:
+    """All spans of a batch's own copies as one row."""
     ids, own, spans = _by_row(ids, own, start, end)
-    n, none = len(ids), pa.nulls(len(ids), pa.binary())
-    one = lambda v: pa.array([x.tobytes() for x in v], pa.binary())
+    count = np.array([len(s) // 8 for s in spans], np.uint32)
     return pa.RecordBatch.from_arrays(
-        [pa.array([int(bucket)] * n, pa.int32()), one(ids), one(own), none, none, none, none,
-         pa.array(spans, pa.binary())], schema=_SENT)
+        [pa.array([int(ids[0] % n_buckets)], pa.int32()), pa.array([ids.tobytes()]),
+         pa.array([own.tobytes()]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+         pa.array([count.tobytes()]), pa.nulls(1, pa.binary()), pa.array([b"".join(spans)])],
+        schema=_SENT)
+
+
+def _unpack_marks(r: dict):
+    count = np.frombuffer(r["n_at"], np.uint32)
+    s = np.frombuffer(r["marks"], np.uint32).reshape(-1, 2).astype(np.int64)
+    return (np.repeat(np.frombuffer(r["ids"], np.int64), count),
+            np.repeat(np.frombuffer(r["hashes"], np.int32), count), s[:, 0], s[:, 1])
 
 
 def repeats(rows: np.ndarray, left: np.ndarray, right: np.ndarray,
@@ -241,7 +259,7 @@ def _unpack(sent: list[dict]):
         rows = _align(text, ends - shape[1], shape[0], shape[1])
         count = np.frombuffer(unpack(r["n_at"]), np.uint32).astype(np.int64)
         who, place = np.cumsum(np.frombuffer(unpack(r["at"]), np.int32).reshape(2, -1), axis=1)
-        ids = np.frombuffer(r["ids"], np.int64)[who]
+        ids = np.cumsum(np.frombuffer(unpack(r["ids"]), np.int64))[who]
         parts.append((rows, shape[0], shape[1], count, ids,
                       np.frombuffer(r["hashes"], np.int32)[who], place))
     return [np.concatenate(x) for x in zip(*parts)]
@@ -254,8 +272,8 @@ def _bucket_marks(sent: list[dict]):
     first = np.cumsum(count) - count
     owner = ids[first]  # all occurrences of a sent segment have one id
     # only grams that more than one document has
-    gram = common.mix(rows[:, LEFT:LEFT + GRAM].copy().view(np.uint64) @
-                      np.array([common.ROLL, 1], np.uint64))
+    gram = _row_hashes(np.pad(rows[:, LEFT:LEFT + GRAM], ((0, 0), (0, 8 * WORDS - GRAM))),
+                       np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64))
     order = np.argsort(gram)
     start = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
     low = np.minimum.reduceat(owner[order], start)
@@ -296,32 +314,76 @@ def _bucket_marks(sent: list[dict]):
     return ids[each], own[each], base + a[run], base + b[run] - 1 + LENGTH
 
 
+_BULK = pa.schema([("target", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()),
+                   ("spans", pa.binary())])
 _MARKS = pa.schema([("id", pa.int64()), ("h", pa.int32()), ("spans", pa.binary())])
+HELD_SPANS = 1_000_000
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive in order; one is held at a time."""
-    held: list[dict] = []
+def _reduce(n_targets: int):
+    """Buckets arrive in order; one is held at a time. The spans found are sent
+    to their documents' targets, many documents to a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        found: list[tuple] = []
+
+        def send():
+            ids, own, start, end = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            target = (common.mix(ids.view(np.uint64)) % np.uint64(n_targets)).astype(np.int64)
+            order = np.argsort(target, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(target[order]) > 0)).tolist()
+            parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+            spans = np.stack([start, end], axis=1).astype(np.uint32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(target[i[0]]) for i in parts], pa.int32()),
+                 pa.array([ids[i].tobytes() for i in parts], pa.binary()),
+                 pa.array([own[i].tobytes() for i in parts], pa.binary()),
+                 pa.array([spans[i].tobytes() for i in parts], pa.binary())], schema=_BULK)
+
+        def settle():
+            if held and (marks := _bucket_marks(held)) is not None:
+                found.append(marks)
+            held.clear()
+            common.release_memory()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["marks"] is not None:
+                    found.append(_unpack_marks(r))
+                    continue
+                if held and held[0]["bucket"] != r["bucket"]:
+                    settle()
+                held.append(r)
+                if sum(len(f[0]) for f in found) > HELD_SPANS:
+                    yield send()
+        settle()
+        if found:
+            yield send()
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with its spans united; targets arrive in order."""
+    held: list[tuple] = []
 
     def settle():
-        found = _bucket_marks(held) if held else None
-        if found is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(_by_row(*found), _MARKS.types)], schema=_MARKS)
+        got = _by_row(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(got, _MARKS.types)], schema=_MARKS)
 
+    last = None
     for batch in batches:
         for r in batch.to_pylist():
-            if r["marks"] is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(r["ids"], np.int64)),
-                     pa.array(np.frombuffer(r["hashes"], np.int32)),
-                     pa.array([r["marks"]], pa.binary())], schema=_MARKS)
-                continue
-            if held and held[0]["bucket"] != r["bucket"]:
-                yield from settle()
-                held = []
-            held.append(r)
-    yield from settle()
+            if held and r["target"] != last:
+                yield settle()
+            last = r["target"]
+            s = np.frombuffer(r["spans"], np.uint32).reshape(-1, 2).astype(np.int64)
+            held.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["hashes"], np.int32),
+                         s[:, 0], s[:, 1]))
+    if held:
+        yield settle()
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
@@ -330,70 +392,87 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, h, spans`` of rows with bytes to remove: the row's id and text hash
-    and a list of packed spans (pairs of 32-bit byte offsets)."""
+    and its packed spans (pairs of 32-bit byte offsets)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-common.total_bytes(docs, f"`{text}`") * OVERLAP // BUCKET_BYTES))
     rows = docs.select(*_keyed(docs, doc_id, text), F.col(f"`{text}`").alias("text"))
     sent = rows.mapInArrow(_cut(n), _SENT_DDL)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(_reduce, "id long, h int, spans binary") \
-        .groupBy("id", "h").agg(F.collect_list("spans").alias("spans"))
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket") \
+        .mapInArrow(_reduce(4 * parts), "target int, ids binary, hashes binary, spans binary")
+    return found.repartition(parts, "target").sortWithinPartitions("target") \
+        .mapInArrow(_gather, "id long, h int, spans binary")
 
 
-def cut_out(text: bytes, packed: list[bytes] | None) -> tuple[bytes, int, int]:
+def cut_out(text: bytes, packed: bytes | None) -> tuple[bytes, int, int]:
     """Remaining bytes, bytes removed and maximal runs removed."""
     if not packed:
         return text, 0, 0
-    s = np.frombuffer(b"".join(packed), np.uint32).reshape(-1, 2).astype(np.int64)
-    starts, ends = common.spans_union(s[:, 0], s[:, 1])
+    starts, ends = np.frombuffer(packed, np.uint32).reshape(-1, 2).astype(np.int64).T
     kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)]))
     return kept, len(text) - len(kept), len(starts)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           decode: bool = False) -> DataFrame:
-    """Every row as ``doc`` (a struct of its columns), ``kept`` (binary: what
-    remains of the text; as a string if ``decode``, without characters that were
-    cut in two), ``removed`` and ``spans`` (long)."""
+    """Every row as ``doc`` (a struct of its other columns), ``size`` (bytes of
+    the text), ``kept`` (binary: what remains of the text; as a string if
+    ``decode``, without characters that were cut in two; null for a null text),
+    ``removed`` and ``spans`` (long). The text is shuffled compressed."""
     spans = repeated_spans(docs, doc_id, text)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
-                       *(c.alias(f"_{n}") for c, n in
-                         zip(_keyed(docs, doc_id, text), ("id", "h"))))
+    other = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*other).alias("doc"), *_keyed(docs, doc_id, text),
+                       F.col(f"`{text}`").alias("text"))
+    packed = rows.drop("text").schema.add("packed", "binary")
+    rows = rows.mapInArrow(_pack, packed).withColumnsRenamed({"id": "_id", "h": "_h"})
     joined = rows.join(spans, (rows["_id"] == spans["id"]) & (rows["_h"] == spans["h"]), "left") \
-        .select("doc", spans["spans"].alias("packed"))
-    schema = joined.drop("packed").schema.add("kept", "string" if decode else "binary") \
-        .add("removed", "long").add("spans", "long")
+        .select("doc", "packed", spans["spans"].alias("cuts"))
+    schema = joined.drop("packed", "cuts").schema.add("size", "long") \
+        .add("kept", "string" if decode else "binary").add("removed", "long").add("spans", "long")
     kind = pa.string() if decode else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in common.slices(batch, text, SLICE_BYTES, within="doc"):
-                got = [cut_out(common.encode(t.as_py()), p.as_py()) for t, p in
-                       zip(part.column("doc").field(text), part.column("packed"))]
-                kept = [g[0].decode("utf-8", "ignore") if decode else g[0] for g in got]
+            for part in common.slices(batch, "packed", SLICE_BYTES):
+                texts = [None if t is None else unpack(t)
+                         for t in part.column("packed").to_pylist()]
+                got = [cut_out(t or b"", c) for t, c in
+                       zip(texts, part.column("cuts").to_pylist())]
+                kept = [None if t is None else g[0].decode("utf-8", "ignore") if decode else g[0]
+                        for t, g in zip(texts, got)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(kept, kind),
-                     pa.array([g[1] for g in got], pa.int64()),
+                    [part.column("doc"), pa.array([len(t or b"") for t in texts], pa.int64()),
+                     pa.array(kept, kind), pa.array([g[1] for g in got], pa.int64()),
                      pa.array([g[2] for g in got], pa.int64())], schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    for batch in batches:
+        packed = [None if t.as_py() is None else pack(common.encode(t.as_py()))
+                  for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc", "id", "h")), pa.array(packed, pa.binary())],
+            ["doc", "id", "h", "packed"])
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    size = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long")
+    kept = F.coalesce("kept", F.lit(b""))
     return dedup(docs).select(
-        "doc.doc_id", size.alias("n_bytes"), F.col("removed").alias("n_removed"),
-        F.col("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "doc.doc_id", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"),
+        F.col("spans").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated bytes are cut out of the texts (a character cut in two goes);
     rows of which nothing but white space is left go, if anything was cut."""
     cut = dedup(docs, decode=True).where("removed = 0 or length(trim(kept)) > 0")
-    touched = F.col("removed") > 0
-    fixed = {"text": F.when(touched, F.col("kept")).otherwise(F.col("doc.text")),
-             "n_chars": F.when(touched, F.length("kept")).otherwise(F.col("doc.n_chars"))
-             .cast("long")}
-    return cut.select(*(fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    fixed = {"text": F.col("kept"),
+             "n_chars": F.when(F.col("removed") > 0, F.length("kept"))
+             .otherwise(F.col("doc.n_chars")).cast("long")}
+    return cut.select(*((fixed[c] if c in fixed else F.col(f"doc.`{c}`")).alias(c)
+                        for c in docs.columns))
