@@ -10,7 +10,10 @@ are joined at Jaccard >= 0.8:
   two children named by the tokens it has there, so similar sets keep meeting.
 * A node of at most ``BUCKET`` classes is compared by brute force; so is one
   that keeps ``DENSE`` of its parent's classes, since splitting cannot part
-  classes that are alike. Every other node is split again, however deep.
+  classes that are alike, and one of at most ``BLOCKS`` blocks that keeps half
+  of them: with two children of over half their size each, splitting it makes
+  more rows than its pairs of blocks. Every other node is split again, however
+  deep.
 * A pair of similarity s survives a run of any depth with probability over
   0.94 at s = 0.8 (q = 1 - (1 - s q)^2); ``RUNS`` = 4 independent runs leave
   about 1e-5 of such pairs, fewer above.
@@ -48,9 +51,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SIGNATURE = 64
 RUNS = 4
-BUCKET = 64
+BUCKET = 512
 DENSE = 0.8
 BLOCK = 512
+BLOCKS = 8
 # Signatures of a pair at the threshold agree in 51 of 64 places on average,
 # with a deviation of 3.2; 5 deviations below lose about one pair in 3 million.
 AGREE = 35
@@ -106,8 +110,9 @@ def _leaves(classes: DataFrame, n_classes: int) -> DataFrame:
     roots = [F.xxhash64(F.lit("run"), F.lit(r)) for r in range(RUNS)]
     rows = classes.select("cls", F.explode(F.array(*(c for r in roots for c in children(r))))
                           .alias("path"), F.lit(n_classes).cast("long").alias("parent"))
-    found, split = [], F.col("size") > BUCKET
-    split &= F.col("size") < F.col("parent") * DENSE
+    kept = F.col("size") / F.col("parent")
+    half = (kept >= 0.5) & (F.col("size") <= BLOCKS * BLOCK)
+    found, split = [], (F.col("size") > BUCKET) & (kept < DENSE) & ~half
     while True:
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         level, more = session.cut_lineage_counting(
@@ -161,6 +166,7 @@ def _by_unit(work: Callable, schema: pa.Schema) -> Callable:
                     yield from flush(False)
         if held:
             yield from flush(True)
+        common.release_memory()
     return run
 
 

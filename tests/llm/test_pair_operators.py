@@ -81,6 +81,7 @@ def test_join_of_documents(spark):
 def test_deep_splits_lose_no_pair(spark, monkeypatch):
     """Small nodes force many levels; the pairs stay the same."""
     monkeypatch.setattr(jaccard, "BUCKET", 4)
+    monkeypatch.setattr(jaccard, "BLOCKS", 0)
     rows = near_copies()[:53] + near_copies()[-150:]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(documents(spark, rows))
            .collect()}
