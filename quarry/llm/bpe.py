@@ -41,6 +41,7 @@ from quarry.llm import common
 
 SLICE_BYTES = 4 << 20
 PAIRS = 200_000
+CHUNKS = 150_000     # results remembered per generation
 NEVER = 1 << 30
 
 # Fixed value: the vocabulary's word pattern.
@@ -80,10 +81,13 @@ class Encoder:
             self.tokens[i] = word
             self.trie.add_word(word, (len(word), i))
         self.trie.make_automaton()
-        self.lengths = {i: len(w) for i, w in self.tokens.items()}
-        ids = {w: i for i, w in self.tokens.items()}
-        self.prefix = {i: next((ids[w[:n]] for n in range(len(w) - 1, 0, -1) if w[:n] in ids), -1)
-                       for i, w in self.tokens.items()}
+        top = max(names) + 1
+        ids = {w: i for w, i in zip(self.tokens.values(), self.tokens)}
+        self.lengths, self.prefix = [0] * top, [-1] * top
+        for i, w in self.tokens.items():
+            self.lengths[i] = len(w)
+            self.prefix[i] = next((ids[w[:n]] for n in range(len(w) - 1, 0, -1) if w[:n] in ids),
+                                  -1)
         self.rank: dict[int, int] = {}     # of a merged token
         self.parts: dict[int, tuple[int, int]] = {}
         self.merges: dict[tuple[int, int], int] = {}
@@ -92,26 +96,21 @@ class Encoder:
             self.merges[pair] = rank
             self.rank.setdefault(whole, rank)
             self.parts.setdefault(whole, pair)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by first id * 65536 + second id
         # offset table: token i is text[offsets[i]:offsets[i + 1]]
-        top = max(names) + 1
         self.text = "".join(names.get(i, "") for i in range(top))
         self.offsets = [0, *np.cumsum([len(names.get(i, "")) for i in range(top)]).tolist()]
-        self.chunks: dict[str, tuple[int, str, str, list[int]]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def forget(self) -> None:
-        """Empty the caches; workers outlive their tasks."""
-        self.pairs.clear()
-        self.chunks.clear()
-        self.words.clear()
+        # results of short chunks in two generations: when the new one is full it
+        # becomes the old one, from which what is used again moves back
+        self.new: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 16 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._compatible(a, b)
+            known = self.pairs[a << 16 | b] = self._compatible(a, b)
         return known
 
     def _compatible(self, x: int, y: int) -> bool:
@@ -130,41 +129,35 @@ class Encoder:
                 return True
 
     def encode_word(self, word: str) -> list[int]:
-        known = self.words.get(word)
-        if known is None:
-            known = self._encode_word(word)
-            if len(word) <= common.CACHE_WORD:
-                if len(self.words) >= common.CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
-    def _encode_word(self, word: str) -> list[int]:
-        s = word.encode("utf-8", "replace").decode("latin-1")
+        s = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1")
         s = s[:-1] + chr(ord(s[-1]) + MARK)
         longest = [0] * len(s)
         for end, (n, token) in self.trie.iter(s):
             longest[end - n + 1] = token  # ends come in order: the longest is last
         out: list[int] = []
         place, token, dead, n = 0, longest[0], set(), len(s)
-        lengths, pairs = self.lengths, self.pairs
+        lengths, pairs, last = self.lengths, self.pairs, -1
         while place < n:
             end = place + lengths[token]
-            if end not in dead and (not out or pairs.get((out[-1], token)) or
-                                    self.compatible(out[-1], token)):
+            if (not dead or end not in dead) and (
+                    last < 0 or (pairs.get(last << 16 | token) if last << 16 | token in pairs
+                                 else self.compatible(last, token))):
                 out.append(token)
-                place = end
+                place, last = end, token
                 token = longest[place] if place < n else -1
             elif self.prefix[token] >= 0:
                 token = self.prefix[token]
             else:
                 dead.add(place)
                 token = out.pop()
-                place -= self.lengths[token]
+                place -= lengths[token]
+                last = out[-1] if out else -1
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without white space."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.encode_word(chunk.lower())
         out, at = [], 0
         for m in self.split.finditer(chunk):
             out += [i for w in self._words(chunk[at:m.start()]) for i in self.encode_word(w)]
@@ -191,16 +184,22 @@ class Encoder:
         at, text = self.offsets, self.text
         return " ".join([text[at[i]:at[i + 1]] for i in ids])
 
-    def chunk(self, chunk: str) -> tuple[int, str, str, list[int]]:
+    def forget(self) -> None:
+        """Drop what is remembered of chunks."""
+        self.new, self.old = {}, {}
+
+    def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Count, ids and decoded text of a chunk, remembered for short ones."""
-        got = self.chunks.get(chunk)
+        got = self.new.get(chunk)
         if got is None:
-            ids = self.encode_chunk(chunk)
-            got = len(ids), " ".join(map(str, ids)), self.decode(ids), ids
+            got = self.old.get(chunk)
+            if got is None:
+                ids = self.encode_chunk(chunk)
+                got = len(ids), " ".join(map(str, ids)), self.decode(ids)
             if len(chunk) <= common.CACHE_WORD:
-                if len(self.chunks) >= common.CACHE_ENTRIES:
-                    self.chunks.clear()
-                self.chunks[chunk] = got
+                if len(self.new) >= CHUNKS:
+                    self.old, self.new = self.new, {}
+                self.new[chunk] = got
         return got
 
 
@@ -243,7 +242,6 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                      pa.array(back, pa.string())], schema.names)
-        encoder.forget()
 
     return rows.mapInArrow(run, schema)
 
@@ -260,13 +258,14 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         encoder = _encoder(sent.value)
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                ids = [np.array([i for c in encoder.chunks_of(t.as_py())
-                                 for i in encoder.chunk(c)[3]], np.int32)
-                       for t in part.column("text")]
+                ids = [np.array(" ".join([encoder.chunk(c)[1]
+                                          for c in encoder.chunks_of(t.as_py())]).split(),
+                                np.int32) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()),
                      pa.array(ids, pa.list_(pa.int32()))], schema.names)
-        encoder.forget()
+        encoder.forget()  # a pipeline's next stage needs the memory
+        common.release_memory()
 
     return rows.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ of a non-ASCII character, and turns the other ASCII bytes into blanks, so
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +88,14 @@ def window_min(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system. Workers outlive their tasks, and
+    what one stage's tasks keep is missing for the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int,
            within: str | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``max_bytes`` of a text column each (one row
@@ -102,6 +111,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int,
         size += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    release_memory()
 
 
 def spans_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from quarry.llm import common
 
 PROFILE = 400
 UNKNOWN = "und"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # The pipeline rejects texts less alike than this to every profile.
 MIN_SCORE = 0.1
 
@@ -64,24 +64,38 @@ def top_grams(words: list[str]) -> np.ndarray:
     return codes[first[np.argsort(-counts, kind="stable")[:PROFILE]]]
 
 
+def weighed_grams(counter: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams of counted words, and how often each occurs."""
+    words = list(counter)
+    codes, at = gram_codes(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    # the blank before a word counts with the word before it
+    owner = np.minimum(np.searchsorted(np.cumsum(lengths), at, "left"), len(words) - 1)
+    weight = np.fromiter(counter.values(), np.int64, len(words))[owner]
+    return _summed(codes, weight)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.add.reduceat(counts, first)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-gram counts by language, worked out slice by slice (a batch's distinct
+    words would take far more memory than its text) and summed per batch."""
     for batch in batches:
-        by_lang: dict[str, Counter] = {}
+        found: dict[str, list] = {}
         for part in common.slices(batch, "text", SLICE_BYTES):
-            for text, lang in zip(part.column("text").to_pylist(),
-                                  part.column("lang").to_pylist()):
-                by_lang.setdefault(lang, Counter()).update(letter_words(text))
-        for lang, counter in by_lang.items():
-            if not counter:
-                continue
-            words = list(counter)
-            codes, at = gram_codes(words)
-            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            # the blank before a word counts with the word before it
-            owner = np.minimum(np.searchsorted(np.cumsum(lengths), at, "left"), len(words) - 1)
-            weight = np.fromiter(counter.values(), np.int64, len(words))[owner]
-            codes, inverse = np.unique(codes, return_inverse=True)
-            counts = np.bincount(inverse, weights=weight).astype(np.int64)
+            by_lang: dict[str, Counter] = {}
+            for text, lang in zip(part.column("text"), part.column("lang").to_pylist()):
+                by_lang.setdefault(lang, Counter()).update(letter_words(text.as_py()))
+            for lang, counter in by_lang.items():
+                if counter:
+                    found.setdefault(lang, []).append(weighed_grams(counter))
+        for lang, pieces in found.items():
+            codes, counts = _summed(*(np.concatenate(x) for x in zip(*pieces)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)),
                  pa.array(counts)], ["lang", "gram", "n"])
@@ -141,6 +155,7 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], keep: list[Column],
         for batch in texts:
             got = [model.predict(t.as_py()) for t in batch]
             yield pa.array([{"lang": g[0], "score": g[1]} for g in got], kind)
+            common.release_memory()
 
     return docs.select(*keep, predict(F.col(text)).alias("predicted")).select(
         *(F.col(f"`{c}`") for c in docs.select(*keep).columns),
