@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from quarry.llm import common
 
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """The rows of ``encode`` with ``decoded`` (null ids: null)."""
     sent = _vocabulary(encoded.sparkSession, vocabulary)
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields]).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
