@@ -241,6 +241,28 @@ def q_violations_resolved(spark, d):
                                     F.count_if("done").alias("kept_resolved"))
 
 
+@register("violations_resolved_all", f"""
+WITH RECURSIVE v AS (SELECT *, id % 3 = 0 AS done FROM {VIOL_SQL}),
+nx AS (SELECT a.id, (SELECT b.id FROM v b WHERE b.organization_id = a.organization_id
+          AND b.resource_type = a.resource_type AND b.violation_type = a.violation_type
+          AND CASE WHEN a.done THEN (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id))
+                   ELSE b.ts > a.ts + INTERVAL 1 HOUR END
+          ORDER BY b.ts, b.id LIMIT 1) AS nid FROM v a),
+roots AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY organization_id,
+          resource_type, violation_type ORDER BY ts, id) AS rn FROM v) WHERE rn = 1),
+chain(id) AS (SELECT id FROM roots UNION ALL
+              SELECT nx.nid FROM chain JOIN nx ON nx.id = chain.id WHERE nx.nid IS NOT NULL)
+SELECT v.id, v.organization_id, v.resource_type, v.violation_type, v.ts, v.done
+FROM v JOIN chain USING (id)""")
+def q_violations_resolved_all(spark, d):
+    """A resolved violation suppresses nothing, all violations judged."""
+    v = _violation_candidates(spark, d).withColumn("done", F.col("id") % 3 == 0)
+    out = sequence.suppress_repeats(v, ["organization_id", "resource_type", "violation_type"],
+                                    "ts", "id", 3600, resolved="done")
+    return out.where("emitted").select("id", "organization_id", "resource_type",
+                                       "violation_type", "ts", "done")
+
+
 # =========================================================== access
 
 COND_ROLES = [("member", ["events:read:same_org"]), ("owner", ["events:*:owner_only"]),

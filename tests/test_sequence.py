@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from quarry.operators import sequence
 
 
@@ -87,3 +87,27 @@ def test_lockout_query_matches_loop(spark):
     res = {r.uid: r for r in suite.QUERIES["lockout_detection"](spark, SF001).collect()}
     assert sum(r.processed for r in res.values()) == len(processed)
     assert sum(r.locks for r in res.values()) == len(locks)
+
+
+def brute_resolved(rows, window=dt.timedelta(hours=1)):
+    """Recorded ids; one that is resolved does not suppress the next."""
+    out, last = set(), {}
+    for key, ts, i, done in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if key not in last or ts - last[key] > window:
+            out.add(i)
+            last.pop(key, None)
+            if not done:
+                last[key] = ts
+    return out
+
+
+def test_resolved_judges_every_violation(spark):
+    from quarry.plans.suite import QUERIES
+
+    events = spark.read.parquet(f"{SF01}/events.parquet").where("value >= 60").collect()
+    rows = [((f"org_{e.user_id % 3}", e.event_type, e.value >= 80), e.ts, e.event_id,
+             e.event_id % 3 == 0) for e in events]
+    got = QUERIES["violations_resolved_all"](spark, SF01).collect()
+    assert {r.id for r in got} == brute_resolved(rows)
+    assert len(got) < len(rows)
+    assert len({r.id % 7 for r in got}) == 7
