@@ -17,6 +17,7 @@ rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,17 @@ from quarry.llm import common
 PROFILE = 400
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
-# The pipeline rejects texts less alike than this to every profile.
+# The pipeline rejects texts less alike than this to every profile, whatever
+# the labelled rows score.
 MIN_SCORE = 0.1
+# Scores of labelled texts set the rest of the threshold: so many times the
+# distance from the median to the lowest decile below the median, for each size
+# (n-grams, in powers of two) of which so many scores are there.
+SPREAD = 5.0
+SCORES = 50
+SIZES = 9
+# Labelled texts count whole and by one of their beginnings, of 1 to 64 words.
+BEGINNINGS = 7
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _BLANK, _SHIFT = np.uint64(32), np.uint64(21)
@@ -130,9 +140,12 @@ class Profiles:
             self.ranks[i, at] = np.arange(len(at))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = letter_words(text)
+        return self.predict_words(letter_words(text))[:2]
+
+    def predict_words(self, words: list[str]) -> tuple[str, float, int]:
+        """Language, score and number of the n-grams compared."""
         if not words or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         top = top_grams(words)
         at = np.searchsorted(self.grams, top)
         at[self.grams[np.minimum(at, len(self.grams) - 1)] != top] = len(self.grams)
@@ -140,26 +153,33 @@ class Profiles:
         out = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(top))))
         distance = out.sum(axis=1)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (PROFILE * len(top)))
+        return self.langs[best], float(1 - distance[best] / (PROFILE * len(top))), len(top)
 
 
 def identify(docs: DataFrame, learned: dict[str, list[int]], keep: list[Column],
              text: str = "text") -> DataFrame:
     """``keep`` columns of every row plus ``lang_pred`` and ``score``."""
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+    return _identify(docs, learned, keep, text).drop("n_grams")
+
+
+def _identify(docs: DataFrame, learned: dict[str, list[int]], keep: list[Column],
+              text: str = "text") -> DataFrame:
+    """``identify`` with the number of n-grams that were compared."""
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n", pa.int32())])
 
     # only the text goes to Python, the other columns stay where they are
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, n: int>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Profiles(learned)
         for batch in texts:
-            got = [model.predict(t.as_py()) for t in batch]
-            yield pa.array([{"lang": g[0], "score": g[1]} for g in got], kind)
+            got = [model.predict_words(letter_words(t.as_py())) for t in batch]
+            yield pa.array([{"lang": g[0], "score": g[1], "n": g[2]} for g in got], kind)
             common.release_memory()
 
     return docs.select(*keep, predict(F.col(text)).alias("predicted")).select(
         *(F.col(f"`{c}`") for c in docs.select(*keep).columns),
-        F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))
+        F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"),
+        F.col("predicted.n").alias("n_grams"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,15 +191,57 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learned, [F.col("doc_id"), held.alias("held_out")])
 
 
+def _size(n: Column) -> Column:
+    return F.floor(F.log2(n)).cast("int")
+
+
+def thresholds(docs: DataFrame, learned: dict[str, list[int]], text: str = "text",
+               lang: str = "lang") -> list[float]:
+    """The least score of a text of each size (see ``SPREAD``), from every row
+    with a language. A beginning is as long as its text's crc32 says, so sizes
+    that few whole texts have are there too."""
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("n", pa.int32())]))
+
+    @F.arrow_udf("array<struct<score: double, n: int>>")
+    def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Profiles(learned)
+        for batch in texts:
+            out = []
+            for t in batch:
+                words = letter_words(t.as_py())
+                first = 1 << zlib.crc32(" ".join(words[:64]).encode("utf-8", "replace")) % BEGINNINGS
+                parts = [words, words[:first]] if len(words) > first else [words]
+                out.append([{"score": s, "n": n} for _, s, n in map(model.predict_words, parts)
+                            if n])
+            yield pa.array(out, kind)
+            common.release_memory()
+
+    scores = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()) \
+        .select(F.explode(measure(F.col(text))).alias("s")) \
+        .select(_size(F.col("s.n")).alias("size"), "s.score")
+    found = scores.groupBy("size").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("score", [0.1, 0.5], 10_000).alias("q")).collect()
+    least = [MIN_SCORE] * SIZES
+    for r in found:
+        if r.n >= SCORES:
+            low, mid = r.q
+            least[r.size] = max(MIN_SCORE, mid - SPREAD * (mid - low))
+    return least
+
+
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that have a language: texts without letters, or unlike
-    every learned profile, go. A missing ``lang`` is filled in. Without any
-    labelled row nothing is known, and all rows stay."""
+    """Keep documents that have a language: texts without letters, or less like
+    every learned profile than texts of their size with a language are, go. A
+    missing ``lang`` is filled in. Without any labelled row nothing is known,
+    and all rows stay."""
     learned = fit(docs)
     if not learned:
         return docs
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    seen = identify(docs, learned, [whole]) \
-        .where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    least = F.array(*map(F.lit, thresholds(docs, learned)))
+    seen = _identify(docs, learned, [whole]) \
+        .where((F.col("lang_pred") != UNKNOWN) &
+               (F.col("score") >= F.get(least, _size(F.col("n_grams")))))
     return seen.select(*((F.coalesce("doc.lang", "lang_pred") if c == "lang" else
                           F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

@@ -1,11 +1,16 @@
 """The pipeline's stages, each against what its operator finds in its input."""
 
+import base64
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 from llm_rows import edge, no_rows  # noqa: F401  (fixtures)
 
 from quarry.llm import bpe, common, decontam, jaccard, langid, suffix_dedup
 
 SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
 
 
 def rows(df):
@@ -64,3 +69,31 @@ def test_registered(spark):
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
     assert "pipeline" in names
+
+
+PROSE = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
+              "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille "
+               "on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden "
+               "hengessä."}
+
+
+def test_language_stage_rejects_junk_and_unlearned_languages(spark):
+    rnd, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    raw = bytes(rnd.randrange(256) for _ in range(900))
+    texts = [*PROSE.values(), raw.hex(" ", 4), base64.b64encode(raw).decode(), *(
+        " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(n))
+        for n in (20, 40, 200, 1000))]
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    junk = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    mixed = docs.unionByName(junk, allowMissingColumns=True)
+    kept = {r.doc_id for r in langid.pipeline_stage(spark, mixed, SF01).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+    # beginnings of clean texts stay as well
+    cut = docs.select(F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 12)).alias("text"),
+                      F.lit(None).cast("string").alias("lang"), (-F.col("doc_id") - 9).alias("doc_id"))
+    kept = langid.pipeline_stage(spark, docs.select("doc_id", "text", "lang").unionByName(cut), SF01)
+    lost = cut.join(kept, "doc_id", "left_anti").collect()
+    assert len(lost) <= 0.002 * docs.count()
