@@ -6,8 +6,12 @@ are log odds of being inside or outside of the content, counted over all
 labelled pages: those that mark their content themselves (``LABELS`` elements).
 One linear scan finds the contiguous region with the highest sum; a tie goes to
 the earlier region. Elements that are never content (``ASIDE`` elements, or a
-class, id or role with one of ``ASIDE_WORDS``) score nothing and are left out of
-the region's text, so an advert in the midst of an article does not end it.
+class, id or role that is one of ``ASIDE_WORDS`` or a compound of which it is the
+head, as in ``site-header``) score nothing and are left out of the region's text,
+so an advert in the midst of an article does not end it. ``KEPT`` elements are
+no asides by their class, id or role. Nor are elements around ``main`` or around
+an ``article``; if articles stand inside of several, as comments do, those
+inside of the fewest count.
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are trimmed and joined by line feeds, empty ones vanish. A null or empty
@@ -58,6 +62,9 @@ ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
                "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
                "related", "reply", "replies", "search", "share", "sharing", "sidebar", "skip",
                "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+KEPT = {"html", "body", *LABELS}
+# Compounds that begin so name a state of the element, not what it is.
+STATES = {"can", "has", "hide", "in", "is", "no", "non", "not", "on", "show", "with", "without"}
 
 _PART = re.compile(
     r"<!--.*?(?:--!?>|$)"
@@ -73,8 +80,14 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
 def _is_aside(name: str, attributes: str) -> bool:
     if name in ASIDE:
         return True
-    return any(w in ASIDE_WORDS for m in _NAMED.finditer(attributes)
-               for w in re.split(r"[^a-z0-9]+", m[1].lower()))
+    return name not in KEPT and any(
+        _names_aside(token) for m in _NAMED.finditer(attributes)
+        for token in m[1].strip("\"'").lower().split())
+
+
+def _names_aside(token: str) -> bool:
+    parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+    return bool(parts) and parts[-1] in ASIDE_WORDS and parts[0] not in STATES
 
 
 class Node:
@@ -90,15 +103,16 @@ class Node:
 def nodes(page: str) -> list[Node]:
     """Tags and texts of a page in order."""
     out: list[Node] = []
-    open_: list[tuple[str, bool]] = []  # names of open elements, with aside
-    asides = labels = 0
+    open_: list[tuple[str, int]] = []  # names of open elements, with the aside around each
+    asides: list[tuple[int, bool]] = [(0, False)]  # the aside around each, could be a wrapper
+    content: list[tuple[str, int]] = []  # labelled elements, with the aside around each
+    inner = labels = 0
     block = ["page"]
 
     def close(upto: int):
-        nonlocal asides, labels
+        nonlocal inner, labels
         while len(open_) > upto:
-            name, aside = open_.pop()
-            asides -= aside
+            name, inner = open_.pop()
             labels -= name in LABELS
             if name not in INLINE:
                 block.pop()
@@ -109,7 +123,7 @@ def nodes(page: str) -> list[Node]:
         m = loose or m
         at = m.end()
         if not loose and m[4] is not None:
-            out.append(Node("w:" + block[-1], m[4], False, asides > 0, labels > 0))
+            out.append(Node("w:" + block[-1], m[4], False, inner, labels > 0))
             continue
         if m[2] is None:
             continue  # comment or declaration
@@ -120,7 +134,7 @@ def nodes(page: str) -> list[Node]:
             place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if place is not None:
                 close(place)
-            out.append(Node("t:/" + known, None, breaks, asides > 0, labels > 0))
+            out.append(Node("t:/" + known, None, breaks, inner, labels > 0))
             continue
         aside = _is_aside(name, m[3])
         if name in BLOCK and open_:  # a block ends a paragraph that is open
@@ -128,21 +142,51 @@ def nodes(page: str) -> list[Node]:
                           if open_[i][0] not in INLINE), None)
             if place is not None and open_[place][0] == "p":
                 close(place)
-        out.append(Node("t:" + known, None, breaks, asides > 0 or aside, labels > 0))
+        number = inner
+        if aside:
+            asides.append((inner, name == "form" or name not in ASIDE))
+            number = len(asides) - 1
+        if name in LABELS:
+            content.append((name, inner))
+        out.append(Node("t:" + known, None, breaks, number, labels > 0))
         if name == "br":
-            out.append(Node("w:" + block[-1], " ", False, asides > 0, labels > 0))
+            out.append(Node("w:" + block[-1], " ", False, inner, labels > 0))
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
         if name not in VOID and not m[3].endswith("/"):
-            open_.append((name, aside))
-            asides += aside
+            open_.append((name, inner))
+            inner = number
             labels += name in LABELS
             if name not in INLINE:
                 block.append(known)
+    left_out = _asides(asides, content)
+    for n in out:
+        n.aside = left_out[n.aside]
     return out
 
 
+def _asides(asides: list[tuple[int, bool]], content: list[tuple[str, int]]) -> list[bool]:
+    """Which asides hold: not those around main, or around the articles that
+    stand inside of the fewest."""
+    depth, soft = [0], [True]
+    for around, wrapper in asides[1:]:
+        depth.append(depth[around] + 1)
+        soft.append(soft[around] and wrapper)
+    found = {(name, inner) for name, inner in content if soft[inner]}
+    least = min((depth[inner] for _, inner in found), default=0)
+    wraps = [False] * len(asides)
+    for name, inner in found:
+        if name == "main" or depth[inner] == least:
+            while inner and not wraps[inner]:
+                wraps[inner] = True
+                inner = asides[inner][0]
+    holds = [False]
+    for number in range(1, len(asides)):
+        holds.append(holds[asides[number][0]] or not wraps[number])
+    return holds
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each kind stands inside and outside of labelled content."""
     for batch in batches:

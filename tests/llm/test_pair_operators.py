@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -339,6 +340,31 @@ def test_best_region_is_that_of_all_regions():
         assert sum(score[a:b]) == pytest.approx(best)
 
 
+def test_wrappers_of_content_are_no_asides(spark):
+    page = PAGE % ("article", "article")
+    wrapped = [
+        page.replace("<body>", '<body class="no-sidebar search">'),
+        page.replace("<html>", '<html class="has-banner menu">'),
+        page.replace("<article>", '<article class="post comments-open search">'),
+        page.replace("article>", "main>").replace("<main>", '<main class="search results">'),
+        *(page.replace("<article>", f"<{w}><article>").replace("</article>", f"</article></{w[:4]}>")
+          for w in ('div class="content has-sidebar"', 'div class="site header-fixed"',
+                    'div class="search"', 'form id="all"'))]
+    wrapped[-1] = wrapped[-1].replace("<form><label>Mail</label><input></form>", "")
+    # articles of comments stay asides beside the article that has fewer around it
+    said = '<div id="comments"><article><p>I like this page a lot, really.</p></article></div>'
+    wrapped.append(re.sub(r'<div id="comments">.*?</div>', said, page))
+    plain = [(i, "u", page) for i in range(5)]
+    rows = [(9 + i, "u", w) for i, w in enumerate(wrapped)]
+    schema = "page_id long, url string, html string"
+    weights = html_extract.fit(spark.createDataFrame(plain, schema))
+    got = html_extract.extract(spark.createDataFrame(rows, schema), weights).collect()
+    assert {r.page_id: r.text for r in got} == {i: MAIN for i, _, _ in rows}
+    assert html_extract.fit(spark.createDataFrame(rows[:1] * 5, schema)) == weights
+    div = PAGE % ('div class="content has-sidebar"', "div")
+    assert html_extract.main_text(div, weights) == MAIN
+
+
 # ----------------------------------------------------------------- licenses
 
 def test_scan(spark):
