@@ -95,8 +95,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(set_key(s) if len(s) else None)
                 marks.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(keys, pa.int64()),
-                 pa.array(marks, pa.list_(pa.int32()))], ["id", "cls", "sig"])
+                [part.column("id"), part.column("h"), pa.array(keys, pa.int64()),
+                 pa.array(marks, pa.list_(pa.int32()))], ["id", "h", "cls", "sig"])
 
 
 def _leaves(classes: DataFrame, n_classes: int) -> DataFrame:
@@ -241,7 +241,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id of each row's component of links inside a unit."""
+    """Smallest id (of a class) of each row's component of links inside a unit."""
     low = ids.copy()
     while True:
         new = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -250,14 +250,13 @@ def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = new
 
 
-_LINKS = pa.schema([("cls", pa.int64()), ("u", pa.int64()), ("v", pa.int64()),
-                    ("n", pa.int64())])
+_LINKS = pa.schema([("cls", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
 def _verify(rows: pa.Table) -> pa.Table:
     """Exact Jaccard of a unit's pairs: links per class and a spanning star."""
     units = rows.column("unit").to_numpy()
-    cls, rep = rows.column("cls").to_numpy(), rows.column("rep").to_numpy()
+    cls = rows.column("cls").to_numpy()
     weight = rows.column("n").to_numpy()
     less, texts = rows.column("less").to_pylist(), rows.column("text")
     block, same = rows.column("block").to_numpy(), rows.column("same").to_numpy()
@@ -281,9 +280,9 @@ def _verify(rows: pa.Table) -> pa.Table:
         some = np.flatnonzero(linked.any(axis=1))
         if len(some):
             n = (linked * weight[at][None, :]).sum(axis=1)
-            root = _roots(linked, rep[at])
-            out.append((cls[at][some], rep[at][some], root[some], n[some]))
-    columns = zip(*out) if out else [[np.empty(0, np.int64)]] * 4
+            root = _roots(linked, cls[at])
+            out.append((cls[at][some], root[some], n[some]))
+    columns = zip(*out) if out else [[np.empty(0, np.int64)]] * 3
     return pa.Table.from_arrays([pa.array(np.concatenate(list(c))) for c in columns],
                                 schema=_LINKS)
 
@@ -295,11 +294,14 @@ def _in_units(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "unit").sortWithinPartitions("unit")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """See the module's text."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, h, cls`` of the rows of ``id, text`` (h is the text's hash, cls is
+    null without words), and each class with its group. A class is known by its
+    set, as an id may name several rows: ``rep`` is its smallest id, ``lead`` the
+    smallest id of its group and the class that has it."""
     rows = common.staged(docs.where("id is not null")
-                         .mapInArrow(_sets, "id long, cls long, sig array<int>"))
+                         .select("id", F.xxhash64("text").alias("h"), "text")
+                         .mapInArrow(_sets, "id long, h long, cls long, sig array<int>"))
     classes, n_classes = session.cut_lineage_counting(
         rows.where("cls is not null").groupBy("cls").agg(
             F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")),
@@ -317,15 +319,25 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     reps = alike.join(classes.drop("sig"), "cls")
     found = reps.join(docs, reps.rep == docs.id).drop("id")
     links = common.staged(_in_units(found).mapInArrow(
-        _by_unit(_verify, _LINKS), "cls long, u long, v long, n long"))
+        _by_unit(_verify, _LINKS), "cls long, root long, n long"))
 
-    groups = connected_components(links.select("u", "v"))
+    groups = connected_components(links.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+    lead = groups.join(classes, F.col("node") == F.col("cls")).groupBy("component") \
+        .agg(F.min(F.struct("rep", "cls")).alias("first"))
     per_class = classes.select("cls", "rep", F.col("n").alias("copies")) \
         .join(links.groupBy("cls").agg(F.sum("n").alias("links")), "cls", "left") \
-        .join(groups, F.col("rep") == F.col("node"), "left") \
-        .select("cls", F.coalesce("component", "rep").alias("class_id"),
-                F.col("rep").alias("copy_id"),
+        .join(groups.join(lead, "component"), F.col("cls") == F.col("node"), "left") \
+        .select("cls", "rep", F.coalesce("first", F.struct("rep", "cls")).alias("lead"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.drop("sig"), per_class
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """See the module's text."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows, classes = _classes(docs)
+    per_class = classes.select("cls", F.col("lead.rep").alias("class_id"),
+                               F.col("rep").alias("copy_id"), "n_links")
     own = F.when(F.col("cls").isNull(), F.col("id"))
     known = rows.select("id", "cls").join(per_class, "cls", "left").select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", own).alias("class_id"),
@@ -342,7 +354,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays (one of its
-    rows, if the id is repeated with the same text); null ids all stay."""
-    leaders = join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows, if the id is repeated with texts of the group); null ids all stay, and
+    so do unlike texts under one id."""
+    rows, classes = _classes(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
+    first = classes.where("cls = lead.cls").select("cls", F.col("rep").alias("id"))
+    leaders = rows.join(first, ["cls", "id"]).groupBy("cls", "id").agg(F.min("h").alias("h")) \
+        .select("id", "h").union(rows.where("cls is null").select("id", "h").distinct())
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    kept = keyed.join(leaders, (keyed["_id"] == leaders["id"]) & (keyed["_h"] == leaders["h"]),
+                      "left_semi").dropDuplicates(["_id", "_h"]).drop("_id", "_h")
     return kept.unionByName(docs.where("doc_id is null"))

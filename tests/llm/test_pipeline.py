@@ -71,6 +71,16 @@ def test_registered(spark):
     assert "pipeline" in names
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    texts = [(1, a), (1, b), (1, a), (2, a), (2, c), (3, b + " b60"), (4, c), (5, ""), (5, "--"),
+             (5, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = rows(jaccard.pipeline_stage(spark, docs, SF001))
+    assert kept == sorted([(1, a), (1, b), (2, c), (5, ""), (5, "--"), (None, a), (None, a)],
+                          key=repr)
+
+
 PROSE = {
     "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
               "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
