@@ -79,8 +79,8 @@ def weighed_grams(counter: Counter) -> tuple[np.ndarray, np.ndarray]:
     words = list(counter)
     codes, at = gram_codes(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    # the blank before a word counts with the word before it
-    owner = np.minimum(np.searchsorted(np.cumsum(lengths), at, "left"), len(words) - 1)
+    # the blank before a word counts with it; the last blank with the last word
+    owner = np.minimum(np.searchsorted(np.cumsum(lengths), at, "right"), len(words) - 1)
     weight = np.fromiter(counter.values(), np.int64, len(words))[owner]
     return _summed(codes, weight)
 
