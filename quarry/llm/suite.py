@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontam, html_extract, jaccard, langid, license_scan, quality_rules, suffix_dedup, token_counts, warc
+from quarry.llm import (bpe, decontam, html_extract, jaccard, langid, license_scan, quality_rules,
+                        simhash, suffix_dedup, token_counts, warc)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_language_id": langid.op9_language_id,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 SQL: dict[str, str] = {
