@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import (bpe, decontam, html_extract, jaccard, langid, license_scan, quality_rules,
-                        simhash, suffix_dedup, token_counts, warc)
+from quarry.llm import (bpe, decontam, divergence, html_extract, jaccard, langid, license_scan,
+                        quality_rules, simhash, suffix_dedup, token_alignment, token_counts, warc)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,10 +17,13 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_simhash": simhash.op11_simhash,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontam.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
