@@ -5,8 +5,10 @@ the text) and by a piece vocabulary (B, which adds the space itself). Tokens of
 the two whose byte ranges overlap are linked; byte offsets where both end cut a
 text into groups. A pair of ids counts as many links as the corpus has of it.
 
-1. *Index.* A task gathers documents into blocks of about ``BLOCK_BYTES``. In a
-   block, a pair's postings are a compressed bitmap of the block's documents: only
+1. *Index.* No token of the two reaches over the start of a space that follows
+   text (checked of the vocabularies; else texts are taken whole), so texts are
+   aligned word by word, and frequent words are remembered (boundedly many). A
+   task gathers documents into blocks of about ``BLOCK_BYTES``. In a block, a pair's postings are a compressed bitmap of the block's documents: only
    64-bit words with a bit set are kept. How often a document has the pair stands
    in multiplicity planes: plane k has the documents whose number has bit k.
    Slices of a block are indexed one by one and OR-merged.
@@ -32,8 +34,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +56,12 @@ SLICE_BYTES = 512 << 10
 SLICE_ROWS = 4096
 ID_BITS = 16
 PIECE = 1 << 16      # words of a plane that are spread out at a time
+WORDS = 200_000      # words remembered
+LINKS = 4_000_000    # of them
 _SPACE = "▁"    # fixed value: the piece vocabulary's space
+_GAPS = re.compile(r"\s ")
+# Fixed value: how a byte-level vocabulary's texts are split.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizers:
@@ -71,33 +81,64 @@ class Tokenizers:
         names = {i: bytes(symbols[c] for c in t) for t, i in spec["model"]["vocab"].items()
                  if all(c in symbols for c in t)}
         self.bytes_a = [names.get(i, b"") for i in range(max(names) + 2)]
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else
+                        p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         n = max(len(self.len_a), len(self.len_b))
         if n > 1 << ID_BITS:
             raise ValueError(f"vocabularies of over {1 << ID_BITS} ids can't be paired")
         self.printed = np.array([[f"{i}{mark}" for i in range(n)] for mark in ",|;"], object)
-
-    def _piece(self, i: int) -> bytes:
-        if self.b.is_byte(i):
-            return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
-        return self.b.id_to_piece(i).replace(_SPACE, " ").encode()
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both; None where either's bytes are not the space and the text."""
-        some = [t for t in texts if t]
-        a = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-        b = self.b.encode(some, num_threads=1) if some else []
-        found = iter(zip(some, a, b))
-        return [self._checked(*next(found)) if t else None for t in texts]
-
-    def _checked(self, text: str, a, b: list[int]):
-        whole, a = b" " + text.encode("utf-8", "replace"), a.ids
-        if b"".join([self.bytes_a[i] for i in a]) != whole or \
-                b"".join([self.bytes_b[i] for i in b]) != whole:
+        # does no token of either reach over the start of a space that follows text?
+        split = spec.get("pre_tokenizer") or {}
+        self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and
+                         not spec.get("normalizer") and
+                         not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces))
+        self.ranked = self._ranked(spec, names) if self.by_words else None
+
+    @staticmethod
+    def _ranked(spec: dict, names: dict[int, bytes]):
+        """A faster library for the same merges, where ids are their ranks."""
+        merges, vocab = spec["model"]["merges"], spec["model"]["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        if [vocab[x + y] for x, y in pairs] != list(range(256, 256 + len(pairs))):
             return None
-        return a, b
+        import tiktoken
+        ranks = {names[i]: i for i in range(256 + len(pairs))}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of the words, a space before each, by both."""
+        text = " " + " ".join(words)
+        if self.ranked:
+            a = self.ranked.encode_ordinary(text)
+        else:
+            a = self.a.encode(text, add_special_tokens=False).ids
+        return a, list(chain.from_iterable(self.b.encode(words, num_threads=1)))
+
+    def joined(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        return (b"".join([self.bytes_a[i] for i in a]), b"".join([self.bytes_b[i] for i in b]))
+
+    def words(self, text: str) -> list[str]:
+        """The text in parts, each after a space, that both cut by themselves."""
+        if not self.by_words:
+            return [text]
+        parts = text.split(" ")
+        if text[0] != " " and text[-1] != " " and not _GAPS.search(text):
+            return parts
+        out, held = [], ""
+        for p in parts:  # white space belongs to the word after it
+            held += p
+            if p and not p[-1].isspace():
+                out.append(held)
+                held = ""
+            else:
+                held += " "
+        if parts[-1] == "" or parts[-1][-1].isspace():  # or to the last word
+            held = held[:-1]
+            out[-1:] = [f"{out[-1]} {held}"] if out else [held]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -112,29 +153,24 @@ def default_vocabularies() -> tuple[str, str]:
 
 
 class Aligned:
-    """Links and groups of a list of texts; ``ids`` as ``Tokenizers.encode`` gives."""
+    """Links and groups of token ids of the same bytes, cut at ``stops`` (ends of
+    parts, where tokens of both end)."""
 
-    def __init__(self, both: Tokenizers, ids: list[tuple[list[int], list[int]] | None]):
-        self.both = both
-        known = [x or ([], []) for x in ids]
-        self.n_a = np.array([len(a) for a, _ in known], np.int64)
-        self.n_b = np.array([len(b) for _, b in known], np.int64)
-        self.a = np.concatenate([np.array(a, np.int64) for a, _ in known])
-        self.b = np.concatenate([np.array(b, np.int64) for _, b in known])
+    def __init__(self, both: Tokenizers, a: list[int], b: list[int], stops: np.ndarray):
+        self.both, self.a, self.b = both, np.array(a, np.int64), np.array(b, np.int64)
         end_a, end_b = np.cumsum(both.len_a[self.a]), np.cumsum(both.len_b[self.b])
         # the bytes between two neighbouring ends belong to one token of each
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])[:len(ends)]]
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        together = (end_a[at_a] == ends) & (end_b[at_b] == ends)
-        self.pair = self.a[at_a] << ID_BITS | self.b[at_b]
-        self.doc = np.repeat(np.arange(len(known)), self.n_a)[at_a]
-        self.n_links = np.bincount(self.doc, minlength=len(known))
-        self.n_groups = np.bincount(self.doc[together], minlength=len(known))
-        cuts = ends[together]
+        cuts = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
+        self.pair = (self.a[at_a] << ID_BITS | self.b[at_b]).astype(np.uint32)
+        count_to = lambda x: np.diff(np.searchsorted(x, stops, "right"), prepend=0)
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(count_to, (end_a, end_b, cuts, ends))
         self.group_a, self.group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
 
     def groups(self) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3`` of each text."""
+        """``a1,a2|b1;a3|b2,b3`` of each part."""
         side = np.concatenate([2 * self.group_a, 2 * self.group_b + 1])
         order = np.argsort(side, kind="stable")
         side, ids = side[order], np.concatenate([self.a, self.b])[order]
@@ -145,6 +181,94 @@ class Aligned:
         return ["".join(printed[i:j])[:-1] for i, j in zip([0, *stops], stops)]
 
 
+class Words:
+    """Alignments of words, by place: counts, links' pairs and groups. Forgotten
+    as a whole beyond ``WORDS`` words or ``LINKS`` links."""
+
+    def __init__(self, both: Tokenizers):
+        self.both = both
+        self.forget()
+
+    def forget(self) -> None:
+        self.place = defaultdict(count().__next__)
+        self.groups: list[str] = []
+        self.parts: list[list[np.ndarray]] = [[np.empty((4, 0), np.int64), np.empty(0, bool),
+                                               np.empty(0, np.uint32)]]
+
+    def learn(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Align the words that got a place since the last time. Counts of A's and
+        B's tokens, groups and links; is a word kept by both; all links' pairs."""
+        new = list(islice(reversed(self.place), len(self.place) - len(self.groups)))[::-1]
+        # one call for all; a word that ends in white space would change the next
+        plain = [w for w in new if w and not w[-1].isspace()]
+        known = self._align(plain)
+        if known is None or len(plain) < len(new):
+            known = [self._align([w]) for w in new]
+            nothing = (np.zeros((4, 1), np.int64), [""], np.empty(0, np.uint32))
+            ok = np.array([k is not None for k in known], bool)
+            known = [k or nothing for k in known]
+            known = (np.concatenate([k[0] for k in known], axis=1),
+                     [g for k in known for g in k[1]], np.concatenate([k[2] for k in known]))
+        else:
+            ok = np.ones(len(new), bool)
+        self.groups += known[1]
+        self.parts.append([known[0], ok, known[2]])
+        self.parts = [[np.concatenate(x, axis=-1) for x in zip(*self.parts)]]
+        return tuple(self.parts[0])
+
+    def _align(self, words: list[str]):
+        """Counts, groups and pairs of each word; None if bytes are not kept."""
+        if not words:
+            return np.zeros((4, 0), np.int64), [], np.empty(0, np.uint32)
+        a, b = self.both.encode(words)
+        whole = f" {' '.join(words)}".encode("utf-8", "replace")
+        if self.both.joined(a, b) != (whole, whole):
+            return None
+        stops = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in words])
+        al = Aligned(self.both, a, b, stops)
+        return np.array([al.n_a, al.n_b, al.n_groups, al.n_links]), al.groups(), al.pair
+
+    def full(self) -> bool:
+        return len(self.groups) > WORDS or len(self.parts[0][2]) > LINKS
+
+
+class Slice:
+    """Links and groups of a list of texts (null for none), word by word."""
+
+    def __init__(self, words: Words, texts: list[str | None]):
+        place = words.place
+        at = [[place[w] for w in words.both.words(t)] if t else [] for t in texts]
+        counts, ok, pairs = words.learn()
+        word, n = self._flat(at)
+        groups = words.groups
+        odd = np.bincount(np.repeat(np.arange(len(at)), n), ~ok[word], len(at)) > 0
+        if odd.any():  # odd texts are taken whole
+            own = Words(words.both)
+            for i in np.flatnonzero(odd).tolist():
+                at[i] = [own.place[texts[i]] + len(groups)]
+            more = own.learn()
+            for i in np.flatnonzero(odd).tolist():
+                at[i] = at[i] if more[1][at[i][0] - len(groups)] else []
+            groups = groups + own.groups
+            counts, pairs = (np.concatenate([x, y], axis=-1)
+                             for x, y in ((counts, more[0]), (pairs, more[2])))
+            word, n = self._flat(at)
+        of = np.repeat(np.arange(len(at)), n)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (
+            np.bincount(of, c[word], len(at)).astype(np.int64) for c in counts)
+        links = counts[3][word]
+        step = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+        self.pair = pairs[np.repeat((np.cumsum(counts[3]) - counts[3])[word], links) + step]
+        self.doc = np.repeat(of, links)
+        self.groups = [";".join([groups[k] for k in v]) for v in at]
+        if words.full():
+            words.forget()
+
+    @staticmethod
+    def _flat(at: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(chain.from_iterable(at), np.int64), np.array(list(map(len, at)), np.int64)
+
+
 def planes_of(pair: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Bitmaps of the links (pair, document): for each plane the keys (pair, word
     of the documents) in order, and the words."""
@@ -240,7 +364,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _index(vocabulary_a, vocabulary_b, texts: bool):
     """Blocks: a row with the documents and planes, a row per pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _tokenizers(vocabulary_a.value, vocabulary_b.value)
+        words = Words(_tokenizers(vocabulary_a.value, vocabulary_b.value))
         name = TaskContext.get().partitionId() << 32
         body: dict[str, list] = {f.name: [] for f in _BODY}
         indexes, size = [], 0
@@ -267,12 +391,11 @@ def _index(vocabulary_a, vocabulary_b, texts: bool):
                                 len(body["ids"]) + len(lines) > BLOCK_DOCS):
                 yield settle()
             size += sum(map(len, filter(None, lines)))
-            found = Aligned(both, both.encode(lines))
+            found = Slice(words, lines)
             if len(found.pair):
                 indexes.append(planes_of(found.pair, found.doc + len(body["ids"])))
-            groups = found.groups() if len(found.pair) else [""] * len(lines)
             body["ids"] += part.column("id").to_pylist()
-            body["groups"] += groups if texts else map(_digest, groups)
+            body["groups"] += found.groups if texts else map(_digest, found.groups)
             for c in ("n_a", "n_b", "n_groups", "n_links"):
                 body[c] += getattr(found, c).tolist()
         if body["ids"]:
