@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,6 +105,8 @@ class Encoder:
         # becomes the old one, from which what is used again moves back
         self.new: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
+        self.new_ids: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 16 | b)
@@ -187,6 +190,20 @@ class Encoder:
     def forget(self) -> None:
         """Drop what is remembered of chunks."""
         self.new, self.old = {}, {}
+        self.new_ids, self.old_ids = {}, {}
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a chunk as 32-bit integers, remembered for short ones."""
+        got = self.new_ids.get(chunk)
+        if got is None:
+            got = self.old_ids.get(chunk)
+            if got is None:
+                got = array("i", self.encode_chunk(chunk)).tobytes()
+            if len(chunk) <= common.CACHE_WORD:
+                if len(self.new_ids) >= CHUNKS:
+                    self.old_ids, self.new_ids = self.new_ids, {}
+                self.new_ids[chunk] = got
+        return got
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Count, ids and decoded text of a chunk, remembered for short ones."""
@@ -258,9 +275,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         encoder = _encoder(sent.value)
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                ids = [np.array(" ".join([encoder.chunk(c)[1]
-                                          for c in encoder.chunks_of(t.as_py())]).split(),
-                                np.int32) for t in part.column("text")]
+                ids = [np.frombuffer(b"".join([encoder.chunk_ids(c)
+                                               for c in encoder.chunks_of(t.as_py())]),
+                                     np.int32) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()),
                      pa.array(ids, pa.list_(pa.int32()))], schema.names)

@@ -49,7 +49,8 @@ LEFT = LENGTH - GRAM          # most bytes of a segment before its gram
 WIDTH = LEFT + LENGTH         # columns of an aligned segment
 WORDS = -(-WIDTH // 8)
 SLICE_BYTES = 3 << 20
-LEVEL = 6                     # of compression, for what is shuffled
+PIECE = 1 << 17               # strings of a text that are named at a time
+LEVEL = 6                    # of compression, for what is shuffled
 BUCKET_BYTES = 24 << 20
 # Segments overlap: they hold nearly four times the bytes of the text.
 OVERLAP = 4
@@ -78,7 +79,8 @@ def _align(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
     out = np.zeros((len(at), 8 * WORDS), np.uint8)
     out[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
     column = np.arange(8 * WORDS) - LEFT
-    out *= (column >= -left[:, None].astype(np.int64)) & (column < right[:, None])
+    out *= column >= -left[:, None].astype(np.int64)
+    out *= column < right[:, None]
     return out
 
 
@@ -106,24 +108,29 @@ def segments(texts: list[bytes]):
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
     starts = ends - np.array([len(t) for t in texts], np.int64)
-    inside = np.zeros(len(data) + 1, np.int32)
-    long = ends - starts >= LENGTH
-    np.add.at(inside, starts[long], 1)
-    np.add.at(inside, ends[long] - LENGTH + 1, -1)
-    begin = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    if not len(begin):
-        none = np.empty(0, np.int64)
-        return data, starts, none, none, none, none, none.astype(np.uint64)
-    hashes = _gram_hashes(data)
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    gram = (common.window_min(key, LEFT + 1)[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.append(True, (gram[1:] != gram[:-1]) | (begin[1:] != begin[:-1] + 1))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(begin)) - 1
-    at = gram[first]
-    owner = np.searchsorted(ends, begin[first], "right")
-    return (data, starts, at, at - begin[first], begin[last] + LENGTH - at, owner,
-            hashes[at] & np.uint64(0xFFFFFFFF))
+    low, found = np.uint64(0xFFFFFFFF), [[np.empty(0, np.int64)] * 4]
+    n = len(data) - LENGTH + 1
+    for i in range(0, n, PIECE):  # strings in pieces, to bound the memory
+        begin = np.arange(i, min(i + PIECE, n))
+        whole = begin + LENGTH <= ends[np.searchsorted(ends, begin, "right")]
+        if not whole.any():
+            continue
+        hashes = _gram_hashes(data[i:begin[-1] + LENGTH])
+        key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+        gram = (common.window_min(key, LEFT + 1)[whole] & low).astype(np.int64)
+        begin = begin[whole]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (begin[1:] != begin[:-1] + 1))
+        first = np.flatnonzero(new)
+        at = gram[first]
+        found.append([begin[first], begin[np.append(first[1:], len(begin)) - 1], i + at,
+                      (hashes[at] & low).astype(np.int64)])
+    begin, last, at, code = (np.concatenate(x) for x in zip(*found))
+    # a segment that goes on in the next piece is one
+    new = np.append(True, (at[1:] != at[:-1]) | (begin[1:] != last[:-1] + 1))[:len(at)]
+    last = last[np.append(new[1:], True)[:len(at)]]
+    begin, at, code = begin[new], at[new], code[new]
+    owner = np.searchsorted(ends, begin, "right")
+    return data, starts, at, at - begin, last + LENGTH - at, owner, code.astype(np.uint64)
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()),
