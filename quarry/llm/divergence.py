@@ -3,17 +3,17 @@
 For every language, how far each source's distribution of terms is from every
 other source's, and which terms a source has more often than its language.
 
-1. *Fold.* A task folds whole documents into a hash table of stripes: language
-   and term -> documents with the term, occurrences by source. Beyond ``HELD``
-   stripes the table is spilled as rows and started anew, so memory doesn't grow
-   with a partition. A document without terms leaves a stripe of the empty term,
-   which keeps groups without terms.
-2. *Merge.* Stripes meet by (language, term), ordered, and are added one after
-   another; a frequent term has one row per spill, whatever its documents. Terms
-   of fewer than ``MIN_DOCS`` documents go. What is left is packed: up to
-   ``CHUNK`` merged stripes of one language to a row, with the sums by source.
-3. *Totals.* The sums give each language's sources, their totals and the number
-   of kept terms: one row per language.
+1. *Fold.* A task folds whole documents into a hash table of stripes: a term's
+   documents and occurrences by (language, source). Beyond ``HELD`` terms the table
+   is spilled and started anew, so memory doesn't grow with a partition. A spill is
+   dealt by the terms' hashes: one packed row for each bucket of terms.
+2. *Merge.* A bucket's rows meet in one task and are added by term; a term that all
+   documents have comes once per spill. The number of buckets follows the bytes of
+   the texts. Terms of fewer than ``MIN_DOCS`` documents of a language go; the
+   others are packed, up to ``CHUNK`` merged stripes of one language to a row, with
+   the sums by source.
+3. *Totals.* The sums, and the groups that occur, give each language's sources,
+   their totals and the number of kept terms: one row per language.
 4. *Divergence.* Each packed row, given its language's totals, gives for all pairs
    of sources the sum over its terms and for each source its ``TOP`` terms; sums
    are added by pair, and the candidates ranked.
@@ -26,19 +26,22 @@ terms the source has, with p above q of the language, by f, the first ``TOP``.
 Ties are ordered by item (UTF-8 bytes).
 
 Rows: null text, language and source count as empty. Repeated rows are documents
-of their own, whatever their id; no id is read. Texts are used whole, in pieces
-of bounded memory. A language of one source has no pairs, one without kept terms
+of their own, whatever their id; no id is read. Texts are used whole (the words
+of a text are held at once). A language of one source has no pairs, one without kept terms
 has pairs of value 0 and no terms; an empty table gives no rows. Totals must be
 under 9 * 10^15 occurrences for a group.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,65 +50,99 @@ from quarry.llm import common
 MIN_DOCS = 3
 TOP = 200
 SCALE_STEPS = 3      # of three decimal digits each: shares of 10^9
-HELD = 100_000       # stripes of a task
+HELD = 300_000       # terms of a task
+BUCKET_BYTES = 8 << 20    # of text whose terms a bucket holds, on average
 CHUNK = 4_000        # merged stripes of a row
 CELLS = 1 << 20      # of a table of terms by sources
 SLICE_BYTES = 2 << 20
-PIECE = 1 << 20      # bytes of a text that are split at a time
+GROUP_BITS = 24
 
 # A-Z are lowered, other ASCII characters but letters part terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
                for b in range(256))
 
-_STRIPES = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()),
-                      ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_STRIPES_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
-
-
-def term_counts(text: str | None) -> Counter:
-    """Occurrences of a text's terms; long texts are split piece by piece."""
-    line = common.encode(text).translate(_TERMS)
-    if len(line) <= PIECE:
-        return Counter(line.split())
-    found, start = Counter(), 0
-    while start < len(line):
-        end = len(line) if start + PIECE >= len(line) else line.rfind(b" ", start, start + PIECE)
-        if end < start:  # one term is longer than a piece
-            end = line.find(b" ", start + PIECE)
-            end = len(line) if end < 0 else end
-        found.update(line[start:end].split())
-        start = end + 1
-    return found
-
-
-def _spill(stripes: dict) -> pa.RecordBatch:
-    rows = [(lang, term, s[0], list(s[1]), list(s[1].values())) for (lang, term), s in
-            stripes.items()]
-    stripes.clear()
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, t) for x, t in zip(zip(*rows), _STRIPES.types)], schema=_STRIPES)
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes: (lang, term) -> [documents, {source: occurrences}]."""
-    stripes: dict[tuple[str, bytes], list] = {}
-    for batch in batches:
-        for part in common.slices(batch, "text", SLICE_BYTES):
-            for text, lang, source in zip(part.column("text"), part.column("lang").to_pylist(),
-                                          part.column("source").to_pylist()):
-                for term, n in (term_counts(text.as_py()) or {b"": 0}).items():
-                    stripe = stripes.get((lang, term))
-                    if stripe is None:
-                        stripes[lang, term] = [1, {source: n}]
-                    else:
-                        stripe[0] += 1
-                        by_source = stripe[1]
-                        by_source[source] = by_source.get(source, 0) + n
-                if len(stripes) >= HELD:
-                    yield _spill(stripes)
-    if stripes:
-        yield _spill(stripes)
-    common.release_memory()
+_STRIPES = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())),
+                      ("sources", pa.list_(pa.string())), ("terms", pa.binary()),
+                      ("entries", pa.binary())])
+_STRIPES_DDL = ("bucket int, langs array<string>, sources array<string>, terms binary, "
+                "entries binary")
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    return common.encode(text).translate(_TERMS).split()
+
+
+def _added(key: np.ndarray, docs: np.ndarray, n: np.ndarray):
+    """Documents and occurrences of equal keys added up; keys in order."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    if not len(first):
+        return key, docs, n
+    return key[first], np.add.reduceat(docs[order], first), np.add.reduceat(n[order], first)
+
+
+def _cuts(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal values."""
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)]).tolist()
+    return zip(cuts, [*cuts[1:], len(values)])
+
+
+class _Table:
+    """A task's stripes: (term, group) -> documents, occurrences."""
+
+    def __init__(self):
+        self.terms, self.groups = (defaultdict(count().__next__) for _ in range(2))
+        self.found: list[tuple] = []
+
+    def fold(self, texts: list[str | None], groups: list[tuple[str, str]]) -> None:
+        words = [terms_of(t) for t in texts]
+        n = np.array(list(map(len, words)), np.int64)
+        term = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(words)), np.int64)
+        group = np.array([self.groups[g] for g in groups], np.int64)
+        # by document first: each counts once for a term
+        one = np.ones(len(term), np.int64)
+        key, _, many = _added(term * len(texts) + np.repeat(np.arange(len(texts)), n), one, one)
+        self.found.append(_added(key // len(texts) << GROUP_BITS | group[key % len(texts)],
+                                 np.ones(len(key), np.int64), many))
+
+    def full(self) -> bool:
+        return len(self.terms) >= HELD or len(self.groups) >= 1 << GROUP_BITS - 1
+
+    def rows(self, n_buckets: int) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        key, docs, n = _added(*(np.concatenate(x) for x in zip(*self.found)))
+        terms, groups = list(self.terms), list(self.groups)
+        bucket = np.fromiter((zlib.crc32(t) % n_buckets for t in terms), np.int64, len(terms))
+        term, group = key >> GROUP_BITS, key & ((1 << GROUP_BITS) - 1)
+        order = np.argsort(bucket[term], kind="stable")
+        term, group, docs, n = (x[order] for x in (term, group, docs, n))
+        for i, j in _cuts(bucket[term]):
+            new = np.append(True, np.diff(term[i:j]) != 0)
+            here, local = term[i:j][new].tolist(), np.cumsum(new) - 1
+            used, place = np.unique(group[i:j], return_inverse=True)
+            entries = np.stack([local, place, docs[i:j], n[i:j]])
+            values = (int(bucket[term[i]]), [groups[g][0] for g in used.tolist()],
+                      [groups[g][1] for g in used.tolist()],
+                      pack(b" ".join([terms[t] for t in here])), pack(entries.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(values, _STRIPES.types)], schema=_STRIPES)
+
+
+def _fold(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Table()
+        for batch in batches:
+            for part in common.slices(batch, "text", SLICE_BYTES):
+                text, lang, source = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
+                table.fold(text, list(zip(lang, source)))
+                if table.full():
+                    yield from table.rows(n_buckets)
+                    table = _Table()
+        if table.found:
+            yield from table.rows(n_buckets)
+        common.release_memory()
+    return run
 
 
 _CHUNKS = pa.schema([("lang", pa.string()), ("kept", pa.int64()), ("names", pa.list_(pa.string())),
@@ -116,56 +153,61 @@ _CHUNKS_DDL = ("lang string, kept long, names array<string>, sums array<long>, "
                "terms array<binary>, n_at array<int>, at array<int>, counts array<long>")
 
 
-class _Chunk:
-    """Merged stripes of one language: terms, sources (by place in ``names``)
-    and occurrences, one term after another."""
-
-    def __init__(self, lang: str):
-        self.lang, self.places, self.sums = lang, {}, []
-        self.terms, self.n_at, self.at, self.counts = [], [], [], []
-
-    def add(self, term: bytes, docs: int, by_source: dict[str, int], least: int) -> None:
-        keep = bool(term) and docs >= least
-        if keep:
-            self.terms.append(term)
-            self.n_at.append(len(by_source))
-        for source, n in by_source.items():  # sources without kept terms are kept too
-            place = self.places.setdefault(source, len(self.places))
-            if place == len(self.sums):
-                self.sums.append(0)
-            if keep:
-                self.sums[place] += n
-                self.at.append(place)
-                self.counts.append(n)
-
-    def rows(self) -> pa.RecordBatch:
-        values = (self.lang, len(self.terms), list(self.places), self.sums, self.terms,
-                  self.n_at, self.at, self.counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip(values, _CHUNKS.types)], schema=_CHUNKS)
+def _bucket_chunks(rows: list[dict], least: int) -> Iterator[pa.RecordBatch]:
+    """Merged stripes of a bucket, packed by language."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    groups, names, parts, start = defaultdict(count().__next__), [], [], 0
+    for r in rows:
+        terms = unpack(r["terms"]).split(b" ")
+        local, place, docs, n = np.frombuffer(unpack(r["entries"]), np.int64).reshape(4, -1)
+        group = np.array([groups[g] for g in zip(r["langs"], r["sources"])], np.int64)
+        parts.append((local + start, group[place], docs, n))
+        names.append(pa.array(terms, pa.binary()))
+        start += len(terms)
+    names = pa.concat_arrays(names).dictionary_encode()
+    term, group, docs, n = (np.concatenate(x) for x in zip(*parts))
+    term = names.indices.to_numpy()[term].astype(np.int64)
+    langs = sorted({g for g, _ in groups})
+    lang_of = np.array([langs.index(g) for g, _ in groups], np.int64)
+    source_of = [s for _, s in groups]
+    key, docs, n = _added(((lang_of[group] << 32 | term) << GROUP_BITS) | group, docs, n)
+    group, stripe = key & ((1 << GROUP_BITS) - 1), key >> GROUP_BITS
+    first = np.flatnonzero(np.append(True, np.diff(stripe) != 0))
+    size = np.diff(np.append(first, len(key)))
+    kept = np.add.reduceat(docs, first) >= least
+    entry = np.repeat(kept, size)
+    stripe, size, group, n = stripe[first][kept], size[kept], group[entry], n[entry]
+    ends = np.cumsum(size)
+    lists = lambda x, t: pa.ListArray.from_arrays(
+        pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
+    for a, b in _cuts(stripe >> 32):
+        for i in range(a, b, CHUNK):
+            j = min(b, i + CHUNK)
+            p, q = (int(ends[i - 1]) if i else 0), int(ends[j - 1])
+            used, at = np.unique(group[p:q], return_inverse=True)
+            sums = np.zeros(len(used), np.int64)
+            np.add.at(sums, at, n[p:q])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([langs[int(stripe[i] >> 32)]]), pa.array([j - i], pa.int64()),
+                 lists([source_of[g] for g in used.tolist()], pa.string()), lists(sums, pa.int64()),
+                 lists(names.dictionary.take(pa.array(stripe[i:j] & 0xFFFFFFFF)), None),
+                 lists(size[i:j].astype(np.int32), pa.int32()), lists(at.astype(np.int32), pa.int32()),
+                 lists(n[p:q], pa.int64())], schema=_CHUNKS)
 
 
 def _merge(least: int):
-    """Add the stripes of each (lang, term), which arrive one after another."""
+    """Buckets arrive in order; one is held at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, key, docs, by_source = None, None, 0, {}
+        held: list[dict] = []
         for batch in batches:
-            for part in common.slices(batch, "term", SLICE_BYTES):
-                for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in part.columns)):
-                    if (lang, term) != key:
-                        if key is not None:
-                            chunk.add(key[1], docs, by_source, least)
-                            if lang != chunk.lang or len(chunk.terms) >= CHUNK:
-                                yield chunk.rows()
-                                chunk = _Chunk(lang)
-                        chunk = chunk or _Chunk(lang)
-                        key, docs, by_source = (lang, term), 0, {}
-                    docs += n
-                    for s, c in zip(sources, counts):
-                        by_source[s] = by_source.get(s, 0) + c
-        if key is not None:
-            chunk.add(key[1], docs, by_source, least)
-            yield chunk.rows()
+            for r in batch.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield from _bucket_chunks(held, least)
+                    held = []
+                    common.release_memory()
+                held.append(r)
+        if held:
+            yield from _bucket_chunks(held, least)
         common.release_memory()
     return run
 
@@ -254,19 +296,26 @@ def divergences(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name)
                          for c, name in ((text, "text"), (lang, "lang"), (source, "source"))))
-    stripes = rows.mapInArrow(_fold, _STRIPES_DDL)
-    chunks = common.staged(stripes.repartition(parts, "lang", "term")
-                           .sortWithinPartitions("lang", "term")
-                           .mapInArrow(_merge(min_docs), _CHUNKS_DDL))
-    by_source = chunks.select("lang", F.explode(F.arrays_zip("names", "sums")).alias("s")) \
-        .groupBy("lang", F.col("s.names").alias("name")).agg(F.sum("s.sums").alias("total"))
+    n = max(parts, -(-common.total_bytes(rows, "text") // BUCKET_BYTES))
+    chunks = common.staged(rows.mapInArrow(_fold(n), _STRIPES_DDL).repartition(parts, "bucket")
+                           .sortWithinPartitions("bucket").mapInArrow(_merge(min_docs), _CHUNKS_DDL))
+    # groups without kept terms are there too
+    sums = chunks.select("lang", F.explode(F.arrays_zip("names", "sums")).alias("s")) \
+        .select("lang", F.col("s.names").alias("name"), F.col("s.sums").alias("total")) \
+        .union(rows.select("lang", F.col("source").alias("name"), F.lit(0).cast("long")).distinct())
     # one row per language: small beside the stripes, whatever the input
-    totals = by_source.groupBy("lang").agg(
-        F.sort_array(F.collect_list(F.struct("name", "total"))).alias("all")) \
-        .join(chunks.groupBy("lang").agg(F.sum("kept").alias("v")), "lang") \
-        .select("lang", "v", F.col("all.name").alias("all_names"),
-                F.col("all.total").alias("totals"))
-    found = chunks.drop("kept", "sums").join(common.staged(totals), "lang").mapInArrow(
+    totals = common.staged(sums.groupBy("lang", "name").agg(F.sum("total").alias("total"))
+                           .groupBy("lang").agg(F.sort_array(F.collect_list(
+                               F.struct("name", "total"))).alias("all"))
+                           .join(chunks.groupBy("lang").agg(F.sum("kept").alias("v")), "lang", "left")
+                           .select("lang", F.coalesce("v", F.lit(0)).alias("v"),
+                                   F.col("all.name").alias("all_names"),
+                                   F.col("all.total").alias("totals")))
+    # an empty chunk per language: its pairs are there without any kept term
+    none = totals.select("lang", *(F.from_json(F.lit("[]"), chunks.schema[c].dataType.simpleString())
+                                   .alias(c) for c in ("names", "terms", "n_at", "at", "counts")))
+    chunks = chunks.select(none.columns).union(none)
+    found = chunks.join(totals, "lang").mapInArrow(
         _diverge(top), "lang string, source string, part string, item string, value long")
     found = common.staged(found)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -61,8 +61,20 @@ def test_random_texts_spilled_often(spark, monkeypatch):
     """Terms in one, two and three documents, ties, sources without kept terms,
     null columns; every step in small pieces."""
     rng = random.Random(11)
-    for name, size in (("HELD", 5), ("CHUNK", 4), ("CELLS", 8), ("PIECE", 16)):
-        monkeypatch.setattr(divergence, name, size)
+    steps = {name: getattr(divergence, name) for name in ("_fold", "_merge", "_diverge")}
+
+    def small(step):
+        def made(option):
+            run = step(option)
+
+            def wrapped(batches):  # runs in the workers
+                for name, size in (("HELD", 5), ("CHUNK", 2), ("CELLS", 8), ("SLICE_BYTES", 64)):
+                    setattr(divergence, name, size)
+                yield from run(batches)
+            return wrapped
+        return made
+    for name, step in steps.items():
+        monkeypatch.setattr(divergence, name, small(step))
     words = ["a", "b", "Ä", "ä", "ß", "wort", "Wort", "x1y", "漢字"] + [f"t{c}" for c in "abcdefgh"]
     rows = [(" ".join(rng.choices(words, k=rng.randrange(25))), rng.choice(["en", "de", None, ""]),
              rng.choice(["s0", "s0", "s1", None, "ü"])) for _ in range(60)]
@@ -95,11 +107,3 @@ def test_shares_without_overflow(count, total):
     import numpy as np
     found = divergence.shares(np.array([count], np.int64), total)
     assert found.tolist() == [1 + 10 ** 9 * (count + 1) // total]
-
-
-def test_long_texts_in_pieces(monkeypatch):
-    text = "Ein " * 500 + "x" * 700 + " ende" * 300 + "  "
-    whole = divergence.term_counts(text)
-    monkeypatch.setattr(divergence, "PIECE", 64)
-    assert divergence.term_counts(text) == whole
-    assert whole == {b"ein": 500, b"x" * 700: 1, b"ende": 300}
