@@ -1,8 +1,8 @@
-"""Skew-safe sequential operators over event streams (W4, W7 building blocks).
+"""Skew-safe sequential operators over event streams.
 
-Greedy "emit, then ignore everything for a while" logic is a chain through
-a functional graph: every event ``i`` points at the event that would be
-processed next if ``i`` was processed. Two distributed pieces compute it:
+W4 and W7 are lock chains (``quarry.operators.chains``). General building blocks
+for other "process, then jump ahead" logic, a chain through a functional graph in
+which every event points at the one processed next:
 
 * ``next_at_or_after`` - an as-of lookup (first event of the same key at or
   after ``t_i + gap``). Work is split by ``(key, slab)`` where a slab is a
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.chains import lock_chains
 from quarry.session import cut_lineage, cut_lineage_counting, drop_written
 
 DAY_US = 86_400_000_000
@@ -155,18 +156,15 @@ def suppress_repeats(events: DataFrame, keys: list[str], ts: str, id_col: str,
     that is ``resolved`` (a boolean column) suppresses nothing: the next one
     after it is looked at again. Returns the input rows with a boolean
     ``emitted`` column."""
-    ev = events.select(*keys, F.col(id_col).alias("id"), to_micros(events, ts).alias("t"))
-    gap = window_seconds * 1_000_000
-    if resolved is None:
-        edges = next_at_or_after(ev, keys, gap, inclusive=False)
-    else:
-        nx = next_events(ev, keys, {"open": (gap, "gt"), "resolved": (0, "succ")})
-        done = events.select(F.col(id_col).alias("id"),
-                             F.coalesce(F.col(resolved), F.lit(False)).alias("__done"))
-        edges = nx.join(done, "id").where((F.col("name") == "resolved") == F.col("__done")) \
-            .select("id", "nxt")
-    kept = mark_paths(edges, first_per_key(ev, keys)).withColumn("emitted", F.lit(True))
-    return (events.join(kept.withColumnRenamed("id", id_col), id_col, "left")
+    names = [f"k{i}" for i in range(len(keys))]
+    done = F.lit(False) if resolved is None else F.col(resolved)
+    ev = events.select(*(F.col(k).alias(n) for k, n in zip(keys, names)),
+                       F.col(id_col).alias("id"), to_micros(events, ts).alias("t"),
+                       done.alias("ok"))
+    # a kept event locks its key; the first instant after the window is free again
+    marked, _ = lock_chains(ev, names, 1, window_seconds * 1_000_000 + 1)
+    kept = marked.select(F.col("id").alias(id_col), F.lit(True).alias("emitted"))
+    return (events.join(kept, id_col, "left")
             .withColumn("emitted", F.coalesce("emitted", F.lit(False))))
 
 
@@ -179,83 +177,15 @@ def lockouts(attempts: DataFrame, user: str, ts: str, id_col: str, success: str,
     more, locks the account for ``lock_minutes``; a processed success resets
     the counter.
 
-    The account alternates between *segments* and *lock chains*. A segment
-    starts at the first attempt or at a success that ends a lock chain; all
-    its attempts are processed in order up to its lock point - the first
-    attempt whose last ``max_failures`` attempts all failed. After a lock at
-    ``t`` the next processed attempt is the first at or after ``t + lock``:
-    a failure there locks again (the chain goes on), a success starts a new
-    segment. Only segment starts and lock-chain failures are graph nodes, so
-    the chain marked by ``mark_paths`` has about two nodes per lock instead
-    of one per attempt. Every lookup (next attempt, first attempt after the
-    lock, next lock point, latest segment start) is a slab-split as-of
-    lookup and the "last five failed" test follows predecessor links by
-    joins on unique ids: no user's attempts are sorted in one task.
+    The whole is one automaton per user, run by ``chains.lock_chains``: no
+    user's attempts are gathered in one task.
     Returns the attempts with ``processed``, ``locks`` and ``locked_until``.
     """
     a = attempts.select(F.col(user).alias("u"), F.col(id_col).alias("id"),
                         to_micros(attempts, ts).alias("t"),
                         F.col(success).cast("boolean").alias("ok"))
-    nx = next_events(a.select("u", "id", "t"), ["u"],
-                     {"succ": (0, "succ"), "g": (lock_minutes * 60_000_000, "ge")})
-    nx = nx.groupBy("id").agg(F.max(F.when(F.col("name") == "succ", F.col("nxt"))).alias("succ"),
-                              F.max(F.when(F.col("name") == "g", F.col("nxt"))).alias("g"))
-    a = cut_lineage(a.join(nx, "id"))
-    pred = a.where(F.col("succ").isNotNull()).select(F.col("succ").alias("id"),
-                                                     F.col("id").alias("pred"))
-    a = a.join(pred, "id", "left")
-    # run >= max  <=>  this attempt and its (max - 1) predecessors all failed
-    run = a.select("id", (~F.col("ok")).alias("all_f"), F.col("pred").alias("p"))
-    step = a.select(F.col("id").alias("p"), F.col("ok").alias("p_ok"), F.col("pred").alias("pp"))
-    for _ in range(max_failures - 1):
-        run = (run.join(step, "p", "left")
-               .select("id", (F.col("all_f") & F.coalesce(~F.col("p_ok"), F.lit(False)))
-                       .alias("all_f"), F.col("pp").alias("p")))
-    a = a.join(run.select("id", F.col("all_f").alias("run_full")), "id")
-    # lock point of a segment starting at i: first attempt >= i with run_full
-    lp = next_events(a.select("u", "id", "t", "run_full"), ["u"], {"lp": (0, "self")},
-                     events_where=F.col("run_full")).select("id", F.col("nxt").alias("lp"))
-    a = cut_lineage(a.join(lp, "id"))
-    info = a.select(F.col("id").alias("x"), F.col("ok").alias("x_ok"))
-    # after a lock at i: the next processed attempt g(i) -> segment or chain
-    def after(col: str):
-        return (F.when(F.col(col).isNull(), F.lit(None).cast("bigint"))
-                .when(F.col(f"{col}_ok"), F.col(col) * 2)
-                .otherwise(F.col(col) * 2 + 1))
-    # node 2*i = segment starting at i, 2*i+1 = lock-chain failure at i
-    g_of = a.select(F.col("id").alias("lp"), F.col("g").alias("lpg"))
-    seg = (a.join(g_of, "lp", "left")
-           .join(info.withColumnRenamed("x", "lpg").withColumnRenamed("x_ok", "lpg_ok"),
-                 "lpg", "left")
-           .select((F.col("id") * 2).alias("id"), after("lpg").alias("nxt")))
-    chain = (a.join(info.withColumnRenamed("x", "g").withColumnRenamed("x_ok", "g_ok"),
-                    "g", "left")
-             .select((F.col("id") * 2 + 1).alias("id"), after("g").alias("nxt")))
-    roots = a.where(F.col("pred").isNull()).select((F.col("id") * 2).alias("id"))
-    reached = mark_paths(seg.unionByName(chain), roots)
-    starts = reached.where(F.col("id") % 2 == 0).select(
-        F.floor(F.col("id") / 2).alias("id"), F.lit(True).alias("is_start"))
-    chained = reached.where(F.col("id") % 2 == 1).select(
-        F.floor(F.col("id") / 2).alias("id"), F.lit(True).alias("in_chain"))
-    # latest reached segment start at or before each attempt: a backward
-    # as-of lookup (the same lookup on negated time and ids)
-    b = a.join(starts, "id", "left")
-    back = next_events(
-        b.select("u", (-F.col("id")).alias("id"), (-F.col("t")).alias("t"),
-                 F.coalesce(F.col("is_start"), F.lit(False)).alias("is_start")),
-        ["u"], {"s": (0, "self")}, events_where=F.col("is_start"))
-    back = back.select((-F.col("id")).alias("id"), (-F.col("nxt")).alias("seg"))
-    seg_lp = a.select(F.col("id").alias("seg"), F.col("lp").alias("seg_lp"))
-    lp_pos = a.select(F.col("id").alias("seg_lp"), F.col("t").alias("lp_t"))
-    st = (a.join(back, "id", "left").join(seg_lp, "seg", "left").join(lp_pos, "seg_lp", "left")
-          .join(chained, "id", "left"))
-    in_segment = F.col("seg").isNotNull() & (
-        F.col("seg_lp").isNull() | (F.col("t") < F.col("lp_t")) |
-        ((F.col("t") == F.col("lp_t")) & (F.col("id") <= F.col("seg_lp"))))
-    in_chain = F.coalesce(F.col("in_chain"), F.lit(False))
-    st = st.select("id", (in_segment | in_chain).alias("processed"),
-                   (in_chain | (F.col("seg_lp") == F.col("id"))).alias("locks"))
-    out = (attempts.join(st.withColumnRenamed("id", id_col), id_col, "left")
+    marked, _ = lock_chains(a, ["u"], max_failures, lock_minutes * 60_000_000)
+    out = (attempts.join(marked.withColumnRenamed("id", id_col), id_col, "left")
            .withColumn("processed", F.coalesce("processed", F.lit(False)))
            .withColumn("locks", F.coalesce("locks", F.lit(False))))
     return out.withColumn("locked_until", F.when(

@@ -76,20 +76,32 @@ def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | Non
     action can't be applied to (no row form, no fix) is listed in the run row,
     not skipped.
 
-    Results, the run row and the new mark are appended under
-    ``spec.state_path``; the mark comes last, so a run that fails before is
-    repeated. Returns the run row as a dict and the frames ``results``,
-    ``alerts`` and ``incidents``.
+    No row is lost: rows read = ``records_processed`` (written) +
+    ``failed_records`` (quarantined) + ``removed_records`` (dropped by a fix).
+    The latter two are written, as read and with the rules that took them out,
+    to ``quarantine_folder``; a target that has none is refused before anything
+    is written.
+
+    State lies under ``spec.state_path`` in a folder per run id, the run row
+    last. A run that failed before is repeated: it starts from the mark before
+    its own, and writes its folders anew. A finished run id is not run again: its
+    recorded row and frames come back, and no target gets its rows twice. (A
+    repeat after a failure between an append to a table, JDBC or Kafka target and
+    the run row appends again; path and merge targets do not.) Returns the run row
+    as a dict and the frames ``results``, ``alerts`` and ``incidents``.
     """
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     state = spec.state_path
+    if state and (row := finished_run(spark, state, run_id)):
+        return {**row, **recorded(spark, state, run_id)}
     last = spec.last_value
     if spec.incremental_column and last is None and state:
-        last = read_mark(spark, f"{state}/marks", spec)
+        last = read_mark(spark, f"{state}/marks", spec, run_id)
     df = build(spark, dataclasses.replace(spec, last_value=last), frames)
     if spec.organization:
         df = ingest_metadata(df, spec.organization, spec.environment)
-    base = cut_lineage(df)
+    staged = cut_lineage(df.withColumn(ROW, F.monotonically_increasing_id()))
+    base = staged.drop(ROW)
     ctx = {"organization_id": spec.organization, "dataset_name": spec.dataset_name,
            "batch_id": run_id, "executed_at": started}
     results = cut_lineage(run_rules(base, spec.rules, frames, as_of, ctx,
@@ -104,28 +116,30 @@ def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | Non
 
     gaps = without_row_form(base, by_action["quarantine"], frames, as_of)
     unfixed = remediate.unfixable(base, by_action["auto_fix"])
-    kept, bad = base, None
     split = [r for r in by_action["quarantine"] if r.rule_id not in gaps]
-    if split and not rejected:
-        flagged = cut_lineage(row_flags(base, split, frames, as_of))
-        bad = flagged.where(F.size("_failed_rules") > 0)
-        kept = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
     fixes = [r for r in by_action["auto_fix"] if r.rule_id not in unfixed]
-    if fixes:
-        kept = remediate.auto_fix(kept, fixes)
-
-    out, n_bad, n_kept = None, 0, 0
+    temporary, aside = [staged], {}
+    out, counts = None, {"kept": 0, "bad": 0, "removed": 0}
     if not rejected:
+        kept = staged
+        if split:
+            flagged = cut_lineage(row_flags(staged, split, frames, as_of))
+            temporary.append(flagged)
+            aside["bad"] = flagged.where(F.size("_failed_rules") > 0).drop(ROW)
+            kept = flagged.where(F.size("_failed_rules") == 0).drop("_failed_rules", "_reasons")
+        if fixes:
+            kept, aside["removed"] = fixed(kept, fixes, temporary)
+        aside = {n: f for n, f in aside.items() if f is not None}
+        folder = quarantine_folder(spec)
+        if aside and spec.target and not folder:
+            raise ValueError("the target has no folder for quarantined rows: name one as "
+                             "target['quarantine'] or set a state path")
+        if aside:
+            counts.update(set_aside(spark, aside, folder if spec.target else None, run_id))
         obs = Observation(f"run_{run_id}")
-        out = write_target(kept.observe(obs, F.count(F.lit(1)).alias("n")), spec.target, run_id)
-        n_kept = obs.get["n"]
-        if bad is not None and spec.target and "path" in spec.target:
-            obs = Observation(f"bad_{run_id}")
-            sinks.write_run(bad.observe(obs, F.count(F.lit(1)).alias("n")),
-                            spec.target["path"] + "_quarantine", run_id)
-            n_bad = obs.get["n"]
-        elif bad is not None:
-            n_bad = bad.count()
+        out = write_target(kept.drop(ROW).observe(obs, F.count(F.lit(1)).alias("n")),
+                           spec.target, run_id)
+        counts["kept"] = obs.get["n"]
     rules = rule_rows(spark, spec)
     routed = remediate.route(results, rules)
     frames_out = {"results": results, "alerts": remediate.alerts(routed),
@@ -133,30 +147,97 @@ def run(spark: SparkSession, spec: PipelineSpec, run_id: str, frames: dict | Non
     finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     row = {"run_id": run_id, "organization_id": spec.organization,
            "dataset_name": spec.dataset_name, "status": "failed" if rejected else "success",
-           "records_processed": n_kept, "failed_records": n_bad,
+           "records_processed": counts["kept"], "failed_records": counts["bad"],
+           "removed_records": counts["removed"],
            "output_bytes": folder_bytes(spark, out), "output": out, "rejected_by": rejected,
            "unflagged_rules": sorted(gaps), "unfixed_rules": sorted(unfixed),
            "started_at": started, "completed_at": finished,
            "seconds": (finished - started).total_seconds()}
     if state:
         for name, frame in frames_out.items():
-            sinks.write_files(frame.withColumn("run_id", F.lit(run_id)), f"{state}/{name}")
-        sinks.write_files(spark.createDataFrame([tuple(row.values())], RUN_SCHEMA),
-                          f"{state}/runs")
+            write_state(spark, frame, state, name, run_id)
         if spec.incremental_column and not rejected:
-            sinks.write_files(high_water_mark(base, spec.incremental_column, spec.dataset_name)
-                              .where("last_value is not null"), f"{state}/marks")
-        drop_written(spark, results)
-        frames_out = {n: spark.read.parquet(f"{state}/{n}").where(F.col("run_id") == run_id)
-                      .drop("run_id") for n in frames_out}
-    if bad is not None:
-        drop_written(spark, flagged)
-    drop_written(spark, base)
+            write_state(spark, high_water_mark(base, spec.incremental_column, spec.dataset_name)
+                        .where("last_value is not null"), state, "marks", run_id)
+        write_state(spark, spark.createDataFrame([tuple(row.values())], RUN_SCHEMA)
+                    .drop("run_id"), state, "runs", run_id)
+        temporary.append(results)
+        frames_out = recorded(spark, state, run_id)
+    for table in temporary:
+        drop_written(spark, table)
     return {**row, **frames_out}
 
 
+ROW = "_run_row"  # of a run's staged rows
+
+
+def fixed(kept: DataFrame, fixes: list[Rule], temporary: list) -> tuple[DataFrame, DataFrame | None]:
+    """The fixed rows, and the rows that fixes took out (as they were before)."""
+    takers = [r.rule_id for r in fixes if r.normalized().rule_type == "uniqueness"]
+    out = remediate.auto_fix(kept, fixes)
+    if not takers:
+        return out, None
+    out = cut_lineage(out)
+    temporary.append(out)
+    gone = kept.join(out.select(ROW), ROW, "left_anti").drop(ROW)
+    return out, gone.withColumns({
+        "_failed_rules": F.array(*map(F.lit, takers)),
+        "_reasons": F.array(*(F.lit(f"{r}: dropped by auto_fix") for r in takers))})
+
+
+def quarantine_folder(spec: PipelineSpec) -> str | None:
+    """Where rows go that a run takes out: ``target['quarantine']``, beside a
+    path target, or in the state folder."""
+    target = spec.target or {}
+    if "quarantine" in target:
+        return target["quarantine"]
+    if "path" in target:
+        return target["path"] + "_quarantine"
+    return f"{spec.state_path}/quarantine" if spec.state_path else None
+
+
+def set_aside(spark: SparkSession, parts: dict[str, DataFrame], folder: str | None,
+              run_id: str) -> dict[str, int]:
+    """Write the rows taken out in one job, and count each part of them. Without
+    a folder (a run that has no target) they are only counted."""
+    seen = {n: Observation(f"{n}_{run_id}") for n in parts}
+    whole = None
+    for n, f in parts.items():
+        f = f.observe(seen[n], F.count(F.lit(1)).alias("n"))
+        whole = f if whole is None else whole.unionByName(f)
+    if folder:
+        sinks.write_run(whole, folder, run_id)
+    else:
+        whole.write.format("noop").mode("overwrite").save()
+    return {n: o.get["n"] for n, o in seen.items()}
+
+
+def _state_folder(spark: SparkSession, state: str, name: str, run_id: str) -> str:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{state}/{name}/run_id={escape(run_id)}"
+
+
+def write_state(spark: SparkSession, frame: DataFrame, state: str, name: str, run_id: str) -> None:
+    """A run's rows of a state table, in a folder of its own."""
+    frame.write.mode("overwrite").parquet(_state_folder(spark, state, name, run_id))
+
+
+def recorded(spark: SparkSession, state: str, run_id: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(_state_folder(spark, state, n, run_id))
+            for n in ("results", "alerts", "incidents")}
+
+
+def finished_run(spark: SparkSession, state: str, run_id: str) -> dict | None:
+    """The run row of a run id that is already recorded."""
+    folder = _state_folder(spark, state, "runs", run_id)
+    fs, done = sinks._fs(spark, f"{folder}/_SUCCESS")
+    return {"run_id": run_id, **spark.read.parquet(folder).first().asDict()} \
+        if fs.exists(done) else None
+
+
 RUN_SCHEMA = ("run_id string, organization_id string, dataset_name string, status string, "
-              "records_processed long, failed_records long, output_bytes long, output string, "
+              "records_processed long, failed_records long, removed_records long, "
+              "output_bytes long, output string, "
               "rejected_by array<string>, unflagged_rules array<string>, "
               "unfixed_rules array<string>, started_at timestamp, completed_at timestamp, "
               "seconds double")
@@ -167,13 +248,16 @@ def rule_rows(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
                                  "id string, remediation_action string")
 
 
-def read_mark(spark: SparkSession, path: str, spec: PipelineSpec):
-    """The last mark of a spec's source column, in the column's own type."""
+def read_mark(spark: SparkSession, path: str, spec: PipelineSpec, run_id: str | None = None):
+    """The last mark of a spec's source column, in the column's own type; not
+    the one that an earlier try of ``run_id`` left."""
     fs, folder = sinks._fs(spark, path)
     if not fs.exists(folder):
         return None
-    found = last_value_from(spark.read.parquet(path), spec.dataset_name,
-                            spec.incremental_column).collect()
+    marks = spark.read.parquet(path)
+    if run_id is not None:
+        marks = marks.where(F.col("run_id").cast("string") != run_id)
+    found = last_value_from(marks, spec.dataset_name, spec.incremental_column).collect()
     if not found:
         return None
     return spark.sql(f"SELECT CAST(:v AS {found[0].value_type}) AS v",
@@ -188,11 +272,13 @@ def folder_bytes(spark: SparkSession, path: str | None) -> int:
 
 
 def write_target(df: DataFrame, target: dict | None, run_id: str) -> str | None:
-    """Write to a pipeline's target: ``{"path"}`` a folder per run,
+    """Write to a pipeline's target (``quarantine`` beside any of them names the
+    folder for rows taken out): ``{"path"}`` a folder per run,
     ``{"table"}`` a catalog table, ``{"merge", "keys"}`` a versioned table
     merged by key, ``{"jdbc", "table"}`` or ``{"kafka", "topic"}``; none: the
     rows are only counted. Returns the path written, if there is one."""
     t = dict(target or {})
+    t.pop("quarantine", None)
     if "path" in t:
         return sinks.write_run(df, t["path"], run_id, t.get("format", "parquet"),
                                t.get("mode", "overwrite"))
