@@ -18,7 +18,9 @@ from quarry.plans.runner import PipelineSpec
 from quarry.plans.runner import run as run_pipeline
 from quarry.plans.suite import (AS_OF, RESULT_COLS, RUNS_SQL, USAGE_SQL, VIOL_SQL, T,
                                 _violation_candidates, register, rule_sql)
+from quarry.sinks import versioned
 from quarry.sources import files, introspect
+from quarry.streaming import state
 
 
 def _folder(spark) -> str:
@@ -218,8 +220,8 @@ def q_versioned_merge(spark, d):
     return sinks.read_version(spark, path)
 
 
-@register("violations_resolved", f"""
-WITH RECURSIVE v AS (SELECT *, id % 3 = 0 AS done FROM {VIOL_SQL} WHERE id % 7 = 0),
+@register("violations_resolved_all", f"""
+WITH RECURSIVE v AS (SELECT *, id % 3 = 0 AS done FROM {VIOL_SQL}),
 nx AS (SELECT a.id, (SELECT b.id FROM v b WHERE b.organization_id = a.organization_id
           AND b.resource_type = a.resource_type AND b.violation_type = a.violation_type
           AND CASE WHEN a.done THEN (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id))
@@ -229,19 +231,20 @@ roots AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY organizatio
           resource_type, violation_type ORDER BY ts, id) AS rn FROM v) WHERE rn = 1),
 chain(id) AS (SELECT id FROM roots UNION ALL
               SELECT nx.nid FROM chain JOIN nx ON nx.id = chain.id WHERE nx.nid IS NOT NULL)
-SELECT count(*) AS kept, count_if(done)::BIGINT AS kept_resolved FROM v JOIN chain USING (id)""")
-def q_violations_resolved(spark, d):
-    """A resolved violation suppresses nothing (every seventh event as
-    the violations: a sparser feed, where the hour often passes)."""
-    v = _violation_candidates(spark, d).where("id % 7 = 0").withColumn(
-        "done", F.col("id") % 3 == 0)
+SELECT v.id, v.organization_id, v.resource_type, v.violation_type, v.ts, v.done
+FROM v JOIN chain USING (id)""")
+def q_violations_resolved_all(spark, d):
+    """A resolved violation suppresses nothing, all violations judged."""
+    v = _violation_candidates(spark, d).withColumn("done", F.col("id") % 3 == 0)
     out = sequence.suppress_repeats(v, ["organization_id", "resource_type", "violation_type"],
                                     "ts", "id", 3600, resolved="done")
-    return out.where("emitted").agg(F.count(F.lit(1)).alias("kept"),
-                                    F.count_if("done").alias("kept_resolved"))
+    return out.where("emitted").select("id", "organization_id", "resource_type",
+                                       "violation_type", "ts", "done")
 
 
-@register("violations_resolved_all", f"""
+# =========================================================== state of streams
+
+@register("violations_suppressed_stream", f"""
 WITH RECURSIVE v AS (SELECT *, id % 3 = 0 AS done FROM {VIOL_SQL}),
 nx AS (SELECT a.id, (SELECT b.id FROM v b WHERE b.organization_id = a.organization_id
           AND b.resource_type = a.resource_type AND b.violation_type = a.violation_type
@@ -254,13 +257,86 @@ chain(id) AS (SELECT id FROM roots UNION ALL
               SELECT nx.nid FROM chain JOIN nx ON nx.id = chain.id WHERE nx.nid IS NOT NULL)
 SELECT v.id, v.organization_id, v.resource_type, v.violation_type, v.ts, v.done
 FROM v JOIN chain USING (id)""")
-def q_violations_resolved_all(spark, d):
-    """A resolved violation suppresses nothing, all violations judged."""
+def q_violations_suppressed_stream(spark, d):
+    """Suppression over micro-batches in order of time (one replayed), from
+    the states the batch before left; a resolved violation suppresses nothing."""
+    base = _folder(spark)
     v = _violation_candidates(spark, d).withColumn("done", F.col("id") % 3 == 0)
-    out = sequence.suppress_repeats(v, ["organization_id", "resource_type", "violation_type"],
-                                    "ts", "id", 3600, resolved="done")
-    return out.where("emitted").select("id", "organization_id", "resource_type",
-                                       "violation_type", "ts", "done")
+    cuts = v.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
+                                        [0.3, 0.4, 0.8]).alias("c")).first().c
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    write = state.suppression_writer(base, resolved="done")
+    for batch, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = v.where((F.lit(True) if low is None else t > low) &
+                       (F.lit(True) if high is None else t <= high))
+        write(part, batch)
+        if batch == 2:
+            write(part, batch)
+    return spark.read.parquet(f"{base}/emitted").select(
+        "id", "organization_id", "resource_type", "violation_type", "ts", "done")
+
+
+@register("running_totals", f"""
+SELECT organization_id, resource_type, date_trunc('day', ts) AS period_start,
+       round(sum(amount), 4) AS usage, count(*) AS records,
+       arg_max(json_extract_string(props, '$.k'), {{'t': ts, 'i': event_id}}) AS meta_k
+FROM {USAGE_SQL} GROUP BY ALL""")
+def q_running_totals(spark, d):
+    """Totals of a period and its newest metadata, kept up by batches that
+    come in any order, one of them twice; only touched leaves are rewritten."""
+    base = _folder(spark)
+    u = usage.usage_from_events(T(spark, d, "events")).withColumn(
+        "meta", F.from_json("props", "map<string,string>"))
+    write = state.totals_writer(base, "daily", "meta", leaf_rows=2000)
+    for batch, part in enumerate((2, 0, 0, 1)):
+        write(u.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part), min(batch, 1) + batch // 3)
+    return state.read_totals(spark, base).select(
+        "organization_id", "resource_type",
+        F.col("period_start").cast("timestamp_ntz").alias("period_start"),
+        F.round("usage", 4).alias("usage"), "records", F.col("metadata")["k"].alias("meta_k"))
+
+
+@register("late_rows", """
+WITH e AS (SELECT event_id, ts, event_id % 4 AS b FROM events),
+m AS (SELECT b, max(ts) AS m FROM e GROUP BY b),
+w AS (SELECT x.b, (SELECT max(y.m) FROM m y WHERE y.b < x.b) AS seen FROM m x)
+SELECT e.b AS batch, coalesce(e.ts < w.seen - INTERVAL 15 DAY, false) AS late, count(*) AS n,
+       sum(event_id)::BIGINT AS ids
+FROM e JOIN w USING (b) GROUP BY ALL""")
+def q_late_rows(spark, d):
+    """Rows behind the watermark beside those in time; none is lost."""
+    base = _folder(spark)
+    e = T(spark, d, "events").select("event_id", "ts")
+    write = state.late_split_writer(base, delay_seconds=15 * 86_400)
+    for batch in range(4):
+        write(e.where(F.col("event_id") % 4 == batch), batch)
+    both = [spark.read.parquet(f"{base}/{name}").select(
+        F.col("batch_id").cast("long").alias("batch"), F.lit(name == "late").alias("late"),
+        "event_id") for name in ("kept", "late")]
+    return both[0].unionByName(both[1]).groupBy("batch", "late").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@register("versioned_leaves", """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS v FROM orders)
+SELECT 0::BIGINT AS version, k, v FROM o WHERE c % 2 = 0
+UNION ALL SELECT 1, k, v FROM o
+UNION ALL SELECT 2, k, CASE WHEN c % 5 = 0 THEN -v ELSE v END FROM o WHERE c % 7 <> 0""")
+def q_versioned_leaves(spark, d):
+    """Three merges into a table whose leaves split as it grows; every
+    version is read back."""
+    path = _folder(spark)
+    o = T(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
+                                     F.col("o_totalprice").alias("v"))
+    gone = F.col("c") % 7 == 0
+    steps = [o.where("c % 2 = 0").withColumn("gone", F.lit(False)),
+             o.where("c % 2 <> 0").withColumn("gone", F.lit(False)),
+             o.where("c % 5 = 0 OR c % 7 = 0").withColumn("v", -F.col("v")).withColumn("gone", gone)]
+    for step in steps:
+        versioned.merge(spark, path, step.drop("c"), ["k"], delete_col="gone", leaf_rows=3000)
+    return _union([versioned.read(spark, path, v).select(F.lit(v).cast("long").alias("version"),
+                                                         "k", "v")
+                   for v in versioned.history(spark, path)])
 
 
 # =========================================================== access
