@@ -93,9 +93,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     once for the action and once more to write the checkpoint files.)
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
+    path = _new_table(spark)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return _read_back(spark, path)
+
+
+_OPEN = threading.local()  # tables made in each open ``scratch`` of this thread
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _new_table(spark: SparkSession) -> str:
+    """A fresh table's folder. It goes with the application at the latest."""
+    path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    for made in getattr(_OPEN, "scratches", []):
+        made.append(path)
+    return path
+
+
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    df._written = path
+    return df
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``cut_lineage`` writes inside this block are dropped at its end,
+    all but those that were given to the function that the block gets."""
+    made, kept = [], []
+    _OPEN.scratches = [*getattr(_OPEN, "scratches", []), made]
+    try:
+        yield lambda df: kept.append(df._written)
+    finally:
+        _OPEN.scratches = _OPEN.scratches[:-1]
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 _LENIENT = threading.RLock()
@@ -119,12 +158,8 @@ def lenient(spark: SparkSession):
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete the folder behind a frame returned by ``cut_lineage`` once no
     later plan reads it (iterative operators free their finished levels)."""
-    for f in df.inputFiles()[:1]:
-        folder = f.rsplit("/", 1)[0]
-        if "/quarry-" not in folder:
-            return
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path := getattr(df, "_written", None):
+        _delete(spark, path)
 
 
 def cut_lineage_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
@@ -135,6 +170,6 @@ def cut_lineage_counting(df: DataFrame, condition) -> tuple[DataFrame, int]:
 
     spark = df.sparkSession
     obs = Observation(f"cut_{uuid.uuid4().hex[:12]}")
-    path = os.path.join(checkpoint_dir(spark), f"quarry-{uuid.uuid4().hex}")
+    path = _new_table(spark)
     df.observe(obs, F.count_if(condition).alias("n")).write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path), int(obs.get["n"] or 0)
+    return _read_back(spark, path), int(obs.get["n"] or 0)
