@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
@@ -220,7 +220,13 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go."""
-    hit = find(docs, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0") \
-        .select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Documents with a word inside a benchmark window go. Rows are judged by
+    their texts: an id that is null, or that other texts have too, takes no clean
+    row along."""
+    def known_by(text: Column) -> Column:
+        return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+
+    hit = find(docs.select(known_by(F.col("text")).alias("known_by"), "text"),
+               common.table(spark, sf_dir, "benchmark"), doc_id="known_by") \
+        .where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(hit, known_by(docs["text"]) == hit["doc_id"], "left_anti")

@@ -36,9 +36,10 @@ SLICE_BYTES = 1 << 20
 MIN_SCORE = 0.1
 # Scores of labelled texts set the rest of the threshold: so many times the
 # distance from the median to the lowest decile below the median, for each size
-# (n-grams, in powers of two) of which so many scores are there.
+# (n-grams, in powers of two). MIN_SCORE weighs as much as so many scores, so few
+# scores raise it little, and many settle it.
 SPREAD = 5.0
-SCORES = 50
+PRIOR = 20
 SIZES = 9
 # Labelled texts count whole and by one of their beginnings, of 1 to 64 words.
 BEGINNINGS = 7
@@ -224,9 +225,9 @@ def thresholds(docs: DataFrame, learned: dict[str, list[int]], text: str = "text
         F.percentile_approx("score", [0.1, 0.5], 10_000).alias("q")).collect()
     least = [MIN_SCORE] * SIZES
     for r in found:
-        if r.n >= SCORES:
-            low, mid = r.q
-            least[r.size] = max(MIN_SCORE, mid - SPREAD * (mid - low))
+        low, mid = r.q
+        learned_from = max(MIN_SCORE, mid - SPREAD * (mid - low))
+        least[r.size] = MIN_SCORE + (learned_from - MIN_SCORE) * r.n / (PRIOR + r.n)
     return least
 
 

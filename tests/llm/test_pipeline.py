@@ -4,6 +4,7 @@ import base64
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 from llm_rows import edge, no_rows  # noqa: F401  (fixtures)
 
@@ -25,9 +26,11 @@ def test_stages(spark):
         kept[name] = common.staged(stage(spark, docs, SF001))
         assert kept[name].columns == docs.columns
         if name == "language_id":
-            seen = langid.identify(docs, langid.fit(docs), [docs.doc_id])
-            good = {r.doc_id for r in seen.collect()
-                    if r.lang_pred != "und" and r.score >= langid.MIN_SCORE}
+            learned = langid.fit(docs)
+            least = langid.thresholds(docs, learned)
+            seen = langid._identify(docs, learned, [docs.doc_id])
+            good = {r.doc_id for r in seen.collect() if r.lang_pred != "und"
+                    and r.score >= least[r.n_grams.bit_length() - 1]}
             assert {r.doc_id for r in kept[name].collect()} == good
         elif name == "ngram_jaccard_join":
             groups = {}
@@ -67,7 +70,7 @@ def test_stages_take_no_rows_and_odd_rows(spark, edge, no_rows):
 def test_registered(spark):
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names}
     assert "pipeline" in names
 
 
@@ -81,6 +84,31 @@ def test_unlike_texts_under_one_id_stay(spark):
                           key=repr)
 
 
+def test_a_contaminated_row_takes_no_other_along(spark):
+    """Ids that are null, or that clean texts have too."""
+    item = spark.read.parquet(f"{SF001}/benchmark.parquet").orderBy(F.length("text").desc()).first()
+    bad = f"before it {item.text} and after it"
+    clean = " ".join(f"clean{i}" for i in range(40))
+    texts = [(None, bad), (None, clean), (None, None), (5, bad), (5, clean), (6, ""), (7, bad),
+             (7, bad), (8, clean)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = rows(decontam.pipeline_stage(spark, docs, SF001))
+    assert kept == sorted([(None, clean), (None, None), (5, clean), (6, ""), (8, clean)], key=repr)
+
+
+def test_thresholds_grow_with_the_scores_of_a_size(spark, monkeypatch):
+    """No number of scores switches a threshold on."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    learned = langid.fit(docs)
+    found = []
+    for part in (8, 4, 2, 1):
+        sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+        found.append(langid.thresholds(sample, learned))
+    assert all(langid.MIN_SCORE <= x < 1 for v in found for x in v)
+    middle = [v[6] for v in found]
+    assert middle[0] > langid.MIN_SCORE and max(map(abs, np.diff(middle))) < 0.15
+
+
 PROSE = {
     "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
               "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
