@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry import session
 from quarry.llm import bpe, common, decontam, jaccard, langid, suffix_dedup
 
 STAGES = [
@@ -23,8 +24,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what a stage keeps is written once to the checkpoint
-    folder and read back, as the next one reads it more than once."""
+    folder and read back, as the next one reads it more than once. Tables that a
+    stage made for itself, and its input, go as soon as its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir))
+        with session.scratch(spark) as keep:
+            done = common.staged(stage(spark, docs, sf_dir))
+            keep(done)
+        session.drop_written(spark, docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
