@@ -96,6 +96,14 @@ def release_memory() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession, max_bytes: int) -> None:
+    """Arrow batches for Python of at most so many bytes from here on, unless the
+    application was started with a bound of its own. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(max_bytes))
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int,
            within: str | None = None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``max_bytes`` of a text column each (one row

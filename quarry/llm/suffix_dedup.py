@@ -476,7 +476,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated bytes are cut out of the texts (a character cut in two goes);
-    rows of which nothing but white space is left go, if anything was cut."""
+    rows of which nothing but white space is left go, if anything was cut. Batches
+    are bounded by bytes, as executors hold what earlier stages left there."""
+    common.bound_batches(spark, 3 * SLICE_BYTES)
     cut = dedup(docs, decode=True).where("removed = 0 or length(trim(kept)) > 0")
     fixed = {"text": F.col("kept"),
              "n_chars": F.when(F.col("removed") > 0, F.length("kept"))
