@@ -365,6 +365,46 @@ def test_wrappers_of_content_are_no_asides(spark):
     assert html_extract.main_text(div, weights) == MAIN
 
 
+def test_asides_within_content(spark):
+    """Compounds, hidden elements and learned names are left out, the article's own header is not."""
+    schema = "page_id long, url string, html string"
+    page = PAGE % ("article", "article")
+    first = "<blockquote>Quoted"
+    blocks = ['<div class="%s"><p>Words that are not of the article.</p></div>' % c for c in
+              ("related-posts", "comment-list", "comments-section", "share-buttons", "sidebar-left",
+               "cookie-bar", "ad-container", "adsbygoogle", "hidden", "relatedPosts", "zz-unit")]
+    blocks += ["<div hidden>Not to be seen by anyone.</div>",
+               '<p style="color:red; display: none">Not to be seen by anyone.</p>',
+               '<article class="comment"><p>I like this page a lot, really.</p></article>']
+    kept = ['<div data-id="ad" title="hidden comments"><p>%s</p></div>', '<p class="no-ads">%s</p>',
+            '<header class="entry-header"><h2>%s</h2></header>', '<header><p>%s</p></header>']
+    plain = [(i, "u", page.replace("<footer>", '<div class="zz-unit">Other words</div><footer>'))
+             for i in range(2 * html_extract.OUTSIDE)]
+    weights = html_extract.fit(spark.createDataFrame(plain, schema))
+    assert "zz-unit" in html_extract.learned_names(weights)
+    for b in blocks:
+        assert html_extract.main_text(page.replace(first, b + first), weights) == MAIN, b
+    for k in kept:
+        text = html_extract.main_text(page.replace(first, k % "Words that are kept." + first),
+                                      weights)
+        assert text == MAIN.replace("Quoted", "Words that are kept.\nQuoted"), k
+    # with no article on the page, what holds most of its words is no aside by a compound's begin
+    assert html_extract.main_text('<div class="menu-layout"><p>a b c d</p></div>', {}) == "a b c d"
+    assert html_extract.main_text('<div class="menu-layout"><p>a</p></div><p>b c d</p>',
+                                  {}) == "b c d"
+
+
+def test_pages_of_unmatched_tags_take_linear_time():
+    import time
+    from collections import Counter
+    n = 60_000
+    for page in ("<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<p><b>" * n + "<p>" * n,
+                 "<div class='x'>" * n + "<article>" * n, "</b>" * n, "<" * n, "<b x='" * n):
+        start = time.process_time()
+        html_extract.nodes(page, seen=Counter())
+        assert time.process_time() - start < 4, page[:20]
+
+
 # ----------------------------------------------------------------- licenses
 
 def test_scan(spark):
