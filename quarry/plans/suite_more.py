@@ -684,3 +684,47 @@ def q_parse_messages(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"),
                    F.count_if(F.col("_corrupt").isNotNull()).alias("corrupt"),
                    F.sum(F.when(F.col("_corrupt").isNull(), F.col("k"))).alias("total"))
+
+
+# ================================================= incremental profiles
+
+PROFILED = ["l_quantity", "l_extendedprice", "l_partkey"]
+
+
+@register("profile_incremental", "\nUNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count(x) AS null_count,
+  avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max,
+  true AS distinct_ok, true AS quantiles_ok
+FROM (SELECT nullif({c}, 7)::DOUBLE AS x FROM lineitem)""" for c in PROFILED))
+def q_profile_incremental(spark, d):
+    """A sketch row per quarter and column, stored by quarter (the last
+    ones a second time), merged; distinct counts and quartiles are held against the
+    table: within four standard errors, within the rank error."""
+    from quarry.operators import sketches
+
+    lines = T(spark, d, "lineitem").select(
+        F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("day"),
+        *[F.nullif(F.col(c).cast("double"), F.lit(7.0)).alias(c) for c in PROFILED])
+    path = _folder(spark)
+    sketches.store(lines, path, "day", PROFILED)
+    sketches.store(lines.where("day >= DATE'1997-01-01'"), path, "day", PROFILED)
+    merged = session.cut_lineage(
+        sketches.finish(sketches.merge(sketches.load(spark, path, "day"))))
+    kept = merged.select(F.map_from_entries(F.collect_list(F.struct(
+        F.col("column_name"), F.struct("q25", "median", "q75"))))).scalar()
+    stats = []
+    for c in PROFILED:
+        x, got = F.col(c), F.element_at(kept, c)
+        near = F.lit(True)
+        for q, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75")):
+            slack = F.greatest(F.count(x) * sketches.RANK_ERROR, F.lit(1.0))
+            near = near & (F.count_if(x < got[name]) - slack <= q * F.count(x)) \
+                & (F.count_if(x <= got[name]) + slack >= q * F.count(x))
+        stats.append(F.struct(F.lit(c).alias("column_name"), near.alias("quantiles_ok"),
+                              F.count_distinct(x).alias("exact")))
+    exact = lines.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    close = F.abs(F.col("unique_count") - F.col("exact")) <= F.greatest(
+        F.lit(1.0), F.col("exact") * 4 * sketches.DISTINCT_ERROR)
+    return merged.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "mean", "std", "min", "max",
+        close.alias("distinct_ok"), "quantiles_ok")
