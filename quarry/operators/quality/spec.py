@@ -106,6 +106,26 @@ _EXACT = r"^\^[A-Za-z0-9_]+\$$"
 _PREFIX = r"^\^[A-Za-z0-9_]+(\.\*)?$"
 
 
+GRAM = 3
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest run of characters that every match of a regular expression
+    contains; null where none of ``GRAM`` characters is sure. What is optional,
+    repeated, grouped, escaped or a class ends a run; flags, escapes by code or
+    name, alternatives outside of groups and what isn't understood give null."""
+    gap = "\0"
+    rest = pattern
+    for what in (r"\\.", r"\[[^\]]*\]", *[r"\([^()]*\)"] * 4, r"\+[+?]?",
+                 r".(?:[*?]|\{[^}]*\})[+?]?", r"[.^$]"):
+        rest = F.regexp_replace(rest, what, gap)
+    # (a quantifier after a quantifier, as in ``a{2}*``, is left over and not understood)
+    sure = ~pattern.rlike(r"\(\?[a-zA-Z-]|\\[^dDwWsSbB\W_]|\x00") & ~rest.rlike(r"[|()\[\]{}*?]")
+    longest = F.array_max(F.transform(F.split(rest, gap),
+                                      lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    return F.when(sure & (longest["n"] >= GRAM), longest["x"])
+
+
 def match_rules(rules: DataFrame, datasets: DataFrame) -> DataFrame:
     """Which pattern rules apply to which dataset columns.
 
@@ -114,25 +134,43 @@ def match_rules(rules: DataFrame, datasets: DataFrame) -> DataFrame:
     ``datasets(table_name, column_name, source_type)``.
 
     Table patterns are matched against the distinct table names, not against
-    every column: exact and prefix patterns by equi-joins (a name is looked
-    up under each of its prefixes), other expressions name by name. The
-    matching (rule, table) pairs are then joined to the columns on the table
-    name, where column pattern and source type are plain filters."""
+    every column, all by equi-joins: exact patterns by the name, prefixes by
+    each prefix of a name, and other expressions by the first characters of a
+    literal that they require (``required_literal``), looked up among the
+    trigrams of the names; only names that hold it meet the expression. What
+    requires no literal (and rules for any table) meets every name, as it must:
+    names are dealt out in as many parts as there are shuffle partitions and
+    these rules go to each part. The matching (rule, table) pairs are then joined
+    to the columns on the table name, where column pattern and source type are
+    plain filters."""
     names = datasets.select("table_name").distinct()
-    by = rules.withColumn("__kind", F.when(F.col("table_pattern").isNull(), "any")
-                          .when(F.col("table_pattern").rlike(_EXACT), "exact")
-                          .when(F.col("table_pattern").rlike(_PREFIX), "prefix")
-                          .otherwise("regex")) \
-        .withColumn("__key", F.regexp_replace("table_pattern", r"^\^|\$$|\.\*$", ""))
+    by = rules.withColumn("__literal", required_literal(F.col("table_pattern"))) \
+        .withColumn("__kind", F.when(F.col("table_pattern").isNull(), "any")
+                    .when(F.col("table_pattern").rlike(_EXACT), "exact")
+                    .when(F.col("table_pattern").rlike(_PREFIX), "prefix")
+                    .when(F.col("__literal").isNotNull(), "gram")
+                    .otherwise("scan")) \
+        .withColumn("__key", F.when(F.col("__kind") == "gram", F.left("__literal", F.lit(GRAM)))
+                    .otherwise(F.regexp_replace("table_pattern", r"^\^|\$$|\.\*$", ""))) \
+        .drop("__literal")
     exact = names.join(by.where("__kind = 'exact'"), F.col("table_name") == F.col("__key"))
     prefixes = names.select("table_name", F.explode(F.expr(
         "transform(sequence(1, greatest(length(table_name), 1)), n -> left(table_name, n))"))
         .alias("__start"))
     prefix = prefixes.join(by.where("__kind = 'prefix'"), F.col("__start") == F.col("__key")) \
         .drop("__start")
-    rest = names.join(by.where("__kind IN ('any', 'regex')"), F.expr(
-        "table_pattern IS NULL OR table_name RLIKE table_pattern"))
-    pairs = exact.unionByName(prefix).unionByName(rest).drop("__kind", "__key")
+    grams = names.where(F.length("table_name") >= GRAM).select("table_name", F.explode(F.expr(
+        f"array_distinct(transform(sequence(1, length(table_name) - {GRAM - 1}), "
+        f"n -> substring(table_name, n, {GRAM})))")).alias("__gram"))
+    gram = grams.join(by.where("__kind = 'gram'"), F.col("__gram") == F.col("__key")) \
+        .where("table_name RLIKE table_pattern").drop("__gram")
+    parts = int(datasets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = names.withColumn("__part", F.pmod(F.xxhash64("table_name"), F.lit(parts)))
+    everywhere = by.where("__kind IN ('any', 'scan')").withColumn(
+        "__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    rest = dealt.join(everywhere, "__part").drop("__part").where(
+        "table_name IS NOT NULL AND (table_pattern IS NULL OR table_name RLIKE table_pattern)")
+    pairs = exact.unionByName(prefix).unionByName(gram).unionByName(rest).drop("__kind", "__key")
     out = datasets.join(pairs, "table_name").where(
         "column_pattern IS NULL OR column_name RLIKE column_pattern")
     if "data_source_types" in rules.columns and "source_type" in datasets.columns:

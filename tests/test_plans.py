@@ -59,11 +59,10 @@ def test_latest_per_key_has_no_window(spark):
 
 
 def test_no_registered_query_plans_a_product_or_nested_loop(spark):
-    """Regular expressions are matched name by name: the one nested loop."""
     for name, fn in suite.QUERIES.items():
         p = plan_of(fn(spark, SF001))
         assert "CartesianProduct" not in p, name
-        assert "NestedLoop" not in p or name == "rule_dataset_match", name
+        assert "NestedLoop" not in p, name
 
 
 def test_top_k_reports_use_take_ordered(spark):
