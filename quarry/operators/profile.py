@@ -7,11 +7,14 @@ nothing collected).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions.predicates import is_numeric, is_temporal
+from quarry.operators.topk import tree_top
 
 PROFILE_SCHEMA = [
     ("column_name", "string"), ("data_type", "string"), ("null_count", "bigint"),
@@ -46,7 +49,8 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     cols = columns or df.columns
     # Exact distinct counts expand the input once per column (Expand); any
     # other aggregate sharing that pass is evaluated on the expanded rows.
-    # So distinct counts get their own pass and are joined back per column
+    # So distinct counts get passes of their own, a few columns each (all at once
+    # where they are approximate), and are joined back per column
     # (an equi-join of two tiny per-column frames).
     aggs: list[Column] = [F.count(F.lit(1)).alias("__n")]
     uniq: list[Column] = []
@@ -73,7 +77,10 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
             ts = col.cast("timestamp")
             aggs += [F.min(ts).alias(f"mind{i}"), F.max(ts).alias(f"maxd{i}")]
     row = df.agg(*aggs)
-    uniques = df.agg(F.array(*uniq).alias("u")).select(F.explode("u").alias("u")).select("u.*")
+    some = len(uniq) if approx_distinct else DISTINCT_PER_PASS
+    passes = [df.agg(F.array(*uniq[at:at + some]).alias("u")).select(F.explode("u").alias("u"))
+              for at in range(0, len(uniq), some)]
+    uniques = functools.reduce(DataFrame.unionByName, passes).select("u.*")
     n = F.col("__n")
     structs = []
     for i, c in enumerate(cols):
@@ -130,23 +137,15 @@ def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 def top_values_all(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """A11 for several columns in one pass: the columns are unpivoted to
-    (column, value) and counted per pair (partial aggregation); the top-k per
-    column is two-stage - each task keeps its own k best, then at most
-    k x tasks candidates per column are ranked - so a high-cardinality column
-    is never ranked whole in one task."""
-    from pyspark.sql import Window
-
+    (column, value) and counted per pair (partial aggregation); the counts are
+    ranked by ``tree_top``, so a high-cardinality column is never ranked whole
+    in one task."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
         for c in columns])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
-    counts = (long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-              .withColumn("__pid", F.spark_partition_id()))
-    order = [F.col("count").desc(), F.col("value")]
-    local = (counts.withColumn("__r", F.row_number().over(
-        Window.partitionBy("column_name", "__pid").orderBy(*order))).where(F.col("__r") <= k))
-    w = Window.partitionBy("column_name").orderBy(*order)
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("column_name", "value", "count", "rank"))
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    return tree_top(counts, ["column_name"], [F.col("count").desc(), F.col("value")], k, "rank") \
+        .select("column_name", "value", "count", "rank")
 
 
 def table_statistics(df: DataFrame, partition_columns: list[str] | None = None,

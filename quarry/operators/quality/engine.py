@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.predicates import ratio
 from quarry.operators.quality.checks import Check, compile_rule
 from quarry.operators.quality.spec import Rule
+from quarry.operators.topk import tree_top
 from quarry.session import cut_lineage
 
 RESULT_SCHEMA = (
@@ -267,23 +268,13 @@ def failure_samples(df: DataFrame, rules: list[Rule], key_columns: list[str],
                     as_of=None) -> DataFrame:
     """The first ``k`` failing rows per rule by key (deterministic).
 
-    Two-stage top-k: each input partition keeps its own first ``k`` failures
-    per rule, then the pre-limited candidates (at most ``k`` x partitions per
-    rule) are ranked once. No rule's failures are gathered whole."""
-    from pyspark.sql import Window
-
+    Ranked by ``tree_top``: no rule's failures are gathered whole."""
     payload = payload or [c for c in df.columns if c not in key_columns]
     flagged = row_flags(df, rules, frames, as_of)
-    ex = (flagged.select(*key_columns, *payload, F.explode("_failed_rules").alias("rule_id"))
-          .withColumn("__pid", F.spark_partition_id()))
+    failed = flagged.select(*key_columns, *payload, F.explode("_failed_rules").alias("rule_id"))
     order = [F.col(c).asc_nulls_first() for c in key_columns]
-    local = (ex.withColumn("__r", F.row_number().over(
-        Window.partitionBy("rule_id", "__pid").orderBy(*order)))
-        .where(F.col("__r") <= k))
-    return (local.withColumn("sample_rank", F.row_number().over(
-        Window.partitionBy("rule_id").orderBy(*order)))
-        .where(F.col("sample_rank") <= k)
-        .select("rule_id", "sample_rank", *key_columns, *payload))
+    return tree_top(failed, ["rule_id"], order, k, "sample_rank") \
+        .select("rule_id", "sample_rank", *key_columns, *payload)
 
 
 # ---------------------------------------------------------------- Q25

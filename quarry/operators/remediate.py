@@ -157,3 +157,21 @@ def latest_alert_state(alerts_df: DataFrame) -> DataFrame:
     """Newest alert per (name, service, organization)."""
     return latest_per_key(alerts_df, ["name", "service", "organization_id"],
                           [F.col("created_at")])
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Q26: keys that occur more than once, with the number ``n`` of their rows. Null
+    is a value like others. Counted in each task first, so a key of any share of the
+    rows shuffles one row per task; no window."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Q26: all rows whose key occurs more than once, with ``n``. The keys are joined
+    back null-safe; AQE splits a large key on the side of the rows."""
+    found = duplicate_keys(df, keys)
+    own = found.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)],
+                       F.col("n").alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    return df.join(own, same).select(*[F.col(f"`{c}`") for c in df.columns],
+                                     F.col("__n").alias("n"))

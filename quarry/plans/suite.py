@@ -631,8 +631,7 @@ SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def q_duplicates(spark, d):
     """Q26: keys occurring more than once (partial aggregate, no window)."""
-    return (T(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    return remediate.duplicate_keys(T(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 # =========================================================== usage & quotas

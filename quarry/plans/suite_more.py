@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import session, sinks, streaming
 from quarry.functions import periods, privacy
 from quarry.functions.text import render_template
-from quarry.operators import access, lineage, monitoring, runs, sequence, transforms, usage
+from quarry.operators import access, lineage, monitoring, remediate, runs, sequence, transforms, usage
 from quarry.operators.quality import (Rule, check_record, run_rules, schema_diff)
 from quarry.plans.runner import PipelineSpec
 from quarry.plans.runner import run as run_pipeline
@@ -728,3 +728,33 @@ def q_profile_incremental(spark, d):
     return merged.join(exact, "column_name").select(
         "column_name", "row_count", "null_count", "mean", "std", "min", "max",
         close.alias("distinct_ok"), "quantiles_ok")
+
+
+# ================================================= duplicates, outliers, rule selection
+
+@register("outlier_rules", """
+WITH x AS (SELECT l_extendedprice * l_extendedprice / 1000000.0::DOUBLE AS v FROM lineitem),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, avg(v) AS m,
+      stddev_samp(v) AS s FROM x),
+n AS (SELECT count(*) AS n, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS iqr,
+      count(*) FILTER (v < q1 - 0.5 * (q3 - q1) OR v > q3 + 0.5 * (q3 - q1)) AS near,
+      count(*) FILTER (abs(v - m) > 3 * s) AS z FROM x, q)
+SELECT 'iqr' AS rule_id, iqr AS failed_records, n AS total_records FROM n
+UNION ALL SELECT 'iqr_near', near, n FROM n UNION ALL SELECT 'z', z, n FROM n""")
+def q_outlier_rules(spark, d):
+    """Q11: interquartile ranges and z-scores of one skewed column in one fused run."""
+    x = T(spark, d, "lineitem").select(
+        (F.col("l_extendedprice") * F.col("l_extendedprice") / F.lit(1000000.0)).alias("v"))
+    rules = [Rule("iqr", "accuracy", "v", {"method": "iqr"}),
+             Rule("iqr_near", "accuracy", "v", {"method": "iqr", "k": 0.5}),
+             Rule("z", "accuracy", "v", {"method": "statistical"})]
+    return run_rules(x, rules).select("rule_id", "failed_records", "total_records")
+
+
+@register("duplicate_rows_all", """
+SELECT l_orderkey, l_linenumber, l_partkey, n FROM (SELECT *, count(*) OVER (
+  PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) t WHERE n > 1""")
+def q_duplicate_rows_all(spark, d):
+    """Q26: the rows behind the duplicate keys."""
+    rows = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return remediate.duplicate_rows(rows, ["l_orderkey", "l_linenumber"])
