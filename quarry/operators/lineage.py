@@ -25,12 +25,7 @@ def closure(spark: SparkSession, edges: DataFrame, direction: str = "downstream"
     Returns ``(root, node, depth)``, depth being the fewest steps, for every
     other node reachable from a root (all sources by default).
     """
-    down = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    up = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    if direction not in ("downstream", "upstream", "both"):
-        raise ValueError(f"unknown direction: {direction}")
-    e = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
-    e = cut_lineage(e.where("a is not null and b is not null").distinct())
+    e = cut_lineage(_arrows(edges, direction))
     starts = roots.select("root") if roots is not None else e.select(F.col("a").alias("root"))
     levels = [cut_lineage(starts.distinct().select("root", F.col("root").alias("node"),
                                                    F.lit(0).alias("depth")))]
@@ -50,6 +45,103 @@ def closure(spark: SparkSession, edges: DataFrame, direction: str = "downstream"
     return out
 
 
+def _arrows(edges: DataFrame, direction: str) -> DataFrame:
+    """Distinct ``a, b`` to be followed from a to b."""
+    down = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    up = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
+    if direction not in ("downstream", "upstream", "both"):
+        raise ValueError(f"unknown direction: {direction}")
+    e = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
+    return e.where("a is not null and b is not null").distinct()
+
+
+PAIR = ["root", "node"]
+
+
+def update_closure(spark: SparkSession, known: DataFrame, old: DataFrame, new: DataFrame,
+                   direction: str = "downstream", roots: DataFrame | None = None) -> DataFrame:
+    """J10, incremental: what ``closure`` gives for the edges ``new``, worked out from
+    ``known``, its result for ``old`` (same direction and roots), by joins of pairs
+    that change only.
+
+    Delete: a pair of depth d stands on the pairs of depth d - 1 that an edge leads on
+    to it. Depth by depth, pairs that stood on a removed edge or on a deleted pair are
+    taken out if nothing is left that they stand on. As what a pair stands on is
+    less deep than itself, a cycle can't hold itself up. Derive: deleted pairs get the
+    least depth that the remaining pairs give, added edges offer theirs, and offers that
+    are better than what is known are followed on until none is left.
+
+    Rounds: the depths at which pairs go, and the steps on which depths get better. Each
+    round's rows are those that change; the known pairs are looked up by them."""
+    def starts(e: DataFrame) -> DataFrame:
+        return roots.select("root") if roots is not None else e.select(F.col("a").alias("root"))
+
+    made = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        made.append(cut_lineage(df))
+        return made[-1]
+
+    def counted(df: DataFrame) -> tuple[DataFrame, int]:
+        table, n = cut_lineage_counting(df, F.lit(True))
+        made.append(table)
+        return table, n
+
+    def onward(pairs: DataFrame, e: DataFrame) -> DataFrame:
+        return pairs.join(e, F.col("node") == F.col("a")) \
+            .select("root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
+
+    before, e = cut(_arrows(old, direction)), cut(_arrows(new, direction))
+    gone = cut(before.join(e, ["a", "b"], "left_anti"))
+    fresh = e.join(before, ["a", "b"], "left_anti")
+    zero = starts(before).unionByName(starts(e)).distinct() \
+        .select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    state = cut(known.select(*PAIR, "depth").unionByName(zero))
+
+    shaken = cut(onward(state, gone).distinct().join(state, [*PAIR, "depth"], "left_semi"))
+    span = shaken.agg(F.min("depth").alias("first"), F.max("depth").alias("last")).first()
+    lost, depth, n = [], span.first, 0
+    while depth is not None and (depth <= span.last or n):
+        at = shaken.where(F.col("depth") == depth)
+        if n:
+            at = at.unionByName(onward(lost[-1], e).join(state, [*PAIR, "depth"], "left_semi"))
+        at = cut(at.distinct())
+        below = state.where(F.col("depth") == depth - 1)
+        if n:
+            below = below.join(lost[-1], PAIR, "left_anti")
+        stands = at.join(e, F.col("node") == F.col("b")).select(*PAIR, F.col("a").alias("on")) \
+            .join(below.select("root", F.col("node").alias("on")), ["root", "on"], "left_semi")
+        level, n = counted(at.join(stands, PAIR, "left_anti"))
+        lost.append(level)
+        depth += 1
+
+    offers = onward(state, fresh)
+    left = state
+    if lost:
+        taken = cut(functools.reduce(DataFrame.unionByName, lost).select(*PAIR))
+        left = cut(state.join(taken, PAIR, "left_anti"))
+        again = taken.join(e, F.col("node") == F.col("b")).select("root", "a", "b").join(
+            left.select("root", F.col("node").alias("a"), "depth"), ["root", "a"])
+        offers = onward(left, fresh).unionByName(again.select(
+            "root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth")))
+    levels = [left]
+    while True:
+        best = cut(offers.groupBy(*PAIR).agg(F.min("depth").alias("depth")))
+        have = functools.reduce(DataFrame.unionByName, levels).join(best.select(*PAIR), PAIR) \
+            .groupBy(*PAIR).agg(F.min("depth").alias("had"))
+        level, n = counted(best.join(have, PAIR, "left")
+                           .where("had is null or depth < had").select(*PAIR, "depth"))
+        if not n:
+            break
+        levels.append(level)
+        offers = onward(level, e)
+    out = cut_lineage(functools.reduce(DataFrame.unionByName, levels).groupBy(*PAIR)
+                      .agg(F.min("depth").alias("depth")).where("depth > 0"))
+    for t in made:
+        drop_written(spark, t)
+    return out
+
+
 def reference_edges(region: DataFrame, nation: DataFrame, customer: DataFrame,
                     orders: DataFrame) -> DataFrame:
     """Dataset-level lineage edges derived from the supplied tables:

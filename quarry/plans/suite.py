@@ -1102,6 +1102,34 @@ def q_lineage(spark, d):
     return walk.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+@register("lineage_updated", f"""
+WITH RECURSIVE e AS {EDGES_SQL},
+walk(root, node, depth, path) AS (
+  SELECT r, r, 0, [r] FROM (SELECT DISTINCT 'region:' || r_name AS r FROM region)
+  UNION ALL
+  SELECT w.root, e.target, w.depth + 1, list_append(w.path, e.target)
+  FROM walk w JOIN e ON e.source = w.node
+  WHERE NOT list_contains(w.path, e.target))
+SELECT root, depth, count(*) AS n_nodes FROM walk WHERE depth > 0 GROUP BY root, depth""")
+def q_lineage_updated(spark, d):
+    """J10, incremental: the closure of an earlier state (customers in debt had no
+    nation; open orders hung on a region), brought up to the tables' edges."""
+    region, nation = T(spark, d, "region"), T(spark, d, "nation")
+    customer, orders = T(spark, d, "customer"), T(spark, d, "orders")
+    new = lineage.reference_edges(region, nation, customer, orders)
+    names = region.select(F.collect_list("r_name")).scalar()
+    stray = orders.where("o_orderstatus = 'O'").select(
+        F.concat(F.lit("region:"), F.element_at(
+            names, (F.pmod(F.col("o_custkey"), F.size(names)) + 1).cast("int"))).alias("source"),
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("target"))
+    old = lineage.reference_edges(region, nation, customer.where("c_acctbal >= 0"), orders) \
+        .unionByName(stray)
+    roots = region.select(F.concat(F.lit("region:"), "r_name").alias("root"))
+    known = lineage.closure(spark, old, "downstream", roots)
+    walk = lineage.update_closure(spark, known, old, new, "downstream", roots)
+    return walk.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 @register("lineage_upstream", f"""
 WITH RECURSIVE e AS {EDGES_SQL},
 walk(root, node, depth, path) AS (
