@@ -83,8 +83,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+# The other ASCII characters, all that no term has.
+_BLANKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
+    """Matches of ``_TERM`` in order, A-Z lower-cased. Blanks in place of what ends a term
+    and a split at them take a fraction of the time of a regular expression."""
+    blanked = F.translate(text, _UPPER + _BLANKS, _LOWER + " " * len(_BLANKS))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def template_terms() -> list[Counter]:
