@@ -25,16 +25,14 @@ def closure(spark: SparkSession, edges: DataFrame, direction: str = "downstream"
     Returns ``(root, node, depth)``, depth being the fewest steps, for every
     other node reachable from a root (all sources by default).
     """
-    e = cut_lineage(_arrows(edges, direction))
+    e = cut_lineage(_arrows(edges, direction).distinct())
     starts = roots.select("root") if roots is not None else e.select(F.col("a").alias("root"))
     levels = [cut_lineage(starts.distinct().select("root", F.col("root").alias("node"),
                                                    F.lit(0).alias("depth")))]
     while True:
-        seen = functools.reduce(DataFrame.unionByName, levels).select("root", "node")
-        step = (levels[-1].join(e, F.col("node") == F.col("a"))
-                .select("root", F.col("b").alias("node")).distinct()
-                .join(seen, ["root", "node"], "left_anti")
-                .withColumn("depth", F.lit(len(levels))))
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        step = _kept(_onward(levels[-1], e).select(*PAIR), seen, PAIR, "left_anti") \
+            .withColumn("depth", F.lit(len(levels)))
         level, n = cut_lineage_counting(step, F.lit(True))
         if not n:
             break
@@ -45,17 +43,27 @@ def closure(spark: SparkSession, edges: DataFrame, direction: str = "downstream"
     return out
 
 
+PAIR = ["root", "node"]
+
+
 def _arrows(edges: DataFrame, direction: str) -> DataFrame:
-    """Distinct ``a, b`` to be followed from a to b."""
+    """``a, b`` to be followed from a to b; edges may repeat."""
     down = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     up = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
     if direction not in ("downstream", "upstream", "both"):
         raise ValueError(f"unknown direction: {direction}")
     e = {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
-    return e.where("a is not null and b is not null").distinct()
+    return e.where("a is not null and b is not null")
 
 
-PAIR = ["root", "node"]
+def _kept(rows: DataFrame, by: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Distinct rows that are (``left_semi``) or aren't (``left_anti``) in ``by``."""
+    return rows.distinct().join(by, on, how)
+
+
+def _onward(pairs: DataFrame, e: DataFrame) -> DataFrame:
+    return pairs.join(e, F.col("node") == F.col("a")) \
+        .select("root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
 
 
 def update_closure(spark: SparkSession, known: DataFrame, old: DataFrame, new: DataFrame,
@@ -87,43 +95,44 @@ def update_closure(spark: SparkSession, known: DataFrame, old: DataFrame, new: D
         made.append(table)
         return table, n
 
-    def onward(pairs: DataFrame, e: DataFrame) -> DataFrame:
-        return pairs.join(e, F.col("node") == F.col("a")) \
-            .select("root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
-
-    before, e = cut(_arrows(old, direction)), cut(_arrows(new, direction))
-    gone = cut(before.join(e, ["a", "b"], "left_anti"))
-    fresh = e.join(before, ["a", "b"], "left_anti")
-    zero = starts(before).unionByName(starts(e)).distinct() \
+    # both states' edges in one table, by what they stand in
+    sides = [_arrows(x, direction).select("a", "b", F.lit(was).alias("was"), F.lit(now).alias("now"))
+             for x, was, now in ((old, True, False), (new, False, True))]
+    both = cut(sides[0].unionByName(sides[1]).groupBy("a", "b")
+               .agg(F.max("was").alias("was"), F.max("now").alias("now")))
+    e, gone, fresh = (both.where(x).select("a", "b")
+                      for x in ("now", "was and not now", "now and not was"))
+    into = e.select("a", F.col("b").alias("node"))
+    zero = starts(both).distinct() \
         .select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     state = cut(known.select(*PAIR, "depth").unionByName(zero))
 
-    shaken = cut(onward(state, gone).distinct().join(state, [*PAIR, "depth"], "left_semi"))
+    shaken = cut(_kept(_onward(state, gone), state, [*PAIR, "depth"], "left_semi"))
     span = shaken.agg(F.min("depth").alias("first"), F.max("depth").alias("last")).first()
-    lost, depth, n = [], span.first, 0
+    lost, ways, depth, n = [], [], span.first, 0  # ways: all edges to pairs in doubt
     while depth is not None and (depth <= span.last or n):
         at = shaken.where(F.col("depth") == depth)
         if n:
-            at = at.unionByName(onward(lost[-1], e).join(state, [*PAIR, "depth"], "left_semi"))
-        at = cut(at.distinct())
+            at = cut(at.unionByName(_kept(_onward(lost[-1], e), state, [*PAIR, "depth"],
+                                          "left_semi")).distinct())
         below = state.where(F.col("depth") == depth - 1)
         if n:
             below = below.join(lost[-1], PAIR, "left_anti")
-        stands = at.join(e, F.col("node") == F.col("b")).select(*PAIR, F.col("a").alias("on")) \
-            .join(below.select("root", F.col("node").alias("on")), ["root", "on"], "left_semi")
+        ways.append(cut(at.join(into, "node").select(*PAIR, "a")))
+        stands = ways[-1].join(below.select("root", F.col("node").alias("a")), ["root", "a"])
         level, n = counted(at.join(stands, PAIR, "left_anti"))
         lost.append(level)
         depth += 1
 
-    offers = onward(state, fresh)
+    offers = _onward(state, fresh)
     left = state
     if lost:
         taken = cut(functools.reduce(DataFrame.unionByName, lost).select(*PAIR))
         left = cut(state.join(taken, PAIR, "left_anti"))
-        again = taken.join(e, F.col("node") == F.col("b")).select("root", "a", "b").join(
+        again = functools.reduce(DataFrame.unionByName, ways).join(taken, PAIR, "left_semi").join(
             left.select("root", F.col("node").alias("a"), "depth"), ["root", "a"])
-        offers = onward(left, fresh).unionByName(again.select(
-            "root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth")))
+        offers = _onward(left, fresh).unionByName(
+            again.select(*PAIR, (F.col("depth") + 1).alias("depth")))
     levels = [left]
     while True:
         best = cut(offers.groupBy(*PAIR).agg(F.min("depth").alias("depth")))
@@ -134,7 +143,7 @@ def update_closure(spark: SparkSession, known: DataFrame, old: DataFrame, new: D
         if not n:
             break
         levels.append(level)
-        offers = onward(level, e)
+        offers = _onward(level, e)
     out = cut_lineage(functools.reduce(DataFrame.unionByName, levels).groupBy(*PAIR)
                       .agg(F.min("depth").alias("depth")).where("depth > 0"))
     for t in made:
